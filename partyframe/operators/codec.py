@@ -34,17 +34,24 @@ CODECS = ("org", "int", "q16", "q8", "q4", "svfl", "svfl16", "topk", "topk16")
 
 # --------------------------------------------------------------------------- layout
 
-def batch_matrix(df: DataFrame, vec_col: str, keys=("batch_id",), i_col: str = "row_in_batch",
+def batch_matrix(df: DataFrame, vec_col: str | dict, keys=("batch_id",), i_col: str = "row_in_batch",
                  s_col: str = "batch_rows", axis: int = 1, out: str = "flat") -> DataFrame:
     """Group batch rows into one row per batch with the flattened matrix.
 
     ``axis=1`` column-major (reference default), ``axis=0`` row-major.
-    Output: keys, samples, dims, ``out`` (flat values), ``ids`` is not kept.
+    ``vec_col`` may be a dict ``{out_name: (vec_col, i_col)}`` to flatten several
+    matrices of the same batch in one shuffle (e.g. an embedding and the
+    gradient that answers it).  Output: keys, samples, dims, flat column(s).
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(i_col).alias("i"), F.col(vec_col).alias("v"))))
-    g = df.groupBy(*keys).agg(rows.alias("_pf_rows"), F.max(s_col).cast("int").alias("samples"))
-    g = g.withColumn("dims", F.size(F.element_at("_pf_rows", 1)["v"]).cast("int"))
-    return g.withColumn(out, flatten_rows("_pf_rows", "dims", axis)).drop("_pf_rows")
+    specs = vec_col if isinstance(vec_col, dict) else {out: (vec_col, i_col)}
+    aggs = [F.array_sort(F.collect_list(F.struct(F.col(ic).alias("i"), F.col(vc).alias("v"))))
+            .alias(f"_pf_rows_{name}") for name, (vc, ic) in specs.items()]
+    g = df.groupBy(*keys).agg(*aggs, F.max(s_col).cast("int").alias("samples"))
+    first = next(iter(specs))
+    g = g.withColumn("dims", F.size(F.element_at(f"_pf_rows_{first}", 1)["v"]).cast("int"))
+    for name in specs:
+        g = g.withColumn(name, flatten_rows(f"_pf_rows_{name}", "dims", axis)).drop(f"_pf_rows_{name}")
+    return g
 
 
 def flatten_rows(rows_col: str, dims_col: str, axis: int) -> Column:

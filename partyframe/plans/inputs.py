@@ -44,7 +44,7 @@ b AS (
          least({EMB_BATCH}, n - (idx // {EMB_BATCH}) * {EMB_BATCH}) AS S, len(e) AS dims
   FROM eb),
 cells0 AS (
-  SELECT vec_id, batch_id, i, S, dims, unnest(range(0, dims)) AS dd, unnest(e) AS v, unnest(raw) AS rv FROM b),
+  SELECT vec_id, label, batch_id, i, S, dims, unnest(range(0, dims)) AS dd, unnest(e) AS v, unnest(raw) AS rv FROM b),
 cells AS (
   SELECT *, dd * S + i AS pos_col, i * dims + dd AS pos_row FROM cells0)
 """
