@@ -29,8 +29,14 @@ def bits_to_bytes(bits) -> Column:
     return F.floor((_c(bits).cast("long") + F.lit(7)) / F.lit(8)).cast("long")
 
 
+def round_to(x, digits: int) -> Column:
+    """Round half-up to ``digits`` places; a negative zero becomes 0.0 (so hashes agree)."""
+    r = F.round(_c(x).cast("double"), digits)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
+
+
 def round6(x) -> Column:
-    return F.round(_c(x).cast("double"), 6)
+    return round_to(x, 6)
 
 
 def sigmoid(z) -> Column:
@@ -115,5 +121,5 @@ def log2_ceil_py(n: int) -> int:
     return 0 if n <= 1 else (int(n) - 1).bit_length()
 
 
-__all__ = ["ceil_log2", "bits_to_bytes", "round6", "sigmoid", "softplus", "fp16_round",
+__all__ = ["ceil_log2", "bits_to_bytes", "round6", "round_to", "sigmoid", "softplus", "fp16_round",
            "activation", "ACTIVATIONS", "log2_ceil_py"]
