@@ -151,3 +151,27 @@ def shuffled_batches(df: DataFrame, uid: str, batch_size: int, seed: int = 0, **
     ordered = df.withColumn("_pf_h", md5_order_key(seed, uid))
     return assign_batches(ordered, ["_pf_h", uid], batch_size,
                           bucket_key=md5_bucket_key("_pf_h"), **kw).drop("_pf_h")
+
+
+def running_sum(df: DataFrame, order_by: list, value: str, out: str = "below",
+                bucket_key: Column | None = None, partition_by: list | None = None,
+                rows_per_bucket: int = 2_000_000, max_buckets: int = 200_000) -> DataFrame:
+    """Exclusive running sum of ``value`` in ``order_by`` order (sum over all earlier rows).
+
+    Same bucket scheme as :func:`dense_index`: per-bucket totals (a table of at
+    most ``max_buckets`` rows per group) give broadcast offsets, and each bucket
+    is summed by its own task, so no global one-partition window is planned.
+    """
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    key = bucket_key if bucket_key is not None else order_cols[0]
+    groups = [F.col(c) for c in (partition_by or [])]
+    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets)
+    totals = bucketed.groupBy(*groups, BUCKET).agg(F.sum(value).alias("_pf_tot"))
+    w_small = (Window.partitionBy(*groups).orderBy(BUCKET) if groups else Window.orderBy(BUCKET))
+    offsets = totals.withColumn(
+        "_pf_off", F.coalesce(F.sum("_pf_tot").over(w_small.rowsBetween(Window.unboundedPreceding, -1)),
+                              F.lit(0))).drop("_pf_tot")
+    joined = bucketed.join(F.broadcast(offsets), on=[*(partition_by or []), BUCKET], how="inner")
+    w = Window.partitionBy(*groups, BUCKET).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    return (joined.withColumn(out, F.col("_pf_off") + F.coalesce(F.sum(value).over(w), F.lit(0)))
+            .drop("_pf_off", BUCKET, BUCKET_KEY))

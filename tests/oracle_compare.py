@@ -30,11 +30,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None      # a null in a pandas numeric column (Spark and DuckDB differ there)
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
         return float(f"{v:.9g}")
