@@ -33,6 +33,11 @@ def md5_order_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+# an md5 prefix of 12 hex digits is spread evenly over [0, 16^12)
+MD5_KEY_RANGE = (0.0, float(16 ** 12))
+MD5_BUCKETS = 65_536
+
+
 def md5_bucket_key(hex_col) -> Column:
     """Monotone numeric image of an md5 hex text (first 12 hex digits, exact in a double)."""
     h = F.col(hex_col) if isinstance(hex_col, str) else hex_col
@@ -40,8 +45,15 @@ def md5_bucket_key(hex_col) -> Column:
 
 
 def _bucketise(df: DataFrame, key: Column, rows_per_bucket: int, max_buckets: int,
-               sample_rows_per_bucket: int = 64, n_rows: int | None = None) -> DataFrame:
+               sample_rows_per_bucket: int = 64, n_rows: int | None = None,
+               uniform_range: tuple[float, float] | None = None) -> DataFrame:
     keyed = df.withColumn(BUCKET_KEY, F.coalesce(key.cast("double"), F.lit(float("-inf"))))
+    if uniform_range is not None:
+        # key known to be spread evenly over [lo, hi) (a hash): arithmetic bounds, no count,
+        # no sample; ``max_buckets`` equal-width buckets
+        lo, hi = uniform_range
+        b = F.floor((F.col(BUCKET_KEY) - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(max_buckets))
+        return keyed.withColumn(BUCKET, F.least(F.greatest(b, F.lit(0)), F.lit(max_buckets - 1)).cast("double"))
     n = keyed.count() if n_rows is None else n_rows
     n_buckets = int(min(max_buckets, max(1, math.ceil(n / max(1, rows_per_bucket)))))
     if n_buckets <= 1:
@@ -61,12 +73,14 @@ def _bucketise(df: DataFrame, key: Column, rows_per_bucket: int, max_buckets: in
 def dense_index(df: DataFrame, order_by: list, bucket_key: Column | None = None,
                 out: str = "idx", total: str | None = None, partition_by: list | None = None,
                 rows_per_bucket: int = 2_000_000, max_buckets: int = 200_000,
-                n_rows: int | None = None) -> DataFrame:
+                n_rows: int | None = None, uniform_range: tuple[float, float] | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row in ``order_by`` order.
 
     ``bucket_key`` must be numeric and non-decreasing in the order (defaults to
     the first order column).  ``order_by`` must be a total order (end it with a
     unique key).  ``total`` optionally adds the row count as a column.
+    ``uniform_range`` = (lo, hi) declares the bucket key evenly spread (an md5
+    prefix): then buckets are equal-width slices and no count / sample job runs.
     ``partition_by`` numbers rows independently per group (e.g. per split);
     then the bucket key must be monotone within each group.
     """
@@ -74,7 +88,7 @@ def dense_index(df: DataFrame, order_by: list, bucket_key: Column | None = None,
     key = bucket_key if bucket_key is not None else order_cols[0]
     groups = [F.col(c) if isinstance(c, str) else c for c in (partition_by or [])]
     group_names = [c for c in (partition_by or []) if isinstance(c, str)]
-    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets, n_rows=n_rows)
+    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets, n_rows=n_rows, uniform_range=uniform_range)
     counts = bucketed.groupBy(*groups, BUCKET).agg(F.count(F.lit(1)).alias("_pf_cnt"))
     # running offsets over the (small) bucket table; its size is <= max_buckets per group
     w_small = (Window.partitionBy(*groups).orderBy(BUCKET) if groups else Window.orderBy(BUCKET))
@@ -104,6 +118,8 @@ def seeded_split(df: DataFrame, uid: str, fractions: tuple[float, ...] = (0.1,),
     if len(names) != len(fractions) + 1:
         raise ValueError("need one more name than fractions")
     ordered = df.withColumn("_pf_h", md5_order_key(seed, uid))
+    kw.setdefault("uniform_range", MD5_KEY_RANGE)
+    kw.setdefault("max_buckets", MD5_BUCKETS)
     idx = dense_index(ordered, ["_pf_h", uid], bucket_key=md5_bucket_key("_pf_h"),
                       out="_pf_r", total="_pf_n", **kw)
     # sizes: n_last = ceil(n*f0); rest shrinks by each cut
@@ -149,6 +165,8 @@ def assign_batches(df: DataFrame, order_by: list, batch_size: int,
 def shuffled_batches(df: DataFrame, uid: str, batch_size: int, seed: int = 0, **kw) -> DataFrame:
     """W3 for training: one fixed seeded permutation (md5 order), contiguous batches."""
     ordered = df.withColumn("_pf_h", md5_order_key(seed, uid))
+    kw.setdefault("uniform_range", MD5_KEY_RANGE)
+    kw.setdefault("max_buckets", MD5_BUCKETS)
     return assign_batches(ordered, ["_pf_h", uid], batch_size,
                           bucket_key=md5_bucket_key("_pf_h"), **kw).drop("_pf_h")
 

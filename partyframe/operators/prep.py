@@ -145,3 +145,35 @@ def minmax(col, lo: float, hi: float) -> Column:
     if hi != lo:
         return (x - F.lit(float(lo))) / F.lit(float(hi - lo))
     return x - F.lit(float(lo))
+
+
+# ------------------------------------------------------------------ one-pass fit (A1 + A2 together)
+
+def fit_table(df: DataFrame, ranges: list | None = None, categories: list[str] | None = None,
+              max_categories: int = 10_000, null_token: str = NULL_TOKEN) -> dict:
+    """Fit min / max (NaN ignored) and sorted category lists of one table in ONE aggregation.
+
+    Category sets are partial (map-side) aggregates, so each task holds only the
+    distinct values of its split; a column with more than ``max_categories``
+    values is rejected (it is not a one-hot column).  Returns
+    ``{"ranges": {col: (lo, hi)}, "categories": {col: [values]}}``.
+    """
+    ranges = ranges or []
+    categories = categories or []
+    named = {(c if isinstance(c, str) else c[0]): (_c(c) if isinstance(c, str) else c[1]) for c in ranges}
+    aggs = []
+    for name, expr in named.items():
+        x = expr.cast("double")
+        clean = F.when(~F.isnan(x), x)
+        aggs += [F.min(clean).alias(f"{name}__lo"), F.max(clean).alias(f"{name}__hi")]
+    for c in categories:
+        v = F.coalesce(F.col(c).cast("string"), F.lit(null_token))
+        aggs.append(F.sort_array(F.collect_set(v)).alias(f"{c}__cats"))
+    row = df.agg(*aggs).first()
+    cats = {}
+    for c in categories:
+        vals = list(row[f"{c}__cats"] or [])
+        if len(vals) > max_categories:
+            raise ValueError(f"column {c} has more than {max_categories} categories; not a one-hot column")
+        cats[c] = vals
+    return {"ranges": {n: (row[f"{n}__lo"], row[f"{n}__hi"]) for n in named}, "categories": cats}

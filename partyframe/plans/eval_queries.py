@@ -16,6 +16,7 @@ from partyframe.plans.inputs import sql_bytes, sql_ceil_log2
 from partyframe.plans.model_queries import (BATCH, DIM, LAMBDA, SQL_BCE, SQL_POS_WEIGHT, fit_pos_weight,
                                             params_binary, params_class, scored, sql_scored)
 from partyframe.plans.registry import register
+from partyframe.plans.star import aligned, build_star
 from partyframe.sources.tables import read_table
 
 # fixed values: test-query parameters
@@ -127,10 +128,10 @@ def early_stop_q(spark, sf_dir):
 
 # ------------------------------------------------------------------ A9, A10, E3, U2, S8
 
-def party_run_counts(spark, sf_dir):
+def party_run_counts(spark, sf_dir, star=None):
     """(party, batch_id, samples, dims, nnz, heads, tails): column-major runs of every party's
     ReLU embedding per training batch; one shuffle on (party, batch)."""
-    sc = scored(spark, sf_dir, params_binary(), batches=True)
+    sc = scored(spark, sf_dir, params_binary(), batches=True, star=star)
     parts = F.array(*[F.struct(F.lit(p).alias("party"), F.col(f"e{p}").alias("e")) for p in PARTIES])
     cells = sc.select("batch_id", "row_in_batch", "batch_rows", F.explode(parts).alias("pe")).select(
         "batch_id", "row_in_batch", "batch_rows", F.col("pe.party").alias("party"), F.col("pe.e").alias("e"))
@@ -226,17 +227,21 @@ def run_log_q(spark, sf_dir):
     """One run record per codec of the sparse grid (bytes per party and direction
     as columns, from one pass over the party embeddings), unioned by name with the one-shot grid
     (whole splits sent once, no replies), whose records lack the sparse-only columns."""
-    counts = party_run_counts(spark, sf_dir)
+    star = build_star(spark, sf_dir)
+    counts = party_run_counts(spark, sf_dir, star)
     sizes = codec.codec_sizes(counts, codecs=RUN_CODECS, k=GRID_K).withColumn(
         "direction", F.when(F.col("direction") == "emb", F.lit("send")).otherwise(F.lit("receive")))
     sparse = evaluate.run_record(sizes.withColumn("run_id", F.concat(F.lit("svfl_"), F.col("codec"))),
                                  ["run_id", "codec"], list(PARTIES))
     sparse = (sparse.withColumn("batch_size", F.lit(BATCH)).withColumn("interface_dims", F.lit(DIM))
               .withColumn("top_k", F.lit(GRID_K)).withColumn("sparse_embed_lambda", F.lit(LAMBDA)))
-    # one-shot runs: every split is sent once as a dense (rows x dims) matrix
-    al = scored(spark, sf_dir, params_binary()).select("uid")
-    ns = seeded_split(al, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n"))
+    # one-shot runs: every split is sent once as a dense (rows x dims) matrix; split sizes
+    # follow from the row count alone (same cuts as seeded_split)
+    n = F.col("n_all").cast("double")
+    te = F.ceil(n * 0.1)
+    va = F.ceil((n - te) * 0.1)
+    ns = aligned(star).agg(F.count(F.lit(1)).alias("n_all")).select(
+        F.explode(F.array((n - te - va).cast("long"), va.cast("long"), te.cast("long"))).alias("n"))
     bits = {"org": 32, "q16": 16, "q8": 8, "q4": 4}
     grid = F.array(*[F.struct(F.lit(c).alias("codec"), F.lit(bits[c]).alias("bits"), F.lit(p).alias("party"))
                      for c in ONESHOT_CODECS for p in PARTIES])
@@ -265,8 +270,9 @@ UNION ALL SELECT 'star_relu', 'reg/tr_embed_sparsity', batch_id, round(sparsity,
 """)
 def metric_log_q(spark, sf_dir):
     """Per-step metric rows (run_id, tag, step, value) from one pass over the training batches."""
-    pw = fit_pos_weight(spark, sf_dir)
-    sc = scored(spark, sf_dir, params_binary(), batches=True)
+    star = build_star(spark, sf_dir)
+    pw = fit_pos_weight(spark, sf_dir, star)
+    sc = scored(spark, sf_dir, params_binary(), batches=True, star=star)
     zero = sum((F.size(F.filter(f"e{q}", lambda v: F.abs(v) <= 0)) for q in range(3)), F.lit(0))
     b = sc.groupBy("batch_id").agg(
         F.avg(model.bce_row(F.col("z")[0], F.col("y"), pw)).alias("loss"),

@@ -28,19 +28,19 @@ def params_class():
     return model.rule_params(list(WIDTHS), DIM, N_CLASSES)
 
 
-def scored(spark, sf_dir, params, act="relu", batches=False, keep_pre=False):
-    al = aligned(build_star(spark, sf_dir))
+def scored(spark, sf_dir, params, act="relu", batches=False, keep_pre=False, star=None):
+    al = aligned(star or build_star(spark, sf_dir))
     if batches:
         al = shuffled_batches(al, "uid", BATCH, seed=SEED)
     return model.head(model.embed(al, params, list(WIDTHS), act, keep_pre=keep_pre), params)
 
 
-def fit_pos_weight(spark, sf_dir) -> float:
-    return align.pos_weight(build_star(spark, sf_dir).labels).first()["pos_weight"]
+def fit_pos_weight(spark, sf_dir, star=None) -> float:
+    return align.pos_weight((star or build_star(spark, sf_dir)).labels).first()["pos_weight"]
 
 
-def fit_class_weights(spark, sf_dir) -> list[float]:
-    rows = align.class_weight(build_star(spark, sf_dir).labels, "cls").limit(1000).collect()
+def fit_class_weights(spark, sf_dir, star=None) -> list[float]:
+    rows = align.class_weight((star or build_star(spark, sf_dir)).labels, "cls").limit(1000).collect()
     w = [0.0] * N_CLASSES
     for r in rows:
         w[r["cls"]] = r["weight"]
@@ -179,8 +179,9 @@ SELECT batch_id::BIGINT AS batch_id, round(avg({SQL_BCE}), 6) AS loss FROM sc, p
 """)
 def loss_binary(spark, sf_dir):
     """M7: positive-weighted BCE, mean over the rows of each batch."""
-    pw = fit_pos_weight(spark, sf_dir)
-    sc = scored(spark, sf_dir, params_binary(), batches=True)
+    star = build_star(spark, sf_dir)
+    pw = fit_pos_weight(spark, sf_dir, star)
+    sc = scored(spark, sf_dir, params_binary(), batches=True, star=star)
     return sc.groupBy("batch_id").agg(round6(F.avg(model.bce_row(F.col("z")[0], F.col("y"), pw))).alias("loss"))
 
 
@@ -194,8 +195,9 @@ FROM sc JOIN cw USING (cls) GROUP BY batch_id
 """)
 def loss_class(spark, sf_dir):
     """M8: class-weighted cross entropy; divisor = sum of the batch's weights."""
-    cw = fit_class_weights(spark, sf_dir)
-    sc = scored(spark, sf_dir, params_class(), batches=True)
+    star = build_star(spark, sf_dir)
+    cw = fit_class_weights(spark, sf_dir, star)
+    sc = scored(spark, sf_dir, params_class(), batches=True, star=star)
     w = model.class_weight_of(F.col("cls"), cw)
     nll = model.nll_row("z", N_CLASSES, F.col("cls"))
     return sc.groupBy("batch_id").agg(round6(F.sum(w * nll) / F.sum(w)).alias("loss"))
@@ -241,8 +243,9 @@ SELECT count(*)::BIGINT AS batches, round(avg(loss), 6) AS loss, round(avg(loss
 """)
 def epoch_loss(spark, sf_dir):
     """Unweighted mean of batch means (a short last batch counts fully); train loss adds the penalty."""
-    pw = fit_pos_weight(spark, sf_dir)
-    sc = scored(spark, sf_dir, params_binary(), batches=True)
+    star = build_star(spark, sf_dir)
+    pw = fit_pos_weight(spark, sf_dir, star)
+    sc = scored(spark, sf_dir, params_binary(), batches=True, star=star)
     bl = sc.groupBy("batch_id").agg(
         F.avg(model.bce_row(F.col("z")[0], F.col("y"), pw)).alias("loss"),
         F.avg(model.penalty_rows([DIM] * 3, 1, LAMBDA)).alias("pen"))
@@ -254,8 +257,9 @@ def epoch_loss(spark, sf_dir):
 
 def _grad_frame(spark, sf_dir):
     params = params_binary()
-    pw = fit_pos_weight(spark, sf_dir)
-    sc = scored(spark, sf_dir, params, batches=True, keep_pre=True)
+    star = build_star(spark, sf_dir)
+    pw = fit_pos_weight(spark, sf_dir, star)
+    sc = scored(spark, sf_dir, params, batches=True, keep_pre=True, star=star)
     g = model.grad_z_binary(sc, pw)
     return model.grad_embeddings(g, params, penalty_p=1, lam=LAMBDA), params
 

@@ -12,6 +12,7 @@ reference).  Each fit is one aggregation returning a small checked value.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,29 +36,36 @@ def build_star(spark: SparkSession, sf_dir: str) -> Star:
     customer = read_table(spark, sf_dir, "customer")
     lineitem = read_table(spark, sf_dir, "lineitem")
 
-    # party 0
-    cats0 = prep.fit_categories(orders, ["o_orderpriority"])["o_orderpriority"]
-    lo0, hi0 = prep.fit_ranges(orders, ["o_totalprice"])["o_totalprice"]
-    p0 = align.party_features(orders, "o_orderkey", [
-        F.array(prep.minmax("o_totalprice", lo0, hi0)), prep.onehot("o_orderpriority", cats0)])
-
-    # party 1: the customer columns of each order
+    # party 1 rows: the customer columns of each order
     p1_rows = orders.select("o_orderkey", "o_custkey").join(
         customer.select("c_custkey", "c_acctbal", "c_mktsegment"),
         F.col("o_custkey") == F.col("c_custkey"), "inner")
-    cats1 = prep.fit_categories(p1_rows, ["c_mktsegment"])["c_mktsegment"]
-    lo1, hi1 = prep.fit_ranges(p1_rows, ["c_acctbal"])["c_acctbal"]
-    p1 = align.party_features(p1_rows, "o_orderkey", [
-        F.array(prep.minmax("c_acctbal", lo1, hi1)), prep.onehot("c_mktsegment", cats1)])
-
-    # party 2: line items aggregated per order (partial aggregation before the shuffle)
+    # party 2 rows: line items aggregated per order (partial aggregation before the shuffle)
     li = lineitem.groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"),
         F.max("l_linenumber").cast("double").alias("maxline"))
-    r2 = prep.fit_ranges(li, ["qty", "disc", "maxline"])
+
+    # one aggregation per table; the three independent fit jobs run concurrently
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        f0 = pool.submit(prep.fit_table, orders, ["o_totalprice"], ["o_orderpriority", "o_orderstatus"])
+        f1 = pool.submit(prep.fit_table, p1_rows, ["c_acctbal"], ["c_mktsegment"])
+        f2 = pool.submit(prep.fit_table, li, ["qty", "disc", "maxline"], [])
+        fit0, fit1, fit2 = f0.result(), f1.result(), f2.result()
+
+    cats0 = fit0["categories"]["o_orderpriority"]
+    lo0, hi0 = fit0["ranges"]["o_totalprice"]
+    p0 = align.party_features(orders, "o_orderkey", [
+        F.array(prep.minmax("o_totalprice", lo0, hi0)), prep.onehot("o_orderpriority", cats0)])
+
+    cats1 = fit1["categories"]["c_mktsegment"]
+    lo1, hi1 = fit1["ranges"]["c_acctbal"]
+    p1 = align.party_features(p1_rows, "o_orderkey", [
+        F.array(prep.minmax("c_acctbal", lo1, hi1)), prep.onehot("c_mktsegment", cats1)])
+
+    r2 = fit2["ranges"]
     p2 = align.party_features(li, "l_orderkey", [F.array(*[prep.minmax(c, *r2[c]) for c in ("qty", "disc", "maxline")])])
 
-    status = prep.fit_categories(orders, ["o_orderstatus"])["o_orderstatus"]
+    status = fit0["categories"]["o_orderstatus"]
     labels = orders.select(
         F.col("o_orderkey").alias("uid"),
         (F.col("o_orderstatus") == F.lit("F")).cast("int").alias("y"),
