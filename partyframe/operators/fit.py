@@ -343,11 +343,15 @@ def joint_batch(pdf: pd.DataFrame, P: dict, cfg: JointConfig, flat: Flat) -> np.
             G[f"party{p}.W"] = X[p].T @ dpre
             G[f"party{p}.b"] = dpre.sum(axis=0)
         codec_name = cfg.codec or "org"
-        nnz, hh, tt = run_stats(e)
-        stats[f"send_bytes_{p}"] = math.ceil(message_bits_np(codec_name, "emb", S, d, nnz, hh, tt, cfg.top_k) / 8)
-        stats[f"receive_bytes_{p}"] = (0 if cfg.fixed_parties else
-                                       math.ceil(message_bits_np(codec_name, "grad", S, d, nnz, hh, tt,
-                                                                 cfg.top_k) / 8))
+        if cfg.fixed_parties:
+            # one-shot codes were sent once before training; nothing travels per epoch
+            stats[f"send_bytes_{p}"] = stats[f"receive_bytes_{p}"] = 0
+        else:
+            nnz, hh, tt = run_stats(e)
+            stats[f"send_bytes_{p}"] = math.ceil(
+                message_bits_np(codec_name, "emb", S, d, nnz, hh, tt, cfg.top_k) / 8)
+            stats[f"receive_bytes_{p}"] = math.ceil(
+                message_bits_np(codec_name, "grad", S, d, nnz, hh, tt, cfg.top_k) / 8)
     stats["penalty"] = penalty
     stats["embed_zero"] = int(sum((np.abs(e) <= cfg.eps).sum() for e in E))
     stats["grad_zero"] = grad_zero
@@ -385,15 +389,24 @@ def prepare_batches(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(n, "batch_id").cache()
 
 
-def batch_vectors(batched: DataFrame, fn, size: int) -> np.ndarray:
-    """Sum of ``fn(batch pandas frame) -> vector`` over all batches, reduced by Spark."""
+def batch_vector_frame(batched: DataFrame, fn) -> DataFrame:
+    """``(k, v)``: sum over all batches of ``fn(batch pandas frame) -> vector``.
+
+    One group per batch (bounded by the batch size); the per-batch vectors are
+    model-sized, and their sum is a partial aggregation on ``k``.
+    """
 
     def per_batch(pdf: pd.DataFrame) -> pd.DataFrame:
         vec = fn(pdf)
         return pd.DataFrame({"k": np.arange(len(vec), dtype=np.int32), "v": vec})
 
-    rows = (batched.groupBy("batch_id").applyInPandas(per_batch, GRAD_SCHEMA)
-            .groupBy("k").agg(F.sum("v").alias("v")).collect())
+    return (batched.groupBy("batch_id").applyInPandas(per_batch, GRAD_SCHEMA)
+            .groupBy("k").agg(F.sum("v").alias("v")))
+
+
+def batch_vectors(batched: DataFrame, fn, size: int) -> np.ndarray:
+    """:func:`batch_vector_frame` brought to the driver as one model-sized vector."""
+    rows = batch_vector_frame(batched, fn).collect()
     out = np.zeros(size)
     for r in rows:
         out[r["k"]] = r["v"]
@@ -479,7 +492,8 @@ def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConf
         send = sum(st[f"send_bytes_{p}"] for p in range(cfg.n_parties))
         recv = sum(st[f"receive_bytes_{p}"] for p in range(cfg.n_parties))
         metrics += [("stat_size/epoch_size_all", epoch, float(send + recv)),
-                    ("stat_count/epoch_count_all", epoch, float(2 * nb * cfg.n_parties)),
+                    ("stat_count/epoch_count_all", epoch,
+                     0.0 if cfg.fixed_parties else float(2 * nb * cfg.n_parties)),
                     ("time/epoch_seconds", epoch, time.time() - t0)]
         for k in totals:
             totals[k] += st[k]

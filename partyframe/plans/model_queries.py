@@ -314,19 +314,29 @@ def _weight_grad_sql() -> str:
 
 @register("weight_gradient", _weight_grad_sql())
 def weight_gradient(spark, sf_dir):
-    """Gradient of every parameter summed over one epoch of batch-mean losses, in ONE aggregation.
+    """Gradient of every parameter summed over one epoch of batch-mean losses (+ L1 penalty).
 
-    The aggregate row (model-sized) is unpivoted on the executors into (layer, r, c, grad).
+    One ``applyInPandas`` group per batch runs the numpy forward / backward pass
+    and returns a model-sized vector; Spark sums the vectors on ``k`` and a
+    model-sized names table (broadcast) labels them.
     """
-    g, params = _grad_frame(spark, sf_dir)
-    aggs = model.weight_gradient_sums(g, params, list(WIDTHS))
-    row = g.agg(*aggs)
-    names = [n for n, arr in params.flat() for n in _cells(n, arr)]
-    entries = [F.struct(F.lit(layer).alias("layer"), F.lit(r).alias("r"), F.lit(c).alias("c"),
-                        round_to(F.col(f"`{layer}.{r}.{c}`" if arr_is2 else f"`{layer}.{r}`"), 9).alias("grad"))
-               for layer, r, c, arr_is2 in names]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select(
-        "e.layer", F.col("e.r").cast("int").alias("r"), F.col("e.c").cast("int").alias("c"), "e.grad")
+    from partyframe.operators import fit
+    star = build_star(spark, sf_dir)
+    pw = fit_pos_weight(spark, sf_dir, star)
+    params = params_binary()
+    P = dict(params.flat())
+    flat = fit.Flat(P)
+    cfg = fit.JointConfig(in_sizes=list(WIDTHS), dims=[DIM] * 3, n_out=1, act="relu", codec=None,
+                          lam=LAMBDA, penalty_p=1, pos_weight=pw)
+    batched = shuffled_batches(aligned(star), "uid", BATCH, seed=SEED)
+    sums = fit.batch_vector_frame(batched, lambda pdf: fit.joint_batch(pdf, P, cfg, flat))
+    names, k = [], 0
+    for layer, arr in params.flat():
+        for layer_, r, c, _ in _cells(layer, arr):
+            names.append((k, layer_, r, c))
+            k += 1
+    labels = spark.createDataFrame(names, "k int, layer string, r int, c int")
+    return sums.join(F.broadcast(labels), "k").select("layer", "r", "c", round_to("v", 9).alias("grad"))
 
 
 def _cells(name, arr):
