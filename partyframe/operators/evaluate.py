@@ -24,17 +24,22 @@ def _c(x) -> Column:
 
 # ------------------------------------------------------------------ E1
 
-def auc(df: DataFrame, score: str, label: str, by: tuple = (), out: str = "auc") -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, by: tuple = (), out: str = "auc",
+        score_range: tuple[float, float] | None = None) -> DataFrame:
     """Exact ROC AUC per group: ``sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)``.
 
     Equal scores count one half, as the rank-sum formula with mid-ranks does.
     A group with only one class gets null (the metric is undefined there).
+    ``score_range`` (e.g. (0, 1) for probabilities) lets the running sum use
+    65,536 equal-width buckets instead of a quantile pass; exactness does not
+    depend on it, only the balance of the per-bucket sorts.
     """
     by = list(by)
     y = F.col(label).cast("long")
     per = df.groupBy(*by, F.col(score).cast("double").alias("_pf_s")).agg(
         F.sum(y).alias("_pf_pos"), F.sum(F.lit(1) - y).alias("_pf_neg"))
-    ranked = running_sum(per, ["_pf_s"], "_pf_neg", out="_pf_below", partition_by=by)
+    kw = dict(uniform_range=score_range, max_buckets=65_536) if score_range else {}
+    ranked = running_sum(per, ["_pf_s"], "_pf_neg", out="_pf_below", partition_by=by, **kw)
     contrib = F.col("_pf_pos") * (F.col("_pf_below") + F.col("_pf_neg") / F.lit(2.0))
     g = ranked.groupBy(*by).agg(F.sum(contrib).alias("_pf_c"), F.sum("_pf_pos").alias("n_pos"),
                                 F.sum("_pf_neg").alias("n_neg"))

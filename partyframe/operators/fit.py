@@ -427,7 +427,7 @@ def evaluate_scores(scores: DataFrame, cfg: JointConfig) -> dict:
                      F.sum("embed_zero").alias("zero"), F.countDistinct("batch_id").alias("nb")).first()
     n_batches = agg["nb"] or 1
     if cfg.n_out == 1:
-        s = auc(scores, "score", "truth").first()["auc"]
+        s = auc(scores, "score", "truth", score_range=(0.0, 1.0)).first()["auc"]
     else:
         s = macro_f1(scores, "truth", "pred").first()["macro_f1"]
     rows = agg["rows"] or 0

@@ -173,7 +173,8 @@ def shuffled_batches(df: DataFrame, uid: str, batch_size: int, seed: int = 0, **
 
 def running_sum(df: DataFrame, order_by: list, value: str, out: str = "below",
                 bucket_key: Column | None = None, partition_by: list | None = None,
-                rows_per_bucket: int = 2_000_000, max_buckets: int = 200_000) -> DataFrame:
+                rows_per_bucket: int = 2_000_000, max_buckets: int = 200_000,
+                uniform_range: tuple[float, float] | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` in ``order_by`` order (sum over all earlier rows).
 
     Same bucket scheme as :func:`dense_index`: per-bucket totals (a table of at
@@ -183,7 +184,7 @@ def running_sum(df: DataFrame, order_by: list, value: str, out: str = "below",
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     key = bucket_key if bucket_key is not None else order_cols[0]
     groups = [F.col(c) for c in (partition_by or [])]
-    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets)
+    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets, uniform_range=uniform_range)
     totals = bucketed.groupBy(*groups, BUCKET).agg(F.sum(value).alias("_pf_tot"))
     w_small = (Window.partitionBy(*groups).orderBy(BUCKET) if groups else Window.orderBy(BUCKET))
     offsets = totals.withColumn(

@@ -17,6 +17,7 @@ from partyframe.plans.model_queries import (BATCH, DIM, LAMBDA, SQL_BCE, SQL_POS
                                             params_binary, params_class, scored, sql_scored)
 from partyframe.plans.registry import register
 from partyframe.plans.star import aligned, build_star
+from partyframe.session import cut_lineage
 from partyframe.sources.tables import read_table
 
 # fixed values: test-query parameters
@@ -29,9 +30,12 @@ ONESHOT_CODECS = ("org", "q16", "q8", "q4")
 
 # ------------------------------------------------------------------ shared frames
 
-def scored_split(spark, sf_dir, params, batches=False):
-    sc = scored(spark, sf_dir, params, batches=batches)
-    return seeded_split(sc, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED)
+def scored_split(spark, sf_dir, params, cols=("uid", "y", "cls", "z")):
+    """Scored star rows with their split, written once to the checkpoint folder: the split's
+    index and the metric's running sum each read their input twice, and re-running the
+    three-table join and the scoring for every read costs more than one write."""
+    sc = scored(spark, sf_dir, params).select(*cols)
+    return cut_lineage(seeded_split(sc, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED))
 
 
 def _sql_split(src: str) -> str:
@@ -58,7 +62,7 @@ def auc_q(spark, sf_dir):
     """Exact ROC AUC (ties count one half) of the binary head, per split."""
     s = scored_split(spark, sf_dir, params_binary()).select(
         "split", "y", model.predict_binary(F.col("z")[0]).alias("p"))
-    a = evaluate.auc(s, "p", "y", by=("split",))
+    a = evaluate.auc(s, "p", "y", by=("split",), score_range=(0.0, 1.0))
     return a.select("split", "n_pos", "n_neg", round6("auc").alias("auc"))
 
 
