@@ -308,3 +308,63 @@ def sparsity(df: DataFrame, vec_col: str, eps_grid=(0.0,), by=()) -> DataFrame:
             .select(*by, "_pf_e.eps", F.col("_pf_e.sparse_cells").cast("long").alias("sparse_cells"),
                     F.col("_cells").cast("long").alias("cells"))
             .withColumn("sparsity", F.col("sparse_cells") / F.col("cells")))
+
+
+# --------------------------------------------------------------------------- dispatch
+
+DENSE_WIDTH = {"org": 32, "int": 32, "q16": 16, "q8": 8, "q4": 4}
+
+
+def encode(mat: DataFrame, codec: str, direction: str = "emb", k: int = 1024, flat: str = "flat",
+           emb_flat: str | None = None) -> DataFrame:
+    """Encode a batch matrix with the named codec.
+
+    Embeddings: org / int pass through, q16 rounds to fp16, q8 / q4 quantise
+    with the batch maximum, and svfl / topk (fp32) or svfl16 / topk16 (fp16)
+    send run-length messages.  Gradients: top-k keeps k cells, svfl sends
+    only the values at the embedding's non-zero positions (``emb_flat``),
+    q8 / q4 quantise between the batch minimum and maximum.
+    """
+    f = F.col(flat)
+    if codec in ("org", "int"):
+        return mat.withColumn("vals", f.cast("array<float>")).drop(flat)
+    if codec == "q16":
+        return mat.withColumn("vals", fp16_flat(f).cast("array<float>")).drop(flat)
+    if codec in ("q8", "q4"):
+        levels = 256 if codec == "q8" else 16
+        return q_embed_encode(mat, levels, flat) if direction == "emb" else q_grad_encode(mat, levels, flat)
+    half = codec.endswith("16")
+    if direction == "emb":
+        return rle_encode(mat, flat, half=half)
+    if codec.startswith("topk"):
+        return topk_encode(mat, k, flat, half=half)
+    if emb_flat is None:
+        raise ValueError("svfl gradients need the embedding's flat matrix (emb_flat) for their mask")
+    vals = masked_values(f, F.col(emb_flat))
+    if half:
+        vals = F.transform(vals, lambda v: fp16_round(v))
+    return mat.withColumn("vals", vals.cast("array<float>")).drop(flat)
+
+
+def decode(msgs: DataFrame, codec: str, keys: list[str], direction: str = "emb", axis: int = 1) -> DataFrame:
+    """Decode messages of one codec back to rows ``(keys, row_in_batch, decoded ARRAY<FLOAT>)``.
+
+    Dense codecs decode with array expressions and are cut back into rows;
+    run-length and top-k messages are scattered by the numpy helper of
+    :func:`decode_to_rows` (one message = one bounded batch).
+    """
+    if codec in DENSE_WIDTH:
+        if codec in ("q8", "q4"):
+            levels = 256 if codec == "q8" else 16
+            m = q_embed_decode(msgs, levels) if direction == "emb" else q_grad_decode(msgs, levels)
+        else:
+            m = msgs.withColumn("decoded", F.col("vals"))
+        s, d = F.col("samples"), F.col("dims")
+        rows = F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.struct(
+            i.alias("row_in_batch"),
+            F.transform(F.sequence(F.lit(0), d - 1),
+                        lambda j: F.get(F.col("decoded"), position(i, j, s, d, axis)).cast("float"))
+            .alias("decoded")))
+        return m.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.row_in_batch", "r.decoded")
+    kind = "topk" if (codec.startswith("topk") and direction == "grad") else "rle"
+    return decode_to_rows(msgs, keys, kind=kind, axis=axis)

@@ -359,3 +359,42 @@ def sparsity_q(spark, sf_dir):
     b = embedding_batches(spark, sf_dir)
     return codec.sparsity(b, "e", EPS_GRID, by=("label",)).withColumn(
         "eps", F.col("eps").cast("double"))
+
+
+# ---------------------------------------------------------------- every codec through the dispatch
+
+def _roundtrip_all_sql() -> str:
+    parts = []
+    for c in codec.CODECS:
+        if c in ("q8", "q4"):
+            mult, top = ("255.0", 255) if c == "q8" else ("16.0", 15)
+            dec = (f"(CASE WHEN scale > 0 THEN least(greatest(floor(v::DOUBLE / scale * {mult}), 0), {top}) "
+                   f"* scale / {mult} ELSE 0 END)::FLOAT::DOUBLE")
+        elif c in ("q16", "svfl16", "topk16"):
+            dec = f"({sql_fp16('v')})::FLOAT::DOUBLE"
+        else:
+            dec = "v::DOUBLE"
+        parts.append(f"SELECT '{c}' AS codec, batch_id, count(*)::BIGINT AS cells, "
+                     f"round(max(abs({dec} - v::DOUBLE)), 6) AS max_err, round(sum({dec}), 6) AS sum_decoded "
+                     f"FROM sc GROUP BY batch_id")
+    return (f"WITH {SQL_EMB_BATCHES},\nsc AS (SELECT *, max(v::DOUBLE) OVER (PARTITION BY batch_id) AS scale FROM cells)\n"
+            + "\nUNION ALL\n".join(parts))
+
+
+@register("codec_roundtrip", _roundtrip_all_sql())
+def codec_roundtrip(spark, sf_dir):
+    """Every codec's encode -> decode of the ReLU embedding batches through the dispatch,
+    compared with the input rows: cells, largest error and sum of the decoded values."""
+    b = embedding_batches(spark, sf_dir)
+    mat = codec.batch_matrix(b, "e", keys=("batch_id",))
+    decoded = None
+    for c in codec.CODECS:
+        d = codec.decode(codec.encode(mat, c, "emb"), c, ["batch_id"]).withColumn("codec", F.lit(c))
+        decoded = d if decoded is None else decoded.unionByName(d)
+    j = decoded.join(b.select("batch_id", "row_in_batch", "e"), ["batch_id", "row_in_batch"])
+    err = F.array_max(F.transform(F.arrays_zip("decoded", "e"),
+                                  lambda z: F.abs(z["decoded"].cast("double") - z["e"].cast("double"))))
+    return j.groupBy("codec", "batch_id").agg(
+        F.sum(F.size("e")).cast("long").alias("cells"),
+        round6(F.max(err)).alias("max_err"),
+        round6(F.sum(F.aggregate("decoded", F.lit(0.0), lambda a, v: a + v.cast("double")))).alias("sum_decoded"))
