@@ -445,12 +445,15 @@ class FitResult:
 
 def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConfig, epochs: int = 5,
               lr: float = 1e-2, party_optimizer: str = "adam", seed: int = 0, patience: int | None = None,
-              params: dict | None = None) -> FitResult:
-    """Epochs of full-pass steps, validation after each, best snapshot (W7), optional
+              params: dict | None = None, step: str = "epoch", snapshot=None) -> FitResult:
+    """Epochs of steps, validation after each, best snapshot (W7), optional
     early stop (W8), test scoring with the best snapshot.
 
     ``tr`` / ``va`` / ``te`` carry ``uid, x0.., y | cls, batch_id`` and should come from
-    :func:`prepare_batches`.
+    :func:`prepare_batches`.  ``step="epoch"`` (default) makes one update per epoch from the
+    gradient of the epoch loss - one Spark job; ``step="batch"`` makes one update per batch in
+    batch order, as the reference does - one Spark job per batch, meant for few batches.
+    ``snapshot(params, epoch)`` is called whenever the validation score improves (S10).
     """
     P = params or joint_params(cfg, seed)
     flat = Flat(P)
@@ -462,25 +465,42 @@ def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConf
     metrics: list[tuple[str, int, float]] = []
     best, best_epoch, best_P, waiting = -1.0, -1, P, 0
     totals = {n: 0.0 for n in names if n.endswith(tuple(f"_{p}" for p in range(cfg.n_parties)))}
+    batch_ids = None
     for epoch in range(epochs):
         t0 = time.time()
-        vec = batch_vectors(tr, lambda pdf, P=P: joint_batch(pdf, P, cfg, flat), flat.size + len(names))
-        g = flat.unpack(vec[:flat.size])
-        st = dict(zip(names, vec[flat.size:]))
-        nb = max(1.0, st["batches"])
-        # step on the epoch loss = mean of batch-mean losses
-        for keys, opt in ((head_keys, head_opt), (party_keys, party_opt)):
-            if not keys:
-                continue
-            theta = np.concatenate([P[k].ravel() for k in keys])
-            grad = np.concatenate([g[k].ravel() for k in keys]) / nb
-            new = opt.step(theta, grad)
-            o = 0
-            P = dict(P)
-            for k in keys:
-                sz = P[k].size
-                P[k] = new[o:o + sz].reshape(P[k].shape)
-                o += sz
+
+        def apply(P, g, scale):
+            for keys, opt in ((head_keys, head_opt), (party_keys, party_opt)):
+                if not keys:
+                    continue
+                theta = np.concatenate([P[k].ravel() for k in keys])
+                grad = np.concatenate([g[k].ravel() for k in keys]) * scale
+                new = opt.step(theta, grad)
+                o = 0
+                P = dict(P)
+                for k in keys:
+                    sz = P[k].size
+                    P[k] = new[o:o + sz].reshape(P[k].shape)
+                    o += sz
+            return P
+
+        if step == "batch":
+            if batch_ids is None:
+                batch_ids = [r["batch_id"] for r in tr.select("batch_id").distinct().orderBy("batch_id").collect()]
+            st = dict.fromkeys(names, 0.0)
+            for b in batch_ids:
+                vec = batch_vectors(tr.filter(F.col("batch_id") == b),
+                                    lambda pdf, P=P: joint_batch(pdf, P, cfg, flat), flat.size + len(names))
+                P = apply(P, flat.unpack(vec[:flat.size]), 1.0)
+                for n, v in zip(names, vec[flat.size:]):
+                    st[n] += v
+            nb = max(1.0, st["batches"])
+        else:
+            vec = batch_vectors(tr, lambda pdf, P=P: joint_batch(pdf, P, cfg, flat), flat.size + len(names))
+            st = dict(zip(names, vec[flat.size:]))
+            nb = max(1.0, st["batches"])
+            # step on the epoch loss = mean of batch-mean losses
+            P = apply(P, flat.unpack(vec[:flat.size]), 1.0 / nb)
         ev = evaluate_scores(score_frame(va, P, cfg), cfg)
         tag = "auc" if cfg.n_out == 1 else "macrof1"
         metrics += [("tr/loss", epoch, st["loss"] / nb + st["penalty"] / nb),
@@ -500,6 +520,8 @@ def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConf
         score = ev["score"] if ev["score"] is not None else -1.0
         if score > best:
             best, best_epoch, best_P, waiting = score, epoch, P, 0
+            if snapshot is not None:
+                snapshot(P, epoch)
         else:
             waiting += 1
             if patience is not None and waiting > patience:

@@ -113,3 +113,18 @@ def test_size_formulas():
     assert fit.message_bits_np("svfl", "grad", 1024, 8, nnz, H, T) == 32 * nnz + 10 + 3
     assert fit.message_bits_np("topk", "grad", 4, 2, k=1024) == 8 * 3 + 8 * 32 + 2 + 1
     assert fit.message_bits_np("org", "emb", 1, 1) == 32   # one-row batch: q0 = 0
+
+
+def test_dispatch_gradient_codecs(spark):
+    E = [[1.0, 0.0], [0.0, 2.0], [3.0, 0.0]]
+    G = [[0.5, -0.1], [0.2, -0.7], [0.05, 0.9]]
+    b = spark.createDataFrame([(0, i, 3, E[i], G[i]) for i in range(3)],
+                              "batch_id long, row_in_batch int, batch_rows int, e array<double>, g array<double>")
+    mat = codec.batch_matrix(b, {"eflat": ("e", "row_in_batch"), "flat": ("g", "row_in_batch")})
+    m = codec.encode(mat, "svfl", "grad", emb_flat="eflat").first()
+    assert [round(v, 6) for v in m["vals"]] == [0.5, 0.05, -0.7]     # column-major, only where e != 0
+    t = codec.encode(codec.batch_matrix(b, "g", axis=0), "topk", "grad", k=2).first()
+    assert list(t["idx"]) == [5, 3]
+    rows = codec.decode(codec.encode(codec.batch_matrix(b, "g"), "q16", "grad"), "q16", ["batch_id"]) \
+        .orderBy("row_in_batch").collect()
+    np.testing.assert_allclose([list(r["decoded"]) for r in rows], np.array(G).astype(np.float16), rtol=0)

@@ -128,3 +128,30 @@ def test_fit_loss_falls(spark):
     losses = [v for t, _, v in res.metrics if t == "tr/loss"]
     auc = [v for t, _, v in res.metrics if t == "va/auc"]
     assert losses[-1] < losses[0] and auc[-1] > 0.75
+
+
+def test_fit_per_batch_steps_and_snapshot(spark, tmp_path):
+    from partyframe.sources import io
+    rng = np.random.default_rng(11)
+    n = 300
+    x0 = rng.normal(size=(n, 2))
+    y = (x0[:, 0] > 0).astype(int)
+    rows = [(i, x0[i].tolist(), int(y[i]), 0, i // 100) for i in range(n)]
+    df = spark.createDataFrame(rows, "uid long, x0 array<double>, y int, cls int, batch_id long")
+    tr = fit.prepare_batches(df, 3)
+    cfg = fit.JointConfig(in_sizes=[2], dims=[2], codec="q8")
+    path = str(tmp_path / "params")
+    saved = []
+
+    def snap(P, epoch):
+        io.write_params(spark, P, "t", epoch, path)
+        saved.append(epoch)
+    res = fit.fit_joint(tr, tr, None, cfg, epochs=3, lr=0.05, step="batch", snapshot=snap)
+    assert saved and saved[-1] == res.best_epoch
+    shapes = {k: v.shape for k, v in res.params.items()}
+    back = io.read_params(spark, path, "t", res.best_epoch, shapes)
+    for k in shapes:
+        np.testing.assert_allclose(back[k], res.params[k])
+    # 3 batches per epoch, one message each way per party and batch
+    counts = [v for t, _, v in res.metrics if t == "stat_count/epoch_count_all"]
+    assert counts[0] == 6.0
