@@ -21,9 +21,12 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 BUCKET = "_pf_bucket"
 BUCKET_KEY = "_pf_bkey"
+BUCKET2 = "_pf_bucket2"
+TIE_KEY = "_pf_tkey"
 
 
 def md5_order_key(seed, *cols) -> Column:
@@ -46,28 +49,68 @@ def md5_bucket_key(hex_col) -> Column:
 
 def _bucketise(df: DataFrame, key: Column, rows_per_bucket: int, max_buckets: int,
                sample_rows_per_bucket: int = 64, n_rows: int | None = None,
-               uniform_range: tuple[float, float] | None = None) -> DataFrame:
+               uniform_range: tuple[float, float] | None = None,
+               tie_key: Column | None = None, max_sub_buckets: int = 64) -> DataFrame:
+    """Add ``BUCKET`` (monotone in ``key``) and ``BUCKET2`` (0, or a sub-bucket of a hot key).
+
+    A *hot* key value - one that alone would fill more than a bucket, e.g. a
+    third of all rows - gets a bucket of its own, split further by quantiles
+    of ``tie_key`` (the next order column, numeric), so no single task sorts
+    it whole.  Both bound tables are bounded by the bucket count and broadcast.
+    """
     keyed = df.withColumn(BUCKET_KEY, F.coalesce(key.cast("double"), F.lit(float("-inf"))))
     if uniform_range is not None:
         # key known to be spread evenly over [lo, hi) (a hash): arithmetic bounds, no count,
         # no sample; ``max_buckets`` equal-width buckets
         lo, hi = uniform_range
         b = F.floor((F.col(BUCKET_KEY) - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(max_buckets))
-        return keyed.withColumn(BUCKET, F.least(F.greatest(b, F.lit(0)), F.lit(max_buckets - 1)).cast("double"))
+        return (keyed.withColumn(BUCKET, F.least(F.greatest(b, F.lit(0)), F.lit(max_buckets - 1)).cast("double"))
+                .withColumn(BUCKET2, F.lit(0)))
     n = keyed.count() if n_rows is None else n_rows
     n_buckets = int(min(max_buckets, max(1, math.ceil(n / max(1, rows_per_bucket)))))
     if n_buckets <= 1:
-        return keyed.withColumn(BUCKET, F.lit(0.0))
+        return keyed.withColumn(BUCKET, F.lit(0.0)).withColumn(BUCKET2, F.lit(0))
     fraction = min(1.0, n_buckets * sample_rows_per_bucket / max(1, n))
-    sample = keyed.select(BUCKET_KEY).sample(False, fraction, seed=17)
+    cols = [BUCKET_KEY] + ([tie_key.cast("double").alias(TIE_KEY)] if tie_key is not None else [])
+    sample = keyed.select(*cols).sample(False, fraction, seed=17).persist()
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = sample.approxQuantile(BUCKET_KEY, probs, 1.0 / (4 * n_buckets))
-    splits = sorted({b for b in bounds if not math.isnan(b) and math.isfinite(b)})
-    splits = [float("-inf")] + splits + [float("inf")]
+    splits = {b for b in bounds if not math.isnan(b) and math.isfinite(b)}
+    hot_rows = []
+    if tie_key is not None:
+        # keys whose sampled count says they alone exceed one bucket
+        grid = [i / max_sub_buckets for i in range(1, max_sub_buckets)]
+        hot_rows = (sample.groupBy(BUCKET_KEY)
+                    .agg(F.count(F.lit(1)).alias("c"),
+                         F.percentile_approx(TIE_KEY, grid, 4 * max_sub_buckets).alias("q"))
+                    .filter(F.col("c") > sample_rows_per_bucket)
+                    .limit(n_buckets).collect())
+    sample.unpersist()
+    hot = []
+    for r in hot_rows:
+        h = r[BUCKET_KEY]
+        if not math.isfinite(h):
+            continue
+        splits |= {h, math.nextafter(h, math.inf)}           # [h, next(h)) holds h alone
+        sub = int(min(max_sub_buckets, math.ceil(r["c"] / fraction / max(1, rows_per_bucket))))
+        step = max_sub_buckets / sub
+        q = r["q"] or []
+        sub_bounds = sorted({q[int(round(j * step)) - 1] for j in range(1, sub) if q})
+        hot.append((h, [float(x) for x in sub_bounds if x is not None]))
+    splits = [float("-inf")] + sorted(splits) + [float("inf")]
     if len(splits) < 3:
-        return keyed.withColumn(BUCKET, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=BUCKET_KEY, outputCol=BUCKET,
-                      handleInvalid="keep").transform(keyed)
+        out = keyed.withColumn(BUCKET, F.lit(0.0))
+    else:
+        out = Bucketizer(splits=splits, inputCol=BUCKET_KEY, outputCol=BUCKET,
+                         handleInvalid="keep").transform(keyed)
+    if not hot:
+        return out.withColumn(BUCKET2, F.lit(0))
+    spark = df.sparkSession
+    hot_df = spark.createDataFrame(hot, f"{BUCKET_KEY} double, _pf_sub array<double>")
+    k2 = tie_key.cast("double")
+    return (out.join(F.broadcast(hot_df), BUCKET_KEY, "left")
+            .withColumn(BUCKET2, F.coalesce(F.size(F.filter("_pf_sub", lambda b: b <= k2)), F.lit(0)))
+            .drop("_pf_sub"))
 
 
 def dense_index(df: DataFrame, order_by: list, bucket_key: Column | None = None,
@@ -82,16 +125,24 @@ def dense_index(df: DataFrame, order_by: list, bucket_key: Column | None = None,
     ``uniform_range`` = (lo, hi) declares the bucket key evenly spread (an md5
     prefix): then buckets are equal-width slices and no count / sample job runs.
     ``partition_by`` numbers rows independently per group (e.g. per split);
-    then the bucket key must be monotone within each group.
+    then the bucket key must be monotone within each group.  When the second
+    order column is a numeric column, a hot value of the first one is split
+    on it (see :func:`_bucketise`).
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     key = bucket_key if bucket_key is not None else order_cols[0]
+    tie = None
+    if len(order_by) > 1 and isinstance(order_by[1], str) and isinstance(
+            df.schema[order_by[1]].dataType, NumericType):
+        tie = F.col(order_by[1])
     groups = [F.col(c) if isinstance(c, str) else c for c in (partition_by or [])]
     group_names = [c for c in (partition_by or []) if isinstance(c, str)]
-    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets, n_rows=n_rows, uniform_range=uniform_range)
-    counts = bucketed.groupBy(*groups, BUCKET).agg(F.count(F.lit(1)).alias("_pf_cnt"))
-    # running offsets over the (small) bucket table; its size is <= max_buckets per group
-    w_small = (Window.partitionBy(*groups).orderBy(BUCKET) if groups else Window.orderBy(BUCKET))
+    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets, n_rows=n_rows, uniform_range=uniform_range,
+                          tie_key=tie)
+    counts = bucketed.groupBy(*groups, BUCKET, BUCKET2).agg(F.count(F.lit(1)).alias("_pf_cnt"))
+    # running offsets over the (small) bucket table; its size is <= buckets x sub-buckets per group
+    w_small = (Window.partitionBy(*groups).orderBy(BUCKET, BUCKET2) if groups
+               else Window.orderBy(BUCKET, BUCKET2))
     offsets = counts.withColumn(
         "_pf_off",
         F.coalesce(F.sum("_pf_cnt").over(w_small.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -99,11 +150,11 @@ def dense_index(df: DataFrame, order_by: list, bucket_key: Column | None = None,
         w_all = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
         offsets = offsets.withColumn(total, F.sum("_pf_cnt").over(w_all).cast("long"))
     offsets = offsets.drop("_pf_cnt")
-    joined = bucketed.join(F.broadcast(offsets), on=[*group_names, BUCKET], how="inner")
-    w = Window.partitionBy(*groups, BUCKET).orderBy(*order_cols)
+    joined = bucketed.join(F.broadcast(offsets), on=[*group_names, BUCKET, BUCKET2], how="inner")
+    w = Window.partitionBy(*groups, BUCKET, BUCKET2).orderBy(*order_cols)
     return (joined
             .withColumn(out, (F.col("_pf_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_pf_off", BUCKET, BUCKET_KEY))
+            .drop("_pf_off", BUCKET, BUCKET2, BUCKET_KEY))
 
 
 def seeded_split(df: DataFrame, uid: str, fractions: tuple[float, ...] = (0.1,),
@@ -185,12 +236,14 @@ def running_sum(df: DataFrame, order_by: list, value: str, out: str = "below",
     key = bucket_key if bucket_key is not None else order_cols[0]
     groups = [F.col(c) for c in (partition_by or [])]
     bucketed = _bucketise(df, key, rows_per_bucket, max_buckets, uniform_range=uniform_range)
-    totals = bucketed.groupBy(*groups, BUCKET).agg(F.sum(value).alias("_pf_tot"))
-    w_small = (Window.partitionBy(*groups).orderBy(BUCKET) if groups else Window.orderBy(BUCKET))
+    totals = bucketed.groupBy(*groups, BUCKET, BUCKET2).agg(F.sum(value).alias("_pf_tot"))
+    w_small = (Window.partitionBy(*groups).orderBy(BUCKET, BUCKET2) if groups
+               else Window.orderBy(BUCKET, BUCKET2))
     offsets = totals.withColumn(
         "_pf_off", F.coalesce(F.sum("_pf_tot").over(w_small.rowsBetween(Window.unboundedPreceding, -1)),
                               F.lit(0))).drop("_pf_tot")
-    joined = bucketed.join(F.broadcast(offsets), on=[*(partition_by or []), BUCKET], how="inner")
-    w = Window.partitionBy(*groups, BUCKET).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    joined = bucketed.join(F.broadcast(offsets), on=[*(partition_by or []), BUCKET, BUCKET2], how="inner")
+    w = (Window.partitionBy(*groups, BUCKET, BUCKET2).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, -1))
     return (joined.withColumn(out, F.col("_pf_off") + F.coalesce(F.sum(value).over(w), F.lit(0)))
-            .drop("_pf_off", BUCKET, BUCKET_KEY))
+            .drop("_pf_off", BUCKET, BUCKET2, BUCKET_KEY))

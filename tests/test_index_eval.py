@@ -105,3 +105,22 @@ def test_best_epoch_and_early_stop(spark):
     assert e["stop_epoch"] == 4 and e["epochs_run"] == 5 and e["best_epoch"] == 1
     e = evaluate.early_stop(df, patience=5).first()
     assert e["stop_epoch"] is None and e["best_epoch"] == 5
+
+
+def test_hot_first_key_is_split_and_order_kept(spark):
+    """One value of the first order column holds 40 % of the rows: it gets its own bucket,
+    split on the second column, and the index still equals the global order."""
+    from partyframe.operators.index import BUCKET, BUCKET2, _bucketise
+    rng = np.random.default_rng(8)
+    n = 6000
+    k1 = np.where(rng.random(n) < 0.4, 7, rng.integers(0, 50, n))
+    k2 = rng.permutation(n)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(k1, k2)], "k1 long, k2 long")
+    b = _bucketise(df, F.col("k1"), rows_per_bucket=300, max_buckets=1000, tie_key=F.col("k2"))
+    per = {(r[BUCKET], r[BUCKET2]): r["count"] for r in b.groupBy(BUCKET, BUCKET2).count().collect()}
+    assert max(per.values()) < 0.4 * n / 2                    # the hot value is spread over sub-buckets
+    assert len({k for k in per if k[1] > 0}) >= 4
+    out = dense_index(df, ["k1", "k2"], rows_per_bucket=300).collect()
+    got = sorted((r["idx"], r["k1"], r["k2"]) for r in out)
+    want = sorted(zip(k1.tolist(), k2.tolist()))
+    assert [(g[1], g[2]) for g in got] == want and [g[0] for g in got] == list(range(n))
