@@ -151,29 +151,43 @@ def minmax(col, lo: float, hi: float) -> Column:
 
 def fit_table(df: DataFrame, ranges: list | None = None, categories: list[str] | None = None,
               max_categories: int = 10_000, null_token: str = NULL_TOKEN) -> dict:
-    """Fit min / max (NaN ignored) and sorted category lists of one table in ONE aggregation.
-
-    Category sets are partial (map-side) aggregates, so each task holds only the
-    distinct values of its split; a column with more than ``max_categories``
-    values is rejected (it is not a one-hot column).  Returns
-    ``{"ranges": {col: (lo, hi)}, "categories": {col: [values]}}``.
+    """Fit min / max (NaN ignored) and sorted category lists of one table in ONE job.
+
+    Each row is exploded into one entry per fitted column - ``(col, category)``
+    for categorical columns, ``(col, null)`` carrying the number for range
+    columns - and grouped on ``(col, category)``.  The grouping is partial
+    (map-side), then spread over the cluster by key, so no single task merges
+    the categories of every task; only the distinct entries (bounded by the
+    category check) come back.  Returns ``{"ranges": {col: (lo, hi)},
+    "categories": {col: [values]}}``.
     """
     ranges = ranges or []
     categories = categories or []
     named = {(c if isinstance(c, str) else c[0]): (_c(c) if isinstance(c, str) else c[1]) for c in ranges}
-    aggs = []
+    entries = []
     for name, expr in named.items():
         x = expr.cast("double")
-        clean = F.when(~F.isnan(x), x)
-        aggs += [F.min(clean).alias(f"{name}__lo"), F.max(clean).alias(f"{name}__hi")]
+        entries.append(F.struct(F.lit(name).alias("col"), F.lit(None).cast("string").alias("cat"),
+                                F.when(~F.isnan(x), x).alias("num")))
     for c in categories:
-        v = F.coalesce(F.col(c).cast("string"), F.lit(null_token))
-        aggs.append(F.sort_array(F.collect_set(v)).alias(f"{c}__cats"))
-    row = df.agg(*aggs).first()
-    cats = {}
-    for c in categories:
-        vals = list(row[f"{c}__cats"] or [])
-        if len(vals) > max_categories:
+        entries.append(F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c).cast("string"), F.lit(null_token))
+                                .alias("cat"), F.lit(None).cast("double").alias("num")))
+    bound = max_categories * max(1, len(categories)) + len(named)
+    rows = (df.select(F.explode(F.array(*entries)).alias("e"))
+            .groupBy(F.col("e.col").alias("col"), F.col("e.cat").alias("cat"))
+            .agg(F.min("e.num").alias("lo"), F.max("e.num").alias("hi"))
+            .limit(bound + 1).collect())
+    if len(rows) > bound:
+        raise ValueError(f"more than {max_categories} categories in a column; not a one-hot column")
+    cats: dict[str, list[str]] = {c: [] for c in categories}
+    out_ranges = {n: (None, None) for n in named}
+    for r in rows:
+        if r["col"] in named and r["cat"] is None:
+            out_ranges[r["col"]] = (r["lo"], r["hi"])
+        elif r["col"] in cats:
+            cats[r["col"]].append(r["cat"])
+    for c in cats:
+        cats[c] = sorted(cats[c])
+        if len(cats[c]) > max_categories:
             raise ValueError(f"column {c} has more than {max_categories} categories; not a one-hot column")
-        cats[c] = vals
-    return {"ranges": {n: (row[f"{n}__lo"], row[f"{n}__hi"]) for n in named}, "categories": cats}
+    return {"ranges": out_ranges, "categories": cats}
