@@ -226,7 +226,8 @@ class JointConfig:
     lam: float = 0.0                # embedding penalty weight
     penalty_p: int = 1
     divisor: float = 3.0
-    eps: float = 0.0                # sparsity threshold
+    eps: float = 0.0                # embedding sparsity threshold
+    grad_eps: float = 0.0           # gradient sparsity threshold
     pos_weight: float = 1.0
     class_weights: list[float] | None = None
     bias: bool = True
@@ -249,7 +250,7 @@ def joint_params(cfg: JointConfig, seed: int = 0) -> dict[str, np.ndarray]:
 
 
 def stat_names(cfg: JointConfig) -> list[str]:
-    names = ["loss", "penalty", "rows", "batches", "embed_zero", "grad_zero"]
+    names = ["loss", "penalty", "norm_sum", "rows", "batches", "embed_zero", "grad_zero"]
     for p in range(cfg.n_parties):
         names += [f"send_bytes_{p}", f"receive_bytes_{p}"]
     return names
@@ -323,21 +324,26 @@ def joint_batch(pdf: pd.DataFrame, P: dict, cfg: JointConfig, flat: Flat) -> np.
     stats = dict(loss=loss, rows=S, batches=1)
     off = 0
     grad_zero = 0
+    norm_sum = 0.0
     for p, d in enumerate(cfg.dims):
         e = E[p]
+        ed = ecat[:, off:off + d]          # the embedding as the server decoded it
         ge = de[:, off:off + d]
         off += d
         if cfg.lam and cfg.penalty_p:
+            # the penalty is taken on the decoded embedding, so its gradient travels back too
             scale = cfg.lam / cfg.divisor / S
             if cfg.penalty_p == 1:
-                penalty += cfg.lam / cfg.divisor * float(np.abs(e).sum(axis=1).mean())
-                ge = ge + scale * np.sign(e)
+                norm = float(np.abs(ed).sum(axis=1).mean())
+                ge = ge + scale * np.sign(ed)
             else:
-                nrm = np.sqrt((e * e).sum(axis=1, keepdims=True))
-                penalty += cfg.lam / cfg.divisor * float(nrm.mean())
-                ge = ge + scale * np.where(nrm > 0, e / np.where(nrm > 0, nrm, 1.0), 0.0)
+                nrm = np.sqrt((ed * ed).sum(axis=1, keepdims=True))
+                norm = float(nrm.mean())
+                ge = ge + scale * np.where(nrm > 0, ed / np.where(nrm > 0, nrm, 1.0), 0.0)
+            norm_sum += norm
+            penalty += cfg.lam / cfg.divisor * norm
         gd = encode_decode_grad(ge, e, cfg.codec, cfg.top_k)
-        grad_zero += int((np.abs(gd) <= cfg.eps).sum())
+        grad_zero += int((np.abs(gd) <= cfg.grad_eps).sum())
         if not cfg.fixed_parties:
             dpre = gd * act_grad_np(cfg.act, pre[p], e)
             G[f"party{p}.W"] = X[p].T @ dpre
@@ -353,6 +359,7 @@ def joint_batch(pdf: pd.DataFrame, P: dict, cfg: JointConfig, flat: Flat) -> np.
             stats[f"receive_bytes_{p}"] = math.ceil(
                 message_bits_np(codec_name, "grad", S, d, nnz, hh, tt, cfg.top_k) / 8)
     stats["penalty"] = penalty
+    stats["norm_sum"] = norm_sum
     stats["embed_zero"] = int(sum((np.abs(e) <= cfg.eps).sum() for e in E))
     stats["grad_zero"] = grad_zero
     return np.concatenate([flat.pack(G), np.array([stats[n] for n in stat_names(cfg)], dtype=float)])
@@ -505,7 +512,7 @@ def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConf
         tag = "auc" if cfg.n_out == 1 else "macrof1"
         metrics += [("tr/loss", epoch, st["loss"] / nb + st["penalty"] / nb),
                     ("va/loss", epoch, ev["loss"]), (f"va/{tag}", epoch, ev["score"] if ev["score"] is not None else float("nan")),
-                    ("reg/tr_sparse_embed_loss_x_lambda", epoch, st["penalty"] / nb),
+                    ("reg/tr_sparse_embed_loss_x_lambda", epoch, cfg.lam * st["norm_sum"] / nb),
                     ("reg/tr_embed_sparsity", epoch, st["embed_zero"] / max(1.0, st["rows"] * sum(cfg.dims))),
                     ("reg/tr_grad_sparsity", epoch, st["grad_zero"] / max(1.0, st["rows"] * sum(cfg.dims))),
                     ("reg/va_embed_sparsity", epoch, ev["sparsity"])]

@@ -48,11 +48,12 @@ def _batch_pdf(rng, n=32, widths=(3, 2)):
 
 
 def _loss(pdf, P, cfg):
-    _, _, E, _, _, _, z = fit.joint_forward(pdf, P, cfg)
+    _, _, E, ecat, _, _, z = fit.joint_forward(pdf, P, cfg)
     w, l = fit.row_losses(z, pdf, cfg)
     pen = 0.0
     if cfg.lam:
-        pen = sum(cfg.lam / cfg.divisor * np.abs(e).sum(axis=1).mean() for e in E)
+        parts = np.split(ecat, np.cumsum(cfg.dims)[:-1], axis=1)   # decoded embeddings
+        pen = sum(cfg.lam / cfg.divisor * np.abs(e).sum(axis=1).mean() for e in parts)
     return (w * l).sum() / w.sum() + pen
 
 
