@@ -379,9 +379,18 @@ def joint_scores(pdf: pd.DataFrame, P: dict, cfg: JointConfig) -> pd.DataFrame:
         truth = pdf["cls"].to_numpy()
         pred = z.argmax(axis=1)
     zero = sum((np.abs(e) <= cfg.eps).sum(axis=1) for e in E) if E else np.zeros(len(pdf))
-    return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "batch_id": pdf["batch_id"].to_numpy(),
-                         "truth": truth.astype(int), "score": score,
-                         "pred": pred.astype(int), "loss_share": share, "embed_zero": zero.astype(int)})
+    out = pd.DataFrame({"uid": pdf["uid"].to_numpy(), "batch_id": pdf["batch_id"].to_numpy(),
+                        "truth": truth.astype(int), "score": score,
+                        "pred": pred.astype(int), "loss_share": share, "embed_zero": zero.astype(int)})
+    # the batch's embedding messages (sent, never answered), booked on its first row
+    for p, e in enumerate(E):
+        sent = np.zeros(len(pdf), dtype=np.int64)
+        if len(pdf) and not cfg.fixed_parties:
+            nnz, hh, tt = run_stats(e)
+            sent[0] = math.ceil(message_bits_np(cfg.codec or "org", "emb", len(pdf), e.shape[1], nnz, hh, tt,
+                                                cfg.top_k) / 8)
+        out[f"send_bytes_{p}"] = sent
+    return out
 
 
 # ------------------------------------------------------------------ Spark side
@@ -422,7 +431,8 @@ def batch_vectors(batched: DataFrame, fn, size: int) -> np.ndarray:
 
 def score_frame(batched: DataFrame, P: dict, cfg: JointConfig) -> DataFrame:
     cols = [f"x{p}" for p in range(cfg.n_parties)] + ["uid", "batch_id"] + (["y"] if cfg.n_out == 1 else ["cls"])
-    schema = "uid long, batch_id long, truth int, score double, pred int, loss_share double, embed_zero int"
+    schema = ("uid long, batch_id long, truth int, score double, pred int, loss_share double, embed_zero int, "
+              + ", ".join(f"send_bytes_{p} long" for p in range(cfg.n_parties)))
     return batched.select(*cols).groupBy("batch_id").applyInPandas(
         lambda pdf: joint_scores(pdf, P, cfg), schema)
 
@@ -430,8 +440,10 @@ def score_frame(batched: DataFrame, P: dict, cfg: JointConfig) -> DataFrame:
 def evaluate_scores(scores: DataFrame, cfg: JointConfig) -> dict:
     """Score (AUC or macro-F1), loss (mean of batch means) and embedding sparsity of one split."""
     from partyframe.operators.evaluate import auc, macro_f1
+    sends = [c for c in scores.columns if c.startswith("send_bytes_")]
     agg = scores.agg(F.sum("loss_share").alias("loss_sum"), F.count(F.lit(1)).alias("rows"),
-                     F.sum("embed_zero").alias("zero"), F.countDistinct("batch_id").alias("nb")).first()
+                     F.sum("embed_zero").alias("zero"), F.countDistinct("batch_id").alias("nb"),
+                     *[F.sum(c).alias(c) for c in sends]).first()
     n_batches = agg["nb"] or 1
     if cfg.n_out == 1:
         s = auc(scores, "score", "truth", score_range=(0.0, 1.0)).first()["auc"]
@@ -439,7 +451,8 @@ def evaluate_scores(scores: DataFrame, cfg: JointConfig) -> dict:
         s = macro_f1(scores, "truth", "pred").first()["macro_f1"]
     rows = agg["rows"] or 0
     return dict(score=s, loss=(agg["loss_sum"] or 0.0) / max(1, n_batches),
-                sparsity=(agg["zero"] or 0) / max(1, rows * sum(cfg.dims)))
+                sparsity=(agg["zero"] or 0) / max(1, rows * sum(cfg.dims)), batches=n_batches,
+                **{c: float(agg[c] or 0) for c in sends})
 
 
 @dataclass
@@ -516,11 +529,14 @@ def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConf
                     ("reg/tr_embed_sparsity", epoch, st["embed_zero"] / max(1.0, st["rows"] * sum(cfg.dims))),
                     ("reg/tr_grad_sparsity", epoch, st["grad_zero"] / max(1.0, st["rows"] * sum(cfg.dims))),
                     ("reg/va_embed_sparsity", epoch, ev["sparsity"])]
+        # validation embeddings are sent every epoch too (never answered)
+        for p in range(cfg.n_parties):
+            st[f"send_bytes_{p}"] += ev.get(f"send_bytes_{p}", 0.0)
         send = sum(st[f"send_bytes_{p}"] for p in range(cfg.n_parties))
         recv = sum(st[f"receive_bytes_{p}"] for p in range(cfg.n_parties))
+        messages = 0.0 if cfg.fixed_parties else float((2 * nb + ev["batches"]) * cfg.n_parties)
         metrics += [("stat_size/epoch_size_all", epoch, float(send + recv)),
-                    ("stat_count/epoch_count_all", epoch,
-                     0.0 if cfg.fixed_parties else float(2 * nb * cfg.n_parties)),
+                    ("stat_count/epoch_count_all", epoch, messages),
                     ("time/epoch_seconds", epoch, time.time() - t0)]
         for k in totals:
             totals[k] += st[k]

@@ -153,6 +153,9 @@ def test_fit_per_batch_steps_and_snapshot(spark, tmp_path):
     back = io.read_params(spark, path, "t", res.best_epoch, shapes)
     for k in shapes:
         np.testing.assert_allclose(back[k], res.params[k])
-    # 3 batches per epoch, one message each way per party and batch
+    # 3 training batches (one message each way) + 3 validation batches (sent only), one party
     counts = [v for t, _, v in res.metrics if t == "stat_count/epoch_count_all"]
-    assert counts[0] == 6.0
+    assert counts[0] == 9.0
+    # q8: every message is 8 bits per cell; 300 rows x 2 dims, twice for training, once for validation
+    sizes = [v for t, _, v in res.metrics if t == "stat_size/epoch_size_all"]
+    assert sizes[0] == 3 * 300 * 2
