@@ -43,3 +43,35 @@ def pca_codes(col: str, mean: np.ndarray, pc: np.ndarray) -> Column:
             acc = t if acc is None else acc + t
         outs.append(acc if acc is not None else F.lit(0.0))
     return F.array(*outs)
+
+
+def oneshot_codec(df: DataFrame, cols: list[str], codec: str) -> DataFrame:
+    """The codes of one split sent once and decoded by the server.
+
+    ``org`` keeps float32, ``q16`` rounds to fp16, ``q8`` / ``q4`` quantise with
+    ONE scale per column over the whole split (its maximum), as a one-shot
+    message does.  The scales come from one aggregation (one number per
+    column); the rest is an array expression per row.
+    """
+    from partyframe.functions.numeric import fp16_round
+    if codec == "org":
+        return df.select(*[F.col(c) for c in df.columns if c not in cols],
+                         *[F.transform(c, lambda v: v.cast("float").cast("double")).alias(c) for c in cols])
+    if codec == "q16":
+        return df.select(*[F.col(c) for c in df.columns if c not in cols],
+                         *[F.transform(c, lambda v: fp16_round(v).cast("float").cast("double")).alias(c)
+                           for c in cols])
+    if codec not in ("q8", "q4"):
+        raise ValueError(f"one-shot codec must be org, q16, q8 or q4, not {codec}")
+    mult, top = (255.0, 255) if codec == "q8" else (16.0, 15)
+    row = df.agg(*[F.max(F.array_max(c)).alias(c) for c in cols]).first()
+    out = df
+    for c in cols:
+        scale = float(row[c] or 0.0)
+        if scale <= 0:
+            out = out.withColumn(c, F.transform(c, lambda v: F.lit(0.0)))
+            continue
+        out = out.withColumn(c, F.transform(c, lambda v: (
+            F.least(F.greatest(F.floor(v / F.lit(scale) * F.lit(mult)), F.lit(0)), F.lit(top))
+            * F.lit(scale) / F.lit(mult)).cast("float").cast("double")))
+    return out

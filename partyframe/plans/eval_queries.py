@@ -208,7 +208,7 @@ def _sql_run_log() -> str:
     osel = ", ".join(f"sum(CASE WHEN party = {p} THEN bytes END)::BIGINT AS total_size_send_{p}" for p in PARTIES)
     return f"""
 WITH {sql_scored(params_binary(), batches=True)}, {SQL_PARTY_COUNTS}, {_sql_split('al')},
-ns AS (SELECT split, count(*) AS n FROM sp GROUP BY split),
+ns AS (SELECT split, count(*) AS n FROM sp WHERE split <> 'te' GROUP BY split),
 m AS ({' UNION ALL '.join(sparse_rows)}),
 sparse AS (SELECT 'svfl_' || codec AS run_id, NULL::VARCHAR AS compress, codec, {BATCH} AS batch_size, {DIM} AS interface_dims,
                   {GRID_K} AS top_k, {LAMBDA}::DOUBLE AS sparse_embed_lambda, {sel} FROM m GROUP BY codec),
@@ -230,7 +230,8 @@ FROM one
 def run_log_q(spark, sf_dir):
     """One run record per codec of the sparse grid (bytes per party and direction
     as columns, from one pass over the party embeddings), unioned by name with the one-shot grid
-    (whole splits sent once, no replies), whose records lack the sparse-only columns."""
+    (training and validation splits sent once, no replies), whose records lack the sparse-only
+    columns."""
     star = build_star(spark, sf_dir)
     counts = party_run_counts(spark, sf_dir, star)
     sizes = codec.codec_sizes(counts, codecs=RUN_CODECS, k=GRID_K).withColumn(
@@ -239,13 +240,14 @@ def run_log_q(spark, sf_dir):
                                  ["run_id", "codec"], list(PARTIES))
     sparse = (sparse.withColumn("batch_size", F.lit(BATCH)).withColumn("interface_dims", F.lit(DIM))
               .withColumn("top_k", F.lit(GRID_K)).withColumn("sparse_embed_lambda", F.lit(LAMBDA)))
-    # one-shot runs: every split is sent once as a dense (rows x dims) matrix; split sizes
-    # follow from the row count alone (same cuts as seeded_split)
+    # one-shot runs: the training and validation splits are sent once as dense (rows x dims)
+    # matrices (test codes are not counted); split sizes follow from the row count alone
+    # (same cuts as seeded_split)
     n = F.col("n_all").cast("double")
     te = F.ceil(n * 0.1)
     va = F.ceil((n - te) * 0.1)
     ns = aligned(star).agg(F.count(F.lit(1)).alias("n_all")).select(
-        F.explode(F.array((n - te - va).cast("long"), va.cast("long"), te.cast("long"))).alias("n"))
+        F.explode(F.array((n - te - va).cast("long"), va.cast("long"))).alias("n"))
     bits = {"org": 32, "q16": 16, "q8": 8, "q4": 4}
     grid = F.array(*[F.struct(F.lit(c).alias("codec"), F.lit(bits[c]).alias("bits"), F.lit(p).alias("party"))
                      for c in ONESHOT_CODECS for p in PARTIES])

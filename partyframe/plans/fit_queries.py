@@ -26,6 +26,9 @@ SPLIT_SEED = 7
 FIT_EPOCHS = 3
 FIT_LR = 0.01
 PCA_K = 4
+PCA_CODEC = "org"        # PCA codes are signed: the reference's grids send them unquantised
+AE_CODEC = "q8"          # autoencoder codes follow a ReLU, so one max-scale fits them
+ONESHOT_BITS = {"org": 32, "q16": 16, "q8": 8, "q4": 4}
 METRIC_SCHEMA = "run_id string, tag string, step int, value double"
 
 
@@ -83,10 +86,11 @@ def fit_joint_q(spark, sf_dir):
 # ------------------------------------------------------------------ M19
 
 def _oneshot_bytes(split_sizes: dict, dims: list[int], bits: int) -> list:
-    """Every split sent once as a dense rows x dims matrix; nothing comes back."""
+    """Training and validation codes sent once as dense rows x dims matrices; nothing comes back.
+    (Test codes are encoded for scoring but, as in the reference, not counted.)"""
     out = []
     for p, d in enumerate(dims):
-        total = sum(math.ceil(n * d * bits / 8) for n in split_sizes.values())
+        total = sum(math.ceil(split_sizes.get(s, 0) * d * bits / 8) for s in ("tr", "va"))
         out.append((f"total/send_bytes_{p}", 0, float(total)))
         out.append((f"total/receive_bytes_{p}", 0, 0.0))
     return out
@@ -99,7 +103,7 @@ def _split_sizes(sp) -> dict:
 @register("fit_head")
 def fit_head_q(spark, sf_dir):
     """M16 + M19: each party's features compressed once by PCA fitted on its training rows,
-    sent as fp16 codes; only the head is trained on the decoded codes."""
+    each split's codes sent once (float32); only the head is trained on the decoded codes."""
     star, sp, tr, va, te = star_split_batches(spark, sf_dir)
     dims = [min(PCA_K, w) for w in WIDTHS]
     fits = [compress.pca_fit(tr, f"x{p}", dims[p]) for p in range(3)]
@@ -107,15 +111,16 @@ def fit_head_q(spark, sf_dir):
     def coded(df):
         for p, (mean, pc) in enumerate(fits):
             df = df.withColumn(f"x{p}", compress.pca_codes(f"x{p}", mean, pc))
-        return df
+        # each split's codes travel once through the codec (one scale per split for q8 / q4)
+        return compress.oneshot_codec(df, [f"x{p}" for p in range(3)], PCA_CODEC)
 
     trc, vac, tec = (fit.prepare_batches(coded(d)) for d in (tr, va, te))
     pw = align.pos_weight(tr).first()["pos_weight"]
-    cfg = fit.JointConfig(in_sizes=dims, dims=dims, n_out=1, codec="q16", pos_weight=pw, fixed_parties=True)
+    cfg = fit.JointConfig(in_sizes=dims, dims=dims, n_out=1, codec=None, pos_weight=pw, fixed_parties=True)
     res = fit.fit_joint(trc, vac, tec, cfg, epochs=FIT_EPOCHS, lr=FIT_LR, seed=SEED)
-    metrics = res.metrics + _oneshot_bytes(_split_sizes(sp), dims, 16)
+    metrics = res.metrics + _oneshot_bytes(_split_sizes(sp), dims, ONESHOT_BITS[PCA_CODEC])
     _release(sp, tr, va, te, trc, vac, tec)
-    return _metrics_frame(spark, "pca_q16", metrics)
+    return _metrics_frame(spark, f"pca_{PCA_CODEC}", metrics)
 
 
 # ------------------------------------------------------------------ M17, M18
@@ -123,7 +128,8 @@ def fit_head_q(spark, sf_dir):
 @register("fit_autoencoder")
 def fit_autoencoder_q(spark, sf_dir):
     """M17 + M18 + M19: one autoencoder per party (in -> in/2 -> 4 -> in/2 -> in, early stop on
-    validation MSE), its codes sent once, then the head trained on them (3-class, weighted CE)."""
+    validation MSE), each split's codes sent once as 8-bit codes, then the head trained on the
+    decoded codes (3-class, weighted CE)."""
     star, sp, tr, va, te = star_split_batches(spark, sf_dir)
     dims = [DIM] * 3
     metrics = []
@@ -137,7 +143,7 @@ def fit_autoencoder_q(spark, sf_dir):
     def coded(df):
         for p, P in enumerate(aes):
             df = fit.ae_codes(df, P, f"x{p}", WIDTHS[p], f"x{p}")
-        return df
+        return compress.oneshot_codec(df, [f"x{p}" for p in range(3)], AE_CODEC)
 
     trc, vac, tec = (fit.prepare_batches(coded(d)) for d in (tr, va, te))
     cw_rows = align.class_weight(tr, "cls").limit(1000).collect()
@@ -145,9 +151,9 @@ def fit_autoencoder_q(spark, sf_dir):
     cw = [0.0] * n_cls
     for r in cw_rows:
         cw[r["cls"]] = r["weight"]
-    cfg = fit.JointConfig(in_sizes=dims, dims=dims, n_out=n_cls, codec="org", class_weights=cw,
+    cfg = fit.JointConfig(in_sizes=dims, dims=dims, n_out=n_cls, codec=None, class_weights=cw,
                           fixed_parties=True)
     res = fit.fit_joint(trc, vac, tec, cfg, epochs=FIT_EPOCHS, lr=FIT_LR, seed=SEED)
-    metrics += res.metrics + _oneshot_bytes(_split_sizes(sp), dims, 32)
+    metrics += res.metrics + _oneshot_bytes(_split_sizes(sp), dims, ONESHOT_BITS[AE_CODEC])
     _release(sp, tr, va, te, trc, vac, tec)
-    return _metrics_frame(spark, "ae_org", metrics)
+    return _metrics_frame(spark, f"ae_{AE_CODEC}", metrics)

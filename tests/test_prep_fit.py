@@ -159,3 +159,12 @@ def test_fit_per_batch_steps_and_snapshot(spark, tmp_path):
     # q8: every message is 8 bits per cell; 300 rows x 2 dims, twice for training, once for validation
     sizes = [v for t, _, v in res.metrics if t == "stat_size/epoch_size_all"]
     assert sizes[0] == 3 * 300 * 2
+
+
+def test_oneshot_codec_one_scale_per_split(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.5, 2.0])], "uid long, c array<double>")
+    got = {r["uid"]: r["c"] for r in compress.oneshot_codec(df, ["c"], "q8").collect()}
+    # scale = 2.0 over the whole split: codes floor(v / 2 * 255)
+    assert got[2] == [np.float32(63 * 2.0 / 255), 2.0] and got[1][1] == np.float32(127 * 2.0 / 255)
+    got = {r["uid"]: r["c"] for r in compress.oneshot_codec(df, ["c"], "q16").collect()}
+    assert got[1] == [0.0, 1.0]
