@@ -78,3 +78,22 @@ def test_streaming_tracker_matches_batch_rule(spark, tmp_path):
     last = spark.read.parquet(out).orderBy("micro_batch").collect()[-1]
     # waits 1, 2, 3 > 2 at epoch 4: stopped there; epoch 5 comes too late
     assert last["stop_epoch"] == 4 and last["best_epoch"] == 1 and last["last_epoch"] == 5
+
+
+def test_prepare_vertical_writes_party_datasets(spark, tmp_path):
+    from partyframe.plans.prepare import PrepSpec, prepare_vertical, write_vertical
+    rows = [(i, float(i), ["a", "b", "c"][i % 3], " >50K" if i % 4 == 0 else " <=50K") for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, x double, c string, lab string")
+    spec = PrepSpec(numeric=["x"], categorical=["c"], parties=[["x"], ["c"]], label="lab", order_by=["k"],
+                    fit_on="train")
+    parties, labels, fitted = prepare_vertical(df, spec)
+    assert fitted["categories"]["lab"] == [" <=50K", " >50K"]          # second in sorted order = positive
+    lo, hi = fitted["ranges"]["x"]
+    tr_x = [r["k"] for r in parties.filter("split = 'tr' AND party = 0").join(
+        df.withColumnRenamed("k", "uid"), "uid").select("uid").withColumnRenamed("uid", "k").collect()]
+    assert lo == min(tr_x) and hi == max(tr_x)                        # fitted on training rows only
+    write_vertical(parties, labels, str(tmp_path), 2)
+    p1 = io.read_party_dataset(spark, str(tmp_path), 1, "te").collect()
+    assert len(p1) == 4 and all(len(r["features"]) == 3 for r in p1)
+    ys = {r["uid"]: r["y"] for r in spark.read.parquet(str(tmp_path / "labels")).collect()}
+    assert sum(ys.values()) == 10
