@@ -12,13 +12,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from partyframe.functions.numeric import round6
 from partyframe.operators import align, compress, fit
 from partyframe.operators.index import assign_batches, seeded_split, shuffled_batches
-from partyframe.plans.model_queries import BATCH, DIM, LAMBDA, SEED, params_binary, scored
+from partyframe.plans.model_queries import BATCH, DIM, LAMBDA, SEED
 from partyframe.plans.registry import register
 from partyframe.plans.star import WIDTHS, aligned, build_star
-from partyframe.session import ensure_checkpoint_dir
 from partyframe.sources.tables import read_table
 
 # fixed values: test-query parameters

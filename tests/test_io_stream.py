@@ -1,7 +1,6 @@
 """Round trips of the sources / sinks (S1-S10, U2) and the streaming tracker."""
 
 import numpy as np
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partyframe.sources import io, tables

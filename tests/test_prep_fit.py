@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from partyframe.operators import align, compress, fit, prep
 

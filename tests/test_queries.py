@@ -1,7 +1,5 @@
 """Every registered query against its DuckDB oracle at sf0.001, and plan checks for scale."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as E
