@@ -1,11 +1,11 @@
 """Party embeddings, server head, losses, penalty and closed-form gradients.
 
 Model parameters are tiny (hundreds of numbers) and live on the driver as
-numpy arrays; they enter the plan as literals.  Every forward and backward
-quantity is a *flat* Column expression (``x[j] * w + ...``) - no UDF and no
-higher-order function - so a scoring or gradient pass is one whole-stage
-codegen span, and a gradient step is one partial aggregation whose result is
-one row of sums (the size of the model, not of the data).
+numpy arrays; they enter the plan as literals.  Every forward quantity and
+the embedding gradient is a *flat* Column expression (``x[j] * w + ...``) - no
+UDF and no higher-order function - so a scoring pass is one whole-stage
+codegen span.  Parameter gradients and fits run per batch in
+:mod:`partyframe.operators.fit`.
 
 Shapes: party p: ``e_p = act(x_p W_p + b_p)`` (W_p: in_p x D);
 head: ``h = relu(concat(e) W1 + b1)``, ``z = h W2 + b2`` (1 output for binary,
@@ -17,7 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partyframe.functions.numeric import activation, sigmoid, softplus
@@ -32,11 +32,6 @@ def rule_weights(n_in: int, n_out: int, salt: int = 0) -> tuple[np.ndarray, np.n
     return W, b
 
 
-def xavier_weights(n_in: int, n_out: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """M4: Xavier-uniform weights, bias 1 (not bit-equal to torch's generator)."""
-    a = float(np.sqrt(6.0 / (n_in + n_out)))
-    return rng.uniform(-a, a, size=(n_in, n_out)), np.ones(n_out)
-
 
 @dataclass
 class Params:
@@ -67,14 +62,6 @@ def rule_params(in_sizes: list[int], dim: int, n_out: int = 1) -> Params:
     return Params(party, hidden, out)
 
 
-def init_params(in_sizes: list[int], dims: list[int], n_out: int, seed: int = 0) -> Params:
-    """M4: same seed before every layer, as the reference does."""
-    party = [xavier_weights(n, d, np.random.default_rng(seed)) for n, d in zip(in_sizes, dims)]
-    total = sum(dims)
-    hidden = xavier_weights(total, total // 2, np.random.default_rng(seed))
-    out = xavier_weights(total // 2, n_out, np.random.default_rng(seed))
-    return Params(party, hidden, out)
-
 
 # ------------------------------------------------------------------ expressions
 
@@ -196,19 +183,6 @@ def grad_z_binary(df: DataFrame, pos_weight: float, y: str = "y", batch_rows: st
     return df.withColumn("dz", F.array(g))
 
 
-def grad_z_multiclass(df: DataFrame, n_out: int, class_weights: list[float], y: str = "cls",
-                      batch: str = "batch_id") -> DataFrame:
-    """dL/dz of ``sum(w * nll) / sum(w)`` per batch: ``w_y (softmax - onehot) / sum_batch(w)``.
-
-    The batch weight sum is a window over the batch (bounded by the batch size).
-    """
-    w = class_weight_of(F.col(y), class_weights)
-    lse = logsumexp(items("z", n_out))
-    out = df.withColumn("_pf_w", w).withColumn("_pf_wsum", F.sum("_pf_w").over(Window.partitionBy(batch)))
-    grads = [(F.exp(F.col("z")[c] - lse) - (F.col(y) == c).cast("double")) * F.col("_pf_w") / F.col("_pf_wsum")
-             for c in range(n_out)]
-    return out.withColumn("dz", F.array(*grads)).drop("_pf_w", "_pf_wsum")
-
 
 def grad_embeddings(df: DataFrame, params: Params, penalty_p: int = 0, lam: float = 0.0,
                     divisor: float = 3.0, batch_rows: str = "batch_rows") -> DataFrame:
@@ -242,70 +216,4 @@ def grad_embeddings(df: DataFrame, params: Params, penalty_p: int = 0, lam: floa
     return out
 
 
-def act_grad(name: str, pre: Column, e: Column) -> Column:
-    """Derivative of the activation at ``pre`` (``e`` = act(pre))."""
-    if name == "relu":
-        return (pre > 0).cast("double")
-    if name == "leaky_relu":
-        return F.when(pre >= 0, F.lit(1.0)).otherwise(F.lit(0.01))
-    if name == "elu":
-        return F.when(pre > 0, F.lit(1.0)).otherwise(e + F.lit(1.0))
-    if name == "selu":
-        from partyframe.functions.numeric import SELU_ALPHA, SELU_SCALE
-        return F.when(pre > 0, F.lit(SELU_SCALE)).otherwise(e + F.lit(SELU_SCALE * SELU_ALPHA))
-    if name == "mish":
-        sp = softplus(pre)
-        t = F.tanh(sp)
-        return t + pre * (F.lit(1.0) - t * t) * sigmoid(pre)
-    return F.lit(1.0)
-
-
-def weight_gradient_sums(df: DataFrame, params: Params, in_sizes: list[int], act: str = "relu",
-                         party_grad_cols: list[str] | None = None) -> list[Column]:
-    """Aggregate expressions (one ``sum`` per parameter) for a full gradient step.
-
-    Head layers use dz / dh; party layers use the (decoded) gradient ``ge{p}``
-    through the activation derivative.  Returns named ``sum`` Columns; one
-    ``agg`` over the data gives one row of the model's size.
-    """
-    aggs = []
-    W1, _ = params.hidden
-    W2, _ = params.out
-    n_h, n_out = W2.shape
-    for k in range(n_h):
-        for c in range(n_out):
-            aggs.append(F.sum(F.col("dz")[c] * F.col("h")[k]).alias(f"out.W.{k}.{c}"))
-    for c in range(n_out):
-        aggs.append(F.sum(F.col("dz")[c]).alias(f"out.b.{c}"))
-    dims = params.dims
-    ecat = [(f"e{p}", m) for p, d in enumerate(dims) for m in range(d)]
-    for r, (name, m) in enumerate(ecat):
-        for k in range(n_h):
-            aggs.append(F.sum(F.col("dh")[k] * F.col(name)[m]).alias(f"hidden.W.{r}.{k}"))
-    for k in range(n_h):
-        aggs.append(F.sum(F.col("dh")[k]).alias(f"hidden.b.{k}"))
-    gcols = party_grad_cols or [f"ge{p}" for p in range(len(dims))]
-    for p, d in enumerate(dims):
-        for m in range(d):
-            dpre = F.col(gcols[p])[m] * act_grad(act, F.col(f"pre{p}")[m], F.col(f"e{p}")[m])
-            for j in range(in_sizes[p]):
-                aggs.append(F.sum(F.col(f"x{p}")[j] * dpre).alias(f"party{p}.W.{j}.{m}"))
-            aggs.append(F.sum(dpre).alias(f"party{p}.b.{m}"))
-    return aggs
-
-
-def gradients_from_row(row, params: Params, in_sizes: list[int]) -> dict[str, np.ndarray]:
-    """Reshape the one-row aggregate of :func:`weight_gradient_sums` into arrays."""
-    d = row.asDict()
-    out = {}
-    for name, arr in params.flat():
-        g = np.zeros_like(arr)
-        if arr.ndim == 2:
-            for r in range(arr.shape[0]):
-                for c in range(arr.shape[1]):
-                    g[r, c] = d[f"{name}.{r}.{c}"] or 0.0
-        else:
-            for c in range(arr.shape[0]):
-                g[c] = d[f"{name}.{c}"] or 0.0
-        out[name] = g
-    return out
+
