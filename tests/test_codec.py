@@ -128,3 +128,20 @@ def test_dispatch_gradient_codecs(spark):
     rows = codec.decode(codec.encode(codec.batch_matrix(b, "g"), "q16", "grad"), "q16", ["batch_id"]) \
         .orderBy("row_in_batch").collect()
     np.testing.assert_allclose([list(r["decoded"]) for r in rows], np.array(G).astype(np.float16), rtol=0)
+
+
+def test_q8_gradient_error_bound(spark):
+    rng = np.random.default_rng(12)
+    G = rng.normal(size=(30, 4))
+    b = _batch(spark, G.tolist())
+    mat = codec.batch_matrix(b, "e").withColumn("orig", F.col("flat"))
+    r = codec.q_grad_decode(codec.q_grad_encode(mat, 256), 256).first()
+    err = np.abs(np.array(r["decoded"]) - np.array(r["orig"])).max()
+    assert err <= (r["hi"] - r["lo"]) / 255 + 1e-12
+
+
+def test_nan_counts_as_nonzero_in_runs(spark):
+    rows = [[0.0, float("nan")], [0.0, 0.0]]
+    r = codec.rle_encode(codec.batch_matrix(_batch(spark, rows), "e", axis=1)).first()
+    assert list(r["head"]) == [2] and list(r["tail"]) == [3] and len(r["vals"]) == 1
+    assert math.isnan(r["vals"][0])
