@@ -632,3 +632,37 @@ def ae_codes(df: DataFrame, P: dict, col: str, width: int, out: str) -> DataFram
             yield res
 
     return df.mapInPandas(run, schema)
+
+
+def run_record(spark, run_id: str, cfg: JointConfig, res: FitResult, **config) -> DataFrame:
+    """One run-log row - configuration, bytes per party and direction, total, test score,
+    test embedding sparsity, training seconds - ready for ``io.append_run_log``.
+
+    Parameters that do not apply stay null (the reference writes -1).
+    """
+    last = {t: v for t, _, v in res.metrics}
+    row = dict(run_id=run_id, reduction=cfg.codec or "none", client_activation=cfg.act,
+               interface_dims=",".join(str(d) for d in cfg.dims), out_size=cfg.n_out,
+               sparse_embed_lambda=float(cfg.lam) if cfg.lam else None,
+               sparse_embed_epsilon=float(cfg.eps), sparse_grad_epsilon=float(cfg.grad_eps),
+               top_k=int(cfg.top_k) if (cfg.codec or "").startswith("topk") else None,
+               norm=int(cfg.penalty_p) if cfg.lam else None, best_epoch=int(res.best_epoch))
+    row.update(config)
+    for d in ("send", "receive"):
+        for p in range(cfg.n_parties):
+            row[f"total_size_{d}_{p}"] = int(res.totals.get(f"{d}_bytes_{p}", 0))
+    row["total_size_all"] = sum(row[f"total_size_{d}_{p}"] for d in ("send", "receive")
+                                for p in range(cfg.n_parties))
+    row["te_score"] = last.get("te/score")
+    row["te_embed_sparsity"] = last.get("te/embed_sparsity")
+    row["time"] = float(sum(v for t, _, v in res.metrics if t == "time/epoch_seconds"))
+    nullable_longs = {"top_k", "norm"}
+
+    def spark_type(k, v):
+        if isinstance(v, str):
+            return "string"
+        if (isinstance(v, int) and not isinstance(v, bool)) or (v is None and k in nullable_longs):
+            return "bigint"
+        return "double"
+    schema = ", ".join(f"`{k}` {spark_type(k, v)}" for k, v in row.items())
+    return spark.createDataFrame([tuple(row.values())], schema)

@@ -167,3 +167,22 @@ def test_oneshot_codec_one_scale_per_split(spark):
     assert got[2] == [np.float32(63 * 2.0 / 255), 2.0] and got[1][1] == np.float32(127 * 2.0 / 255)
     got = {r["uid"]: r["c"] for r in compress.oneshot_codec(df, ["c"], "q16").collect()}
     assert got[1] == [0.0, 1.0]
+
+
+def test_run_record_from_fit(spark, tmp_path):
+    from partyframe.sources import io
+    rng = np.random.default_rng(13)
+    n = 200
+    x0 = rng.normal(size=(n, 2))
+    y = (x0[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([(i, x0[i].tolist(), int(y[i]), 0, i // 100) for i in range(n)],
+                               "uid long, x0 array<double>, y int, cls int, batch_id long")
+    tr = fit.prepare_batches(df, 2)
+    cfg = fit.JointConfig(in_sizes=[2], dims=[2], codec="svfl16", lam=0.01)
+    res = fit.fit_joint(tr, tr, tr, cfg, epochs=2, lr=0.05)
+    rec = fit.run_record(spark, "r1", cfg, res, batch_size=100, n_epochs=2)
+    r = rec.first()
+    assert r["total_size_all"] == r["total_size_send_0"] + r["total_size_receive_0"] > 0
+    assert r["top_k"] is None and r["norm"] == 1 and 0 <= r["te_score"] <= 1
+    out = io.append_run_log(spark, rec, str(tmp_path / "runs"), 1)
+    assert spark.read.parquet(out).count() == 1
