@@ -30,9 +30,11 @@ def auc(df: DataFrame, score: str, label: str, by: tuple = (), out: str = "auc",
 
     Equal scores count one half, as the rank-sum formula with mid-ranks does.
     A group with only one class gets null (the metric is undefined there).
-    ``score_range`` (e.g. (0, 1) for probabilities) lets the running sum use
-    65,536 equal-width buckets instead of a quantile pass; exactness does not
-    depend on it, only the balance of the per-bucket sorts.
+    By default the running sum takes its bucket bounds from quantiles of the
+    distinct scores, so buckets stay balanced however the scores cluster.
+    ``score_range`` (e.g. (0, 1)) switches to 65,536 equal-width buckets and
+    saves that pass; exactness does not depend on it, but scores crowded into
+    a narrow range (a weak model near 0.5) would then load a few tasks.
     """
     by = list(by)
     y = F.col(label).cast("long")
