@@ -506,7 +506,8 @@ def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConf
 
         if step == "batch":
             if batch_ids is None:
-                batch_ids = [r["batch_id"] for r in tr.select("batch_id").distinct().orderBy("batch_id").collect()]
+                # batch ids are dense (0 .. n-1, from the dense index): one number is enough
+                batch_ids = range(int(tr.agg(F.max("batch_id")).first()[0]) + 1)
             st = dict.fromkeys(names, 0.0)
             for b in batch_ids:
                 vec = batch_vectors(tr.filter(F.col("batch_id") == b),

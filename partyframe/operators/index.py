@@ -150,7 +150,10 @@ def dense_index(df: DataFrame, order_by: list, bucket_key: Column | None = None,
         w_all = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
         offsets = offsets.withColumn(total, F.sum("_pf_cnt").over(w_all).cast("long"))
     offsets = offsets.drop("_pf_cnt")
-    joined = bucketed.join(F.broadcast(offsets), on=[*group_names, BUCKET, BUCKET2], how="inner")
+    # without groups the offset table has at most max_buckets x sub-buckets rows: broadcast it;
+    # with groups its size grows with their number, so Spark chooses the join by size
+    offsets = offsets if groups else F.broadcast(offsets)
+    joined = bucketed.join(offsets, on=[*group_names, BUCKET, BUCKET2], how="inner")
     w = Window.partitionBy(*groups, BUCKET, BUCKET2).orderBy(*order_cols)
     return (joined
             .withColumn(out, (F.col("_pf_off") + F.row_number().over(w) - 1).cast("long"))
@@ -242,7 +245,8 @@ def running_sum(df: DataFrame, order_by: list, value: str, out: str = "below",
     offsets = totals.withColumn(
         "_pf_off", F.coalesce(F.sum("_pf_tot").over(w_small.rowsBetween(Window.unboundedPreceding, -1)),
                               F.lit(0))).drop("_pf_tot")
-    joined = bucketed.join(F.broadcast(offsets), on=[*(partition_by or []), BUCKET, BUCKET2], how="inner")
+    offsets = offsets if groups else F.broadcast(offsets)     # bounded only without groups
+    joined = bucketed.join(offsets, on=[*(partition_by or []), BUCKET, BUCKET2], how="inner")
     w = (Window.partitionBy(*groups, BUCKET, BUCKET2).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, -1))
     return (joined.withColumn(out, F.col("_pf_off") + F.coalesce(F.sum(value).over(w), F.lit(0)))
