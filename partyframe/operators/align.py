@@ -59,3 +59,19 @@ def class_weight(labels: DataFrame, y: str = "y") -> DataFrame:
     per = labels.groupBy(y).agg(F.count(F.lit(1)).alias("n_c"))
     total = F.sum("n_c").over(Window.partitionBy(F.lit(1)))
     return per.withColumn("weight", total / F.col("n_c")).orderBy(y)
+
+
+def class_weight_list(labels: DataFrame, y: str = "y", max_classes: int = 10_000) -> list[float]:
+    """A5 as a driver list indexed by class (0 .. C-1); absent classes get 0.
+
+    The per-class table is collected with a size check: more than
+    ``max_classes`` classes is an error, never a silent cut.
+    """
+    rows = class_weight(labels, y).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    n = max((r[y] for r in rows), default=-1) + 1
+    w = [0.0] * n
+    for r in rows:
+        w[r[y]] = r["weight"]
+    return w

@@ -144,11 +144,9 @@ def fit_autoencoder_q(spark, sf_dir):
         return compress.oneshot_codec(df, [f"x{p}" for p in range(3)], AE_CODEC)
 
     trc, vac, tec = (fit.prepare_batches(coded(d)) for d in (tr, va, te))
-    cw_rows = align.class_weight(tr, "cls").limit(1000).collect()
     n_cls = len(star.status_categories)
-    cw = [0.0] * n_cls
-    for r in cw_rows:
-        cw[r["cls"]] = r["weight"]
+    cw = align.class_weight_list(tr, "cls")
+    cw = cw + [0.0] * (n_cls - len(cw))
     cfg = fit.JointConfig(in_sizes=dims, dims=dims, n_out=n_cls, codec=None, class_weights=cw,
                           fixed_parties=True)
     res = fit.fit_joint(trc, vac, tec, cfg, epochs=FIT_EPOCHS, lr=FIT_LR, seed=SEED)

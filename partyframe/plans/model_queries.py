@@ -40,11 +40,8 @@ def fit_pos_weight(spark, sf_dir, star=None) -> float:
 
 
 def fit_class_weights(spark, sf_dir, star=None) -> list[float]:
-    rows = align.class_weight((star or build_star(spark, sf_dir)).labels, "cls").limit(1000).collect()
-    w = [0.0] * N_CLASSES
-    for r in rows:
-        w[r["cls"]] = r["weight"]
-    return w
+    w = align.class_weight_list((star or build_star(spark, sf_dir)).labels, "cls")
+    return w + [0.0] * (N_CLASSES - len(w))
 
 
 # ------------------------------------------------------------------ SQL twins
