@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from partyframe.functions.numeric import fp16_round, round6
 from partyframe.operators import codec
-from partyframe.plans.inputs import (SQL_EMB_BATCHES, TOPK, embedding_batches, sql_bytes,
+from partyframe.operators.index import dense_index
+from partyframe.plans.inputs import (SQL_EMB_BATCHES, TOPK, embedding_batches, relu_array, sql_bytes,
                                      sql_ceil_log2, sql_fp16)
 from partyframe.plans.registry import register
+from partyframe.sources.tables import read_table
 
 
 def _runs_sql(pos: str) -> str:
@@ -398,3 +400,77 @@ def codec_roundtrip(spark, sf_dir):
         F.sum(F.size("e")).cast("long").alias("cells"),
         round6(F.max(err)).alias("max_err"),
         round6(F.sum(F.aggregate("decoded", F.lit(0.0), lambda a, v: a + v.cast("double")))).alias("sum_decoded"))
+
+
+# ---------------------------------------------------------------- grid: batch size x dims x k x codec
+
+# fixed values: grid of the test query
+GRID_BATCHES = (64, 128)
+GRID_DIMS = (8, 16, 64)
+GRID_KS = (256, 1024, 4096)
+
+
+def _grid_sql() -> str:
+    q0, q1, q2 = sql_ceil_log2("S"), sql_ceil_log2("dims"), sql_ceil_log2("S * dims")
+    dense = {"org": 32, "int": 32, "q16": 16, "q8": 8, "q4": 4}
+    parts = []
+    for c in codec.CODECS:
+        for d in ("emb", "grad"):
+            width = 16 if c.endswith("16") else 32
+            if c in dense:
+                bits = f"{dense[c]} * S * dims"
+            elif d == "emb":
+                bits = f"nnz * {width} + (heads + tails) * {q2} + {q0} + {q1}"
+            elif c.startswith("svfl"):
+                bits = f"nnz * {width} + {q0} + {q1}"
+            else:
+                keep = "least(k, S * dims)"
+                bits = f"{keep} * {q2} + {keep} * {width} + {q0} + {q1}"
+            parts.append(f"SELECT B, dims, k, '{c}' AS codec, '{d}' AS direction, {sql_bytes(bits)} AS bytes "
+                         f"FROM counts, (VALUES {', '.join(f'({k})' for k in GRID_KS)}) kk(k)")
+    configs = ", ".join(f"({b}, {d})" for b in GRID_BATCHES for d in GRID_DIMS)
+    return f"""
+WITH eb AS (SELECT vec_id, list_transform(embedding, lambda v: greatest(v, 0::FLOAT)) AS e,
+                   row_number() OVER (ORDER BY vec_id) - 1 AS idx, count(*) OVER () AS n FROM embeddings),
+cf AS (SELECT eb.*, B, dd AS dims, idx // B AS batch_id, idx % B AS i, least(B, n - (idx // B) * B) AS S
+       FROM eb, (VALUES {configs}) g(B, dd)),
+cells AS (SELECT B, dims, batch_id, i, S, unnest(range(0, dims)) AS d, unnest(e[1:dims]) AS v FROM cf),
+runs AS (SELECT B, dims, batch_id, S, v <> 0 AS nz,
+                lag(v <> 0) OVER (PARTITION BY B, dims, batch_id ORDER BY d * S + i) AS pnz FROM cells),
+counts AS (SELECT B, dims, batch_id, max(S) AS S, count_if(nz) AS nnz,
+                  count_if(nz AND coalesce(NOT pnz, true)) AS heads,
+                  count_if(NOT nz AND coalesce(pnz, false)) AS tails
+           FROM runs GROUP BY B, dims, batch_id),
+sz AS ({' UNION ALL '.join(parts)})
+SELECT B::INTEGER AS batch_size, dims::INTEGER AS dims, k::INTEGER AS k, codec, direction,
+       count(*)::BIGINT AS messages, sum(bytes)::BIGINT AS bytes
+FROM sz GROUP BY ALL
+"""
+
+
+@register("codec_grid", _grid_sql())
+def codec_grid(spark, sf_dir):
+    """Bytes of every codec, both directions, over a grid of batch size x interface dims x k,
+    in one job: rows are numbered once, replicated per (batch size, dims) setting by an explode
+    of a literal array (the grid is bounded, 6 settings), and one shuffle builds every batch."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    idx = dense_index(emb.select("vec_id", relu_array("embedding").alias("e")), ["vec_id"], out="idx", total="n")
+    grid = F.array(*[F.struct(F.lit(b).alias("B"), F.lit(d).alias("dims")) for b in GRID_BATCHES for d in GRID_DIMS])
+    g = idx.select("idx", "n", "e", F.explode(grid).alias("g")).select(
+        "idx", "n", "e", F.col("g.B").alias("B"), F.col("g.dims").alias("dims_cfg"))
+    b = F.col("B").cast("long")
+    rows = g.select(
+        F.col("B").alias("batch_size"), F.col("dims_cfg").alias("grid_dims"),
+        F.floor(F.col("idx") / b).cast("long").alias("batch_id"),
+        (F.col("idx") % b).cast("int").alias("row_in_batch"),
+        F.least(b, F.col("n") - F.floor(F.col("idx") / b) * b).cast("int").alias("batch_rows"),
+        F.slice("e", 1, F.col("dims_cfg")).alias("e"))
+    counts = codec.run_counts(codec.batch_matrix(rows, "e", keys=("batch_size", "grid_dims", "batch_id")))
+    sized = None
+    for k in GRID_KS:
+        s = codec.codec_sizes(counts, k=k).withColumn("k", F.lit(k))
+        sized = s if sized is None else sized.unionByName(s)
+    return sized.groupBy("batch_size", F.col("dims").alias("dims"), "k", "codec", "direction").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum("bytes").cast("long").alias("bytes")).select(
+        F.col("batch_size").cast("int"), F.col("dims").cast("int"), F.col("k").cast("int"),
+        "codec", "direction", "messages", "bytes")
