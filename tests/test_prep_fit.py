@@ -186,3 +186,20 @@ def test_run_record_from_fit(spark, tmp_path):
     assert r["top_k"] is None and r["norm"] == 1 and 0 <= r["te_score"] <= 1
     out = io.append_run_log(spark, rec, str(tmp_path / "runs"), 1)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_epoch_plan_shuffles_no_rows(spark):
+    rows = [(i, [float(i), 1.0], i % 2, 0, i // 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "uid long, x0 array<double>, y int, cls int, batch_id long")
+    tr = fit.prepare_batches(df, 4)
+    tr.count()
+    cfg = fit.JointConfig(in_sizes=[2], dims=[2])
+    P = fit.joint_params(cfg)
+    flat = fit.Flat(P)
+    f = fit.batch_vector_frame(tr, lambda pdf: fit.joint_batch(pdf, P, cfg, flat))
+    f.collect()
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    above_cache = plan.split("InMemoryRelation")[0]
+    # the only exchange above the cached rows is the model-sized one on k
+    assert above_cache.count("Exchange hashpartitioning") == 1 and "hashpartitioning(k#" in above_cache
+    tr.unpersist()
