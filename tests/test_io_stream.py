@@ -96,3 +96,35 @@ def test_prepare_vertical_writes_party_datasets(spark, tmp_path):
     assert len(p1) == 4 and all(len(r["features"]) == 3 for r in p1)
     ys = {r["uid"]: r["y"] for r in spark.read.parquet(str(tmp_path / "labels")).collect()}
     assert sum(ys.values()) == 10
+
+
+def test_end_to_end_prepare_then_runs(spark, tmp_path):
+    """Entry 1 -> Entry 2 and Entry 3, through files, as a user of the reference runs them."""
+    import numpy as np
+    from partyframe.plans.experiment import run_oneshot, run_vfl
+    from partyframe.plans.prepare import PrepSpec, prepare_vertical, write_vertical
+    rng = np.random.default_rng(21)
+    n = 400
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    cat = np.where(a + b > 0, "hi", np.where(a > 0, "mid", "lo"))
+    lab = np.where(a + 0.5 * b > 0, "yes", "no")
+    df = spark.createDataFrame([(i, float(a[i]), float(b[i]), str(cat[i]), str(lab[i])) for i in range(n)],
+                               "k long, a double, b double, c string, lab string")
+    spec = PrepSpec(numeric=["a", "b"], categorical=["c"], parties=[["a"], ["b", "c"]], label="lab",
+                    order_by=["k"])
+    parties, labels, _ = prepare_vertical(df, spec)
+    write_vertical(parties, labels, str(tmp_path / "data"), 2)
+    metrics, record = run_vfl(spark, str(tmp_path / "data"), [1, 4], [2, 2], run_id="svfl", codec="svfl16",
+                              lam=0.01, batch_size=64, epochs=8, lr=0.05,
+                              snapshot_path=str(tmp_path / "params"))
+    r = record.first()
+    assert r["te_score"] > 0.7 and r["total_size_send_0"] > 0 and r["total_size_receive_1"] > 0
+    assert metrics.filter("tag = 'va/auc'").count() == 8
+    assert spark.read.parquet(str(tmp_path / "params")).filter("run_id = 'svfl'").count() > 0
+    m2, rec2 = run_oneshot(spark, str(tmp_path / "data"), [1, 4], [1, 2], run_id="pca", compress_with="pca",
+                           batch_size=64, epochs=5, lr=0.05)
+    r2 = rec2.first()
+    assert r2["total_size_receive_0"] == 0 and r2["total_size_send_1"] > 0
+    log = io.append_run_log(spark, rec2, str(tmp_path / "runs"),
+                            int(io.append_run_log(spark, record, str(tmp_path / "runs"), 1).split("=")[-1]) + 1)
+    assert spark.read.parquet(log).count() == 2
