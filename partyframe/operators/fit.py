@@ -465,7 +465,7 @@ class FitResult:
 
 def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConfig, epochs: int = 5,
               lr: float = 1e-2, party_optimizer: str = "adam", seed: int = 0, patience: int | None = None,
-              params: dict | None = None, step: str = "epoch", snapshot=None) -> FitResult:
+              params: dict | None = None, step: str = "epoch", snapshot=None, on_epoch=None) -> FitResult:
     """Epochs of steps, validation after each, best snapshot (W7), optional
     early stop (W8), test scoring with the best snapshot.
 
@@ -473,7 +473,9 @@ def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConf
     :func:`prepare_batches`.  ``step="epoch"`` (default) makes one update per epoch from the
     gradient of the epoch loss - one Spark job; ``step="batch"`` makes one update per batch in
     batch order, as the reference does - one Spark job per batch, meant for few batches.
-    ``snapshot(params, epoch)`` is called whenever the validation score improves (S10).
+    ``snapshot(params, epoch)`` is called whenever the validation score improves (S10);
+    ``on_epoch(rows)`` receives each epoch's metric rows as soon as they exist (S8), e.g. to
+    append them to a log that :mod:`partyframe.streaming.monitor` follows.
     """
     P = params or joint_params(cfg, seed)
     flat = Flat(P)
@@ -541,6 +543,8 @@ def fit_joint(tr: DataFrame, va: DataFrame, te: DataFrame | None, cfg: JointConf
                     ("time/epoch_seconds", epoch, time.time() - t0)]
         for k in totals:
             totals[k] += st[k]
+        if on_epoch is not None:
+            on_epoch([m for m in metrics if m[1] == epoch])
         score = ev["score"] if ev["score"] is not None else -1.0
         if score > best:
             best, best_epoch, best_P, waiting = score, epoch, P, 0

@@ -47,8 +47,11 @@ def run_vfl(spark: SparkSession, path: str, widths: list[int], dims: list[int],
             codec: str = "svfl16", act: str = "relu", n_out: int = 1, lam: float = 0.0, norm: int = 1,
             top_k: int = 1024, batch_size: int = 1024, epochs: int = 200, lr: float = 1e-3,
             party_optimizer: str = "adam", patience: int | None = None, seed: int = 0, bias: bool = True,
-            step: str = "epoch", snapshot_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The joint run. Returns (metric rows, one-row run record)."""
+            step: str = "epoch", snapshot_path: str | None = None,
+            metrics_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The joint run. Returns (metric rows, one-row run record).  With ``metrics_path`` every
+    epoch's metric rows are appended there while the run goes on (the streaming tracker can
+    follow that folder)."""
     al = load_aligned(spark, path, widths)
     tr, va, te = split_batches(al, batch_size, seed)
     if n_out == 1:
@@ -64,8 +67,12 @@ def run_vfl(spark: SparkSession, path: str, widths: list[int], dims: list[int],
     if snapshot_path:
         def snap(P, epoch):
             io.write_params(spark, P, run_id, epoch, snapshot_path)
+    live = None
+    if metrics_path:
+        def live(rows):
+            io.append_metrics(spark, [(run_id, t, int(s), float(v)) for t, s, v in rows], metrics_path)
     res = fit.fit_joint(tr, va, te, cfg, epochs=epochs, lr=lr, party_optimizer=party_optimizer, seed=seed,
-                        patience=patience, step=step, snapshot=snap)
+                        patience=patience, step=step, snapshot=snap, on_epoch=live)
     record = fit.run_record(spark, run_id, cfg, res, batch_size=batch_size, n_epochs=epochs, lr=lr,
                             seed=seed, client_optimizer=party_optimizer)
     for f in (tr, va, te):

@@ -116,7 +116,12 @@ def test_end_to_end_prepare_then_runs(spark, tmp_path):
     write_vertical(parties, labels, str(tmp_path / "data"), 2)
     metrics, record = run_vfl(spark, str(tmp_path / "data"), [1, 4], [2, 2], run_id="svfl", codec="svfl16",
                               lam=0.01, batch_size=64, epochs=8, lr=0.05,
-                              snapshot_path=str(tmp_path / "params"))
+                              snapshot_path=str(tmp_path / "params"), metrics_path=str(tmp_path / "live"))
+    # the streaming tracker over the live metric log agrees with the fit's best epoch
+    follow_metric_log(spark, str(tmp_path / "live"), "va/auc", str(tmp_path / "ck"),
+                      output_path=str(tmp_path / "tracked")).awaitTermination(120)
+    tracked = spark.read.parquet(str(tmp_path / "tracked")).orderBy("micro_batch").collect()[-1]
+    assert tracked["best_epoch"] == record.first()["best_epoch"] and tracked["last_epoch"] == 7
     r = record.first()
     assert r["te_score"] > 0.7 and r["total_size_send_0"] > 0 and r["total_size_receive_1"] > 0
     assert metrics.filter("tag = 'va/auc'").count() == 8
