@@ -18,31 +18,43 @@ def read_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, Dat
     return {n: read_table(spark, sf_dir, n) for n in names}
 
 
+def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Cast text columns to the schema's types the way pandas parses numbers: surrounding
+    blanks are ignored; text columns keep theirs (`` Private``)."""
+    out = []
+    for f in schema.fields:
+        c = F.col(f.name)
+        out.append(c.alias(f.name) if isinstance(f.dataType, T.StringType)
+                   else F.trim(c).try_cast(f.dataType).alias(f.name))
+    return df.select(*out)
+
+
 def read_csv_no_header(spark: SparkSession, path: str, schema: T.StructType,
                        sep: str = ",", banner_prefix: str | None = None) -> DataFrame:
     """Headerless CSV with names given by ``schema``.
 
     Text keeps its leading blank (``ignoreLeadingWhiteSpace`` is off, as in
-    pandas).  A banner line that starts with ``banner_prefix`` is skipped via
-    the CSV comment option, so no driver-side line counting is needed.
+    pandas); numbers are parsed after trimming (``", 77516"`` is 77516, as
+    pandas reads it).  A banner line that starts with ``banner_prefix`` is
+    skipped via the CSV comment option, so no driver-side line counting is needed.
     """
-    reader = (spark.read.schema(schema).option("header", False).option("sep", sep)
+    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+    reader = (spark.read.schema(text).option("header", False).option("sep", sep)
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
               .option("mode", "PERMISSIVE"))
     if banner_prefix:
         reader = reader.option("comment", banner_prefix)
-    return reader.csv(path)
+    return _typed(reader.csv(path), schema)
 
 
 def read_csv_header(spark: SparkSession, path: str, sep: str = ";",
                     schema: T.StructType | None = None) -> DataFrame:
     """S3: CSV with a header line and a custom separator (wine files use ``;``)."""
-    reader = spark.read.option("header", True).option("sep", sep)
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", False)
-    return reader.csv(path)
+    reader = spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+    df = reader.csv(path)
+    if schema is None:
+        return df
+    return _typed(df.toDF(*[f.name for f in schema.fields]), schema)
 
 
 def normalise_names(df: DataFrame) -> DataFrame:

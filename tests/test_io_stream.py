@@ -133,3 +133,12 @@ def test_end_to_end_prepare_then_runs(spark, tmp_path):
     log = io.append_run_log(spark, rec2, str(tmp_path / "runs"),
                             int(io.append_run_log(spark, record, str(tmp_path / "runs"), 1).split("=")[-1]) + 1)
     assert spark.read.parquet(log).count() == 2
+
+
+def test_numbers_with_leading_blank_parse_like_pandas(spark, tmp_path):
+    p = tmp_path / "adult.data"
+    p.write_text("39, State-gov, 77516, <=50K\n50, ?, 83311, >50K\n")
+    st = T.StructType([T.StructField("age", T.LongType()), T.StructField("workclass", T.StringType()),
+                       T.StructField("fnlwgt", T.LongType()), T.StructField("over_50k", T.StringType())])
+    rows = tables.read_csv_no_header(spark, str(p), st).collect()
+    assert [r["fnlwgt"] for r in rows] == [77516, 83311] and rows[1]["workclass"] == " ?"
