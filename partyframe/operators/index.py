@@ -162,20 +162,32 @@ def dense_index(df: DataFrame, order_by: list, bucket_key: Column | None = None,
 
 def seeded_split(df: DataFrame, uid: str, fractions: tuple[float, ...] = (0.1,),
                  names: tuple[str, ...] = ("tr", "te"), seed: int = 0, out: str = "split",
-                 **kw) -> DataFrame:
+                 holdout: bool = False, **kw) -> DataFrame:
     """Split into parts of exact sizes in a seeded pseudo-random order.
 
     ``fractions`` are applied one after another like repeated
     ``train_test_split``: first ``ceil(n * f0)`` rows go to the last name, then
     ``ceil(rest * f1)`` to the name before it, ... ; the rest to ``names[0]``.
+    With ``holdout=True`` (two fractions, three names) the second cut is taken
+    from the held-out part instead: ``ceil(n * f0)`` rows are held out and
+    ``ceil(held * f1)`` of them go to the last name, the others to the middle one.
     """
     if len(names) != len(fractions) + 1:
         raise ValueError("need one more name than fractions")
+    if holdout and len(fractions) != 2:
+        raise ValueError("holdout splits take two fractions")
     ordered = df.withColumn("_pf_h", md5_order_key(seed, uid))
     kw.setdefault("uniform_range", MD5_KEY_RANGE)
     kw.setdefault("max_buckets", MD5_BUCKETS)
     idx = dense_index(ordered, ["_pf_h", uid], bucket_key=md5_bucket_key("_pf_h"),
                       out="_pf_r", total="_pf_n", **kw)
+    if holdout:
+        n = F.col("_pf_n").cast("double")
+        held = F.ceil(n * F.lit(float(fractions[0])))
+        last = F.ceil(held * F.lit(float(fractions[1])))
+        expr = (F.when(F.col("_pf_r") < n - held, F.lit(names[0]))
+                .when(F.col("_pf_r") < n - last, F.lit(names[1])).otherwise(F.lit(names[2])))
+        return idx.withColumn(out, expr).drop("_pf_h", "_pf_r", "_pf_n")
     # sizes: n_last = ceil(n*f0); rest shrinks by each cut
     rest = F.col("_pf_n").cast("double")
     cut_sizes = []

@@ -33,7 +33,9 @@ class PrepSpec:
     fractions: tuple = (0.1, 0.1)
     names: tuple = ("tr", "va", "te")
     seed: int = 0
-    fit_on: str = "all"                      # "all" (the reference) or "train"
+    fit_on: str = "all"                      # "all", "train", or "not_test" (the training file)
+    holdout: bool = False                    # second fraction cut from the held-out part
+    presplit: str | None = None              # column holding names[-1] for rows of a separate test file
     extra: dict = field(default_factory=dict)
 
 
@@ -57,8 +59,20 @@ def prepare_vertical(df: DataFrame, spec: PrepSpec) -> tuple[DataFrame, DataFram
     else:
         cat_cols = spec.categorical
     indexed = dense_index(df, spec.order_by, out="uid")
-    split = seeded_split(indexed, "uid", spec.fractions, spec.names, seed=spec.seed)
-    fit_rows = split if spec.fit_on == "all" else split.filter(F.col("split") == spec.names[0])
+    if spec.presplit:
+        # rows of the separate test file keep that split; the others are cut by the fractions
+        test = F.col(spec.presplit) == F.lit(spec.names[-1])
+        split = seeded_split(indexed.filter(~test), "uid", spec.fractions, spec.names[:-1], seed=spec.seed,
+                             holdout=spec.holdout).unionByName(
+            indexed.filter(test).withColumn("split", F.lit(spec.names[-1])))
+    else:
+        split = seeded_split(indexed, "uid", spec.fractions, spec.names, seed=spec.seed, holdout=spec.holdout)
+    if spec.fit_on == "all":
+        fit_rows = split
+    elif spec.fit_on == "not_test":
+        fit_rows = split.filter(F.col("split") != spec.names[-1])
+    else:
+        fit_rows = split.filter(F.col("split") == spec.names[0])
     fitted = prep.fit_table(fit_rows, spec.numeric, cat_cols)
     if isinstance(spec.label, str):
         label_cats = fitted["categories"][spec.label]

@@ -124,3 +124,12 @@ def test_hot_first_key_is_split_and_order_kept(spark):
     got = sorted((r["idx"], r["k1"], r["k2"]) for r in out)
     want = sorted(zip(k1.tolist(), k2.tolist()))
     assert [(g[1], g[2]) for g in got] == want and [g[0] for g in got] == list(range(n))
+
+
+def test_holdout_split_sizes(spark):
+    df = spark.range(6497).withColumnRenamed("id", "uid")       # red + white wine rows
+    c = {r["split"]: r["count"] for r in seeded_split(df, "uid", (0.2, 0.5), ("tr", "va", "te"), holdout=True)
+         .groupBy("split").count().collect()}
+    held = int(np.ceil(6497 * 0.2))
+    te = int(np.ceil(held * 0.5))
+    assert c == {"tr": 6497 - held, "va": held - te, "te": te} == {"tr": 5197, "va": 650, "te": 650}

@@ -1,6 +1,7 @@
 """Round trips of the sources / sinks (S1-S10, U2) and the streaming tracker."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partyframe.sources import io, tables
@@ -142,3 +143,55 @@ def test_numbers_with_leading_blank_parse_like_pandas(spark, tmp_path):
                        T.StructField("fnlwgt", T.LongType()), T.StructField("over_50k", T.StringType())])
     rows = tables.read_csv_no_header(spark, str(p), st).collect()
     assert [r["fnlwgt"] for r in rows] == [77516, 83311] and rows[1]["workclass"] == " ?"
+
+
+def _census_line(rng, i, label):
+    wc = ["Private", "State-gov", "?"][i % 3]
+    return (f"{20 + i % 50}, {wc}, {1000 + i}, Bachelors, 13, Never-married, Sales, Husband, White, "
+            f"{['Male', 'Female'][i % 2]}, 0, 0, 40, United-States, {label}")
+
+
+def test_census_preset_end_to_end(spark, tmp_path):
+    import numpy as np
+    from partyframe.plans.datasets import census_spec, read_census
+    from partyframe.plans.prepare import prepare_vertical
+    rng = np.random.default_rng(1)
+    (tmp_path / "adult.data").write_text("\n".join(_census_line(rng, i, "<=50K" if i % 3 else ">50K")
+                                                   for i in range(60)) + "\n")
+    (tmp_path / "adult.test").write_text("|1x3 Cross validator\n" + "\n".join(
+        _census_line(rng, i, "<=50K." if i % 2 else ">50K.") for i in range(20)) + "\n")
+    df = read_census(spark, str(tmp_path / "adult.data"), str(tmp_path / "adult.test"))
+    parties, labels, fitted = prepare_vertical(df, census_spec())
+    sizes = {r["split"]: r["count"] for r in labels.groupBy("split").count().collect()}
+    assert sizes == {"tr": 54, "va": 6, "te": 20}
+    assert fitted["categories"]["over_50k"] == [" <=50K", " >50K"]     # test labels lost their '.'
+    assert fitted["categories"]["workclass"] == [" ?", " Private", " State-gov"]
+    ids = sorted(r["uid"] for r in labels.collect())
+    assert ids == list(range(80))                                      # test ids continue after train
+    assert {r["uid"] for r in labels.filter("split = 'te'").collect()} == set(range(60, 80))
+    widths = {r["party"]: len(r["features"]) for r in parties.select("party", "features").distinct().collect()}
+    assert widths == {0: 1 + 3 + 1 + 1 + 1, 1: 1 + 1 + 1 + 1 + 2, 2: 3 + 1}
+    assert labels.filter("split = 'te'").agg(F.sum("y")).first()[0] == 10
+
+
+def test_wine_and_covtype_presets(spark, tmp_path):
+    from partyframe.plans.datasets import WINE_NUMERIC, read_covtype, read_wine, covtype_spec, wine_spec
+    from partyframe.plans.prepare import prepare_vertical
+    head = '"fixed acidity";"volatile acidity";"citric acid";"residual sugar";"chlorides";' \
+           '"free sulfur dioxide";"total sulfur dioxide";"density";"pH";"sulphates";"alcohol";"quality"'
+    for name, n in (("red", 30), ("white", 50)):
+        (tmp_path / f"{name}.csv").write_text(head + "\n" + "\n".join(
+            ";".join(str(0.1 * (i + j)) for j in range(11)) + f";{3 + i % 6}" for i in range(n)) + "\n")
+    wine = read_wine(spark, str(tmp_path / "red.csv"), str(tmp_path / "white.csv"))
+    parties, labels, _ = prepare_vertical(wine, wine_spec())
+    sizes = {r["split"]: r["count"] for r in labels.groupBy("split").count().collect()}
+    assert sizes == {"tr": 64, "va": 8, "te": 8}
+    assert labels.agg(F.sum("y")).first()[0] == sum(1 for n in (30, 50) for i in range(n) if 3 + i % 6 >= 7)
+    assert sorted(len(r["features"]) for r in parties.select("party", "features").limit(200).collect())[0] == 4
+    rows = [",".join(str((i + j) % 5) for j in range(54)) + f",{1 + i % 7}" for i in range(40)]
+    (tmp_path / "covtype.data").write_text("\n".join(rows) + "\n")
+    cov = read_covtype(spark, str(tmp_path / "covtype.data"))
+    parties, labels, _ = prepare_vertical(cov, covtype_spec())
+    assert sorted(r["y"] for r in labels.select("y").distinct().collect()) == list(range(7))
+    widths = {r["party"]: len(r["features"]) for r in parties.select("party", "features").distinct().collect()}
+    assert widths == {0: 7, 1: 7, 2: 40}
