@@ -131,3 +131,27 @@ def run_oneshot(spark: SparkSession, path: str, widths: list[int], dims: list[in
         f.unpersist()
     rows = [(run_id, t, int(s), float(v)) for t, s, v in metrics + res.metrics]
     return spark.createDataFrame(rows, METRIC_SCHEMA), record
+
+
+def run_grid(spark: SparkSession, path: str, widths: list[int], configs: list[dict], runs_dir: str,
+             version: int, concurrent: int = 1) -> str:
+    """Entry 4 (the experiment grid): every configuration is one run - ``run_vfl``, or
+    ``run_oneshot`` when it has ``compress_with`` - and their records are unioned by name (runs
+    of different kinds carry different columns) into version ``version`` of the run log.
+
+    ``concurrent`` > 1 submits that many runs at once from driver threads, so small runs share
+    the cluster instead of queueing; each run is still its own set of Spark jobs.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(cfg: dict):
+        cfg = dict(cfg)
+        kind = run_oneshot if "compress_with" in cfg else run_vfl
+        return kind(spark, path, widths, **cfg)[1]
+
+    with ThreadPoolExecutor(max_workers=max(1, concurrent)) as pool:
+        records = list(pool.map(one, configs))
+    merged = records[0]
+    for r in records[1:]:
+        merged = merged.unionByName(r, allowMissingColumns=True)
+    return io.append_run_log(spark, merged, runs_dir, version)

@@ -134,6 +134,19 @@ def test_end_to_end_prepare_then_runs(spark, tmp_path):
     log = io.append_run_log(spark, rec2, str(tmp_path / "runs"),
                             int(io.append_run_log(spark, record, str(tmp_path / "runs"), 1).split("=")[-1]) + 1)
     assert spark.read.parquet(log).count() == 2
+    # a small grid (two codecs and a one-shot run), two runs at a time, appended as version 3
+    from partyframe.plans.experiment import run_grid
+    grid = [dict(run_id="q8", codec="q8", dims=[2, 2], batch_size=64, epochs=2, lr=0.05),
+            dict(run_id="topk", codec="topk", top_k=16, dims=[2, 2], batch_size=64, epochs=2, lr=0.05),
+            dict(run_id="ae", compress_with="ae", codec="q8", dims=[1, 2], batch_size=64, epochs=2,
+                 ae_epochs=2, lr=0.05)]
+    v3 = run_grid(spark, str(tmp_path / "data"), [1, 4], grid, str(tmp_path / "runs"), 3, concurrent=2)
+    runs = {r["run_id"]: r for r in spark.read.parquet(v3).collect()}
+    assert set(runs) == {"svfl", "pca", "q8", "topk", "ae"}
+    assert runs["topk"]["top_k"] == 16 and runs["q8"]["top_k"] is None and runs["ae"]["compress"] == "ae"
+    # q8 sends one byte per cell: (2 x train + validation) rows x 2 dims per party and epoch;
+    # 400 rows split 324 / 36 / 40 (test ceil(10 %), validation ceil(10 % of the rest))
+    assert runs["q8"]["total_size_send_0"] + runs["q8"]["total_size_receive_0"] == 2 * (2 * 324 + 36) * 2
 
 
 def test_numbers_with_leading_blank_parse_like_pandas(spark, tmp_path):
