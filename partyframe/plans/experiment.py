@@ -100,10 +100,14 @@ def run_oneshot(spark: SparkSession, path: str, widths: list[int], dims: list[in
                 df = df.withColumn(c, compress.pca_codes(c, mean, pc))
             return compress.oneshot_codec(df, cols, codec)
     else:
-        aes = []
-        for p, (c, w, d) in enumerate(zip(cols, widths, dims)):
-            P, hist = fit.fit_autoencoder(tr, va, c, w, d, epochs=ae_epochs, lr=lr, patience=patience, seed=seed)
-            aes.append(P)
+        from concurrent.futures import ThreadPoolExecutor
+        # the parties' autoencoders are independent: their jobs are submitted together
+        with ThreadPoolExecutor(max_workers=len(cols)) as pool:
+            fitted = list(pool.map(lambda a: fit.fit_autoencoder(tr, va, a[0], a[1], a[2], epochs=ae_epochs, lr=lr,
+                                                                 patience=patience, seed=seed),
+                                   zip(cols, widths, dims)))
+        aes = [P for P, _ in fitted]
+        for p, (_, hist) in enumerate(fitted):
             metrics += [(f"ae{p}/va_loss", e, v) for e, _, v in hist]
 
         def coded(df):

@@ -9,6 +9,7 @@ model-sized results of the Spark jobs.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -131,10 +132,13 @@ def fit_autoencoder_q(spark, sf_dir):
     star, sp, tr, va, te = star_split_batches(spark, sf_dir)
     dims = [DIM] * 3
     metrics = []
-    aes = []
-    for p, w in enumerate(WIDTHS):
-        P, hist = fit.fit_autoencoder(tr, va, f"x{p}", w, dims[p], epochs=FIT_EPOCHS, lr=FIT_LR, seed=SEED)
-        aes.append(P)
+    # each party trains its own autoencoder: independent jobs, submitted together
+    with ThreadPoolExecutor(max_workers=len(WIDTHS)) as pool:
+        fitted = list(pool.map(lambda pw: fit.fit_autoencoder(tr, va, f"x{pw[0]}", pw[1], dims[pw[0]],
+                                                              epochs=FIT_EPOCHS, lr=FIT_LR, seed=SEED),
+                               enumerate(WIDTHS)))
+    aes = [P for P, _ in fitted]
+    for p, (_, hist) in enumerate(fitted):
         for epoch, trl, val in hist:
             metrics += [(f"ae{p}/tr_loss", epoch, trl), (f"ae{p}/va_loss", epoch, val)]
 
