@@ -5,8 +5,9 @@ size-checked Python value such as a fitted dictionary).  Sub-packages:
 
 * ``sources``   - readers / writers (CSV, party layout, messages, logs)
 * ``functions`` - Column-expression helpers (activations, fp16 grid, bit widths)
-* ``operators`` - prep, index, align, codec, model, evaluate
-* ``plans``     - compositions over the test tables (the registered queries)
+* ``operators`` - prep, index, align, codec, model, fit, compress, evaluate
+* ``plans``     - the reference's entries as calls (``prepare``, ``datasets``, ``experiment``)
+                  and the registered queries over the test tables
 * ``streaming`` - incremental monitoring of metric logs (best epoch / early stop)
 """
 
