@@ -1,10 +1,10 @@
 """Entries 2 and 3 of the reference as calls: party datasets on disk -> fitted run.
 
-``run_vfl`` is the joint run (``sparsevfl``): read every party's dataset
+``run_vfl`` is the joint run with a codec: read every party's dataset
 and the labels (S6), align them on ``uid`` with zero fill (J1, J2), batch
 the training split in a seeded permutation and the others in uid order (W3),
 fit with the chosen codec (M13-M15) and return the metric rows and the run
-record (S8, E3).  ``run_oneshot`` is the one-shot run (``compressvfl``):
+record (S8, E3).  ``run_oneshot`` is the one-shot compression run:
 PCA or an autoencoder per party, codes sent once, head-only fit (M16-M19).
 """
 
