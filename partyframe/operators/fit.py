@@ -131,9 +131,10 @@ def encode_decode_grad(G: np.ndarray, E: np.ndarray, codec: str | None, k: int)
     raise ValueError(f"unknown codec {codec}")
 
 
-def run_stats(E: np.ndarray) -> tuple[int, int, int]:
-    """nnz, heads, tails of the column-major flattening (an open last run has no tail)."""
-    nz = (E.T.ravel() != 0)
+def run_stats(E: np.ndarray, axis: int = 1) -> tuple[int, int, int]:
+    """nnz, heads, tails of the flattened batch (an open last run has no tail); ``axis=1``
+    column-major (the default layout), ``axis=0`` row-major."""
+    nz = ((E.T if axis == 1 else E).ravel() != 0)
     if nz.size == 0:
         return 0, 0, 0
     prev = np.concatenate([[False], nz[:-1]])
@@ -232,6 +233,7 @@ class JointConfig:
     class_weights: list[float] | None = None
     bias: bool = True
     fixed_parties: bool = False     # one-shot: inputs are already codes, no party layers
+    axis: int = 1                   # run-length layout: 1 column-major, 0 row-major
 
     @property
     def n_parties(self) -> int:
@@ -353,7 +355,7 @@ def joint_batch(pdf: pd.DataFrame, P: dict, cfg: JointConfig, flat: Flat) -> np.
             # one-shot codes were sent once before training; nothing travels per epoch
             stats[f"send_bytes_{p}"] = stats[f"receive_bytes_{p}"] = 0
         else:
-            nnz, hh, tt = run_stats(e)
+            nnz, hh, tt = run_stats(e, cfg.axis)
             stats[f"send_bytes_{p}"] = math.ceil(
                 message_bits_np(codec_name, "emb", S, d, nnz, hh, tt, cfg.top_k) / 8)
             stats[f"receive_bytes_{p}"] = math.ceil(
@@ -386,7 +388,7 @@ def joint_scores(pdf: pd.DataFrame, P: dict, cfg: JointConfig) -> pd.DataFrame:
     for p, e in enumerate(E):
         sent = np.zeros(len(pdf), dtype=np.int64)
         if len(pdf) and not cfg.fixed_parties:
-            nnz, hh, tt = run_stats(e)
+            nnz, hh, tt = run_stats(e, cfg.axis)
             sent[0] = math.ceil(message_bits_np(cfg.codec or "org", "emb", len(pdf), e.shape[1], nnz, hh, tt,
                                                 cfg.top_k) / 8)
         out[f"send_bytes_{p}"] = sent
@@ -651,7 +653,8 @@ def run_record(spark, run_id: str, cfg: JointConfig, res: FitResult, **config) -
                sparse_embed_lambda=float(cfg.lam) if cfg.lam else None,
                sparse_embed_epsilon=float(cfg.eps), sparse_grad_epsilon=float(cfg.grad_eps),
                top_k=int(cfg.top_k) if (cfg.codec or "").startswith("topk") else None,
-               norm=int(cfg.penalty_p) if cfg.lam else None, best_epoch=int(res.best_epoch))
+               norm=int(cfg.penalty_p) if cfg.lam else None, run_axis=int(cfg.axis),
+               best_epoch=int(res.best_epoch))
     row.update(config)
     for d in ("send", "receive"):
         for p in range(cfg.n_parties):

@@ -48,7 +48,7 @@ def run_vfl(spark: SparkSession, path: str, widths: list[int], dims: list[int],
             top_k: int = 1024, batch_size: int = 1024, epochs: int = 200, lr: float = 1e-3,
             party_optimizer: str = "adam", patience: int | None = None, seed: int = 0, bias: bool = True,
             step: str = "epoch", snapshot_path: str | None = None,
-            metrics_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+            metrics_path: str | None = None, axis: int = 1) -> tuple[DataFrame, DataFrame]:
     """The joint run. Returns (metric rows, one-row run record).  With ``metrics_path`` every
     epoch's metric rows are appended there while the run goes on (the streaming tracker can
     follow that folder)."""
@@ -62,7 +62,7 @@ def run_vfl(spark: SparkSession, path: str, widths: list[int], dims: list[int],
         cw = align.class_weight_list(tr, "cls")
         cw = cw + [0.0] * (n_out - len(cw))
     cfg = fit.JointConfig(in_sizes=widths, dims=dims, n_out=n_out, act=act, codec=codec, top_k=top_k, lam=lam,
-                          penalty_p=norm, pos_weight=pw, class_weights=cw, bias=bias)
+                          penalty_p=norm, pos_weight=pw, class_weights=cw, bias=bias, axis=axis)
     snap = None
     if snapshot_path:
         def snap(P, epoch):

@@ -46,12 +46,13 @@ def test_rle_roundtrip_edges(spark, name, axis):
     np.testing.assert_array_equal(got, M.astype(np.float32))
 
 
-def test_run_counts_match_numpy(spark):
+@pytest.mark.parametrize("axis", [0, 1])
+def test_run_counts_match_numpy(spark, axis):
     rng = np.random.default_rng(3)
     M = np.maximum(rng.normal(size=(37, 5)), 0)
     b = _batch(spark, M.tolist())
-    r = codec.run_counts(codec.batch_matrix(b, "e", axis=1)).first()
-    assert (r["nnz"], r["heads"], r["tails"]) == fit.run_stats(M)
+    r = codec.run_counts(codec.batch_matrix(b, "e", axis=axis)).first()
+    assert (r["nnz"], r["heads"], r["tails"]) == fit.run_stats(M, axis)
 
 
 def test_fp16_edges(spark):
