@@ -21,7 +21,7 @@ def test_query_matches_oracle(spark, con, name):
     assert r["ok"], r
 
 
-@pytest.mark.parametrize("name", [n for n in NO_SQL if n != "fit_autoencoder"])
+@pytest.mark.parametrize("name", NO_SQL)
 def test_query_without_oracle_runs(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert df.count() > 0
