@@ -12,3 +12,10 @@ size-checked Python value such as a fitted dictionary).  Sub-packages:
 """
 
 from partyframe.session import get_spark, ensure_checkpoint_dir  # noqa: F401
+
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+# Functions of this package that run in tasks travel with the job, so workers need no copy of it on their path.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
