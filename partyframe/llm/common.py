@@ -8,7 +8,6 @@ string per word.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,18 +46,6 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
 
 
-def block_count(docs: DataFrame, text_col: str = "text", block_bytes: int = 4 << 20) -> int:
-    """Number of blocks so that each holds about ``block_bytes`` of text, whatever the size of the table."""
-    return max(1, math.ceil(text_bytes(docs, text_col) / block_bytes))
-
-
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, n_blocks: int, carry: Column | None = None) -> DataFrame:
-    """(block, id, text[, row]); the block is a function of the row alone, so every pass agrees on it."""
-    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).cast("int")
-    cols = [block.alias("block"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
-    return docs.select(*cols, *([carry.alias("row")] if carry is not None else []))
-
-
 def row_struct(docs: DataFrame, *without: str) -> Column:
     """All columns but ``without`` as one struct, so that no name of theirs can clash with internal ones."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in without]
@@ -135,11 +122,9 @@ class Words:
             return np.zeros(0, U)
         n = len(self.data)
         length = self.end - self.start
-        place = np.arange(n) - np.repeat(self.start, np.diff(np.append(self.start, n)))if self.start[0] == 0 else None
-        if place is None:
-            place = np.zeros(n, np.int64)
-            place[self.start[0]:] = (np.arange(self.start[0], n)
-                                     - np.repeat(self.start, np.diff(np.append(self.start, n))))
+        place = np.zeros(n, np.int64)           # of each byte in its word
+        place[self.start[0]:] = np.arange(self.start[0], n) - np.repeat(self.start,
+                                                                        np.diff(np.append(self.start, n)))
         power = np.cumprod(np.full(int(place.max()) + 1, _P, U))
         value = self.data.astype(U) + U(1)
         value[self.space] = 0
@@ -195,7 +180,3 @@ def frame(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else
                                        (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c)
                                        for c, f in zip(columns, schema)], schema=schema)
-
-
-def spark_conf(spark: SparkSession, key: str, default: str) -> str:
-    return spark.conf.get(key, default)

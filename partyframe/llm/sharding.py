@@ -26,6 +26,28 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     which all three values are equal may change places, which changes nothing
     in the result.  An empty table gives no rows.  Extra columns are ignored.
     """
+    placed = _placed(docs, n_shards, id_col, text_col)
+    # n_shards rows, whatever the input
+    firsts = placed.groupBy("shard").agg(F.min("place").alias("first_place"))
+    return placed.join(F.broadcast(firsts), "shard").select(
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard",
+        (F.col("place") - F.col("first_place")).cast("long").alias("slot"))
+
+
+def cut_points(docs: DataFrame, n_shards: int, id_col: str, text_col: str) -> list[tuple[int, int]]:
+    """(id, crc32) of the first row of each shard but the first: at most ``n_shards - 1`` small pairs.
+
+    A null id is written as the smallest long.
+    """
+    placed = _placed(docs, n_shards, id_col, text_col)
+    lowest = F.lit(-(1 << 63)).cast("long")
+    firsts = (placed.groupBy("shard").agg(F.min(F.struct(F.coalesce("id", lowest).alias("id"), "crc")).alias("first"))
+              .orderBy("shard").collect())
+    return [(r["first"]["id"], r["first"]["crc"]) for r in firsts[1:]]
+
+
+def _placed(docs: DataFrame, n_shards: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, size, crc, place, shard): place and shard of each row in the order of (id, crc)."""
     text = F.col(text_col)
     slim = docs.select(
         F.col(id_col).cast("long").alias("id"),
@@ -45,15 +67,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         F.sum("part_bytes").over(every).alias("all_bytes"))
     inside = Window.partitionBy("part").orderBy(*order)
     start = F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = (parted.join(offsets, "part")
+    return (parted.join(offsets, "part")
               .withColumn("start", start)
               .withColumn("place", F.col("rows_before") + F.row_number().over(inside) - 1)
               # decimal: 2 * bytes * shards passes 2^63 only beyond 10^17 bytes, but the plan should not depend on it
               .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(
                   (F.col("start") * 2 + F.col("size")).cast("decimal(30,0)") * n_shards
                   / (F.col("all_bytes") * 2)).cast("int"))))
-    # n_shards rows, whatever the input
-    firsts = placed.groupBy("shard").agg(F.min("place").alias("first_place"))
-    return placed.join(F.broadcast(firsts), "shard").select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard",
-        (F.col("place") - F.col("first_place")).cast("long").alias("slot"))

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import counts as K
+from .sharding import cut_points
 
 # A perfect difference set: every residue modulo 13 is a difference of two of its members.
 PERIOD = 13
 COVER = (0, 1, 3, 9)
+ANCHOR, PLACE = 0, 1
+RESULT = ("n_words", "n_removed", "changed")
 
 
 def _anchors(words: C.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -23,196 +27,120 @@ def _anchors(words: C.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, C.window_hash(h, width)[at]
 
 
+def _candidates(words: C.Words, window: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows that hold a shared anchor."""
+    at, h = _anchors(words, window - PERIOD + 1)
+    at = at[C.contains(shared, h)[0]]
+    ok = C.windows_in_row(words.row, window)
+    edge = np.zeros(len(words) + 1, np.int64)       # an anchor is held by the windows from PERIOD - 1 words before it
+    np.add.at(edge, np.maximum(at - PERIOD + 1, words.first[words.row[at]]), 1)
+    np.add.at(edge, at + 1, -1)
+    pick = np.flatnonzero(ok & (np.cumsum(edge)[:len(ok)] > 0))
+    return pick, C.window_hash(words.hashes(), window)[pick] if len(pick) else np.zeros(0, np.uint64)
+
+
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                   block_bytes: int = 4 << 20) -> DataFrame:
+                   block_bytes: int = 8 << 20) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts earlier.
 
     Earlier: a smaller id, or the same row at an earlier start (null ids come
-    first).  Any two equal runs of ``window`` words share an anchor: at some
-    offset below ``PERIOD`` both places fall on cover positions, and the
-    anchor window of ``window - PERIOD + 1`` words from there lies inside both.
-
-    1. Hashes of anchor windows, once per block of rows, are counted.
-    2. Blocks get back those that occur twice; the ``window``-word windows
-       around them are the candidates, hashed with 128 bits.
-    3. The first place of every candidate is found, once per block and then
-       overall; blocks get back those with more than one place.
-    4. Each block marks the covered words.
-
-    A hash counts once per block, so a passage that a third of all rows
-    share is no larger group than the number of blocks; no pairs are made.
-
-    Returns the input columns with ``text`` replaced by the kept words joined
-    by one space (null text: empty), and n_words, n_removed, changed.  Rows
-    that share an id are ordered by their text, equal rows are the same
-    place: nothing is removed from either for the other's sake.  An empty
-    table gives no rows.
+    first; rows that share an id go by the crc32 of their text, then the text).
+    Any two equal runs of ``window`` words share an anchor: at some offset
+    below ``PERIOD`` both places fall on cover positions, and the anchor window
+    of ``window - PERIOD + 1`` words from there lies inside both.
+
+    Blocks of text are ranges of that order, cut at equal bytes.
+
+    1. Each block asks which of its anchors occur twice (:mod:`.counts`).
+    2. The windows around those are the candidates.  Each block asks, once per
+       distinct window, whether an earlier block has it (64-bit key and 16
+       check bits).
+    3. Each block marks the covered words: windows that an earlier block has,
+       and all but the first of those that it has twice.
+
+    A passage that a third of all rows share is one entry per block, and no
+    pairs are made.
+
+    Returns the input columns with the text replaced by the kept words joined
+    by one space (null text: empty), and n_words, n_removed, changed; input
+    columns of these three names are replaced.  Texts of fewer than ``window``
+    words lose nothing.  An empty table gives no rows.
     """
-    width = window - PERIOD + 1
-    if width < 1:
+    if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
-    n_blocks = C.block_count(docs, text_col, block_bytes)
-    blocked = C.in_blocks(docs, id_col, text_col, n_blocks, C.row_struct(docs, text_col))
-    rows_type = blocked.schema["row"].dataType
-
-    anchor_schema = pa.schema([("hash", pa.int64()), ("block", pa.int32()), ("n", pa.int32())])
-
-    def anchors(batches):
-        for batch in batches:
-            for t in C.slices(batch):
-                words = C.Words(t.column("text"))
-                at, h = _anchors(words, width)
-                block = t.column("block").to_numpy()[words.row[at]]
-                order = np.lexsort((h, block))
-                h, block = h[order], block[order]
-                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (block[1:] != block[:-1])))) \
-                    if len(h) else np.zeros(0, int)
-                yield C.frame(anchor_schema, C.signed(h[new]), block[new], np.diff(np.append(new, len(h))))
-
-    def repeated(batches):
-        got = [pa.Table.from_batches([b]) for b in batches]
+    n_blocks, n_shards = K.plan_sizes(docs, text_col, block_bytes)
+    points = cut_points(docs, n_blocks, id_col, text_col) if n_blocks > 1 else []
+    carried = [c for c in docs.columns if c != text_col and c not in RESULT]
+    row = C.row_struct(docs, text_col, *RESULT)
+    row_type = docs.select(row.alias("row")).schema["row"].dataType
+    # one exchange of the texts, read by all three passes
+    blocks = K.pack_docs(docs, id_col, text_col, n_blocks, row, points).groupBy("block")
+
+    def ask_anchors(left: pa.Table) -> pa.Table:
+        got = [_anchors(C.Words(t.column("text")), window - PERIOD + 1)[1] for t in C.slices(K.unpack_docs(left))]
+        keys, n = np.unique(np.concatenate(got), return_counts=True)
+        return K.ask(ANCHOR, left.column("block")[0].as_py(), keys, n_shards, np.minimum(n, 2).astype(np.uint8))
+
+    def twice(kind, keys, sums):
+        return [(sums[0] > 1).astype(np.uint8)]
+
+    def shared_anchors(t: pa.Table, right: pa.Table) -> np.ndarray:
+        got = K.answers(right, ANCHOR)
         if not got:
-            return
-        t = pa.concat_tables(got)
-        h, block, n = (t.column(c).to_numpy() for c in ("hash", "block", "n"))
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, int)
-        if not len(new):
-            return
-        size = np.diff(np.append(new, len(h)))
-        total = np.add.reduceat(n[order].astype(np.int64), new)
-        keep = np.repeat(total > 1, size)
-        yield C.frame(pa.schema([("block", pa.int32()), ("hash", pa.int64())]), block[order][keep], h[keep])
-
-    shared = (blocked.select("block", "text").mapInArrow(anchors, "hash long, block int, n int")
-              .repartition("hash").mapInArrow(repeated, "block int, hash long"))
-
-    place_schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("block", pa.int32()),
-                              ("id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
-
-    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.unique(right.column("hash").to_numpy())
-        out = []
-        if len(known):
-            for t in C.slices(left):
-                words = C.Words(t.column("text"))
-                at, h = _anchors(words, width)
-                at = at[C.contains(known, C.signed(h))[0]]
-                ok = C.windows_in_row(words.row, window)
-                # a window holds the anchor if it starts at most PERIOD - 1 words before it
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, np.maximum(at - PERIOD + 1, words.first[words.row[at]]), 1)
-                np.add.at(edge, at + 1, -1)
-                pick = np.flatnonzero(ok & (np.cumsum(edge)[:len(ok)] > 0))
-                if len(pick):
-                    wh = words.hashes()
-                    out.append(_places(t, words, pick, C.window_hash(wh, window, 0)[pick],
-                                       C.window_hash(wh, window, 1)[pick]))
-        if not out:
-            return place_schema.empty_table()
-        h1, h2, ids, tie, at = (np.concatenate(x) for x in zip(*out))
-        return _firsts(h1, h2, np.full(len(h1), left.column("block")[0].as_py(), np.int32), ids, tie, at,
-                       np.ones(len(h1), np.int64))
-
-    def _places(t, words, pick, h1, h2):
-        ids = _ids(t)
-        return (C.signed(h1), C.signed(h2), ids[words.row[pick]], _ties(words)[words.row[pick]],
-                (pick - words.first[words.row[pick]]).astype(np.int32))
-
-    def _firsts(h1, h2, block, ids, tie, at, n) -> pa.Table:
-        """The first place of each key, and how many places it has."""
-        order = np.lexsort((at, tie, ids, h2, h1))
-        h1, h2 = h1[order], h2[order]
-        new = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-        total = np.add.reduceat(n[order], new)
-        pick = order[new]
-        return pa.Table.from_batches([C.frame(place_schema, h1[new], h2[new], block[pick], ids[pick], tie[pick],
-                                              at[pick], np.minimum(total, 2).astype(np.int32))])
-
-    def overall(batches):
-        got = [pa.Table.from_batches([b]) for b in batches]
-        if not got:
-            return
-        t = pa.concat_tables(got)
-        if not t.num_rows:
-            return
-        h1, h2, block, ids, tie, at, n = (t.column(c).to_numpy() for c in place_schema.names)
-        order = np.lexsort((at, tie, ids, h2, h1))
-        h1, h2 = h1[order], h2[order]
-        new = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-        size = np.diff(np.append(new, len(h1)))
-        keep = np.repeat(np.add.reduceat(n[order].astype(np.int64), new) > 1, size)
-        first = np.repeat(order[new], size)[keep]
-        yield C.frame(place_schema, h1[keep], h2[keep], block[order][keep], ids[first], tie[first], at[first],
-                      np.full(int(keep.sum()), 2, np.int32))
-
-    place_ddl = "h1 long, h2 long, block int, id long, tie long, at int, n int"
-    # one exchange of the texts, read by both passes over the blocks
-    left = blocked.groupBy("block")
-    places = left.cogroup(shared.groupBy("block")).applyInArrow(candidates, place_ddl)
-    firsts = places.repartition("h1", "h2").mapInArrow(overall, place_ddl)
-
-    out_type = f"row {rows_type.simpleString()}, text string, n_words long, n_removed long, changed boolean"
+            return np.zeros(0, np.uint64)
+        keys = np.unique(np.concatenate([_anchors(C.Words(s.column("text")), window - PERIOD + 1)[1]
+                                         for s in C.slices(t)]))
+        return keys[got[0] == 1]
+
+    def ask_places(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return K.ROWS.empty_table()
+        t = K.unpack_docs(left)
+        shared = shared_anchors(t, right)
+        keys, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+        for s in C.slices(t):
+            words = C.Words(s.column("text"))
+            pick, h = _candidates(words, window, shared)
+            if len(pick):
+                keys.append(h)
+                bits.append(C.window_hash(words.hashes(), window, 1)[pick].astype(np.uint16))
+        distinct, first = np.unique(np.concatenate(keys), return_index=True)
+        return K.ask(PLACE, left.column("block")[0].as_py(), distinct, n_shards, np.concatenate(bits)[first])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        h1, h2, ids, tie, at = (right.column(c).to_numpy() for c in ("h1", "h2", "id", "tie", "at"))
-        order = np.lexsort((h2, h1))
-        h1, h2, ids, tie, at = h1[order], h2[order], ids[order], tie[order], at[order]
-        # one number per key pair, so that a single sorted search serves
-        key = C.mix(h1.view(np.uint64) * np.uint64(3) + h2.view(np.uint64))
-        by = np.argsort(key, kind="stable")
-        key, h1, h2, ids, tie, at = key[by], h1[by], h2[by], ids[by], tie[by], at[by]
-        parts = []
-        for t in C.slices(left):
-            words = C.Words(t.column("text"))
-            n = len(words)
-            gone = np.zeros(n, bool)
-            if len(key) and n >= window:
-                wh = words.hashes()
-                a, b = C.window_hash(wh, window, 0), C.window_hash(wh, window, 1)
-                hit, where = C.contains(key, C.mix(a * np.uint64(3) + b))
-                hit &= C.windows_in_row(words.row, window)
-                pick = np.flatnonzero(hit)
-                where = where[pick]
-                row = words.row[pick]
-                same = (h1[where] == C.signed(a[pick])) & (h2[where] == C.signed(b[pick]))
-                own = ((ids[where] == _ids(t)[row]) & (tie[where] == _ties(words)[row])
-                       & (at[where] == pick - words.first[row]))
-                pick = pick[same & ~own]
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, pick, 1)
-                np.add.at(edge, pick + window, -1)
-                gone = np.cumsum(edge)[:n] > 0
+        if not left.num_rows:
+            return pa.table({"row": pa.nulls(0), "text": [], "n_words": [], "n_removed": [], "changed": []})
+        t = K.unpack_docs(left)
+        shared = shared_anchors(t, right)
+        keep = [(s, C.Words(s.column("text"))) for s in C.slices(t)]
+        found = [_candidates(w, window, shared) for _, w in keep]
+        h = np.concatenate([x[1] for x in found])
+        distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
+        got = K.answers(right, PLACE)
+        again = np.ones(len(h), bool)               # later places of a window inside the block
+        again[first] = False
+        if got:
+            again |= got[0][at] == 0                # an earlier block has it
+        parts, done = [], 0
+        for (s, words), (pick, _) in zip(keep, found):
+            here = pick[again[done:done + len(pick)]]
+            done += len(pick)
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, here, 1)
+            np.add.at(edge, here + window, -1)
+            gone = np.cumsum(edge)[:len(words)] > 0
             removed = np.bincount(words.row[gone], minlength=words.rows)
-            parts.append(pa.table([t.column("row"), _joined(words, ~gone), pa.array(words.counts, pa.int64()),
+            parts.append(pa.table([s.column("row"), _joined(words, ~gone), pa.array(words.counts, pa.int64()),
                                    pa.array(removed, pa.int64()), pa.array(removed > 0)],
-                                  names=["row", "text", "n_words", "n_removed", "changed"]))
+                                  names=["row", "text", *RESULT]))
         return pa.concat_tables(parts)
 
-    done = left.cogroup(firsts.groupBy("block")).applyInArrow(cut, out_type)
-    carried = [c for c in docs.columns if c != text_col]
-    return done.select(*[F.col("row").getField(c).alias(c) for c in carried if c not in RESULT],
-                       F.col("text").alias(text_col), *RESULT)
-
-
-RESULT = ("n_words", "n_removed", "changed")
-
-
-def _ids(t: pa.Table) -> np.ndarray:
-    """Ids with null below every number."""
-    return t.column("id").fill_null(np.iinfo(np.int64).min).to_numpy()
-
-
-def _ties(words: C.Words) -> np.ndarray:
-    """A number for each row's text, which orders rows that share an id."""
-    out = np.zeros(words.rows, np.uint64)
-    full = np.flatnonzero(words.counts)
-    if len(full):
-        h = words.hashes() * (np.arange(len(words), dtype=np.uint64) - words.first[words.row].astype(np.uint64)
-                              + np.uint64(1))
-        out[full] = C.mix(np.add.reduceat(h, words.first[full]))
-    return C.signed(out)
+    anchors = K.answer(blocks.applyInArrow(ask_anchors, K.ROWS_DDL), twice)
+    places = K.answer(blocks.cogroup(anchors.groupBy("block")).applyInArrow(ask_places, K.ROWS_DDL),
+                      lambda kind, keys, sums: [], check=True)
+    done = blocks.cogroup(anchors.unionByName(places).groupBy("block")).applyInArrow(
+        cut, f"row {row_type.simpleString()}, text string, n_words long, n_removed long, changed boolean")
+    return done.select(*[F.col("row").getField(c).alias(c) for c in carried], F.col("text").alias(text_col), *RESULT)
 
 
 def _joined(words: C.Words, keep: np.ndarray) -> pa.Array:
@@ -228,10 +156,8 @@ def _joined(words: C.Words, keep: np.ndarray) -> pa.Array:
     out = np.full(int(off[-1]), 0x20, np.uint8)
     if len(at):
         to = np.cumsum(length + lead) - length
-        shift = np.repeat(to - words.start[at], length)
-        # bytes of the kept words, in order
         src = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) \
             + np.repeat(words.start[at], length)
-        out[src + shift] = words.data[src]
+        out[src + np.repeat(to - words.start[at], length)] = words.data[src]
     arr = pa.LargeStringArray.from_buffers(words.rows, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(out))
     return arr.cast(pa.string())
