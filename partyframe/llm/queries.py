@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, toxicity
+from .common import fold_of
+from .katz import katz_scores
+from .packing import pack
 from .sharding import shard_by_bytes
 from .substring import remove_repeats
 
@@ -13,6 +17,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id") == 0
+    model = langid.train(docs.filter(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score",
+                                               F.size("spans").alias("n_spans"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = fold_of("doc_id") == 0
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), 1024)
+
+
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = katz_scores(docs, fold_of("doc_id") != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_by_bytes(docs, 16).select(
@@ -27,6 +57,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
+    "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
+    "op7_katz": op7_katz,
     "op9_sharding": op9_sharding,
     "op10_substring": op10_substring,
 }
