@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, toxicity
 from .common import fold_of
 from .katz import katz_scores
+from .metricjoin import near_vectors
 from .packing import pack
 from .sharding import shard_by_bytes
 from .substring import remove_repeats
@@ -25,6 +26,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                F.size("spans").alias("n_spans"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = fold_of("doc_id") == 0
@@ -58,6 +63,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language": op2_language,
+    "op3_embeddings": op3_embeddings,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_katz": op7_katz,
