@@ -25,6 +25,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 U = np.uint64
+_VALUE = np.arange(1, 257, dtype=U)         # separators add nothing to a word's hash
+_VALUE[list(SPACES)] = 0
 _P = U(0x9E3779B97F4A7C15)      # odd multipliers of the polynomial hashes
 _Q = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 
@@ -121,13 +123,12 @@ class Words:
         if not len(self):
             return np.zeros(0, U)
         n = len(self.data)
-        length = self.end - self.start
-        place = np.zeros(n, np.int64)           # of each byte in its word
-        place[self.start[0]:] = np.arange(self.start[0], n) - np.repeat(self.start,
-                                                                        np.diff(np.append(self.start, n)))
+        length = (self.end - self.start).astype(np.int32)
+        begin = self.start.astype(np.int32)
+        place = np.zeros(n, np.int32)           # of each byte in its word, counting on through the separators
+        place[begin[0]:] = np.arange(begin[0], n, dtype=np.int32) - np.repeat(begin, np.diff(begin, append=n))
         power = np.cumprod(np.full(int(place.max()) + 1, _P, U))
-        value = self.data.astype(U) + U(1)
-        value[self.space] = 0
+        value = _VALUE[self.data]
         value *= power[place]
         return mix(np.add.reduceat(value, self.start) + length.astype(U))
 
@@ -136,6 +137,17 @@ class Words:
         return [raw[a:b] for a, b in zip(self.start.tolist(), self.end.tolist())]
 
 
+def spelled(words: Words, which: np.ndarray, close: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of some words, each behind a space and, if ``close``, before one."""
+    start, length = words.start[which], words.end[which] - words.start[which]
+    off = np.concatenate(([0], np.cumsum(length + 1 + close)))
+    flat = np.full(int(off[-1]), 0x20, np.uint8)
+    inner = np.arange(int(length.sum()))
+    skip = np.cumsum(length) - length
+    flat[inner + np.repeat(off[:-1] + 1 - skip, length)] = words.data[inner + np.repeat(start - skip, length)]
+    return flat, off
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U(32))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16           # as many as 64 - 48 bits tell apart
 ORDERS = (1, 2, 3, 4)
 # First code points of runs of one script (Unicode blocks), fixed values; 0 is no letter, 1 is any other script.
 SCRIPTS = (
@@ -47,28 +47,24 @@ def _scripts(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grams(words: C.Words) -> np.ndarray:
-    """Bucket of the byte n-gram that ends at each byte, per order; -1 where it would pass the word's lead.
+def _grams(flat: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Per order, the bucket of the n-gram that ends at each byte of spaced words (see :func:`.common.spelled`).
 
-    A word is led by one space, so that its first letters count as such.
+    An n-gram reaches back to the space before its word at most; other places
+    hold ``BUCKETS``, the bucket of nothing.
     """
-    n = len(words.data)
-    place = np.zeros(n, np.int64)
-    if len(words):
-        place[words.start[0]:] = np.arange(words.start[0], n) - np.repeat(
-            words.start, np.diff(np.append(words.start, n)))
-    value = words.data.astype(np.uint64) + np.uint64(1)
-    out = np.full((len(ORDERS), n), -1, np.int32)
-    for j, k in enumerate(ORDERS):
-        h = np.full(n, k, np.uint64)
-        for back in range(k - 1, -1, -1):
-            prev = np.empty(n, np.uint64)
-            prev[back:] = value[:n - back] if back else value
-            prev[:back] = 0
-            prev[place < back] = np.uint64(0x21)        # the led space
-            h = h * np.uint64(0x9E3779B97F4A7C15) + prev
-        ok = ~words.space & (place >= k - 2)            # at most one byte before the word
-        out[j, ok] = (C.mix(h[ok]) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    n = len(flat)
+    place = np.arange(n, dtype=np.int32) - np.repeat(off[:-1].astype(np.int32), np.diff(off))
+    value = flat.astype(np.uint64) + np.uint64(1)
+    h = np.zeros(n, np.uint64)
+    out = []
+    for k in ORDERS:
+        h[1:] = h[:-1] * np.uint64(0x9E3779B97F4A7C15)      # the hash of the k - 1 bytes before
+        h[:1] = 0
+        h += value
+        bucket = ((h + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(48)).astype(np.int32)
+        bucket[(place < k - 1) | (place == 0)] = BUCKETS
+        out.append(bucket)
     return out
 
 
@@ -81,9 +77,12 @@ class Model:
     allowed: np.ndarray
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least_share: float = 0.01) -> Model:
-    """Byte n-gram counts per language over all rows with a language and a text.
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least_share: float = 0.01,
+          max_rows: int = 20_000) -> Model:
+    """Byte n-gram counts per language over a bounded sample of the rows with a language and a text.
 
+    The sample has about ``max_rows`` rows: those whose hash of language and
+    text falls into the share max_rows / rows (all of them in smaller tables).
     Counts are summed in tasks and then per (language, bucket); the driver gets
     at most ``BUCKETS + N_SCRIPTS`` numbers per language, whatever the input.
     A script is a language's own if at least ``least_share`` of its letters use it.
@@ -99,14 +98,21 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
                 have = total.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS, np.int64))
                 for s in C.slices(mine):
                     words = C.Words(s.column("text"), lower=True)
-                    grams = _grams(words)
-                    have[:BUCKETS] += np.bincount(grams[grams >= 0], minlength=BUCKETS)
+                    _, sample, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                    flat, off = C.spelled(words, sample, False)
+                    weight = np.repeat(n.astype(float), np.diff(off))
+                    for grams in _grams(flat, off):
+                        have[:BUCKETS] += np.bincount(grams, weights=weight,
+                                                      minlength=BUCKETS + 1)[:BUCKETS].astype(np.int64)
                     have[BUCKETS:] += np.bincount(_scripts(words.data), minlength=N_SCRIPTS)
         for lang, have in total.items():
             at = np.flatnonzero(have)
             yield C.frame(schema, [lang] * len(at), at.astype(np.int32), have[at])
 
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
+    share = min(1.0, max_rows / max(1, labelled.count()))
+    unit = F.xxhash64("lang", "text").cast("double") / F.lit(2.0 ** 64) + 0.5
+    labelled = labelled.filter(unit <= share)
     rows = (labelled.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket")
             .agg(F.sum("n").alias("n")).toArrow())
     langs = sorted(set(rows.column("lang").to_pylist()))
@@ -127,22 +133,20 @@ def word_scores(words: C.Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
     n_langs = len(model.langs)
     if not len(words):
         return np.zeros((0, n_langs), np.float32), np.zeros(0, np.int64)
-    scripts = _scripts(words.data)
-    letters = np.add.reduceat((scripts > 0).astype(np.int64), words.start)
-    grams = _grams(words)
-    out = np.zeros((len(words), n_langs), np.float32)
-    for j in range(len(ORDERS)):
-        at = np.flatnonzero(grams[j] >= 0)
-        word = np.searchsorted(words.start, at, "right") - 1
-        some, first = np.unique(word, return_index=True)
-        out[some] += np.add.reduceat(model.log_p[grams[j, at]], first, axis=0)
-    # the script of a word is that of its last letter; in it, languages that do not use it are out
-    at = np.flatnonzero(scripts > 0)
-    script = np.zeros(len(words), np.uint8)
-    script[np.searchsorted(words.start, at, "right") - 1] = scripts[at]
+    _, sample, at = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    flat, off = C.spelled(words, sample, False)
+    scripts = _scripts(flat)
+    letters = np.add.reduceat((scripts > 0).astype(np.int32), off[:-1])
+    grams = _grams(flat, off)
+    out = np.empty((len(sample), n_langs), np.float32)
+    for j in range(n_langs):
+        table = np.append(model.log_p[:, j], np.float32(0))
+        out[:, j] = np.add.reduceat(sum(table[g] for g in grams), off[:-1])
+    # a word with letters of several scripts goes by the last of them in the table above
+    script = np.maximum.reduceat(scripts, off[:-1])
     out[~model.allowed[script]] -= np.float32(1e6)
     out[letters == 0] = 0
-    return out, letters
+    return out[at], letters[at]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
@@ -201,7 +205,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         names = pa.array([*langs, "und"])
         for batch in batches:
             for t in C.slices(batch, max_bytes=32 << 20):
-                parts = [(C.Words(s.column("text"), lower=True)) for s in C.slices(t)]
+                parts = [C.Words(s.column("text"), lower=True) for s in C.slices(t)]
                 scored = [word_scores(w, m) for w in parts]
                 counts = np.concatenate([w.counts for w in parts])
                 first = np.concatenate(([0], np.cumsum(counts)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .common import fold_of
+from .jaccard import near_texts
 from .katz import katz_scores
 from .metricjoin import near_vectors
 from .packing import pack
@@ -48,6 +49,10 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_by_bytes(docs, 16).select(
@@ -67,6 +72,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_katz": op7_katz,
+    "op8_jaccard": op8_jaccard,
     "op9_sharding": op9_sharding,
     "op10_substring": op10_substring,
 }

@@ -38,14 +38,9 @@ def _counts(words: C.Words, wanted: np.ndarray | None = None) -> tuple[np.ndarra
 
 def _grams(words: C.Words, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first gram of each sampled word, buckets): byte n-grams of the words with a space at either end."""
-    start, length = words.start[sample], words.end[sample] - words.start[sample]
-    size = length + 2
-    off = np.concatenate(([0], np.cumsum(size)))
-    flat = np.full(int(off[-1]), 0x20, np.uint8)
-    inner = np.repeat(off[:-1] + 1 - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-    flat[inner] = words.data[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+    flat, off = C.spelled(words, sample, True)
     value = flat.astype(np.uint64) + np.uint64(1)
-    owner = np.repeat(np.arange(len(size)), size)
+    owner = np.repeat(np.arange(len(sample)), np.diff(off))
     left = off[1:][owner] - np.arange(len(flat))        # bytes to the word's end, this one included
     out, who = [], []
     for k in ORDERS:
@@ -57,7 +52,7 @@ def _grams(words: C.Words, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         who.append(owner[at])
     out, who = np.concatenate(out), np.concatenate(who)
     order = np.argsort(who, kind="stable")
-    return np.searchsorted(who[order], np.arange(len(size) + 1)), out[order]
+    return np.searchsorted(who[order], np.arange(len(sample) + 1)), out[order]
 
 
 @dataclass
