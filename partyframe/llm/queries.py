@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .common import fold_of
+from .decontaminate import find_leaks
 from .jaccard import near_texts
 from .katz import katz_scores
 from .metricjoin import near_vectors
@@ -31,6 +32,10 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = fold_of("doc_id") == 0
@@ -69,6 +74,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language": op2_language,
     "op3_embeddings": op3_embeddings,
+    "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_katz": op7_katz,
