@@ -53,29 +53,9 @@ def _block_keys(fp: Column, size: Column | int) -> list[Column]:
         F.shiftrightunsigned(fp, 16 * b).bitwiseAND(F.lit(0xFFFF))) for b in range(BLOCKS)]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: str = "doc_id",
-               text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Documents that hold a passage of an item: shares at least ``least`` of its weighted shingles in one place.
-
-    Shingles are ``K`` lower-case words.  Windows of an item's size class (the
-    largest power of two of chunks that fits it at any alignment) run over
-    every distinct text, one at each chunk; an item has one at each of its
-    shingles, so an exact copy holds a document window that equals one of the
-    item's wherever it starts.  SimHash fingerprints of both are matched on
-    blocks: all pairs within ``RADIUS`` bits agree on one.  The document's
-    shingles over the length of the item, from where it would start, with
-    ``STEP`` more at either end, are then compared exactly: the weight of the
-    item's shingles among them over the weight of all of the item's, a
-    shingle weighing log(1 + items / items with it).
-
-    Items of 1 to 6 shingles (5 to 10 words) have no window that fits at any
-    alignment; they are looked up by their first and their last shingle.  Items of fewer
-    than ``K`` words and null texts match nothing.
-
-    Returns id_col, item_col, similarity: one row per input row and item
-    (repeated input rows repeat).  Rows with a null id are kept as null.  Extra
-    columns are ignored.
-    """
+def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_col: str = "text",
+                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item, share) for every distinct text, by the md5 of its bytes; see :func:`find_leaks`."""
     named = _shingles(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).dropna().distinct(), "t")
     named = C.checkpointed(named.select("item", "h").filter(F.size("h") > 0).distinct())
     length = F.size("h")
@@ -84,9 +64,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: st
     used = [r["m"] for r in sized.select("m").distinct().collect()]           # at most len(SIZES) + 1 numbers
 
     # one text per group of copies; all later steps keep this partitioning
-    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("key"),
-                       F.col(text_col).alias("t"))
-    texts = rows.filter("t is not null").groupBy("key").agg(F.first("t").alias("t"))
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("t"))
+    texts = texts.filter("t is not null").groupBy("key").agg(F.first("t").alias("t"))
     shingled = _shingles(texts, "t").select("key", "h").filter(F.size("h") > 0)
     each = shingled.select("key", F.posexplode("h").alias("at", "x"))
 
@@ -134,8 +113,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: st
         hits.append(each.join(F.broadcast(ends) if small else ends, "x").select(
             "key", "item", (F.col("at") - F.col("from")).alias("start")))
     if not hits:
-        return rows.filter("false").select(F.col("id").alias(id_col), F.lit(None).cast(
-            items.schema[item_col].dataType).alias(item_col), F.lit(0.0).alias("similarity"))
+        return texts.filter("false").select("key", F.lit(None).cast(items.schema[item_col].dataType).alias("item"),
+                                            F.lit(0.0).alias("share"))
     found = C.checkpointed(reduce(DataFrame.unionByName, hits).distinct())
 
     # exact check
@@ -153,8 +132,38 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: st
                       F.explode(F.array_distinct(F.slice("h", start + 1, F.greatest(end - start, F.lit(0))))).alias("x")))
     share = (region.join(weighted.select("item", "x", "weight"), ["item", "x"])
              .groupBy("key", "item", "start").agg((F.sum("weight") / F.first("whole")).alias("share")))
-    leaks = C.checkpointed(share.groupBy("key", "item").agg(F.max("share").alias("share"))
-                           .filter(F.col("share") >= least - 1e-12))
-    return (rows.select("id", "key").join(leaks, "key")
-            .select(F.col("id").alias(id_col), F.col("item").alias(item_col),
-                    F.least(F.col("share"), F.lit(1.0)).alias("similarity")))
+    return C.checkpointed(share.groupBy("key", "item").agg(F.least(F.max("share"), F.lit(1.0)).alias("share"))
+                          .filter(F.col("share") >= least - 1e-12))
+
+
+def text_key(text_col: str) -> Column:
+    return F.md5(F.col(text_col).cast("binary"))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: str = "doc_id",
+               text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Documents that hold a passage of an item: shares at least ``least`` of its weighted shingles in one place.
+
+    Shingles are ``K`` lower-case words.  Windows of an item's size class (the
+    largest power of two of chunks that fits it at any alignment) run over
+    every distinct text, one at each chunk; an item has one at each of its
+    shingles, so an exact copy holds a document window that equals one of the
+    item's wherever it starts.  SimHash fingerprints of both are matched on
+    blocks: all pairs within ``RADIUS`` bits agree on one.  The document's
+    shingles over the length of the item, from where it would start, with
+    ``STEP`` more at either end, are then compared exactly: the weight of the
+    item's shingles among them over the weight of all of the item's, a
+    shingle weighing log(1 + items / items with it).
+
+    Items of 1 to 6 shingles (5 to 10 words) have no window that fits at any
+    alignment; they are looked up by their first and their last shingle.  Items of fewer
+    than ``K`` words and null texts match nothing.
+
+    Returns id_col, item_col, similarity: one row per input row and item
+    (repeated input rows repeat).  Rows with a null id are kept as null.  Extra
+    columns are ignored.
+    """
+    leaks = leaking_texts(docs, items, least, text_col, item_col, item_text)
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
+    return rows.join(leaks, "key").select(F.col("id").alias(id_col), F.col("item").alias(item_col),
+                                          F.col("share").alias("similarity"))

@@ -83,7 +83,7 @@ def survival(depth: int, mean: float = 1.0) -> float:
 # ---------------------------------------------------------------- the join
 
 def near_texts(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
-               recall: float = 0.999) -> DataFrame:
+               recall: float = 0.999, small: int = SMALL) -> DataFrame:
     """Link all texts whose sets of ``k``-word shingles have Jaccard similarity ``least`` or more.
 
     Words are taken unchanged.  Texts with equal sets are one class (its
@@ -91,8 +91,8 @@ def near_texts(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "d
 
     1. Chosen paths: in each run every set walks down ``START_DEPTH`` splits,
        each on minhash positions that its path samples; sets that end on the
-       same path share a bucket.  Buckets of more than ``SMALL`` sets are split
-       again, to ``LAST_DEPTH``.  The number of runs follows from ``recall``,
+       same path share a bucket.  Buckets of more than ``small`` sets are split
+       again, down to ``LAST_DEPTH``.  The number of runs follows from ``recall``,
        the chance that two sets at ``least`` share a bucket at the last depth.
     2. Small buckets are compared by brute force on the signatures (with a
        margin of four deviations below ``least``); what is left too large is
@@ -101,15 +101,16 @@ def near_texts(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "d
        pairs among them are verified exactly, again in pairs of chunks.
 
     Returns id_col, class_id (smallest id of the group of linked texts),
-    n_links (other rows linked directly, copies counted), kept: one row per
-    input row.  Null and empty texts, texts without words, and rows with a
+    n_links (other rows linked directly, copies counted), kept, text_hash
+    (xxhash64 of the text): one row per input row.  Null and empty texts, texts without words, and rows with a
     null id link with nothing.  Rows that share an id count on their own.
     Extra columns are ignored.
     """
     runs = math.ceil(math.log(1 - recall) / math.log(1 - survival(LAST_DEPTH)))
     margin = least - 4 * math.sqrt(least * (1 - least) / POSITIONS)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sized = pa.schema([("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int32()),
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                        F.xxhash64(F.col(text_col)).alias("text_hash"))
+    sized = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int32()),
                        ("sig", pa.binary(2 * POSITIONS))])
 
     def digest(batches):
@@ -126,13 +127,13 @@ def near_texts(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "d
                     k2[some] = np.add.reduceat(C.mix(value + U(1)), first)
                 sig = signatures(row, value, words.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [t.column("id").combine_chunks(), pa.array(C.signed(k1)), pa.array(C.signed(k2)),
+                    [t.column("id").combine_chunks(), t.column("text_hash").combine_chunks(), pa.array(C.signed(k1)), pa.array(C.signed(k2)),
                      pa.array(size.astype(np.int32)),
                      pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * POSITIONS), words.rows,
                                                           [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())],
                     names=sized.names)
 
-    rows = C.checkpointed(texts.mapInArrow(digest, "id long, k1 long, k2 long, size int, sig binary"))
+    rows = C.checkpointed(texts.mapInArrow(digest, "id long, text_hash long, k1 long, k2 long, size int, sig binary"))
     linkable = rows.filter("size > 0 and id is not null")
     key = ["k1", "k2", "size"]
     # a class is a node; its number comes from the key, so that rows which share an id stay apart
@@ -159,13 +160,14 @@ def near_texts(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "d
     edges = None
     for depth in range(START_DEPTH, LAST_DEPTH + 1):
         level = C.checkpointed(level.select("path", "rep", "sig", "size"))
-        last = depth == LAST_DEPTH
-        small = level.filter(F.col("size") <= SMALL).repartition("path").sortWithinPartitions("path", "rep")
-        found = small.select("path", "rep", "sig").mapInArrow(lambda it: _compare(it, margin), "a long, b long")
+        few = level.filter(F.col("size") <= small).repartition("path").sortWithinPartitions("path", "rep")
+        found = few.select("path", "rep", "sig").mapInArrow(lambda it: _compare(it, margin), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
-        big = level.filter(F.col("size") > SMALL).drop("size")
-        if last:
-            edges = edges.unionByName(_dense(level.filter(F.col("size") > SMALL), margin))
+        big = level.filter(F.col("size") > small)
+        if big.isEmpty():
+            break
+        if depth == LAST_DEPTH:
+            edges = edges.unionByName(_dense(big, margin))
         else:
             def split(batches):
                 for batch in batches:
@@ -201,7 +203,7 @@ def near_texts(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([*cols, made], names=["component", "rep", "n", "chunks", "own",
                                                                        "set"]).filter(pa.array(same))
 
-    whole = (texts.join(members, "id").drop("id")
+    whole = (texts.join(members, "id").drop("id", "text_hash")
              .mapInArrow(sets, "component long, rep long, n long, chunks int, own int, set array<long>")
              .dropDuplicates(["component", "rep", "own"]))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -218,12 +220,12 @@ def near_texts(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "d
                            .join(linked, "rep", "left")
                            .select(*key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
                                    F.coalesce("class_id", "low").alias("class_id")))
-    joined = linkable.select("id", *key).join(known, key).select("id", "links", "class_id")
-    alone = rows.filter("size = 0 or id is null").select("id", F.lit(0).cast("long").alias("links"),
-                                                         F.col("id").alias("class_id"))
+    joined = linkable.select("id", "text_hash", *key).join(known, key).select("id", "text_hash", "links", "class_id")
+    alone = rows.filter("size = 0 or id is null").select(
+        "id", "text_hash", F.lit(0).cast("long").alias("links"), F.col("id").alias("class_id"))
     return joined.unionByName(alone).select(
         F.col("id").alias(id_col), "class_id", F.col("links").cast("long").alias("n_links"),
-        F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+        F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash")
 
 
 def _shared(paths: DataFrame) -> DataFrame:
@@ -266,7 +268,8 @@ def _forest(t: pa.Table, margin: float) -> pa.RecordBatch:
         at = at[path[at] == path[at + off]]
         if not len(at):
             break
-        close = at[(sig[at] == sig[at + off]).sum(axis=1) >= need]
+        apart = at[labels[at] != labels[at + off]]          # a forest needs no second link
+        close = apart[(sig[apart] == sig[apart + off]).sum(axis=1) >= need]
         labels = merge(labels, close, close + off)
         off += 1
     tied = np.flatnonzero(labels != np.arange(len(labels)))

@@ -12,6 +12,7 @@ from .jaccard import near_texts
 from .katz import katz_scores
 from .metricjoin import near_vectors
 from .packing import pack
+from .quality import rate_quality
 from .sharding import shard_by_bytes
 from .substring import remove_repeats
 
@@ -20,6 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    rated = rate_quality(docs.select("doc_id", "text", "lang"), labels.filter("quality = 1"))
+    return rated.select("doc_id", "n_tokens", "perplexity", "threshold", "kept")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = fold_of("doc_id") == 0
@@ -72,6 +79,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_embeddings": op3_embeddings,
     "op4_decontamination": op4_decontamination,

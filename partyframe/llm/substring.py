@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common as C
 from . import counts as K
@@ -40,7 +43,7 @@ def _candidates(words: C.Words, window: int, shared: np.ndarray) -> tuple[np.nda
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                   block_bytes: int = 8 << 20) -> DataFrame:
+                   block_bytes: int = 8 << 20, as_is: bool = False) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts earlier.
 
     Earlier: a smaller id, or the same row at an earlier start (null ids come
@@ -62,7 +65,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     pairs are made.
 
     Returns the input columns with the text replaced by the kept words joined
-    by one space (null text: empty), and n_words, n_removed, changed; input
+    by one space (null text: empty; with ``as_is``, texts that lose nothing
+    stay as they are), and n_words, n_removed, changed; input
     columns of these three names are replaced.  Texts of fewer than ``window``
     words lose nothing.  An empty table gives no rows.
     """
@@ -72,7 +76,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     points = cut_points(docs, n_blocks, id_col, text_col) if n_blocks > 1 else []
     carried = [c for c in docs.columns if c != text_col and c not in RESULT]
     row = C.row_struct(docs, text_col, *RESULT)
-    row_type = docs.select(row.alias("row")).schema["row"].dataType
+    out_type = T.StructType([T.StructField("row", docs.select(row.alias("row")).schema["row"].dataType),
+                             T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),
+                             T.StructField("n_removed", T.LongType()), T.StructField("changed", T.BooleanType())])
     # one exchange of the texts, read by all three passes
     blocks = K.pack_docs(docs, id_col, text_col, n_blocks, row, points).groupBy("block")
 
@@ -109,7 +115,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"row": pa.nulls(0), "text": [], "n_words": [], "n_removed": [], "changed": []})
+            return to_arrow_schema(out_type).empty_table()
         t = K.unpack_docs(left)
         shared = shared_anchors(t, right)
         keep = [(s, C.Words(s.column("text"))) for s in C.slices(t)]
@@ -130,7 +136,10 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             np.add.at(edge, here + window, -1)
             gone = np.cumsum(edge)[:len(words)] > 0
             removed = np.bincount(words.row[gone], minlength=words.rows)
-            parts.append(pa.table([s.column("row"), _joined(words, ~gone), pa.array(words.counts, pa.int64()),
+            kept = _joined(words, ~gone)
+            if as_is:
+                kept = pc.if_else(pa.array(removed > 0), kept, s.column("text").combine_chunks())
+            parts.append(pa.table([s.column("row"), kept, pa.array(words.counts, pa.int64()),
                                    pa.array(removed, pa.int64()), pa.array(removed > 0)],
                                   names=["row", "text", *RESULT]))
         return pa.concat_tables(parts)
@@ -139,7 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     places = K.answer(blocks.cogroup(anchors.groupBy("block")).applyInArrow(ask_places, K.ROWS_DDL),
                       lambda kind, keys, sums: [], check=True)
     done = blocks.cogroup(anchors.unionByName(places).groupBy("block")).applyInArrow(
-        cut, f"row {row_type.simpleString()}, text string, n_words long, n_removed long, changed boolean")
+        cut, out_type)
     return done.select(*[F.col("row").getField(c).alias(c) for c in carried], F.col("text").alias(text_col), *RESULT)
 
 
