@@ -64,8 +64,8 @@ def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_co
     used = [r["m"] for r in sized.select("m").distinct().collect()]           # at most len(SIZES) + 1 numbers
 
     # one text per group of copies; all later steps keep this partitioning
-    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("t"))
-    texts = texts.filter("t is not null").groupBy("key").agg(F.first("t").alias("t"))
+    rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("t")).filter("t is not null")
+    texts = rows.groupBy("key").agg(F.first("t").alias("t"))
     shingled = _shingles(texts, "t").select("key", "h").filter(F.size("h") > 0)
     each = shingled.select("key", F.posexplode("h").alias("at", "x"))
 
@@ -127,7 +127,8 @@ def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_co
     keys = found.select("key").distinct()
     start = F.greatest(F.col("start") - STEP, F.lit(0))
     end = F.col("start") + F.col("n") + STEP
-    region = (shingled.join(keys, "key", "left_semi").join(found, "key").join(whole, "item")
+    again = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
+    region = (_shingles(again, "t").select("key", "h").join(found, "key").join(whole, "item")
               .select("key", "item", "start", "whole",
                       F.explode(F.array_distinct(F.slice("h", start + 1, F.greatest(end - start, F.lit(0))))).alias("x")))
     share = (region.join(weighted.select("item", "x", "weight"), ["item", "x"])
