@@ -26,7 +26,7 @@ def ceil_log2(n) -> Column:
 
 def bits_to_bytes(bits) -> Column:
     """``ceil(bits / 8)`` in integer arithmetic."""
-    return F.floor((_c(bits).cast("long") + F.lit(7)) / F.lit(8)).cast("long")
+    return F.shiftright(_c(bits).cast("long") + F.lit(7), 3)
 
 
 def round_to(x, digits: int) -> Column:

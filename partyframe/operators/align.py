@@ -16,29 +16,40 @@ def party_features(df: DataFrame, uid: str, parts: list[Column], out: str = "fea
 
 
 def zero_fill(col, n: int) -> Column:
-    """Missing party row -> n zeros; null element -> 0."""
+    """Missing party row -> n zeros; null or NaN element -> 0."""
     c = F.col(col) if isinstance(col, str) else col
     filled = F.coalesce(c, F.array_repeat(F.lit(0.0), n))
-    return F.transform(filled, lambda v: F.coalesce(v, F.lit(0.0)))
+    return F.transform(filled, lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
 
 
 def align_parties(parties: list[tuple[DataFrame, int]], uid: str = "uid") -> DataFrame:
     """Left-join every party on ``uid`` starting from party 0; missing rows filled with zeros.
 
     ``parties`` = [(frame(uid, features), width), ...]; output ``uid, x0 .. xk``.
-    Rows absent from party 0 are dropped (the reference's left join).  Each
-    party must be unique on uid.  Plain equi-joins: Spark broadcasts a side
+    Rows absent from party 0 are dropped (the reference's left join).  A uid
+    that a party holds twice is an error, raised while the join runs: the
+    later parties' rows are counted per uid in the join's own partitioning.  Plain equi-joins: Spark broadcasts a side
     only when its size estimate is under the threshold, else sort-merge on uid;
     all sides hash-partition on uid, so a chain of joins reuses one partitioning.
     """
     first, w0 = parties[0]
     out = first.select(F.col(uid), zero_fill(first.columns[1], w0).alias("x0"))
     for p, (frame, width) in enumerate(parties[1:], start=1):
-        f = frame.select(F.col(uid), F.col(frame.columns[1]).alias(f"x{p}"))
+        f = unique(frame.select(F.col(uid), F.col(frame.columns[1]).alias(f"x{p}")), uid, f"party {p}")
         out = out.join(f, on=uid, how="left").withColumn(f"x{p}", zero_fill(f"x{p}", width))
     return out
 
 
+def unique(df: DataFrame, key: str, what: str) -> DataFrame:
+    """``df`` with an error raised for a ``key`` that occurs twice (null keys are let through: they join nothing)."""
+    others = [c for c in df.columns if c != key]
+    one = df.groupBy(key).agg(*[F.first(c).alias(c) for c in others], F.count(F.lit(1)).alias("_pf_n"))
+    twice = (F.col("_pf_n") > 1) & F.col(key).isNotNull()
+    checked = F.when(twice, F.raise_error(F.concat(F.lit(f"{what}: {key} occurs twice: "), F.col(key).cast("string")))
+                     .cast("boolean")).otherwise(F.lit(True))
+    return one.filter(checked).select(*df.columns)
+
+
 def concat_parties(n_parties: int, out: str = "x") -> Column:
     """Embeddings / features of all parties side by side, in party order."""
     return F.concat(*[F.col(f"x{p}") for p in range(n_parties)]).alias(out)

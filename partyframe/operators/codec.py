@@ -316,12 +316,13 @@ DENSE_WIDTH = {"org": 32, "int": 32, "q16": 16, "q8": 8, "q4": 4}
 
 
 def encode(mat: DataFrame, codec: str, direction: str = "emb", k: int = 1024, flat: str = "flat",
-           emb_flat: str | None = None) -> DataFrame:
+           emb_flat: str | None = None, axis: int = 1) -> DataFrame:
     """Encode a batch matrix with the named codec.
 
     Embeddings: org / int pass through, q16 rounds to fp16, q8 / q4 quantise
     with the batch maximum, and svfl / topk (fp32) or svfl16 / topk16 (fp16)
-    send run-length messages.  Gradients: top-k keeps k cells, svfl sends
+    send run-length messages.  ``axis`` is the layout of ``flat`` (1: column-major).
+    Gradients: top-k keeps k cells (row-major positions in either layout), svfl sends
     only the values at the embedding's non-zero positions (``emb_flat``),
     q8 / q4 quantise between the batch minimum and maximum.
     """
@@ -337,7 +338,7 @@ def encode(mat: DataFrame, codec: str, direction: str = "emb", k: int = 1024, fl
     if direction == "emb":
         return rle_encode(mat, flat, half=half)
     if codec.startswith("topk"):
-        return topk_encode(mat, k, flat, half=half)
+        return topk_encode(mat.withColumn(flat, _row_major(f)) if axis == 1 else mat, k, flat, half=half)
     if emb_flat is None:
         raise ValueError("svfl gradients need the embedding's flat matrix (emb_flat) for their mask")
     vals = masked_values(f, F.col(emb_flat))
@@ -346,13 +347,27 @@ def encode(mat: DataFrame, codec: str, direction: str = "emb", k: int = 1024, fl
     return mat.withColumn("vals", vals.cast("array<float>")).drop(flat)
 
 
-def decode(msgs: DataFrame, codec: str, keys: list[str], direction: str = "emb", axis: int = 1) -> DataFrame:
+def _row_major(flat: Column) -> Column:
+    """A column-major batch, row by row."""
+    s, d = F.col("samples"), F.col("dims")
+    return F.flatten(F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.transform(
+        F.sequence(F.lit(0), d - 1), lambda j: F.get(flat, j * s + i))))
+
+
+def decode(msgs: DataFrame, codec: str, keys: list[str], direction: str = "emb", axis: int = 1,
+           positions: DataFrame | None = None) -> DataFrame:
     """Decode messages of one codec back to rows ``(keys, row_in_batch, decoded ARRAY<FLOAT>)``.
 
     Dense codecs decode with array expressions and are cut back into rows;
     run-length and top-k messages are scattered by the numpy helper of
-    :func:`decode_to_rows` (one message = one bounded batch).
+    :func:`decode_to_rows` (one message = one bounded batch).  A svfl gradient
+    carries values only: ``positions`` holds the head and tail of the
+    embedding messages (same keys), which the receiver has kept.
     """
+    if codec.startswith("svfl") and direction == "grad":
+        if positions is None:
+            raise ValueError("svfl gradients are placed by the embedding's kept positions (head, tail)")
+        msgs = msgs.join(positions.select(*keys, "head", "tail"), keys)
     if codec in DENSE_WIDTH:
         if codec in ("q8", "q4"):
             levels = 256 if codec == "q8" else 16

@@ -1,7 +1,7 @@
 """Scores, epoch selection and byte accounting.
 
 * AUC is exact with ties: one row per distinct score (a partial aggregation),
-  then the number of negatives below each score as a bucketed running sum
+  then the number of negatives below each score as a running sum over ranges
   (:func:`running_sum`), so no global one-partition window is planned.
 * Macro-F1 comes from the confusion table (one row per (truth, prediction)).
 * Best epoch / early stop are windows per run over the epoch table, whose
@@ -24,24 +24,19 @@ def _c(x) -> Column:
 
 # ------------------------------------------------------------------ E1
 
-def auc(df: DataFrame, score: str, label: str, by: tuple = (), out: str = "auc",
-        score_range: tuple[float, float] | None = None) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, by: tuple = (), out: str = "auc") -> DataFrame:
     """Exact ROC AUC per group: ``sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)``.
 
     Equal scores count one half, as the rank-sum formula with mid-ranks does.
     A group with only one class gets null (the metric is undefined there).
-    By default the running sum takes its bucket bounds from quantiles of the
-    distinct scores, so buckets stay balanced however the scores cluster.
-    ``score_range`` (e.g. (0, 1)) switches to 65,536 equal-width buckets and
-    saves that pass; exactness does not depend on it, but scores crowded into
-    a narrow range (a weak model near 0.5) would then load a few tasks.
+    The running sum deals out the distinct scores by range, so tasks stay
+    balanced however the scores cluster.
     """
     by = list(by)
     y = F.col(label).cast("long")
     per = df.groupBy(*by, F.col(score).cast("double").alias("_pf_s")).agg(
         F.sum(y).alias("_pf_pos"), F.sum(F.lit(1) - y).alias("_pf_neg"))
-    kw = dict(uniform_range=score_range, max_buckets=65_536) if score_range else {}
-    ranked = running_sum(per, ["_pf_s"], "_pf_neg", out="_pf_below", partition_by=by, **kw)
+    ranked = running_sum(per, ["_pf_s"], "_pf_neg", out="_pf_below", partition_by=by)
     contrib = F.col("_pf_pos") * (F.col("_pf_below") + F.col("_pf_neg") / F.lit(2.0))
     g = ranked.groupBy(*by).agg(F.sum(contrib).alias("_pf_c"), F.sum("_pf_pos").alias("n_pos"),
                                 F.sum("_pf_neg").alias("n_neg"))
@@ -78,15 +73,20 @@ def macro_f1(df: DataFrame, truth: str, pred: str, by: tuple = (), out: str = "m
 
 # ------------------------------------------------------------------ W7, W8
 
+def _number(score: str) -> Column:
+    """The score, or null where it is NaN (Spark ranks NaN above all numbers)."""
+    return F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
+
+
 def mark_improvements(epochs: DataFrame, run: str = "run_id", epoch: str = "epoch", score: str = "score",
                       higher_is_better: bool = True, start: float = -1.0) -> DataFrame:
     """``improved`` = score strictly better than every earlier epoch (first maximum wins).
 
     The reference starts from -1 for a score (AUC / F1) and from +inf for a loss.
-    Adds ``improved`` (0/1) and ``best_so_far``.
+    A NaN score (an undefined AUC) counts as none: it never improves.  Adds ``improved`` (0/1) and ``best_so_far``.
     """
     w_prev = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    s = F.col(score)
+    s = _number(score)
     if higher_is_better:
         prev = F.coalesce(F.max(s).over(w_prev), F.lit(start))
         improved = s > prev
@@ -96,7 +96,7 @@ def mark_improvements(epochs: DataFrame, run: str = "run_id", epoch: str = "epoc
     w_run = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
     best = (F.greatest(F.max(s).over(w_run), F.lit(start)) if higher_is_better
             else F.min(s).over(w_run))
-    return epochs.withColumn("improved", improved.cast("int")).withColumn("best_so_far", best)
+    return epochs.withColumn("improved", F.coalesce(improved.cast("int"), F.lit(0))).withColumn("best_so_far", best)
 
 
 def best_epoch(epochs: DataFrame, run: str = "run_id", epoch: str = "epoch", score: str = "score",
@@ -105,7 +105,7 @@ def best_epoch(epochs: DataFrame, run: str = "run_id", epoch: str = "epoch", sco
     m = mark_improvements(epochs, run, epoch, score, higher_is_better)
     return m.groupBy(run).agg(
         F.max(F.when(F.col("improved") == 1, F.col(epoch))).alias("best_epoch"),
-        (F.max(score) if higher_is_better else F.min(score)).alias("best_score"),
+        (F.max(_number(score)) if higher_is_better else F.min(_number(score))).alias("best_score"),
         F.sum("improved").cast("long").alias("improvements"),
         F.count(F.lit(1)).alias("epochs"))
 

@@ -4,29 +4,25 @@ A dense 0-based index in a total order is the backbone of splitting and
 batching.  A global ``row_number() over (order by k)`` would pull every row
 into one task, so instead:
 
-1. map each row to a *bucket* that is monotone in the order key (bounds from
-   quantiles of a sample, so buckets are balanced even when keys cluster);
-2. count rows per bucket - a table of at most ``max_buckets`` rows;
-3. running offsets over that small table, broadcast back (size bound = the
-   number of buckets, fixed by construction);
-4. ``row_number()`` inside each bucket + offset.
-
-Every bucket is sorted by its own task, so the work spreads over the cluster.
+1. rows are dealt out by range of the whole order and written once (shared
+   checkpoint folder), with the number of their partition; Spark's range
+   partitioner balances rows, and as the order is total, a hot value of its
+   first column is cut on the next ones;
+2. rows are counted per partition - one row per partition;
+3. running offsets over that table;
+4. ``row_number()`` inside each partition + offset.
+
+Every partition is sorted by its own task, at any size of the input.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
-BUCKET = "_pf_bucket"
-BUCKET_KEY = "_pf_bkey"
-BUCKET2 = "_pf_bucket2"
-TIE_KEY = "_pf_tkey"
+from partyframe.session import cut_lineage
+
+PART = "_pf_part"
 
 
 def md5_order_key(seed, *cols) -> Column:
@@ -36,133 +32,47 @@ def md5_order_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-# an md5 prefix of 12 hex digits is spread evenly over [0, 16^12)
-MD5_KEY_RANGE = (0.0, float(16 ** 12))
-MD5_BUCKETS = 65_536
-
+def _dealt(df: DataFrame, group_by: list[str], order_by: list) -> DataFrame:
+    """Rows in ranges of (groups, order), written once so that all readers see the same partitions."""
+    return cut_lineage(df.repartitionByRange(*group_by, *order_by).withColumn(PART, F.spark_partition_id()))
 
-def md5_bucket_key(hex_col) -> Column:
-    """Monotone numeric image of an md5 hex text (first 12 hex digits, exact in a double)."""
-    h = F.col(hex_col) if isinstance(hex_col, str) else hex_col
-    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double")
 
+def _offsets(dealt: DataFrame, group_by: list[str], value: Column, name: str, total: str | None = None) -> DataFrame:
+    """Per partition (and group): the sum of ``value`` over all earlier partitions.
 
-def _bucketise(df: DataFrame, key: Column, rows_per_bucket: int, max_buckets: int,
-               sample_rows_per_bucket: int = 64, n_rows: int | None = None,
-               uniform_range: tuple[float, float] | None = None,
-               tie_key: Column | None = None, max_sub_buckets: int = 64) -> DataFrame:
-    """Add ``BUCKET`` (monotone in ``key``) and ``BUCKET2`` (0, or a sub-bucket of a hot key).
-
-    A *hot* key value - one that alone would fill more than a bucket, e.g. a
-    third of all rows - gets a bucket of its own, split further by quantiles
-    of ``tie_key`` (the next order column, numeric), so no single task sorts
-    it whole.  Both bound tables are bounded by the bucket count and broadcast.
+    One row per partition and group it holds; without groups the window runs
+    over as many rows as there are partitions.
     """
-    keyed = df.withColumn(BUCKET_KEY, F.coalesce(key.cast("double"), F.lit(float("-inf"))))
-    if uniform_range is not None:
-        # key known to be spread evenly over [lo, hi) (a hash): arithmetic bounds, no count,
-        # no sample; ``max_buckets`` equal-width buckets
-        lo, hi = uniform_range
-        b = F.floor((F.col(BUCKET_KEY) - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(max_buckets))
-        return (keyed.withColumn(BUCKET, F.least(F.greatest(b, F.lit(0)), F.lit(max_buckets - 1)).cast("double"))
-                .withColumn(BUCKET2, F.lit(0)))
-    n = keyed.count() if n_rows is None else n_rows
-    n_buckets = int(min(max_buckets, max(1, math.ceil(n / max(1, rows_per_bucket)))))
-    if n_buckets <= 1:
-        return keyed.withColumn(BUCKET, F.lit(0.0)).withColumn(BUCKET2, F.lit(0))
-    fraction = min(1.0, n_buckets * sample_rows_per_bucket / max(1, n))
-    cols = [BUCKET_KEY] + ([tie_key.cast("double").alias(TIE_KEY)] if tie_key is not None else [])
-    sample = keyed.select(*cols).sample(False, fraction, seed=17).persist()
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sample.approxQuantile(BUCKET_KEY, probs, 1.0 / (4 * n_buckets))
-    splits = {b for b in bounds if not math.isnan(b) and math.isfinite(b)}
-    hot_rows = []
-    if tie_key is not None:
-        # keys whose sampled count says they alone exceed one bucket
-        grid = [i / max_sub_buckets for i in range(1, max_sub_buckets)]
-        hot_rows = (sample.groupBy(BUCKET_KEY)
-                    .agg(F.count(F.lit(1)).alias("c"),
-                         F.percentile_approx(TIE_KEY, grid, 4 * max_sub_buckets).alias("q"))
-                    .filter(F.col("c") > sample_rows_per_bucket)
-                    .limit(n_buckets).collect())
-    sample.unpersist()
-    hot = []
-    for r in hot_rows:
-        h = r[BUCKET_KEY]
-        if not math.isfinite(h):
-            continue
-        splits |= {h, math.nextafter(h, math.inf)}           # [h, next(h)) holds h alone
-        sub = int(min(max_sub_buckets, math.ceil(r["c"] / fraction / max(1, rows_per_bucket))))
-        step = max_sub_buckets / sub
-        q = r["q"] or []
-        sub_bounds = sorted({q[int(round(j * step)) - 1] for j in range(1, sub) if q})
-        hot.append((h, [float(x) for x in sub_bounds if x is not None]))
-    splits = [float("-inf")] + sorted(splits) + [float("inf")]
-    if len(splits) < 3:
-        out = keyed.withColumn(BUCKET, F.lit(0.0))
-    else:
-        out = Bucketizer(splits=splits, inputCol=BUCKET_KEY, outputCol=BUCKET,
-                         handleInvalid="keep").transform(keyed)
-    if not hot:
-        return out.withColumn(BUCKET2, F.lit(0))
-    spark = df.sparkSession
-    hot_df = spark.createDataFrame(hot, f"{BUCKET_KEY} double, _pf_sub array<double>")
-    k2 = tie_key.cast("double")
-    return (out.join(F.broadcast(hot_df), BUCKET_KEY, "left")
-            .withColumn(BUCKET2, F.coalesce(F.size(F.filter("_pf_sub", lambda b: b <= k2)), F.lit(0)))
-            .drop("_pf_sub"))
+    sums = dealt.groupBy(*group_by, PART).agg(F.sum(value).alias(name))
+    w = Window.partitionBy(*group_by).orderBy(PART) if group_by else Window.orderBy(PART)
+    out = sums.withColumn("_pf_off", F.coalesce(F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                                F.lit(0)))
+    if total:
+        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = out.withColumn(total, F.sum(name).over(every).cast("long"))
+    return out.drop(name)
 
 
-def dense_index(df: DataFrame, order_by: list, bucket_key: Column | None = None,
-                out: str = "idx", total: str | None = None, partition_by: list | None = None,
-                rows_per_bucket: int = 2_000_000, max_buckets: int = 200_000,
-                n_rows: int | None = None, uniform_range: tuple[float, float] | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order_by: list, out: str = "idx", total: str | None = None,
+                partition_by: list | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row in ``order_by`` order.
 
-    ``bucket_key`` must be numeric and non-decreasing in the order (defaults to
-    the first order column).  ``order_by`` must be a total order (end it with a
-    unique key).  ``total`` optionally adds the row count as a column.
-    ``uniform_range`` = (lo, hi) declares the bucket key evenly spread (an md5
-    prefix): then buckets are equal-width slices and no count / sample job runs.
-    ``partition_by`` numbers rows independently per group (e.g. per split);
-    then the bucket key must be monotone within each group.  When the second
-    order column is a numeric column, a hot value of the first one is split
-    on it (see :func:`_bucketise`).
+    ``order_by`` must be a total order (end it with a unique key).  ``total``
+    optionally adds the row count as a column.  ``partition_by`` (column
+    names) numbers rows independently per group, e.g. per split.
     """
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    key = bucket_key if bucket_key is not None else order_cols[0]
-    tie = None
-    if len(order_by) > 1 and isinstance(order_by[1], str) and isinstance(
-            df.schema[order_by[1]].dataType, NumericType):
-        tie = F.col(order_by[1])
-    groups = [F.col(c) if isinstance(c, str) else c for c in (partition_by or [])]
-    group_names = [c for c in (partition_by or []) if isinstance(c, str)]
-    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets, n_rows=n_rows, uniform_range=uniform_range,
-                          tie_key=tie)
-    counts = bucketed.groupBy(*groups, BUCKET, BUCKET2).agg(F.count(F.lit(1)).alias("_pf_cnt"))
-    # running offsets over the (small) bucket table; its size is <= buckets x sub-buckets per group
-    w_small = (Window.partitionBy(*groups).orderBy(BUCKET, BUCKET2) if groups
-               else Window.orderBy(BUCKET, BUCKET2))
-    offsets = counts.withColumn(
-        "_pf_off",
-        F.coalesce(F.sum("_pf_cnt").over(w_small.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if total:
-        w_all = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-        offsets = offsets.withColumn(total, F.sum("_pf_cnt").over(w_all).cast("long"))
-    offsets = offsets.drop("_pf_cnt")
-    # without groups the offset table has at most max_buckets x sub-buckets rows: broadcast it;
-    # with groups its size grows with their number, so Spark chooses the join by size
-    offsets = offsets if groups else F.broadcast(offsets)
-    joined = bucketed.join(offsets, on=[*group_names, BUCKET, BUCKET2], how="inner")
-    w = Window.partitionBy(*groups, BUCKET, BUCKET2).orderBy(*order_cols)
-    return (joined
+    groups = list(partition_by or [])
+    dealt = _dealt(df, groups, order_by)
+    offsets = _offsets(dealt, groups, F.lit(1), "_pf_cnt", total)
+    w = Window.partitionBy(*groups, PART).orderBy(*order_by)
+    return (dealt.join(offsets, [*groups, PART])
             .withColumn(out, (F.col("_pf_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_pf_off", BUCKET, BUCKET2, BUCKET_KEY))
+            .drop("_pf_off", PART))
 
 
 def seeded_split(df: DataFrame, uid: str, fractions: tuple[float, ...] = (0.1,),
                  names: tuple[str, ...] = ("tr", "te"), seed: int = 0, out: str = "split",
-                 holdout: bool = False, **kw) -> DataFrame:
+                 holdout: bool = False) -> DataFrame:
     """Split into parts of exact sizes in a seeded pseudo-random order.
 
     ``fractions`` are applied one after another like repeated
@@ -177,10 +87,7 @@ def seeded_split(df: DataFrame, uid: str, fractions: tuple[float, ...] = (0.1,),
     if holdout and len(fractions) != 2:
         raise ValueError("holdout splits take two fractions")
     ordered = df.withColumn("_pf_h", md5_order_key(seed, uid))
-    kw.setdefault("uniform_range", MD5_KEY_RANGE)
-    kw.setdefault("max_buckets", MD5_BUCKETS)
-    idx = dense_index(ordered, ["_pf_h", uid], bucket_key=md5_bucket_key("_pf_h"),
-                      out="_pf_r", total="_pf_n", **kw)
+    idx = dense_index(ordered, ["_pf_h", uid], out="_pf_r", total="_pf_n")
     if holdout:
         n = F.col("_pf_n").cast("double")
         held = F.ceil(n * F.lit(float(fractions[0])))
@@ -211,14 +118,12 @@ def seeded_split(df: DataFrame, uid: str, fractions: tuple[float, ...] = (0.1,),
 
 
 def assign_batches(df: DataFrame, order_by: list, batch_size: int,
-                   bucket_key: Column | None = None, partition_by: list | None = None,
-                   **kw) -> DataFrame:
+                   partition_by: list | None = None) -> DataFrame:
     """Contiguous batches of ``batch_size`` rows in the given order, last one short.
 
     Adds ``batch_id``, ``row_in_batch`` (i) and ``batch_rows`` (S).
     """
-    idx = dense_index(df, order_by, bucket_key=bucket_key, out="_pf_i", total="_pf_n",
-                      partition_by=partition_by, **kw)
+    idx = dense_index(df, order_by, out="_pf_i", total="_pf_n", partition_by=partition_by)
     b = F.lit(int(batch_size))
     batch = F.floor(F.col("_pf_i") / b).cast("long")
     rows = F.least(b.cast("long"), F.col("_pf_n") - batch * b).cast("int")
@@ -228,38 +133,23 @@ def assign_batches(df: DataFrame, order_by: list, batch_size: int,
             .drop("_pf_i", "_pf_n"))
 
 
-def shuffled_batches(df: DataFrame, uid: str, batch_size: int, seed: int = 0, **kw) -> DataFrame:
+def shuffled_batches(df: DataFrame, uid: str, batch_size: int, seed: int = 0,
+                     partition_by: list | None = None) -> DataFrame:
     """W3 for training: one fixed seeded permutation (md5 order), contiguous batches."""
     ordered = df.withColumn("_pf_h", md5_order_key(seed, uid))
-    kw.setdefault("uniform_range", MD5_KEY_RANGE)
-    kw.setdefault("max_buckets", MD5_BUCKETS)
-    return assign_batches(ordered, ["_pf_h", uid], batch_size,
-                          bucket_key=md5_bucket_key("_pf_h"), **kw).drop("_pf_h")
+    return assign_batches(ordered, ["_pf_h", uid], batch_size, partition_by=partition_by).drop("_pf_h")
 
 
 def running_sum(df: DataFrame, order_by: list, value: str, out: str = "below",
-                bucket_key: Column | None = None, partition_by: list | None = None,
-                rows_per_bucket: int = 2_000_000, max_buckets: int = 200_000,
-                uniform_range: tuple[float, float] | None = None) -> DataFrame:
+                partition_by: list | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` in ``order_by`` order (sum over all earlier rows).
 
-    Same bucket scheme as :func:`dense_index`: per-bucket totals (a table of at
-    most ``max_buckets`` rows per group) give broadcast offsets, and each bucket
-    is summed by its own task, so no global one-partition window is planned.
+    Same scheme as :func:`dense_index`, with sums in place of counts.
     """
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    key = bucket_key if bucket_key is not None else order_cols[0]
-    groups = [F.col(c) for c in (partition_by or [])]
-    bucketed = _bucketise(df, key, rows_per_bucket, max_buckets, uniform_range=uniform_range)
-    totals = bucketed.groupBy(*groups, BUCKET, BUCKET2).agg(F.sum(value).alias("_pf_tot"))
-    w_small = (Window.partitionBy(*groups).orderBy(BUCKET, BUCKET2) if groups
-               else Window.orderBy(BUCKET, BUCKET2))
-    offsets = totals.withColumn(
-        "_pf_off", F.coalesce(F.sum("_pf_tot").over(w_small.rowsBetween(Window.unboundedPreceding, -1)),
-                              F.lit(0))).drop("_pf_tot")
-    offsets = offsets if groups else F.broadcast(offsets)     # bounded only without groups
-    joined = bucketed.join(offsets, on=[*(partition_by or []), BUCKET, BUCKET2], how="inner")
-    w = (Window.partitionBy(*groups, BUCKET, BUCKET2).orderBy(*order_cols)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return (joined.withColumn(out, F.col("_pf_off") + F.coalesce(F.sum(value).over(w), F.lit(0)))
-            .drop("_pf_off", BUCKET, BUCKET2, BUCKET_KEY))
+    groups = list(partition_by or [])
+    dealt = _dealt(df, groups, order_by)
+    offsets = _offsets(dealt, groups, F.col(value), "_pf_tot")
+    w = Window.partitionBy(*groups, PART).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    return (dealt.join(offsets, [*groups, PART])
+            .withColumn(out, F.col("_pf_off") + F.coalesce(F.sum(value).over(w), F.lit(0)))
+            .drop("_pf_off", PART))

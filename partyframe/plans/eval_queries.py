@@ -30,13 +30,10 @@ ONESHOT_CODECS = ("org", "q16", "q8", "q4")
 
 # ------------------------------------------------------------------ shared frames
 
-def scored_split(spark, sf_dir, params, cols=("uid", "y", "cls", "z"), materialise=False):
-    """Scored star rows with their split.  ``materialise`` writes them once to the checkpoint
-    folder, for consumers that read them more than once (the AUC's running sum): re-running
-    the three-table join and the scoring for every read costs more than one write."""
+def scored_split(spark, sf_dir, params, cols=("uid", "y", "cls", "z")):
+    """Scored star rows with their split (the split's index writes them once, see ``operators.index``)."""
     sc = scored(spark, sf_dir, params).select(*cols)
-    sp = seeded_split(sc, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED)
-    return cut_lineage(sp) if materialise else sp
+    return seeded_split(sc, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED)
 
 
 def _sql_split(src: str) -> str:
@@ -61,7 +58,7 @@ FROM r GROUP BY split
 """)
 def auc_q(spark, sf_dir):
     """Exact ROC AUC (ties count one half) of the binary head, per split."""
-    s = scored_split(spark, sf_dir, params_binary(), materialise=True).select(
+    s = scored_split(spark, sf_dir, params_binary()).select(
         "split", "y", model.predict_binary(F.col("z")[0]).alias("p"))
     a = evaluate.auc(s, "p", "y", by=("split",))
     return a.select("split", "n_pos", "n_neg", round6("auc").alias("auc"))

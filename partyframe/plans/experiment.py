@@ -38,8 +38,8 @@ def load_aligned(spark: SparkSession, path: str, widths: list[int]) -> DataFrame
 def split_batches(al: DataFrame, batch_size: int, seed: int = 0, names=("tr", "va", "te")):
     tr = fit.prepare_batches(shuffled_batches(al.filter(F.col("split") == names[0]), "uid", batch_size,
                                               seed=seed))
-    others = [fit.prepare_batches(assign_batches(al.filter(F.col("split") == n), ["uid"], batch_size,
-                                                 bucket_key=F.col("uid"))) for n in names[1:]]
+    others = [fit.prepare_batches(assign_batches(al.filter(F.col("split") == n), ["uid"], batch_size))
+              for n in names[1:]]
     return [tr] + others
 
 

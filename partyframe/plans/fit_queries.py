@@ -36,10 +36,8 @@ def star_split_batches(spark, sf_dir, batch: int = BATCH):
     test batches in uid order; each hash-partitioned on batch_id and cached."""
     star = build_star(spark, sf_dir)
     sp = seeded_split(aligned(star), "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED).persist()
-    sizes = _split_sizes(sp)          # one job; lets the key-ordered indexes skip their own counts
     tr = fit.prepare_batches(shuffled_batches(sp.filter(F.col("split") == "tr"), "uid", batch, seed=SEED))
-    va, te = (fit.prepare_batches(assign_batches(sp.filter(F.col("split") == name), ["uid"], batch,
-                                                 bucket_key=F.col("uid"), n_rows=sizes.get(name, 0)))
+    va, te = (fit.prepare_batches(assign_batches(sp.filter(F.col("split") == name), ["uid"], batch))
               for name in ("va", "te"))
     return star, sp, tr, va, te
 

@@ -212,8 +212,7 @@ def dense_index_q(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
     late = (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp")).cast("int")
     o = o.select("o_orderkey", late.alias("late"))
-    key = F.col("late").cast("double") * F.lit(2.0 ** 52) + F.col("o_orderkey").cast("double")
-    return dense_index(o, ["late", "o_orderkey"], bucket_key=key, out="uid").select("o_orderkey", "uid")
+    return dense_index(o, ["late", "o_orderkey"], out="uid").select("o_orderkey", "uid")
 
 
 def _split_sql(fracs, names):
@@ -274,7 +273,7 @@ FROM t
 def batches_ordered(spark, sf_dir):
     """W3 for validation / test: batches in plain key order (composite key)."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return assign_batches(li, ["l_orderkey", "l_linenumber"], BATCH, bucket_key=F.col("l_orderkey"))
+    return assign_batches(li, ["l_orderkey", "l_linenumber"], BATCH)
 
 
 # ---------------------------------------------------------------- parties and alignment

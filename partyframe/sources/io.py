@@ -67,19 +67,40 @@ def append_metrics(spark: SparkSession, rows: list | DataFrame, path: str) -> No
 
 
 def append_run_log(spark: SparkSession, new_runs: DataFrame, base: str, version: int) -> str:
-    """Union the previous log version with ``new_runs`` by name (missing columns null)
-    into folder ``base/v=<version>``; returns that folder.  The previous version is only read."""
-    prev = f"{base.rstrip('/')}/v={version - 1}"
+    """Union the latest log version with ``new_runs`` by name (missing columns null)
+    into folder ``base/v=<version>``; returns that folder.
+
+    The latest version is found by listing ``base``; only an empty or absent
+    ``base`` starts a new log.  ``version`` must be above all versions there,
+    a version that cannot be read is an error, and so is a column whose type
+    differs; nothing is ever overwritten.
+    """
     out = f"{base.rstrip('/')}/v={version}"
-    try:
-        old = spark.read.parquet(prev)
+    have = log_versions(spark, base)
+    if have and version <= have[-1]:
+        raise ValueError(f"version {version} is not above the latest one, {have[-1]}")
+    merged = new_runs
+    if have:
+        old = spark.read.parquet(f"{base.rstrip('/')}/v={have[-1]}")
+        types = dict(old.dtypes)
+        clash = [c for c, t in new_runs.dtypes if types.get(c, t) != t]
+        if clash:
+            raise TypeError(f"columns with another type than in the log: {clash}")
         merged = old.unionByName(new_runs, allowMissingColumns=True)
-    except Exception:  # noqa: BLE001 - first version: nothing to merge
-        merged = new_runs
-    merged.write.mode("overwrite").parquet(out)
+    merged.write.mode("errorifexists").parquet(out)
     return out
 
 
+def log_versions(spark: SparkSession, base: str) -> list[int]:
+    """Version numbers below ``base``, in order (through Hadoop's file system, so any store will do)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+
 def export_tsv(df: DataFrame, path: str) -> None:
     """The run log as tab-separated text with a header (the reference's file format)."""
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

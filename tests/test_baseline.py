@@ -25,8 +25,7 @@ CONFIGS = {
 def _messages(spark, n_tr, n_va, dims, codec_name):
     """One row per message of ONE epoch: train batches both ways, validation batches sent only."""
     def batches(n, split):
-        b = assign_batches(spark.range(n).withColumnRenamed("id", "uid"), ["uid"], BATCH,
-                           bucket_key=F.col("uid"))
+        b = assign_batches(spark.range(n).withColumnRenamed("id", "uid"), ["uid"], BATCH)
         return b.groupBy("batch_id").agg(F.max("batch_rows").alias("S")).withColumn("split", F.lit(split))
     per_batch = batches(n_tr, "tr").unionByName(batches(n_va, "va"))
     parts = F.array(*[F.lit(p) for p in range(PARTIES)])

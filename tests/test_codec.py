@@ -124,13 +124,38 @@ def test_dispatch_gradient_codecs(spark):
     mat = codec.batch_matrix(b, {"eflat": ("e", "row_in_batch"), "flat": ("g", "row_in_batch")})
     m = codec.encode(mat, "svfl", "grad", emb_flat="eflat").first()
     assert [round(v, 6) for v in m["vals"]] == [0.5, 0.05, -0.7]     # column-major, only where e != 0
-    t = codec.encode(codec.batch_matrix(b, "g", axis=0), "topk", "grad", k=2).first()
+    t = codec.encode(codec.batch_matrix(b, "g", axis=0), "topk", "grad", k=2, axis=0).first()
     assert list(t["idx"]) == [5, 3]
     rows = codec.decode(codec.encode(codec.batch_matrix(b, "g"), "q16", "grad"), "q16", ["batch_id"]) \
         .orderBy("row_in_batch").collect()
     np.testing.assert_allclose([list(r["decoded"]) for r in rows], np.array(G).astype(np.float16), rtol=0)
 
 
+@pytest.mark.parametrize("axis", [0, 1])
+@pytest.mark.parametrize("name", codec.CODECS)
+def test_gradients_come_back_in_place(spark, name, axis):
+    """Every codec's gradient decodes to the sent matrix: masked by the embedding for svfl, whole for the others."""
+    rng = np.random.default_rng(21)
+    E = np.maximum(rng.normal(size=(7, 3)), 0)
+    G = rng.normal(size=(7, 3))
+    b = spark.createDataFrame([(0, i, 7, E[i].tolist(), G[i].tolist()) for i in range(7)],
+                              "batch_id long, row_in_batch int, batch_rows int, e array<double>, g array<double>")
+    mat = codec.batch_matrix(b, {"eflat": ("e", "row_in_batch"), "flat": ("g", "row_in_batch")}, axis=axis)
+    sent = codec.encode(mat, name, "grad", k=100, emb_flat="eflat", axis=axis)
+    kept = codec.rle_encode(codec.batch_matrix(b, "e", axis=axis))
+    rows = codec.decode(sent, name, ["batch_id"], "grad", axis=axis, positions=kept).orderBy("row_in_batch").collect()
+    got = np.array([list(r["decoded"]) for r in rows])
+    want = G * (E != 0) if name.startswith("svfl") else G
+    step = {"q8": np.ptp(G) / 255, "q4": np.ptp(G) / 15}.get(name, 0) * 1.1
+    np.testing.assert_allclose(got, want, rtol=1e-3 if "16" in name else 1e-6, atol=max(step, 1e-6))
+
+
+def test_svfl_gradient_needs_the_kept_positions(spark):
+    b = _batch(spark, [[1.0, 2.0]])
+    with pytest.raises(ValueError, match="kept positions"):
+        codec.decode(codec.batch_matrix(b, "e").withColumn("vals", F.col("flat")), "svfl", ["batch_id"], "grad")
+
+
 def test_q8_gradient_error_bound(spark):
     rng = np.random.default_rng(12)
     G = rng.normal(size=(30, 4))

@@ -1,6 +1,7 @@
 """Round trips of the sources / sinks (S1-S10, U2) and the streaming tracker."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +64,23 @@ def test_messages_metrics_runlog_params(spark, tmp_path):
     np.testing.assert_array_equal(back["b"], P["b"])
 
 
+def test_run_log_never_loses_rows(spark, tmp_path):
+    base = str(tmp_path / "log")
+    row = lambda name: spark.createDataFrame([(name, 1)], "run_id string, k int")
+    io.append_run_log(spark, row("a"), base, 1)
+    io.append_run_log(spark, row("b"), base, 2)
+    v4 = io.append_run_log(spark, row("c"), base, 4)                    # version 3 was never written
+    assert {r["run_id"] for r in spark.read.parquet(v4).collect()} == {"a", "b", "c"}
+    with pytest.raises(ValueError, match="not above"):
+        io.append_run_log(spark, row("d"), base, 4)
+    with pytest.raises(TypeError, match="k"):
+        io.append_run_log(spark, spark.createDataFrame([("e", "x")], "run_id string, k string"), base, 5)
+    (tmp_path / "log" / "v=6").mkdir()                                  # a version that cannot be read
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        io.append_run_log(spark, row("f"), base, 7)
+    assert io.log_versions(spark, base) == [1, 2, 4, 6]
+
+
 def test_streaming_tracker_matches_batch_rule(spark, tmp_path):
     path = str(tmp_path / "metrics")
     scores = [0.5, 0.6, 0.6, 0.55, 0.58, 0.7]
