@@ -13,7 +13,7 @@ from . import common as C
 from .components import components, merge
 
 POSITIONS = 64              # minhash positions of a set; a path samples some of them
-SMALL = 256                 # a bucket of more sets is split on further positions
+SMALL = 4096                # a bucket of more sets is split on further positions
 CHUNK = 1024                # sets per side of one verification task
 START_DEPTH, LAST_DEPTH = 2, 4
 U = np.uint64
