@@ -34,8 +34,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     (smallest id reachable by links), kept: one row per input row.  Rows with
     a null id or label, and vectors that are null, empty, zero, or hold null
     or non-finite components, link with nothing; neither do vectors of unequal
-    length.  Rows that share an id count as separate vectors and as one node
-    of the components.  Extra columns are ignored.
+    length.  Rows that share an id count on their own.  Extra columns are
+    ignored.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * least)) + _SLACK
     vec = F.col(vec_col)
@@ -45,7 +45,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), vec.alias("vec"),
                           F.coalesce(valid, F.lit(False)).alias("valid"))
     classes = C.checkpointed(rows.filter("valid").groupBy("label", "vec")
-                             .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+                             .agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+                             .withColumn("rep", F.xxhash64("label", "vec"))
                              .withColumn("kind", F.xxhash64("label", F.size("vec"))))
 
     # pivots: a few per kind (label and length), bounded in all
@@ -135,14 +136,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
         some = np.flatnonzero((links > 0) | (labels != np.arange(len(rep))))
         return pa.table([rep[some], links[some], rep[labels[some]]], schema=out)
 
-    # each pair of cells and chunks is read once by its home side; roots are the smallest id met in the task
+    # each pair of cells and chunks is read once by its home side; roots are classes met in the task
     found = C.checkpointed(grid.groupBy("kind", "cell", "a", "b").applyInArrow(join, "rep long, links long, root long"))
     per_rep = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep")
-    known = C.checkpointed(classes.select("label", "vec", "rep", "n").join(per_rep, "rep", "left")
+    groups = groups.join(classes.select("rep", "low"), "rep")
+    lowest = groups.groupBy("component").agg(F.min("low").alias("lowest"))
+    groups = groups.join(lowest, "component").select("rep", "lowest")
+    known = C.checkpointed(classes.select("label", "vec", "rep", "low", "n").join(per_rep, "rep", "left")
                            .join(groups, "rep", "left")
                            .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
-                                   F.coalesce("component", "rep").alias("component")))
+                                   F.coalesce("lowest", "low").alias("component")))
     joined = rows.filter("valid").join(known, ["label", "vec"]).select("id", "links", "component")
     alone = rows.filter("not valid").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     return joined.unionByName(alone).select(
