@@ -78,13 +78,14 @@ def census_spec(seed: int = 0) -> PrepSpec:
 # ------------------------------------------------------------------ wine quality
 
 def read_wine(spark: SparkSession, red_path: str, white_path: str) -> DataFrame:
-    """Both files (header, ';'), a ``color`` column (0 red, 1 white), names normalised, numbers
-    that do not parse left null."""
+    """Both files (header, ';'), a ``color`` column (0 red, 1 white), names normalised; numbers
+    that do not parse or are missing take the column's mean over both files (P10)."""
     def one(path, color, src):
         df = tables.normalise_names(tables.read_csv_header(spark, path, sep=";"))
         df = df.select(*[prep.to_double(F.col(c)).alias(c) for c in df.columns])
         return _with_order(tables.with_source(df, "color", float(color)), src)
-    return one(red_path, 0, 0).unionByName(one(white_path, 1, 1))
+    both = one(red_path, 0, 0).unionByName(one(white_path, 1, 1))
+    return prep.impute_mean(both, prep.fit_means(both, WINE_NUMERIC))
 
 
 def wine_spec(seed: int = 0) -> PrepSpec:

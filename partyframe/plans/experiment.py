@@ -20,13 +20,17 @@ from partyframe.sources import io
 METRIC_SCHEMA = "run_id string, tag string, step int, value double"
 
 
-def load_aligned(spark: SparkSession, path: str, widths: list[int]) -> DataFrame:
-    """``(uid, split, x0 .. xk, y)``: party 0 drives the rows, the others are left-joined with
-    zero fill, the label is joined by key."""
+def load_aligned(spark: SparkSession, path: str, widths: list[int], chosen: list[int] | None = None) -> DataFrame:
+    """``(uid, split, x0 .. xk, y)``: the first party drives the rows, the others are left-joined
+    with zero fill, the label is joined by key.  ``chosen`` names the parties that take part
+    (P15; all by default), one per entry of ``widths``; x0 is the first of them."""
+    chosen = list(range(len(widths))) if chosen is None else chosen
+    if len(chosen) != len(widths):
+        raise ValueError("one width per chosen party")
     parties = []
-    for p, w in enumerate(widths):
+    for k, (p, w) in enumerate(zip(chosen, widths)):
         d = io.read_party_dataset(spark, path, p)
-        cols = ["uid", "features"] + (["split"] if p == 0 else [])
+        cols = ["uid", "features"] + (["split"] if k == 0 else [])
         parties.append((d.select(*cols), w))
     first, w0 = parties[0]
     al = align.align_parties([(first.select("uid", "features"), w0)] + parties[1:])
@@ -48,11 +52,12 @@ def run_vfl(spark: SparkSession, path: str, widths: list[int], dims: list[int],
             top_k: int = 1024, batch_size: int = 1024, epochs: int = 200, lr: float = 1e-3,
             party_optimizer: str = "adam", patience: int | None = None, seed: int = 0, bias: bool = True,
             step: str = "epoch", snapshot_path: str | None = None,
-            metrics_path: str | None = None, axis: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The joint run. Returns (metric rows, one-row run record).  With ``metrics_path`` every
+            metrics_path: str | None = None, axis: int = 1,
+            chosen: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The joint run, over the ``chosen`` parties (all by default). Returns (metric rows, one-row run record).  With ``metrics_path`` every
     epoch's metric rows are appended there while the run goes on (the streaming tracker can
     follow that folder)."""
-    al = load_aligned(spark, path, widths)
+    al = load_aligned(spark, path, widths, chosen)
     tr, va, te = split_batches(al, batch_size, seed)
     if n_out == 1:
         pw = align.pos_weight(tr).first()["pos_weight"]
@@ -84,10 +89,10 @@ def run_vfl(spark: SparkSession, path: str, widths: list[int], dims: list[int],
 def run_oneshot(spark: SparkSession, path: str, widths: list[int], dims: list[int], run_id: str = "run",
                 compress_with: str = "pca", codec: str = "org", n_out: int = 1, batch_size: int = 1024,
                 epochs: int = 200, lr: float = 1e-3, ae_epochs: int = 200, patience: int = 5,
-                seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The one-shot run: PCA (fit on training rows) or an autoencoder per party, each split's
+                seed: int = 0, chosen: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The one-shot run, over the ``chosen`` parties (all by default): PCA (fit on training rows) or an autoencoder per party, each split's
     codes sent once through ``codec``, head-only fit. Returns (metric rows, run record)."""
-    al = load_aligned(spark, path, widths)
+    al = load_aligned(spark, path, widths, chosen)
     tr, va, te = split_batches(al, batch_size, seed)
     cols = [f"x{p}" for p in range(len(widths))]
     metrics = []

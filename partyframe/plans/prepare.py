@@ -88,9 +88,12 @@ def prepare_vertical(df: DataFrame, spec: PrepSpec) -> tuple[DataFrame, DataFram
 
 
 def write_vertical(parties: DataFrame, labels: DataFrame, path: str, n_parties: int) -> None:
-    """One dataset per party (partitioned by split) and the labels."""
-    for p in range(n_parties):
-        io.write_party_dataset(parties.filter(F.col("party") == p).drop("party"), path, p)
+    """One dataset per party (partitioned by split) in one write, and the labels.
+
+    The folder must not hold anything else: the write replaces it.
+    """
+    (parties.filter(F.col("party") < n_parties).select("uid", "features", "party", "split")
+     .write.mode("overwrite").partitionBy("party", "split").parquet(path))
     io.write_labels(labels, path)
 
 

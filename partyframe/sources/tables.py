@@ -35,16 +35,22 @@ def read_csv_no_header(spark: SparkSession, path: str, schema: T.StructType,
 
     Text keeps its leading blank (``ignoreLeadingWhiteSpace`` is off, as in
     pandas); numbers are parsed after trimming (``", 77516"`` is 77516, as
-    pandas reads it).  A banner line that starts with ``banner_prefix`` is
-    skipped via the CSV comment option, so no driver-side line counting is needed.
+    pandas reads it).  With ``banner_prefix``, a row in a file's first block is
+    left out if its first field starts with the prefix and all others are
+    missing; data lines that begin with the mark stay.
     """
     text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     reader = (spark.read.schema(text).option("header", False).option("sep", sep)
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
               .option("mode", "PERMISSIVE"))
+    df = reader.csv(path)
     if banner_prefix:
-        reader = reader.option("comment", banner_prefix)
-    return _typed(reader.csv(path), schema)
+        first, *others = df.columns
+        banner = (F.col("_metadata.file_block_start") == 0) & F.col(first).startswith(banner_prefix)
+        for c in others:
+            banner = banner & F.col(c).isNull()
+        df = df.filter(~F.coalesce(banner, F.lit(False)))
+    return _typed(df, schema)
 
 
 def read_csv_header(spark: SparkSession, path: str, sep: str = ";",

@@ -226,3 +226,35 @@ def test_wine_and_covtype_presets(spark, tmp_path):
     assert sorted(r["y"] for r in labels.select("y").distinct().collect()) == list(range(7))
     widths = {r["party"]: len(r["features"]) for r in parties.select("party", "features").distinct().collect()}
     assert widths == {0: 7, 1: 7, 2: 40}
+
+
+def test_only_the_banner_line_is_skipped(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from partyframe.sources import tables
+    (tmp_path / "t.csv").write_text("|a banner line\n|x, 1\n y, 2\n|z, 3\n")
+    st = T.StructType([T.StructField("s", T.StringType()), T.StructField("n", T.LongType())])
+    rows = tables.read_csv_no_header(spark, str(tmp_path / "t.csv"), st, banner_prefix="|").collect()
+    assert [(r["s"], r["n"]) for r in rows] == [("|x", 1), (" y", 2), ("|z", 3)]
+
+
+def test_wine_reader_fills_with_the_mean(spark, tmp_path):
+    from partyframe.plans import datasets
+    names = [c for c in datasets.WINE_NUMERIC if c != "color"]
+    head = ";".join(f'"{c.replace("_", " ")}"' for c in names) + ';"quality"'
+    line = lambda x: ";".join([str(x)] * len(names) + ["7"])
+    (tmp_path / "r.csv").write_text(f"{head}\n{line(1.0)}\n{line(3.0)}\n")
+    (tmp_path / "w.csv").write_text(f"{head}\n{line('?')}\n")
+    rows = datasets.read_wine(spark, str(tmp_path / "r.csv"), str(tmp_path / "w.csv")).collect()
+    assert sorted(r["ph"] for r in rows) == [1.0, 2.0, 3.0] and sorted(r["color"] for r in rows) == [0.0, 0.0, 1.0]
+
+
+def test_parties_can_be_chosen(spark, tmp_path):
+    from partyframe.plans.experiment import load_aligned
+    from partyframe.plans.prepare import write_vertical
+    parties = spark.createDataFrame([(u, "tr", p, [float(10 * p + u)]) for u in range(3) for p in range(3)],
+                                    "uid long, split string, party int, features array<double>")
+    labels = spark.createDataFrame([(u, "tr", u % 2) for u in range(3)], "uid long, split string, y int")
+    write_vertical(parties, labels, str(tmp_path / "d"), 3)
+    got = {r["uid"]: (r["x0"], r["x1"], r["y"]) for r in load_aligned(spark, str(tmp_path / "d"), [1, 1], [0, 2]).collect()}
+    assert got == {u: ([float(u)], [20.0 + u], u % 2) for u in range(3)}
