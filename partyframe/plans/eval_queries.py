@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from partyframe.functions.numeric import round6, round_to
 from partyframe.operators import codec, evaluate, model
-from partyframe.operators.index import seeded_split
+from partyframe.operators.index import assign_batches, md5_order_key, seeded_split
 from partyframe.plans.inputs import sql_bytes, sql_ceil_log2
-from partyframe.plans.model_queries import (BATCH, DIM, LAMBDA, SQL_BCE, SQL_POS_WEIGHT, fit_pos_weight,
+from partyframe.plans.model_queries import (BATCH, DIM, LAMBDA, SEED, SQL_BCE, SQL_POS_WEIGHT, fit_pos_weight,
                                             params_binary, params_class, scored, sql_scored)
 from partyframe.plans.registry import register
-from partyframe.plans.star import aligned, build_star
-from partyframe.session import cut_lineage
+from partyframe.plans.star import WIDTHS, aligned, build_star
 from partyframe.sources.tables import read_table
 
 # fixed values: test-query parameters
@@ -130,26 +129,51 @@ def early_stop_q(spark, sf_dir):
 
 # ------------------------------------------------------------------ A9, A10, E3, U2, S8
 
+def scored_in_epoch(spark, sf_dir, star=None):
+    """Scored rows as one epoch sends them: training rows in batches of a seeded permutation,
+    validation rows in batches by uid; test rows are not sent while training."""
+    al = seeded_split(aligned(star or build_star(spark, sf_dir)), "uid", (0.1, 0.1), ("tr", "va", "te"),
+                      seed=SPLIT_SEED).filter("split <> 'te'")
+    al = al.withColumn("_pf_h", F.when(F.col("split") == "tr", md5_order_key(SEED, "uid")))
+    al = assign_batches(al, ["_pf_h", "uid"], BATCH, partition_by=["split"]).drop("_pf_h")
+    return model.head(model.embed(al, params_binary(), list(WIDTHS), "relu"), params_binary())
+
+
+SQL_EPOCH_BATCHES = f"""{_sql_split('al')},
+bt0 AS (SELECT al.*, split, row_number() OVER (PARTITION BY split ORDER BY CASE WHEN split = 'tr'
+                 THEN md5('{SEED}:' || uid::VARCHAR) END, uid) - 1 AS r, count(*) OVER (PARTITION BY split) AS n
+        FROM al JOIN sp USING (uid) WHERE split <> 'te'),
+bt AS (SELECT *, r // {BATCH} AS batch_id, least({BATCH}, n - (r // {BATCH}) * {BATCH}) AS S FROM bt0)"""
+
+
 def party_run_counts(spark, sf_dir, star=None):
-    """(party, batch_id, samples, dims, nnz, heads, tails): column-major runs of every party's
-    ReLU embedding per training batch; one shuffle on (party, batch)."""
-    sc = scored(spark, sf_dir, params_binary(), batches=True, star=star)
+    """(split, party, batch_id, samples, dims, nnz, heads, tails): column-major runs of every
+    party's ReLU embedding per batch of an epoch; one shuffle on (split, party, batch)."""
+    sc = scored_in_epoch(spark, sf_dir, star)
     parts = F.array(*[F.struct(F.lit(p).alias("party"), F.col(f"e{p}").alias("e")) for p in PARTIES])
-    cells = sc.select("batch_id", "row_in_batch", "batch_rows", F.explode(parts).alias("pe")).select(
-        "batch_id", "row_in_batch", "batch_rows", F.col("pe.party").alias("party"), F.col("pe.e").alias("e"))
-    return codec.run_counts(codec.batch_matrix(cells, "e", keys=("party", "batch_id")))
+    cells = sc.select("split", "batch_id", "row_in_batch", "batch_rows", F.explode(parts).alias("pe")).select(
+        "split", "batch_id", "row_in_batch", "batch_rows", F.col("pe.party").alias("party"), F.col("pe.e").alias("e"))
+    return codec.run_counts(codec.batch_matrix(cells, "e", keys=("split", "party", "batch_id")))
+
+
+def epoch_messages(counts, codecs):
+    """Sizes of an epoch's messages: embeddings of both splits are sent, gradients come back for
+    training batches only."""
+    sizes = codec.codec_sizes(counts, codecs=codecs, k=GRID_K).withColumn(
+        "direction", F.when(F.col("direction") == "emb", F.lit("send")).otherwise(F.lit("receive")))
+    return sizes.filter("split = 'tr' or direction = 'send'")
 
 
 SQL_PARTY_COUNTS = f"""
-pc AS (SELECT batch_id, S, r - batch_id * {BATCH} AS i, p::INTEGER AS party, unnest(range(0, {DIM})) AS d,
+pc AS (SELECT split, batch_id, S, r - batch_id * {BATCH} AS i, p::INTEGER AS party, unnest(range(0, {DIM})) AS d,
               unnest(CASE p WHEN 0 THEN e0 WHEN 1 THEN e1 ELSE e2 END) AS v
        FROM sc, range(0, 3) t(p)),
-prn AS (SELECT party, batch_id, S, v <> 0 AS nz,
-              lag(v <> 0) OVER (PARTITION BY party, batch_id ORDER BY d * S + i) AS pnz FROM pc),
-counts AS (SELECT party, batch_id, max(S) AS S, {DIM} AS dims, count_if(nz) AS nnz,
+prn AS (SELECT split, party, batch_id, S, v <> 0 AS nz,
+              lag(v <> 0) OVER (PARTITION BY split, party, batch_id ORDER BY d * S + i) AS pnz FROM pc),
+counts AS (SELECT split, party, batch_id, max(S) AS S, {DIM} AS dims, count_if(nz) AS nnz,
                   count_if(nz AND coalesce(NOT pnz, true)) AS heads,
                   count_if(NOT nz AND coalesce(pnz, false)) AS tails
-           FROM prn GROUP BY party, batch_id)"""
+           FROM prn GROUP BY split, party, batch_id)"""
 
 
 def sql_codec_bits(c: str, d: str, k: int) -> str:
@@ -167,10 +191,10 @@ def sql_codec_bits(c: str, d: str, k: int) -> str:
 
 
 @register("comm_totals", f"""
-WITH {sql_scored(params_binary(), batches=True)}, {SQL_PARTY_COUNTS},
+WITH {sql_scored(params_binary(), batch_sql=SQL_EPOCH_BATCHES)}, {SQL_PARTY_COUNTS},
 m AS (SELECT party, 'send' AS direction, {sql_bytes(sql_codec_bits('svfl16', 'emb', GRID_K))} AS bytes FROM counts
       UNION ALL
-      SELECT party, 'receive', {sql_bytes(sql_codec_bits('svfl16', 'grad', GRID_K))} FROM counts),
+      SELECT party, 'receive', {sql_bytes(sql_codec_bits('svfl16', 'grad', GRID_K))} FROM counts WHERE split = 'tr'),
 g AS (SELECT party, direction, count(*)::BIGINT AS messages, sum(bytes)::BIGINT AS bytes
       FROM m GROUP BY ROLLUP (party, direction))
 SELECT party, direction, messages, bytes, round(bytes / messages / 1024.0, 6) AS kib_per_message,
@@ -178,11 +202,9 @@ SELECT party, direction, messages, bytes, round(bytes / messages / 1024.0, 6) AS
 FROM g
 """)
 def comm_totals_q(spark, sf_dir):
-    """svfl16 messages of one epoch: count and bytes per party and direction,
-    per party and in total (rollup), mean KiB per message and GiB."""
-    counts = party_run_counts(spark, sf_dir)
-    sizes = codec.codec_sizes(counts, codecs=("svfl16",), k=GRID_K).withColumn(
-        "direction", F.when(F.col("direction") == "emb", F.lit("send")).otherwise(F.lit("receive")))
+    """svfl16 messages of one epoch (training both ways, validation sent): count and
+    bytes per party and direction, per party and in total (rollup), mean KiB per message and GiB."""
+    sizes = epoch_messages(party_run_counts(spark, sf_dir), ("svfl16",))
     t = evaluate.comm_totals(sizes, ("party", "direction"))
     return t.select("party", "direction", "messages", "bytes", round6("kib_per_message").alias("kib_per_message"),
                     round_to("gib", 9).alias("gib"))
@@ -196,7 +218,8 @@ def _sql_run_log() -> str:
     for c in RUN_CODECS:
         for d, dname in (("emb", "send"), ("grad", "receive")):
             sparse_rows.append(f"SELECT '{c}' AS codec, party, '{dname}' AS direction, "
-                               f"{sql_bytes(sql_codec_bits(c, d, GRID_K))} AS bytes FROM counts")
+                               f"{sql_bytes(sql_codec_bits(c, d, GRID_K))} AS bytes FROM counts"
+                               + (" WHERE split = 'tr'" if d == "grad" else ""))
     sel = ", ".join(f"sum(CASE WHEN direction = '{d}' AND party = {p} THEN bytes END)::BIGINT AS total_size_{d}_{p}"
                     for d in ("send", "receive") for p in PARTIES)
     bits = {"org": 32, "q16": 16, "q8": 8, "q4": 4}
@@ -205,7 +228,7 @@ def _sql_run_log() -> str:
         f"{sql_bytes(f'n * {DIM} * {bits[c]}')} AS bytes FROM ns, range(0, 3) t(p)" for c in ONESHOT_CODECS)
     osel = ", ".join(f"sum(CASE WHEN party = {p} THEN bytes END)::BIGINT AS total_size_send_{p}" for p in PARTIES)
     return f"""
-WITH {sql_scored(params_binary(), batches=True)}, {SQL_PARTY_COUNTS}, {_sql_split('al')},
+WITH {sql_scored(params_binary(), batch_sql=SQL_EPOCH_BATCHES)}, {SQL_PARTY_COUNTS},
 ns AS (SELECT split, count(*) AS n FROM sp WHERE split <> 'te' GROUP BY split),
 m AS ({' UNION ALL '.join(sparse_rows)}),
 sparse AS (SELECT 'svfl_' || codec AS run_id, NULL::VARCHAR AS compress, codec, {BATCH} AS batch_size, {DIM} AS interface_dims,
@@ -226,14 +249,12 @@ FROM one
 
 @register("run_log", _sql_run_log())
 def run_log_q(spark, sf_dir):
-    """One run record per codec of the sparse grid (bytes per party and direction
-    as columns, from one pass over the party embeddings), unioned by name with the one-shot grid
+    """One run record per codec of the sparse grid (bytes of one epoch per party and
+    direction as columns, from one pass over the party embeddings), unioned by name with the one-shot grid
     (training and validation splits sent once, no replies), whose records lack the sparse-only
     columns."""
     star = build_star(spark, sf_dir)
-    counts = party_run_counts(spark, sf_dir, star)
-    sizes = codec.codec_sizes(counts, codecs=RUN_CODECS, k=GRID_K).withColumn(
-        "direction", F.when(F.col("direction") == "emb", F.lit("send")).otherwise(F.lit("receive")))
+    sizes = epoch_messages(party_run_counts(spark, sf_dir, star), RUN_CODECS)
     sparse = evaluate.run_record(sizes.withColumn("run_id", F.concat(F.lit("svfl_"), F.col("codec"))),
                                  ["run_id", "codec"], list(PARTIES))
     sparse = (sparse.withColumn("batch_size", F.lit(BATCH)).withColumn("interface_dims", F.lit(DIM))
@@ -244,7 +265,7 @@ def run_log_q(spark, sf_dir):
     n = F.col("n_all").cast("double")
     te = F.ceil(n * 0.1)
     va = F.ceil((n - te) * 0.1)
-    ns = aligned(star).agg(F.count(F.lit(1)).alias("n_all")).select(
+    ns = star.labels.agg(F.count(F.lit(1)).alias("n_all")).select(
         F.explode(F.array((n - te - va).cast("long"), va.cast("long"))).alias("n"))
     bits = {"org": 32, "q16": 16, "q8": 8, "q4": 4}
     grid = F.array(*[F.struct(F.lit(c).alias("codec"), F.lit(bits[c]).alias("bits"), F.lit(p).alias("party"))
@@ -262,12 +283,12 @@ def run_log_q(spark, sf_dir):
 
 
 @register("metric_log", f"""
-WITH {sql_scored(params_binary(), batches=True)}, {SQL_POS_WEIGHT},
+WITH {sql_scored(params_binary(), batch_sql=SQL_EPOCH_BATCHES)}, {SQL_POS_WEIGHT},
 b AS (SELECT batch_id, avg({SQL_BCE}) AS loss,
              {LAMBDA} / 3.0 * ({" + ".join(f"avg(list_sum(list_transform(e{q}, lambda v: abs(v))))" for q in range(3))}) AS pen,
              sum({" + ".join(f"len(list_filter(e{q}, lambda v: abs(v) <= 0))" for q in range(3))})
                / (count(*) * {3 * DIM}) AS sparsity
-      FROM sc, pw GROUP BY batch_id)
+      FROM sc, pw WHERE split = 'tr' GROUP BY batch_id)
 SELECT 'star_relu' AS run_id, 'tr/loss' AS tag, batch_id AS step, round(loss, 6) AS value FROM b
 UNION ALL SELECT 'star_relu', 'reg/tr_sparse_embed_loss_x_lambda', batch_id, round(pen, 6) FROM b
 UNION ALL SELECT 'star_relu', 'reg/tr_embed_sparsity', batch_id, round(sparsity, 6) FROM b
@@ -276,7 +297,7 @@ def metric_log_q(spark, sf_dir):
     """Per-step metric rows (run_id, tag, step, value) from one pass over the training batches."""
     star = build_star(spark, sf_dir)
     pw = fit_pos_weight(spark, sf_dir, star)
-    sc = scored(spark, sf_dir, params_binary(), batches=True, star=star)
+    sc = scored_in_epoch(spark, sf_dir, star).filter("split = 'tr'")
     zero = sum((F.size(F.filter(f"e{q}", lambda v: F.abs(v) <= 0)) for q in range(3)), F.lit(0))
     b = sc.groupBy("batch_id").agg(
         F.avg(model.bce_row(F.col("z")[0], F.col("y"), pw)).alias("loss"),

@@ -71,8 +71,10 @@ def sql_act(name: str, v: str) -> str:
     }.get(name, v)
 
 
-def sql_scored(params, act="relu", batches=False) -> str:
-    """CTEs ending in ``sc``: al + (batch) + pre0.., e0.., zh, h, z."""
+def sql_scored(params, act="relu", batches=False, batch_sql: str | None = None) -> str:
+    """CTEs ending in ``sc``: al + (batch) + pre0.., e0.., zh, h, z.
+
+    ``batch_sql`` gives other CTEs ending in ``bt`` (al with r, S and batch_id)."""
     pre = ", ".join(f"{sql_linear(f'x{p}', W, b)} AS pre{p}" for p, (W, b) in enumerate(params.party))
     emb = ", ".join(f"list_transform(pre{p}, lambda v: {sql_act(act, 'v')}) AS e{p}" for p in range(len(WIDTHS)))
     W1, b1 = params.hidden
@@ -84,6 +86,8 @@ def sql_scored(params, act="relu", batches=False) -> str:
 bt0 AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || uid::VARCHAR), uid) - 1 AS r, count(*) OVER () AS n FROM al),
 bt AS (SELECT *, r // {BATCH} AS batch_id, least({BATCH}, n - (r // {BATCH}) * {BATCH}) AS S FROM bt0)"""
         src = "bt"
+    if batch_sql:
+        bt, src = f",\n{batch_sql}", "bt"
     ecat = " || ".join(f"e{p}" for p in range(len(WIDTHS)))
     return f"""{SQL_STAR}{bt},
 pr AS (SELECT *, {pre} FROM {src}),
