@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partyframe.functions.numeric import fp16_round, round6
+from partyframe.functions.numeric import fp16_round, round6, round_to
 from partyframe.operators import codec
 from partyframe.operators.index import dense_index
 from partyframe.plans.inputs import (SQL_EMB_BATCHES, TOPK, embedding_batches, relu_array, sql_bytes,
@@ -402,6 +402,52 @@ def codec_roundtrip(spark, sf_dir):
         round6(F.sum(F.aggregate("decoded", F.lit(0.0), lambda a, v: a + v.cast("double")))).alias("sum_decoded"))
 
 
+def _grad_roundtrip_sql() -> str:
+    """What each codec's gradient decodes to, cell by cell, straight from the inputs: the layout must not matter."""
+    parts = []
+    for c in codec.CODECS:
+        value = f"({sql_fp16('rv')})::FLOAT::DOUBLE" if "16" in c else "rv::DOUBLE"
+        if c in ("q8", "q4"):
+            mult, top = ("255.0", 255) if c == "q8" else ("16.0", 15)
+            value = (f"(CASE WHEN hi - lo > 0 THEN least(greatest(floor((rv::DOUBLE - lo) / (hi - lo) * {mult}), 0), {top}) "
+                     f"ELSE 0 END * (hi - lo) / {mult} + lo)::FLOAT::DOUBLE")
+        elif c.startswith("svfl"):
+            value = f"(CASE WHEN v <> 0 THEN {value} ELSE 0 END)"
+        elif c.startswith("topk"):
+            value = f"(CASE WHEN rk <= {TOPK} THEN {value} ELSE 0 END)"
+        parts.append(f"SELECT '{c}' AS codec, axis::INTEGER AS axis, batch_id, count_if({value} <> 0)::BIGINT AS kept, "
+                     f"round(sum({value} * ((i * 7 + dd * 13) % 11)), 5) AS placed FROM gc, range(0, 2) a(axis) "
+                     f"GROUP BY axis, batch_id")
+    return f"""
+WITH {SQL_EMB_BATCHES},
+gc AS (SELECT *, min(rv::DOUBLE) OVER (PARTITION BY batch_id) AS lo, max(rv::DOUBLE) OVER (PARTITION BY batch_id) AS hi,
+              row_number() OVER (PARTITION BY batch_id ORDER BY abs(rv::DOUBLE) DESC, pos_row DESC) AS rk FROM cells)
+""" + "\nUNION ALL\n".join(parts)
+
+
+@register("codec_grad_roundtrip", _grad_roundtrip_sql())
+def codec_grad_roundtrip(spark, sf_dir):
+    """Every codec's gradient encode -> decode through the dispatch, in both layouts: cells
+    kept and a sum weighted by place, so that a value in the wrong cell shows.  The signed
+    embeddings stand for the gradient, their ReLU for the embedding whose positions svfl reuses."""
+    b = embedding_batches(spark, sf_dir)
+    out = None
+    for axis in (0, 1):
+        mat = codec.batch_matrix(b, {"eflat": ("e", "row_in_batch"), "flat": ("raw", "row_in_batch")}, axis=axis)
+        kept = codec.rle_encode(codec.batch_matrix(b, "e", axis=axis))
+        for c in codec.CODECS:
+            sent = codec.encode(mat, c, "grad", k=TOPK, emb_flat="eflat", axis=axis)
+            d = codec.decode(sent, c, ["batch_id"], "grad", axis=axis, positions=kept).select(
+                F.lit(c).alias("codec"), F.lit(axis).alias("axis"), "batch_id", "row_in_batch", "decoded")
+            out = d if out is None else out.unionByName(d)
+    cell = out.select("codec", "axis", "batch_id", "row_in_batch", F.posexplode("decoded").alias("d", "v"))
+    weight = (F.col("row_in_batch") * 7 + F.col("d") * 13) % 11
+    return cell.groupBy("codec", "axis", "batch_id").agg(
+        F.sum((F.col("v") != 0).cast("long")).alias("kept"),
+        round_to(F.sum(F.col("v").cast("double") * weight), 5).alias("placed"))
+
+
+
 # ---------------------------------------------------------------- grid: batch size x dims x k x codec
 
 # fixed values: grid of the test query
