@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, oracles, toxicity
 from .common import fold_of
 from .decontaminate import find_leaks
 from .jaccard import near_texts
@@ -62,7 +62,8 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_texts(docs, 0.8).select("doc_id", "class_id", "n_links", "kept")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +92,8 @@ QUERIES = {
     "op10_substring": op10_substring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_embeddings": oracles.EMBEDDINGS,
+    "op8_jaccard": oracles.JACCARD,
+    "op10_substring": oracles.SUBSTRING,
+}
