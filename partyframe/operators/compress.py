@@ -2,8 +2,8 @@
 
 The fit is Spark ML's distributed covariance (a d x d Gramian reduced by
 ``treeAggregate``); only the mean vector and the d x k loading matrix reach the
-driver.  Codes are then one flat Column expression per component, so the
-transform stays in whole-stage codegen and needs no vector type.
+driver.  Codes are one expression over the loading matrix as an array literal
+(:func:`.model.linear`), so the plan does not grow with d x k.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partyframe.operators import model
 
 def pca_fit(df: DataFrame, col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean (d,) and loadings (d, k); each component's largest-magnitude loading made positive."""
@@ -30,19 +31,9 @@ def pca_fit(df: DataFrame, col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pca_codes(col: str, mean: np.ndarray, pc: np.ndarray) -> Column:
-    """``(x - mean) @ pc`` as an ``ARRAY<DOUBLE>`` of k flat expressions."""
-    x = F.col(col)
-    outs = []
-    for j in range(pc.shape[1]):
-        acc = None
-        for i in range(pc.shape[0]):
-            w = float(pc[i, j])
-            if w == 0.0:
-                continue
-            t = (x[i].cast("double") - F.lit(float(mean[i]))) * F.lit(w)
-            acc = t if acc is None else acc + t
-        outs.append(acc if acc is not None else F.lit(0.0))
-    return F.array(*outs)
+    """``(x - mean) @ pc`` as an ``ARRAY<DOUBLE>``; one expression, whatever the sizes."""
+    centre = model.matrix_literal([float(v) for v in mean], "array<double>")
+    return model.linear(F.zip_with(F.col(col), centre, lambda v, m: v.cast("double") - m), pc, None)
 
 
 def oneshot_codec(df: DataFrame, cols: list[str], codec: str) -> DataFrame:

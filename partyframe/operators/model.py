@@ -1,10 +1,9 @@
 """Party embeddings, server head, losses, penalty and closed-form gradients.
 
 Model parameters are tiny (hundreds of numbers) and live on the driver as
-numpy arrays; they enter the plan as literals.  Every forward quantity and
-the embedding gradient is a *flat* Column expression (``x[j] * w + ...``) - no
-UDF and no higher-order function - so a scoring pass is one whole-stage
-codegen span.  Parameter gradients and fits run per batch in
+numpy arrays; a weight matrix enters the plan as one array literal.  A
+linear layer is one expression over it (:func:`linear`), so the plan and the
+generated code have the same size for 3 inputs and for 500.  Parameter gradients and fits run per batch in
 :mod:`partyframe.operators.fit`.
 
 Shapes: party p: ``e_p = act(x_p W_p + b_p)`` (W_p: in_p x D);
@@ -14,6 +13,7 @@ C for multi-class).
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,23 +69,22 @@ def items(col: str, n: int) -> list[Column]:
     return [F.col(col)[j] for j in range(n)]
 
 
-def linear(xs: list[Column], W: np.ndarray, b: np.ndarray | None) -> list[Column]:
-    """``sum_j xs[j] * W[j][d] (+ b[d])`` for every output d, as flat expressions."""
-    outs = []
-    for d in range(W.shape[1]):
-        acc = None
-        for j, x in enumerate(xs):
-            w = float(W[j, d])
-            if w == 0.0:
-                continue
-            term = x * F.lit(w)
-            acc = term if acc is None else acc + term
-        if acc is None:
-            acc = F.lit(0.0)
-        if b is not None:
-            acc = acc + F.lit(float(b[d]))
-        outs.append(acc)
-    return outs
+def matrix_literal(rows: list, ddl: str) -> Column:
+    """A nested literal from JSON text: one expression, which the optimizer folds into one literal."""
+    return F.from_json(F.lit(json.dumps(rows)), ddl)
+
+
+def linear(x: Column, W: np.ndarray, b: np.ndarray | None, act: str | None = None) -> Column:
+    """``act(sum_j x[j] * W[j][d] (+ b[d]))`` for every output d, as an ``ARRAY<DOUBLE>`` (null where x is)."""
+    bias = np.zeros(W.shape[1]) if b is None else b
+    outputs = matrix_literal([{"w": [float(v) for v in W[:, d]], "b": float(bias[d])} for d in range(W.shape[1])],
+                             "array<struct<w: array<double>, b: double>>")
+
+    def one(o: Column) -> Column:
+        total = F.aggregate(F.zip_with(x, o["w"], lambda v, w: v.cast("double") * w), F.lit(0.0), lambda a, v: a + v)
+        return activation(act, total + o["b"]) if act else total + o["b"]
+
+    return F.transform(outputs, one)
 
 
 def embed(df: DataFrame, params: Params, in_sizes: list[int], act: str = "relu",
@@ -93,25 +92,24 @@ def embed(df: DataFrame, params: Params, in_sizes: list[int], act: str = "relu",
     """M1 / M2: ``e{p} = act(x{p} W_p + b_p)`` for every party (arrays ``e0 .. ek``)."""
     out = df
     for p, (W, b) in enumerate(params.party):
-        pre = linear(items(f"x{p}", in_sizes[p]), W, b if params.bias else None)
+        if W.shape[0] != in_sizes[p]:
+            raise ValueError(f"party {p}: {W.shape[0]} weights for {in_sizes[p]} inputs")
+        pre = linear(F.col(f"x{p}"), W, b if params.bias else None)
         if keep_pre:
-            out = out.withColumn(f"pre{p}", F.array(*pre))
-            out = out.withColumn(f"e{p}", F.array(*[activation(act, c) for c in items(f"pre{p}", len(pre))]))
-        else:
-            out = out.withColumn(f"e{p}", F.array(*[activation(act, c) for c in pre]))
+            out = out.withColumn(f"pre{p}", pre)
+            pre = F.col(f"pre{p}")
+        out = out.withColumn(f"e{p}", F.transform(pre, lambda v: activation(act, v)))
     return out
 
 
 def head(df: DataFrame, params: Params, emb_cols: list[str] | None = None) -> DataFrame:
     """M3: ``zh = concat(e) W1 + b1``, ``h = relu(zh)``, ``z = h W2 + b2`` (arrays)."""
-    dims = params.dims
-    cols = emb_cols or [f"e{p}" for p in range(len(dims))]
-    ecat = [c for name, d in zip(cols, dims) for c in items(name, d)]
+    cols = emb_cols or [f"e{p}" for p in range(len(params.dims))]
     W1, b1 = params.hidden
     W2, b2 = params.out
-    out = df.withColumn("zh", F.array(*linear(ecat, W1, b1)))
-    out = out.withColumn("h", F.array(*[F.greatest(c, F.lit(0.0)) for c in items("zh", W1.shape[1])]))
-    return out.withColumn("z", F.array(*linear(items("h", W1.shape[1]), W2, b2)))
+    out = df.withColumn("zh", linear(F.concat(*[F.col(c) for c in cols]), W1, b1))
+    out = out.withColumn("h", F.transform("zh", lambda v: F.greatest(v, F.lit(0.0))))
+    return out.withColumn("z", linear(F.col("h"), W2, b2))
 
 
 def predict_binary(z: Column) -> Column:
@@ -152,16 +150,9 @@ def class_weight_of(y: Column, weights: list[float]) -> Column:
 
 
 def row_norm(col: str, n: int, p: int) -> Column:
-    xs = items(col, n)
-    if p == 1:
-        acc = None
-        for x in xs:
-            acc = F.abs(x) if acc is None else acc + F.abs(x)
-        return acc
-    acc = None
-    for x in xs:
-        acc = x * x if acc is None else acc + x * x
-    return F.sqrt(acc)
+    term = (lambda a, v: a + F.abs(v)) if p == 1 else (lambda a, v: a + v * v)
+    total = F.aggregate(F.slice(col, 1, n), F.lit(0.0), term)
+    return total if p == 1 else F.sqrt(total)
 
 
 def penalty_rows(dims: list[int], p: int, lam: float, divisor: float = 3.0) -> Column:
@@ -190,28 +181,19 @@ def grad_embeddings(df: DataFrame, params: Params, penalty_p: int = 0, lam: floa
     plus the penalty term (L1: ``sign(e)``, L2: ``e / ||e||``) times ``lam / divisor / S``."""
     W1, _ = params.hidden
     W2, _ = params.out
-    n_h, n_out = W2.shape
-    dh = []
-    for k in range(n_h):
-        acc = None
-        for c in range(n_out):
-            t = F.col("dz")[c] * F.lit(float(W2[k, c]))
-            acc = t if acc is None else acc + t
-        dh.append(F.when(F.col("zh")[k] > 0, acc).otherwise(F.lit(0.0)))
-    out = df.withColumn("dh", F.array(*dh))
-    dims = params.dims
+    through = linear(F.col("dz"), W2.T, None)
+    out = df.withColumn("dh", F.zip_with(through, "zh", lambda g, z: F.when(z > 0, g).otherwise(F.lit(0.0))))
     offset = 0
-    for p, d in enumerate(dims):
-        ge = linear(items("dh", n_h), W1[offset:offset + d, :].T, None)
+    for p, d in enumerate(params.dims):
+        ge = linear(F.col("dh"), W1[offset:offset + d, :].T, None)
         if lam and penalty_p:
             scale = F.lit(lam / divisor) / F.col(batch_rows)
             if penalty_p == 1:
-                ge = [g + scale * F.signum(F.col(f"e{p}")[m]) for m, g in enumerate(ge)]
+                ge = F.zip_with(ge, f"e{p}", lambda g, e: g + scale * F.signum(e))
             else:
                 norm = row_norm(f"e{p}", d, 2)
-                ge = [g + scale * F.when(norm > 0, F.col(f"e{p}")[m] / norm).otherwise(F.lit(0.0))
-                      for m, g in enumerate(ge)]
-        out = out.withColumn(f"ge{p}", F.array(*ge))
+                ge = F.zip_with(ge, f"e{p}", lambda g, e: g + scale * F.when(norm > 0, e / norm).otherwise(F.lit(0.0)))
+        out = out.withColumn(f"ge{p}", ge)
         offset += d
     return out
 
