@@ -8,6 +8,8 @@ string per word.
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +35,24 @@ _Q = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the shared checkpoint folder (never a local one)."""
+    free_shuffles(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    It does so once the driver's garbage collector finds their plans unused.
+    Python lets go of them first; two passes are needed, as the gateway hears
+    of it on its next call.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def fold_of(id_col: str | Column, folds: int = 5) -> Column:
     """``crc32(id as text) mod folds``; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

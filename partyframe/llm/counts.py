@@ -1,6 +1,6 @@
 """Count tables that are sharded by key and joined with blocks of text.
 
-Text stays in *blocks* (about 16 MB each).  A block asks for the counts of its
+Text stays in *blocks* (about 8 MB each).  A block asks for the counts of its
 distinct keys (64-bit hashes) once, not once per occurrence: its sorted keys
 are cut into ranges, one compressed row per *shard* of the key space.  The
 shard sums what all blocks sent and answers each block with arrays in the same
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 ROWS_DDL = "kind int, shard int, block int, n int, cols array<binary>"
 ROWS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("n", pa.int32()),
                   ("cols", pa.list_(pa.binary()))])
@@ -79,6 +79,7 @@ def pack_docs(docs: DataFrame, id_col: str, text_col: str, n_blocks: int, row: C
                                                        np.array([p[1] for p in cut_points], np.int64))
 
     def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for batch in batches:
             for t in C.slices(batch, max_bytes=32 << 20):
                 if bounds is None:
@@ -90,7 +91,7 @@ def pack_docs(docs: DataFrame, id_col: str, text_col: str, n_blocks: int, row: C
                 first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
                 for a, b in zip(first, np.append(first[1:], len(block))):
                     sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    with pa.ipc.new_stream(sink, t.schema, options=options) as w:
                         w.write_table(t.slice(a, b - a).combine_chunks())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
@@ -210,6 +211,7 @@ def collect_stats(answered: DataFrame) -> dict[int, np.ndarray]:
     for k in {r["kind"] for r in rows}:
         mine = sorted((r["place"], r["value"]) for r in rows if r["kind"] == k)
         out[k] = np.array([v for _, v in mine], np.int64)
+    C.free_shuffles(answered.sparkSession)
     return out
 
 
@@ -247,12 +249,13 @@ class Pairs:
             seq[lead] = START
             seq[w.first[1:] + 2 * np.arange(w.rows) + 1] = END
             hashes.append(seq)
-            rows.append(np.repeat(np.arange(w.rows) + done, w.counts + 2))
+            rows.append(np.repeat(np.arange(w.rows, dtype=np.int32) + np.int32(done), w.counts + 2))
             done += w.rows
         seq = np.concatenate(hashes)
         row = np.concatenate(rows)
         del hashes, rows
         self.words, at = np.unique(seq, return_inverse=True)
+        del seq
         at = at.astype(np.int32)
         token = row[1:] == row[:-1]                 # (START, w1), (w1, w2), ..., (wn, END)
         a, b = at[:-1][token], at[1:][token]

@@ -69,7 +69,7 @@ def backoff(context: np.ndarray, seen: np.ndarray, seen_below: np.ndarray) -> tu
 
 
 def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-                block_bytes: int = K.BLOCK_BYTES) -> DataFrame:
+                block_bytes: int = 16 << 20) -> DataFrame:
     """Base-10 log probability of every text under a Katz bigram model of the rows ``train`` marks.
 
     Tokens are the words (A-Z in lower case) and one end; the first token's
