@@ -27,9 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Trusted text is what ``labels`` marks with quality 1.
     """
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    rated = rate_quality(docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), row_struct(docs).alias("row")),
-                         trusted)
-    return rated.filter("kept").select("row.*")
+    kept = rate_quality(docs.select("doc_id", "text", "lang"), trusted).filter("kept").select(
+        F.col("text_hash").alias("h"), F.col("lang").alias("l")).distinct()
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), F.col("lang").alias("l"),
+                       row_struct(docs).alias("row"))
+    same = (rows["h"] == kept["h"]) & rows["l"].eqNullSafe(kept["l"])
+    return rows.join(kept, same, "left_semi").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
