@@ -1,23 +1,17 @@
-"""Benchmark passages in documents: SimHash windows, Hamming blocks, exact check.  DataFrame functions only."""
+"""Benchmark passages in documents: rarest shingles as prefix filter, exact check.  DataFrame functions only."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 K = 5                       # words per shingle
-STEP = 4                    # shingles per chunk; document windows start at chunks
-RADIUS = 3                  # fingerprints within this distance are found without fail
-BLOCKS = RADIUS + 1         # two fingerprints within it agree on one of these many blocks of 16 bits
-SIZES = (1, 2, 4, 8, 16)    # window lengths in chunks (16 x 4 = 64 shingles at most, see _fingerprint)
-BROADCAST_ROWS = 2_000_000  # an index of more item blocks is joined by shuffle instead
+SLACK = 4                   # shingles beyond the item's length at either end that still count as one place
+UNIT = 1 << 32              # weights are whole numbers of 1 / UNIT, so sums are exact in any order
+BROADCAST_ROWS = 2_000_000  # more item shingles are joined by shuffle instead
 _SEPARATORS = " \t\n\x0b\f\r"
-_ONES = 0x0101010101010101
-_SIXTH = 0x4040404040404040
 
 
 def _shingles(df: DataFrame, text: str) -> DataFrame:
@@ -31,109 +25,47 @@ def _shingles(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("h", F.slice(made, F.lit(1), most)).drop("_w")
 
 
-def _bit_counts(h: str) -> list[Column]:
-    """Eight sums that count all 64 bits: byte j of sum i counts bit 8j + i."""
-    return [F.sum(F.shiftrightunsigned(F.col(h), i).bitwiseAND(F.lit(_ONES))).alias(f"s{i}") for i in range(8)]
-
-
-def _fingerprint(sums: list[Column], n: Column | int) -> Column:
-    """SimHash of n shingles: a bit is set where more than half of them have it."""
-    n = n if isinstance(n, Column) else F.lit(n)
-    # bit 6 of a byte comes on from n // 2 + 1; bit 7 never does, so no sum overflows
-    lift = (F.lit(63) - F.floor(n / 2)).cast("long") * F.lit(_ONES)
-    bits = [(s + lift).bitwiseAND(F.lit(_SIXTH)) for s in sums]
-    bits = [F.shiftrightunsigned(b, 6 - i) if i < 7 else F.shiftleft(b, 1) for i, b in enumerate(bits)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
-
-
-def _block_keys(fp: Column, size: Column | int) -> list[Column]:
-    """One long per block: window size, block number and the block's bits."""
-    size = size if isinstance(size, Column) else F.lit(size)
-    return [F.shiftleft((size * BLOCKS + b).cast("long"), 16).bitwiseOR(
-        F.shiftrightunsigned(fp, 16 * b).bitwiseAND(F.lit(0xFFFF))) for b in range(BLOCKS)]
-
-
 def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, share) for every distinct text, by the md5 of its bytes; see :func:`find_leaks`."""
     named = _shingles(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).dropna().distinct(), "t")
-    named = C.checkpointed(named.select("item", "h").filter(F.size("h") > 0).distinct())
-    length = F.size("h")
-    fits = reduce(lambda a, m: F.when(length >= STEP * m + STEP - 1, m).otherwise(a), SIZES, F.lit(0))
-    sized = named.withColumn("m", fits).withColumn("n", length)
-    used = [r["m"] for r in sized.select("m").distinct().collect()]           # at most len(SIZES) + 1 numbers
-
-    # one text per group of copies; all later steps keep this partitioning
-    rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("t")).filter("t is not null")
-    texts = rows.groupBy("key").agg(F.first("t").alias("t"))
-    shingled = _shingles(texts, "t").select("key", "h").filter(F.size("h") > 0)
-    each = shingled.select("key", F.posexplode("h").alias("at", "x"))
-
-    hits = []
-    windows = [m for m in SIZES if m in used]
-    if windows:
-        # item windows: one for each offset
-        starts = F.explode(F.sequence(F.lit(0), F.col("n") - F.col("m") * STEP))
-        item_fp = (sized.filter("m > 0").withColumn("from", starts)
-                   .select("item", "m", "from", F.explode(F.slice("h", F.col("from") + 1, F.col("m") * STEP)).alias("x"))
-                   .groupBy("item", "m", "from").agg(*_bit_counts("x"))
-                   .withColumn("fp", _fingerprint([F.col(f"s{i}") for i in range(8)], F.col("m") * STEP)))
-        index = C.checkpointed(item_fp.select("item", "from", "fp", F.explode(
-            F.array(*_block_keys(F.col("fp"), F.col("m")))).alias("block")))
-        # document windows: chunk sums, then sums of twice the length from two of half of it
-        chunk = (each.groupBy("key", F.floor(F.col("at") / STEP).cast("int").alias("chunk"))
-                 .agg(*_bit_counts("x"), F.count(F.lit(1)).alias("n")))
-        after = Window.partitionBy("key").orderBy("chunk")
-        sums = {1: [f"s{i}" for i in range(8)]}
-        made = chunk.withColumn("ok1", F.col("n") == STEP)
-        for m in range(1, max(windows).bit_length()):
-            half, full = 1 << (m - 1), 1 << m
-            names = [f"s{i}_{full}" for i in range(8)]
-            made = made.select("*", *[(F.col(c) + F.lead(c, half).over(after)).alias(new)
-                                      for c, new in zip(sums[half], names)],
-                               (F.col(f"ok{half}") & F.lead(f"ok{half}", half).over(after)).alias(f"ok{full}"))
-            sums[full] = names
-        entries = F.array(*[F.when(F.col(f"ok{m}"), F.struct(
-            _fingerprint([F.col(c) for c in sums[m]], m * STEP).alias("fp"), F.lit(m).alias("m"))) for m in windows])
-        seen = made.select("key", "chunk", F.explode(entries).alias("w")).filter("w is not null").select(
-            "key", "chunk", F.col("w.fp").alias("doc_fp"), F.col("w.m").alias("m"))
-        seen = seen.select("key", "chunk", "doc_fp", F.explode(
-            F.array(*_block_keys(F.col("doc_fp"), F.col("m")))).alias("block"))
-        small = index.count() <= BROADCAST_ROWS
-        near = seen.join(F.broadcast(index) if small else index, "block").filter(
-            F.bit_count(F.col("doc_fp").bitwiseXOR(F.col("fp"))) <= RADIUS)
-        hits.append(near.select("key", "item", (F.col("chunk") * STEP - F.col("from")).alias("start")))
-    if 0 in used:
-        short = sized.filter("m = 0")
-        ends = C.checkpointed(short.select("item", F.explode(F.array(
-            F.struct(F.element_at("h", 1).alias("x"), F.lit(0).alias("from")),
-            F.struct(F.element_at("h", -1).alias("x"), (F.col("n") - 1).alias("from")))).alias("e"))
-            .select("item", "e.x", "e.from"))
-        small = ends.count() <= BROADCAST_ROWS
-        hits.append(each.join(F.broadcast(ends) if small else ends, "x").select(
-            "key", "item", (F.col("at") - F.col("from")).alias("start")))
-    if not hits:
-        return texts.filter("false").select("key", F.lit(None).cast(items.schema[item_col].dataType).alias("item"),
-                                            F.lit(0.0).alias("share"))
-    found = C.checkpointed(reduce(DataFrame.unionByName, hits).distinct())
-
-    # exact check
+    named = C.checkpointed(named.select("item", "h").filter(F.size("h") > 0).distinct()
+                           .withColumn("passage", F.xxhash64("item", "h")))
     total = named.count()
     weights = (named.select(F.explode(F.array_distinct("h")).alias("x")).groupBy("x")
-               .agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("weight")))
-    weighted = C.checkpointed(named.select("item", F.size("h").alias("n"), F.explode(F.array_distinct("h")).alias("x"))
-                              .join(weights, "x"))
-    whole = weighted.groupBy("item").agg(F.sum("weight").alias("whole"), F.first("n").alias("n"))
-    keys = found.select("key").distinct()
-    start = F.greatest(F.col("start") - STEP, F.lit(0))
-    end = F.col("start") + F.col("n") + STEP
-    again = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
-    region = (_shingles(again, "t").select("key", "h").join(found, "key").join(whole, "item")
-              .select("key", "item", "start", "whole",
-                      F.explode(F.array_distinct(F.slice("h", start + 1, F.greatest(end - start, F.lit(0))))).alias("x")))
-    share = (region.join(weighted.select("item", "x", "weight"), ["item", "x"])
-             .groupBy("key", "item", "start").agg((F.sum("weight") / F.first("whole")).alias("share")))
-    return C.checkpointed(share.groupBy("key", "item").agg(F.least(F.max("share"), F.lit(1.0)).alias("share"))
+               .agg(F.round(F.log1p(F.lit(float(total)) / F.count(F.lit(1))) * UNIT).cast("long").alias("weight")))
+    weighted = C.checkpointed(
+        named.select("passage", "item", F.size("h").alias("n"), F.explode(F.array_distinct("h")).alias("x"))
+        .join(weights, "x").withColumn("whole", F.sum("weight").over(Window.partitionBy("passage"))))
+    small = F.broadcast if weighted.count() <= BROADCAST_ROWS else lambda df: df
+
+    # places of any item's shingles, once for each distinct text
+    rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("t")).filter("t is not null")
+    each = _shingles(rows, "t").select("key", F.posexplode("h").alias("at", "x"))
+    met = C.checkpointed(each.join(small(weighted.select("x").distinct()), "x", "left_semi").distinct())
+
+    # a text without any of an item's prefix, shingles of more than 1 - least of its weight, cannot hold least of it;
+    # those that the texts hold least often make the fewest candidates
+    rarest = Window.partitionBy("passage").orderBy("times", "x").rowsBetween(Window.unboundedPreceding, -1)
+    times = met.groupBy("x").agg(F.count(F.lit(1)).alias("times"))
+    prefix = (weighted.join(times, "x", "left").fillna(0, ["times"])
+              .withColumn("before", F.coalesce(F.sum("weight").over(rarest), F.lit(0)))
+              .filter(F.col("before") <= F.col("whole") * (1 - least + 1e-9)).filter("times > 0"))
+    pairs = C.checkpointed(met.join(small(prefix.select("x", "passage")), "x").select("key", "passage").distinct())
+
+    # exact check: a shingle at place p counts for stretches that start after p - length (or after its last place
+    # before p, which counts until there) and no later than p; so no shingle counts twice in one stretch
+    live = weighted.join(pairs.select("passage").distinct(), "passage", "left_semi")
+    places = met.join(small(live), "x").join(pairs, ["key", "passage"], "left_semi")
+    same = Window.partitionBy("key", "passage", "x").orderBy("at")
+    start = F.greatest(F.col("at") - F.col("n") - 2 * SLACK, F.lag("at").over(same)) + 1
+    steps = places.withColumn("start", start).select("key", "passage", "item", "whole", F.explode(F.array(
+        F.struct(F.col("start").alias("at"), F.col("weight").alias("step")),
+        F.struct((F.col("at") + 1).alias("at"), (-F.col("weight")).alias("step")))).alias("e"))
+    held = F.sum("e.step").over(Window.partitionBy("key", "passage").orderBy("e.at"))
+    share = steps.withColumn("held", held).groupBy("key", "passage", "item").agg(
+        (F.max("held") / F.first("whole")).alias("share"))
+    return C.checkpointed(share.groupBy("key", "item").agg(F.max("share").alias("share"))
                           .filter(F.col("share") >= least - 1e-12))
 
 
@@ -145,20 +77,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: st
                text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold a passage of an item: shares at least ``least`` of its weighted shingles in one place.
 
-    Shingles are ``K`` lower-case words.  Windows of an item's size class (the
-    largest power of two of chunks that fits it at any alignment) run over
-    every distinct text, one at each chunk; an item has one at each of its
-    shingles, so an exact copy holds a document window that equals one of the
-    item's wherever it starts.  SimHash fingerprints of both are matched on
-    blocks: all pairs within ``RADIUS`` bits agree on one.  The document's
-    shingles over the length of the item, from where it would start, with
-    ``STEP`` more at either end, are then compared exactly: the weight of the
-    item's shingles among them over the weight of all of the item's, a
-    shingle weighing log(1 + items / items with it).
-
-    Items of 1 to 6 shingles (5 to 10 words) have no window that fits at any
-    alignment; they are looked up by their first and their last shingle.  Items of fewer
-    than ``K`` words and null texts match nothing.
+    Shingles are ``K`` lower-case words; a shingle weighs log(1 + items /
+    items with it).  A place is a stretch of the item's length with ``SLACK``
+    more shingles at either end, wherever it starts; each of the item's
+    shingles counts once in it.
+
+    The guarantee: every text with such a stretch is found, whatever was
+    changed in it.  A text that holds none of some shingles which together
+    weigh more than 1 - least of an item cannot hold least of it, so texts
+    are looked up by such a set (the shingles that all texts hold least
+    often, a prefix filter); the pairs found are compared exactly, over all
+    stretches.  Items of fewer than ``K`` words and null texts match nothing.
 
     Returns id_col, item_col, similarity: one row per input row and item
     (repeated input rows repeat).  Rows with a null id are kept as null.  Extra

@@ -163,6 +163,36 @@ def test_leaks(spark, texts):
     assert all(0.8 <= r["similarity"] <= 1 for r in got)
 
 
+def test_edited_leaks(spark):
+    """Copies with one and two replaced words at every place, items of 15 to 140 words: what brute force accepts."""
+    rng = random.Random(11)
+    items = [(i, " ".join(make_words(rng, n))) for i, n in enumerate((15, 20, 26, 30, 34, 39, 59, 66, 99, 131, 140))]
+    rows = []
+    for _, passage in items:
+        n = len(passage.split())
+        for at in range(n):
+            for apart in {0, 1, 7, n // 3, n // 2}:
+                words = passage.split()
+                words[at] = words[(at + apart) % n] = "edited"
+                rows.append((len(rows), " ".join(make_words(rng, at % 9) + words + make_words(rng, 5))))
+    want = _leaks(rows, items)
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 2000
+
+
+def test_leaks_are_in_one_place(spark):
+    """Swapped halves and moved words are one place; a passage strewn over a long text is none."""
+    rng = random.Random(12)
+    words = make_words(rng, 80)
+    far = make_words(rng, 100)
+    texts = [words[40:] + words[:40], words[:40] + far[:6] + words[40:], words[:40] + far + words[40:],
+             (words[:44] + far) * 3, words * 3, words[:20] * 4]
+    got = find_leaks(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"),
+                     spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: round(r["similarity"], 6) for r in got} == {0: round(72 / 76, 6), 1: round(72 / 76, 6), 4: 1.0}
+
+
 def test_leaks_of_nothing(docs, empty, spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id long, text string")
     assert find_leaks(empty, bench).count() == 0
