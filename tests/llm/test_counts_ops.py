@@ -137,3 +137,25 @@ def test_registered_substring_query(spark):
             for i, (k, w) in brute.kept_words(rows).items()}
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op10_substring(spark, SF_SMALL).collect()}
     assert got == want
+
+
+def test_quality_keeps_languages_with_little_trusted_text(spark):
+    """Clean texts of a language with 10 trusted rows and of one with none stay, among many English ones."""
+    import random
+
+    from tests.llm.conftest import make_words
+    rng = random.Random(21)
+
+    def other(letters):
+        return " ".join("".join(rng.choices(letters, k=6)) for _ in range(60))
+
+    rows = [(i, " ".join(make_words(rng, 60)), "en") for i in range(300)]
+    rows += [(1000 + i, other("абвгд"), "ru") for i in range(40)] + [(2000 + i, other("αβγδε"), None) for i in range(40)]
+    rows += [(3000 + i, other("qxzjk"), "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in [*range(250), *range(1000, 1010)]], "doc_id long")
+    got = {r["doc_id"]: r for r in rate_quality(docs, trusted).collect()}
+    assert all(got[i]["kept"] for i in [*range(1000, 1040), *range(2000, 2040)])
+    assert not any(got[3000 + i]["kept"] for i in range(5))
+    assert len({got[i]["threshold"] for i in range(1000, 1040)}) == 1
+    assert all(got[i]["threshold"] is None for i in range(2000, 2040))
