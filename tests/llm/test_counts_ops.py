@@ -159,3 +159,19 @@ def test_quality_keeps_languages_with_little_trusted_text(spark):
     assert not any(got[3000 + i]["kept"] for i in range(5))
     assert len({got[i]["threshold"] for i in range(1000, 1040)}) == 1
     assert all(got[i]["threshold"] is None for i in range(2000, 2040))
+
+
+def test_filter_scan_keeps_its_tasks(spark, monkeypatch):
+    """The texts of the Bloom filter are exchanged before the 8 maps, not scanned by them."""
+    from partyframe.llm import quality
+
+    df = spark.createDataFrame([(f"some words {i}",) for i in range(50)], "text string")
+    plans = []
+    real = type(df).mapInArrow
+
+    def spy(df, *a, **kw):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, *a, **kw)
+
+    monkeypatch.setattr(type(df), "mapInArrow", spy)
+    assert quality._trained_filter(df).any() and "Repartition 8, true" in plans[-1]
