@@ -77,12 +77,36 @@ class Model:
     allowed: np.ndarray
 
 
+def training_sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
+                    max_rows: int = 20_000) -> DataFrame:
+    """(lang, text): about ``max_rows`` of the distinct texts of each language, all of them in smaller tables.
+
+    Languages share ``max_rows`` evenly; what a language has no texts for goes
+    to the others.  So those with fewer texts than the even share keep them
+    all, and larger ones keep about their part, by the smallest hashes of
+    their texts.  Every language keeps at least the text of smallest hash.
+    The driver gets one count per language.
+    """
+    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna().withColumn(
+        "h", F.xxhash64("text"))
+    have = labelled.select("lang", "h").distinct().groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.min("h").alias("low")).collect()
+    left, part = max_rows, {}
+    for i, r in enumerate(sorted(have, key=lambda r: r["n"])):
+        part[r["lang"]] = min(float(r["n"]), left / (len(have) - i))
+        left -= part[r["lang"]]
+    shares = docs.sparkSession.createDataFrame([(r["lang"], part[r["lang"]] / r["n"], r["low"]) for r in have],
+                                               "lang string, part double, low long")
+    unit = F.col("h").cast("double") / F.lit(2.0 ** 64) + 0.5
+    return (labelled.join(F.broadcast(shares), "lang").filter((unit <= F.col("part")) | (F.col("h") == F.col("low")))
+            .groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text"))
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least_share: float = 0.01,
           max_rows: int = 20_000) -> Model:
     """Byte n-gram counts per language over a bounded sample of the rows with a language and a text.
 
-    The sample has about ``max_rows`` rows: those whose hash of language and
-    text falls into the share max_rows / rows (all of them in smaller tables).
+    The sample is that of :func:`training_sample`.
     Counts are summed in tasks and then per (language, bucket); the driver gets
     at most ``BUCKETS + N_SCRIPTS`` numbers per language, whatever the input.
     A script is a language's own if at least ``least_share`` of its letters use it.
@@ -109,11 +133,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
             at = np.flatnonzero(have)
             yield C.frame(schema, [lang] * len(at), at.astype(np.int32), have[at])
 
-    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
-    share = min(1.0, max_rows / max(1, labelled.count()))
-    unit = F.xxhash64("lang", "text").cast("double") / F.lit(2.0 ** 64) + 0.5
-    labelled = labelled.filter(unit <= share)
-    rows = (labelled.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket")
+    sample = training_sample(docs, lang_col, text_col, max_rows)
+    rows = (sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket")
             .agg(F.sum("n").alias("n")).toArrow())
     langs = sorted(set(rows.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS + N_SCRIPTS, len(langs)))

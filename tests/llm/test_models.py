@@ -47,6 +47,19 @@ def test_languages_and_spans(spark, model):
         assert r["spans"][0]["first_word"] == 0
 
 
+def test_every_language_is_learned(spark):
+    """A rare language among many texts of others, and a hot text, in a small sample."""
+    rng = random.Random(4)
+    rows = [(_prose(rng, "aa", 20), "aa") for _ in range(1500)] + [(_prose(rng, "bb", 20), "bb") for _ in range(4)]
+    rows += [(_prose(rng, "cc", 20), "cc") for _ in range(300)] + [(rows[0][0], "aa")] * 500
+    df = spark.createDataFrame(rows, "text string, lang string")
+    sample = [(r["lang"], r["text"]) for r in langid.training_sample(df, max_rows=60).collect()]
+    per = {lang: sum(x == lang for x, _ in sample) for lang in PARTS}
+    assert len(set(sample)) == len(sample) and per["bb"] == 4 and all(14 <= per[x] <= 45 for x in ("aa", "cc"))
+    assert langid.training_sample(df, max_rows=5000).count() == len(set(rows))
+    assert langid.train(df, max_rows=1).langs == ["aa", "bb", "cc"]
+
+
 def test_odd_texts_have_a_language_or_none(docs, texts, model, empty, spark):
     got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
     assert len(got) == len(texts)
