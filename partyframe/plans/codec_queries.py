@@ -498,7 +498,9 @@ FROM sz GROUP BY ALL
 def codec_grid(spark, sf_dir):
     """Bytes of every codec, both directions, over a grid of batch size x interface dims x k,
     in one job: rows are numbered once, replicated per (batch size, dims) setting by an explode
-    of a literal array (the grid is bounded, 6 settings), and one shuffle builds every batch."""
+    of a literal array (the grid is bounded, 6 settings), and one shuffle builds every batch.
+    A width below the embeddings' own is their first values, which stand in for a smaller
+    interface: no model of that width has made them."""
     emb = read_table(spark, sf_dir, "embeddings")
     idx = dense_index(emb.select("vec_id", relu_array("embedding").alias("e")), ["vec_id"], out="idx", total="n")
     grid = F.array(*[F.struct(F.lit(b).alias("B"), F.lit(d).alias("dims")) for b in GRID_BATCHES for d in GRID_DIMS])
