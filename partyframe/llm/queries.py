@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, oracles, toxicity
+from .collocations import collocations
 from .common import fold_of
 from .decontaminate import find_leaks
 from .jaccard import near_texts
 from .katz import katz_scores
+from .lexical import search
 from .metricjoin import near_vectors
 from .packing import pack
 from .quality import rate_quality
+from .rules import rate_by_rules
 from .sharding import shard_by_bytes
 from .substring import remove_repeats
 
@@ -79,6 +82,20 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = rate_by_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "p_good", "kept")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), 20)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -90,10 +107,15 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_sharding": op9_sharding,
     "op10_substring": op10_substring,
+    "op11_rules": op11_rules,
+    "op12_lexical": op12_lexical,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_embeddings": oracles.EMBEDDINGS,
     "op8_jaccard": oracles.JACCARD,
     "op10_substring": oracles.SUBSTRING,
+    "op12_lexical": oracles.LEXICAL,
+    "op13_collocations": oracles.COLLOCATIONS,
 }

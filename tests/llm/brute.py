@@ -141,3 +141,73 @@ class KneserNey:
 
     def perplexity(self, tokens):
         return math.exp(-sum(math.log(self.p(a, b)) for a, b in zip(["<s>", *tokens], tokens)) / len(tokens))
+
+
+SYMBOLS = set("#*$%&|<>")
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
+
+
+def text_signals(text):
+    """Counts of one text by their definitions."""
+    text, w = text or "", words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    found = collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    again = {j for i in range(len(w) - 4) if found[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)}
+
+    def ascii_in(x, a, b):
+        return sum(a <= c <= b for c in x)
+
+    upper, lower = ascii_in(text, "A", "Z"), ascii_in(text, "a", "z")
+    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in SYMBOLS for c in text),
+            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(again), "n_lines": len(lines),
+            "n_letters": upper + lower, "n_upper": upper, "n_loud": text.count("!"),
+            "n_alpha_words": sum(any(c.isascii() and c.isalpha() or c > "\x7f" for c in x) for x in w),
+            "n_same": sum(a == b for a, b in zip(w, w[1:])), "n_ends": sum(x[-1] in ".!?" for x in w),
+            "n_tails": sum(x[-1] in SYMBOLS for x in w)}
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def search(docs, items, k):
+    """{item: [(doc, score)]} by scoring every document."""
+    held = [(i, collections.Counter(terms(t))) for i, t in docs]
+    df = collections.Counter(x for _, c in held for x in c)
+    n, length = sum(bool(c) for _, c in held), sum(sum(c.values()) for _, c in held)
+    weight = {x: math.floor(1000 * math.log((2 * n + 2) / (2 * d + 1))) for x, d in df.items()}
+    out = {}
+    for item, text in items:
+        rows = []
+        for i, c in held:
+            m = 75 + 25 * sum(c.values()) * n // max(1, length)
+            s = sum(weight[x] * (10**9 * c[x] // (1000 * c[x] + 12 * m)) for x in terms(text) if x in c)
+            if s > 0:
+                rows.append((-s, i))
+        out[item] = [(i, -s) for s, i in sorted(rows)[:k]]
+    return out
+
+
+def collocations(rows, most=3, least=10, inside=50, top=2000):
+    """[(lang, rank, phrase, a, l, r, n, score)] for (text, lang) rows."""
+    f, n = collections.Counter(), collections.Counter()
+    for text, lang in rows:
+        for piece in PIECE.split((text or "").translate(LOWER)):
+            w = [x for x in re.split(r"[\x20\x09]+", piece) if x]
+            n[lang or "und"] += len(w)
+            f.update((lang or "und", tuple(w[i:i + k])) for k in range(1, most + 1) for i in range(len(w) - k + 1))
+    good = {p: a for p, a in f.items() if a >= least}
+    scored = []
+    for (lang, p), a in good.items():
+        if len(p) < 2:
+            continue
+        s, k = min((10**6 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+        if not any(g == lang and len(q) > len(p) and 100 * b >= inside * a
+                   and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1)) for (g, q), b in good.items()):
+            scored.append((lang, -s, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    out = []
+    for lang in {x[0] for x in scored}:
+        for rank, (_, s, a, p, le, r) in enumerate(sorted(x for x in scored if x[0] == lang)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, le, r, n[lang], -s))
+    return sorted(out)
