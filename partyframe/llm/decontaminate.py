@@ -1,7 +1,9 @@
-"""Benchmark passages in documents: rarest shingles as prefix filter, exact check.  DataFrame functions only."""
+"""Benchmark passages in documents: SimHash windows, Hamming blocks, exact check.  DataFrame functions only."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from . import common as C
 K = 5                       # words per shingle
 SLACK = 4                   # shingles beyond the item's length at either end that still count as one place
 UNIT = 1 << 32              # weights are whole numbers of 1 / UNIT, so sums are exact in any order
-BROADCAST_ROWS = 2_000_000  # more item shingles are joined by shuffle instead
+SIZES = (1, 2, 4)           # shingles per window; an item has the largest that keeps the guarantee
+RADIUS = 2                  # fingerprints within this distance are found without fail
+BLOCKS = ((0, 22), (22, 21), (43, 21))      # RADIUS + 1 runs of bits: such fingerprints agree on one of them
+INDEX_ROWS = 500_000        # rows of the windows' index that are broadcast at a time
 _SEPARATORS = " \t\n\x0b\f\r"
 
 
@@ -25,6 +30,40 @@ def _shingles(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("h", F.slice(made, F.lit(1), most)).drop("_w")
 
 
+def _fingerprints(h: Column, m: int) -> Column:
+    """SimHash of every window of ``m`` shingles: a bit is set where more than half of them have it."""
+    if m == 1:
+        return h
+
+    def bits(i):
+        a = [F.get(h, i + j) for j in range(m)]
+        if m == 2:
+            return a[0].bitwiseAND(a[1])
+        return (a[0].bitwiseAND(a[1]).bitwiseAND(a[2].bitwiseOR(a[3]))).bitwiseOR(
+            a[2].bitwiseAND(a[3]).bitwiseAND(a[0].bitwiseOR(a[1])))
+
+    most = F.size(h) - m + 1
+    return F.when(most > 0, F.transform(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0))), bits)).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def _blocks(size: Column, fp: Column) -> Column:
+    """One long per block: window size, block number, the block's bits."""
+    return F.array(*[F.shiftleft((size * len(BLOCKS) + b).cast("long"), 22).bitwiseOR(
+        F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1))) for b, (at, n) in enumerate(BLOCKS)])
+
+
+def _windows(df: DataFrame, size: Column | None, sizes: list[int]) -> DataFrame:
+    """Adds ``size`` and ``fp`` of each window of ``h``, of the row's own size or of all ``sizes``."""
+    def marked(m: int) -> Column:
+        return F.transform(_fingerprints(F.col("h"), m), lambda fp: F.struct(F.lit(m).alias("size"), fp.alias("fp")))
+
+    each = [marked(m) for m in sizes]
+    if size is not None:
+        each = [F.when(size == m, e).otherwise(F.slice(e, 1, 0)) for m, e in zip(sizes, each)]
+    return df.select("*", F.explode(F.concat(*each)).alias("w")).select("*", "w.size", "w.fp").drop("w")
+
+
 def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, share) for every distinct text, by the md5 of its bytes; see :func:`find_leaks`."""
@@ -37,26 +76,31 @@ def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_co
     weighted = C.checkpointed(
         named.select("passage", "item", F.size("h").alias("n"), F.explode(F.array_distinct("h")).alias("x"))
         .join(weights, "x").withColumn("whole", F.sum("weight").over(Window.partitionBy("passage"))))
-    small = F.broadcast if weighted.count() <= BROADCAST_ROWS else lambda df: df
 
-    # places of any item's shingles, once for each distinct text
+    index = C.checkpointed(
+        _windows(named.join(_window_sizes(named, weighted, least), "passage").select("passage", "h", "own"),
+                 F.col("own"), list(SIZES)).select("passage", "size", "fp").distinct()
+        .select("passage", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("size"), F.col("fp"))).alias("block")))
+    used = sorted(r[0] for r in index.select((F.shiftright("block", 22) / len(BLOCKS)).cast("int")).distinct().collect())
+    parts = -(-index.count() // INDEX_ROWS)
+
     rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("t")).filter("t is not null")
-    each = _shingles(rows, "t").select("key", F.posexplode("h").alias("at", "x"))
-    met = C.checkpointed(each.join(small(weighted.select("x").distinct()), "x", "left_semi").distinct())
-
-    # a text without any of an item's prefix, shingles of more than 1 - least of its weight, cannot hold least of it;
-    # those that the texts hold least often make the fewest candidates
-    rarest = Window.partitionBy("passage").orderBy("times", "x").rowsBetween(Window.unboundedPreceding, -1)
-    times = met.groupBy("x").agg(F.count(F.lit(1)).alias("times"))
-    prefix = (weighted.join(times, "x", "left").fillna(0, ["times"])
-              .withColumn("before", F.coalesce(F.sum("weight").over(rarest), F.lit(0)))
-              .filter(F.col("before") <= F.col("whole") * (1 - least + 1e-9)).filter("times > 0"))
-    pairs = C.checkpointed(met.join(small(prefix.select("x", "passage")), "x").select("key", "passage").distinct())
+    seen = _windows(_shingles(rows, "t").select("key", "h"), None, used or [1]).select(
+        "key", "fp", F.explode(_blocks(F.col("size"), F.col("fp"))).alias("block"))
+    found = [index.select(F.lit("").alias("key"), "passage").limit(0)]
+    for i in range(parts):              # each part of the index is bounded, whatever the number of items
+        part = index.filter(F.pmod(F.xxhash64("block", F.lit("part")), F.lit(parts)) == i)
+        near = seen.join(F.broadcast(part), "block").filter(
+            F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+        found.append(near.select("key", "passage").distinct())
+    pairs = C.checkpointed(reduce(DataFrame.unionByName, found).distinct())
 
     # exact check: a shingle at place p counts for stretches that start after p - length (or after its last place
     # before p, which counts until there) and no later than p; so no shingle counts twice in one stretch
+    texts = rows.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    met = _shingles(texts, "t").select("key", F.posexplode("h").alias("at", "x"))
     live = weighted.join(pairs.select("passage").distinct(), "passage", "left_semi")
-    places = met.join(small(live), "x").join(pairs, ["key", "passage"], "left_semi")
+    places = met.join(pairs, "key").join(live, ["passage", "x"])
     same = Window.partitionBy("key", "passage", "x").orderBy("at")
     start = F.greatest(F.col("at") - F.col("n") - 2 * SLACK, F.lag("at").over(same)) + 1
     steps = places.withColumn("start", start).select("key", "passage", "item", "whole", F.explode(F.array(
@@ -69,6 +113,28 @@ def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_co
                           .filter(F.col("share") >= least - 1e-12))
 
 
+def _window_sizes(named: DataFrame, weighted: DataFrame, least: float) -> DataFrame:
+    """(passage, own): the largest window size at which no 1 - ``least`` of an item's weight touches all windows.
+
+    Windows that don't overlap are counted.  To touch one costs at least the
+    weight of its lightest shingle, and nothing where a shingle stands twice
+    in the item, as the other place may remain; so if the lightest weights add
+    up to more than may be gone, one window is whole.
+    """
+    places = named.select("passage", F.posexplode("h").alias("at", "x"))
+    many = places.groupBy("passage", "x").agg(F.count(F.lit(1)).alias("times"))
+    part = (places.join(many, ["passage", "x"]).join(weighted.select("passage", "x", "weight", "whole"), ["passage", "x"])
+            .withColumn("part", F.when(F.col("times") == 1, F.col("weight")).otherwise(0)))
+    tiles = part.select("passage", "whole", "part", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("m"), F.floor(F.col("at") / m).alias("tile")) for m in SIZES])).alias("t"))
+    lightest = (tiles.groupBy("passage", "t.m", "t.tile").agg(
+        F.min("part").alias("low"), F.count(F.lit(1)).alias("n"), F.first("whole").alias("whole"))
+        .filter(F.col("n") == F.col("m")))
+    kept = lightest.groupBy("passage", "m").agg(F.sum("low").alias("low"), F.first("whole").alias("whole"))
+    safe = kept.filter((F.col("m") == 1) | (F.col("low") > F.col("whole") * (1 - least + 1e-9)))
+    return safe.groupBy("passage").agg(F.max("m").alias("own"))
+
+
 def text_key(text_col: str) -> Column:
     return F.md5(F.col(text_col).cast("binary"))
 
@@ -82,12 +148,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: st
     more shingles at either end, wherever it starts; each of the item's
     shingles counts once in it.
 
-    The guarantee: every text with such a stretch is found, whatever was
-    changed in it.  A text that holds none of some shingles which together
-    weigh more than 1 - least of an item cannot hold least of it, so texts
-    are looked up by such a set (the shingles that all texts hold least
-    often, a prefix filter); the pairs found are compared exactly, over all
-    stretches.  Items of fewer than ``K`` words and null texts match nothing.
+    Windows of 1, 2 or 4 shingles run over items and texts; their SimHash
+    fingerprints are matched on blocks of bits, so that all pairs within
+    ``RADIUS`` bits agree on one, and every text with such a window is
+    compared exactly, over all stretches.  The guarantee: an item's windows
+    are so short (see :func:`_window_sizes`) that a copy which has lost words,
+    or had words put in or replaced, but holds ``least`` of the weight, keeps
+    one of them unchanged.  Item windows are broadcast in parts of at most
+    ``INDEX_ROWS`` rows, one pass over the documents each.  Items of fewer
+    than ``K`` words and null texts match nothing.
 
     Returns id_col, item_col, similarity: one row per input row and item
     (repeated input rows repeat).  Rows with a null id are kept as null.  Extra

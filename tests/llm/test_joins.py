@@ -1,13 +1,15 @@
 """Near duplicates (texts and vectors), components and benchmark leaks against brute force."""
 
+import collections
 import itertools
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partyframe.llm import jaccard, metricjoin
+from partyframe.llm import decontaminate, jaccard, metricjoin
 from partyframe.llm.components import components, merge
 from partyframe.llm.decontaminate import find_leaks
 from partyframe.llm.jaccard import near_texts
@@ -193,6 +195,63 @@ def test_leaks_are_in_one_place(spark):
     assert {r["doc_id"]: round(r["similarity"], 6) for r in got} == {0: round(72 / 76, 6), 1: round(72 / 76, 6), 4: 1.0}
 
 
+def _shares(docs, items):
+    """{(doc, item): highest share of the item's weight in a stretch of its length and four more at either end}."""
+    lists = {i: [tuple(w[j:j + 5]) for j in range(len(w) - 4)] for i, t in items if (w := brute.words((t or "").lower()))}
+    lists = {i: h for i, h in lists.items() if h}
+    df = collections.Counter(x for h in lists.values() for x in set(h))
+    weight = {x: math.log1p(len(lists) / n) for x, n in df.items()}
+    out = {}
+    for d, t in docs:
+        w = brute.words((t or "").lower())
+        have = [tuple(w[j:j + 5]) for j in range(len(w) - 4)]
+        for i, h in lists.items():
+            mine, best = set(h), 0.0
+            if mine.isdisjoint(have):
+                continue
+            for s in range(len(have)):
+                best = max(best, sum(weight[x] for x in mine.intersection(have[s:s + len(h) + 8])))
+            if best >= (0.8 - 1e-12) * sum(weight[x] for x in mine):
+                out[d, i] = best / sum(weight[x] for x in mine)
+    return out
+
+
+def test_weighted_shares_in_one_place(spark):
+    """Items that share half of their words with all others: rare shingles decide, and similarity is exact."""
+    rng = random.Random(21)
+    common = make_words(rng, 30)
+    items = [(i, " ".join(make_words(rng, 8 + i) + common[:4 + i % 20] + make_words(rng, 3 + i % 7))) for i in range(24)]
+    items += [(90, "again " * 12), (91, "one two three four five six seven " * 3)]
+    rows = []
+    for i, t in items:
+        for cut in range(12):
+            w = t.split()
+            for _ in range(cut % 4):
+                at = rng.randrange(len(w))
+                if cut < 4:
+                    w[at] = "other"
+                elif cut < 8:
+                    del w[at]
+                else:
+                    w.insert(at, "more")
+            rows.append((len(rows), " ".join(make_words(rng, cut) + w + make_words(rng, 6))))
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"),
+                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = _shares(rows, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(want) and 100 < len(want) < len(rows)
+    assert all(r["similarity"] == pytest.approx(want[r["doc_id"], r["item_id"]], abs=1e-6) for r in got)
+
+
+def test_index_parts_change_nothing(spark, monkeypatch):
+    rng = random.Random(22)
+    items = [(i, " ".join(make_words(rng, 12 + i))) for i in range(12)]
+    rows = [(i, " ".join(make_words(rng, 9)) + " " + t) for i, t in items] + [(50, items[3][1] + " " + items[5][1])]
+    frames = (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    whole = sorted(map(tuple, find_leaks(*frames).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_ROWS", 150)
+    assert sorted(map(tuple, find_leaks(*frames).collect())) == whole and len(whole) == 14
+
+
 def test_leaks_of_nothing(docs, empty, spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id long, text string")
     assert find_leaks(empty, bench).count() == 0
