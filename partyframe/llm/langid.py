@@ -149,8 +149,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
     return Model(langs, np.log(grams / grams.sum(axis=0)).astype(np.float32), allowed)
 
 
-def word_scores(words: C.Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(words x languages log scores, letters per word).  Words without letters score 0 for all."""
+def word_scores(words: C.Words, model: Model, strange: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(words x languages log scores, letters per word).  Words without letters score 0 for all, unless ``strange``."""
     n_langs = len(model.langs)
     if not len(words):
         return np.zeros((0, n_langs), np.float32), np.zeros(0, np.int64)
@@ -166,7 +166,8 @@ def word_scores(words: C.Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
     # a word with letters of several scripts goes by the last of them in the table above
     script = np.maximum.reduceat(scripts, off[:-1])
     out[~model.allowed[script]] -= np.float32(1e6)
-    out[letters == 0] = 0
+    if not strange:
+        out[letters == 0] = 0
     return out[at], letters[at]
 
 
@@ -213,7 +214,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Returns id_col, lang_pred, score, spans: one row per input row.  ``spans``
     is an array of (lang, first word, words); ``lang_pred`` is the language
     with the most letters, and ``score`` its share of the text's letters
-    (0 to 1); equal shares go to the first name.  ``und`` with score 0 and no
+    (0 to 1); equal shares go to the first name.  A text whose only letters
+    are of no script in the table goes by its n-grams, with the score of a
+    guess (1 / languages).  ``und`` with score 0 and no
     spans where the text is null or empty or has no letter, or the model has
     no language.  Extra columns are ignored.
     """
@@ -225,27 +228,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = Model(*shared.value)
         names = pa.array([*langs, "und"])
         for batch in batches:
-            for t in C.slices(batch, max_bytes=32 << 20):
-                parts = [C.Words(s.column("text"), lower=True) for s in C.slices(t)]
-                scored = [word_scores(w, m) for w in parts]
-                counts = np.concatenate([w.counts for w in parts])
-                first = np.concatenate(([0], np.cumsum(counts)))
-                row = np.repeat(np.arange(len(counts)), counts)
-                letters = np.concatenate([x[1] for x in scored])
-                n = len(counts)
-                if langs:
-                    best = viterbi(np.concatenate([x[0] for x in scored]), first, penalty)
-                else:
-                    best = np.zeros(len(letters), np.int16)
+            for t in C.slices(batch):
+                words = C.Words(t.column("text"), lower=True)
+                first, row, n = words.first, words.row, words.rows
+                scores, letters = word_scores(words, m)
+                best = viterbi(scores, first, penalty) if langs else np.zeros(len(words), np.int16)
+                del scores
                 share = np.zeros((n, max(1, len(langs))))
                 np.add.at(share, (row, best), letters)
+                some = _has_letter(t.column("text")) & bool(langs)
+                strange = np.flatnonzero(some & (share.sum(axis=1) == 0))       # letters of no script in the table
+                for r in strange:
+                    own = C.Words(t.column("text").slice(r, 1), lower=True)
+                    best[first[r]:first[r + 1]] = pick = word_scores(own, m, True)[0].sum(axis=0).argmax()
+                    share[r, pick] = 1
                 total = share.sum(axis=1)
-                some = total > 0
-                some &= _has_letter(t.column("text"))
-                if not langs:
-                    some[:] = False
                 lang = np.where(some, share.argmax(axis=1), len(langs))
                 score = np.where(some, share.max(axis=1) / np.maximum(total, 1), 0.0)
+                score[strange] = 1 / max(1, len(langs))
                 new = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (row[1:] != row[:-1])))
                                      & some[row]) if len(best) else np.zeros(0, np.int64)
                 end = np.append(new[1:], len(best))

@@ -69,6 +69,10 @@ def test_odd_texts_have_a_language_or_none(docs, texts, model, empty, spark):
         else:
             assert got[i]["lang_pred"] in model.langs and 0 < got[i]["score"] <= 1
     assert langid.identify(empty, model).count() == 0
+    strange = spark.createDataFrame([(1, "ℝ ℕ"), (2, "々"), (3, "° ½ ✓"), (4, "ℝ abc")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(strange, model).collect()}
+    assert all(got[i]["lang_pred"] in model.langs and 0 < got[i]["score"] <= 1 and got[i]["spans"] for i in (1, 2, 4))
+    assert got[3]["lang_pred"] == "und"
     blank = langid.train(empty)
     assert blank.langs == [] and {r["lang_pred"] for r in langid.identify(docs, blank).collect()} == {"und"}
 
