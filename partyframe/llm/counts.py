@@ -236,10 +236,10 @@ class Pairs:
     ``of`` gives for each token its pair, ``row`` its document.
     """
 
-    def __init__(self, docs: pa.Table, lower: bool):
+    def __init__(self, docs: pa.Table, lower: bool, slice_bytes: int = 4 << 20):
         n_docs = docs.num_rows
         hashes, rows, done = [], [], 0
-        for t in C.slices(docs):
+        for t in C.slices(docs, max_bytes=slice_bytes):
             w = C.Words(t.column("text"), lower)
             # the row's end after its words, and the start before them, in one sequence
             at = np.arange(len(w)) + 2 * w.row + 1

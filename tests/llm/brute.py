@@ -1,6 +1,7 @@
 """Plain restatements of the operators for small tables."""
 
 import collections
+import copy
 import math
 import re
 import zlib
@@ -111,7 +112,7 @@ class KneserNey:
             self.cont[b] += 1
             self.kinds[a][min(n, 3) - 1] += 1
         self.d, self.low = self._d(self.bi.values()), self._d(self.cont.values())
-        self.types = len(self.bi)
+        self.types, self.words = len(self.bi), len(self.cont)
         n = collections.Counter(min(c, 3) for c in self.cont.values())
         self.rest = sum(self.low[i] * n[i] for i in (1, 2, 3)) / self.types if self.types else 1.0
 
@@ -130,7 +131,7 @@ class KneserNey:
 
     def p_low(self, w):
         c = self.cont[w]
-        return max(c - self.low[min(c, 3)], 0) / max(1, self.types) + self.rest / (len(self.cont) + 1)
+        return max(c - self.low[min(c, 3)], 0) / max(1, self.types) + self.rest / (self.words + 1)
 
     def p(self, v, w):
         if not self.ctx[v]:
@@ -142,6 +143,20 @@ class KneserNey:
     def perplexity(self, tokens):
         return math.exp(-sum(math.log(self.p(a, b)) for a, b in zip(["<s>", *tokens], tokens)) / len(tokens))
 
+    def perplexity_without(self, tokens):
+        """Under the same discounts and number of types, after the text's own pairs are taken off all counts."""
+        m = copy.copy(self)
+        m.bi, m.ctx, m.cont = self.bi.copy(), collections.Counter(), collections.Counter()
+        m.bi.subtract(zip(["<s>", *tokens], tokens))
+        m.kinds = collections.defaultdict(lambda: [0, 0, 0])
+        for (a, b), n in m.bi.items():
+            if n > 0:
+                m.ctx[a] += n
+                m.cont[b] += 1
+                m.kinds[a][min(n, 3) - 1] += 1
+        m.words = len(self.cont)
+        return m.perplexity(tokens)
+
 
 SYMBOLS = set("#*$%&|<>")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

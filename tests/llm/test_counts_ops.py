@@ -81,6 +81,8 @@ def test_kneser_ney_perplexity(docs, texts, block_bytes):
     for i, x in tokens.items():
         assert got[i]["trained"] == (i % 2 == 0) and got[i]["n_tokens"] == len(x)
         assert got[i]["perplexity"] == pytest.approx(m.perplexity(x), rel=1e-9)
+        alone = m.perplexity_without(x) if i % 2 == 0 else m.perplexity(x)
+        assert got[i]["left_out"] == pytest.approx(alone, rel=1e-9)
     for v in list(m.ctx)[:40]:
         assert sum(m.p(v, w) for w in m.cont) + m.p(v, "never seen") == pytest.approx(1, abs=1e-9)
 
@@ -152,11 +154,15 @@ def test_quality_keeps_languages_with_little_trusted_text(spark):
     rows = [(i, " ".join(make_words(rng, 60)), "en") for i in range(300)]
     rows += [(1000 + i, other("абвгд"), "ru") for i in range(40)] + [(2000 + i, other("αβγδε"), None) for i in range(40)]
     rows += [(3000 + i, other("qxzjk"), "en") for i in range(5)]
+    base = [other("абвгд") for _ in range(4)]               # the ten trusted ones share words; noise has none of them
+    rows = [(i, t if lang != "ru" else " ".join(rng.sample(" ".join(base).split(), 60)), lang) for i, t, lang in rows]
+    rows += [(4000 + i, " ".join(f"%{rng.random()}" for _ in range(60)), "ru") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     trusted = spark.createDataFrame([(i,) for i in [*range(250), *range(1000, 1010)]], "doc_id long")
     got = {r["doc_id"]: r for r in rate_quality(docs, trusted).collect()}
     assert all(got[i]["kept"] for i in [*range(1000, 1040), *range(2000, 2040)])
-    assert not any(got[3000 + i]["kept"] for i in range(5))
+    assert not any(got[3000 + i]["kept"] for i in range(5)) and not any(got[4000 + i]["kept"] for i in range(6))
+    assert {got[i]["n_trusted"] for i in range(1000, 1040)} == {10} and got[2000]["n_trusted"] is None
     assert len({got[i]["threshold"] for i in range(1000, 1040)}) == 1
     assert all(got[i]["threshold"] is None for i in range(2000, 2040))
 
