@@ -27,27 +27,34 @@ def align_parties(parties: list[tuple[DataFrame, int]], uid: str = "uid") -> Dat
 
     ``parties`` = [(frame(uid, features), width), ...]; output ``uid, x0 .. xk``.
     Rows absent from party 0 are dropped (the reference's left join).  A uid
-    that a party holds twice is an error, raised while the join runs: the
-    later parties' rows are counted per uid in the join's own partitioning.  Plain equi-joins: Spark broadcasts a side
-    only when its size estimate is under the threshold, else sort-merge on uid;
-    all sides hash-partition on uid, so a chain of joins reuses one partitioning.
+    that a party holds twice is an error, raised while the query runs.
+
+    One exchange: all parties' rows, tagged, are grouped by uid once, and a
+    group (one row a party) places each party's array.  Null uids are kept
+    where party 0 has them and match nothing; each is a group of its own.
     """
-    first, w0 = parties[0]
-    out = first.select(F.col(uid), zero_fill(first.columns[1], w0).alias("x0"))
-    for p, (frame, width) in enumerate(parties[1:], start=1):
-        f = unique(frame.select(F.col(uid), F.col(frame.columns[1]).alias(f"x{p}")), uid, f"party {p}")
-        out = out.join(f, on=uid, how="left").withColumn(f"x{p}", zero_fill(f"x{p}", width))
-    return out
-
-
-def unique(df: DataFrame, key: str, what: str) -> DataFrame:
-    """``df`` with an error raised for a ``key`` that occurs twice (null keys are let through: they join nothing)."""
-    others = [c for c in df.columns if c != key]
-    one = df.groupBy(key).agg(*[F.first(c).alias(c) for c in others], F.count(F.lit(1)).alias("_pf_n"))
-    twice = (F.col("_pf_n") > 1) & F.col(key).isNotNull()
-    checked = F.when(twice, F.raise_error(F.concat(F.lit(f"{what}: {key} occurs twice: "), F.col(key).cast("string")))
-                     .cast("boolean")).otherwise(F.lit(True))
-    return one.filter(checked).select(*df.columns)
+    tagged = None
+    for p, (frame, _) in enumerate(parties):
+        own = frame.select(F.col(uid).alias(uid), F.lit(p).alias("p"),
+                           F.col(frame.columns[1]).cast("array<double>").alias("f"))
+        if p:
+            own = own.filter(F.col(uid).isNotNull())
+        own = own.withColumn("none", F.when(F.col(uid).isNull(), F.monotonically_increasing_id()))
+        tagged = own if tagged is None else tagged.unionByName(own)
+    met = tagged.groupBy(uid, "none").agg(F.collect_list(F.struct("p", "f")).alias("rows"))
+    held = [F.filter("rows", _of_party(p)) for p in range(len(parties))]
+    met = met.select(uid, *[h.alias(f"r{p}") for p, h in enumerate(held)]).filter(F.size("r0") > 0)
+
+    def place(p: int, width: int) -> Column:
+        twice = F.raise_error(F.concat(F.lit(f"party {p}: {uid} occurs twice: "), F.col(uid).cast("string")))
+        one = F.when(F.size(f"r{p}") > 1, twice.cast("array<double>")).otherwise(F.get(f"r{p}", F.lit(0))["f"])
+        return zero_fill(one, width).alias(f"x{p}")
+
+    return met.select(uid, *[place(p, w) for p, (_, w) in enumerate(parties)])
+
+
+def _of_party(p: int):
+    return lambda r: r["p"] == p
 
 
 def concat_parties(n_parties: int, out: str = "x") -> Column:

@@ -30,9 +30,10 @@ ONESHOT_CODECS = ("org", "q16", "q8", "q4")
 # ------------------------------------------------------------------ shared frames
 
 def scored_split(spark, sf_dir, params, cols=("uid", "y", "cls", "z")):
-    """Scored star rows with their split (the split's index writes them once, see ``operators.index``)."""
-    sc = scored(spark, sf_dir, params).select(*cols)
-    return seeded_split(sc, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED)
+    """Scored star rows with their split, which is numbered on the labels alone."""
+    star = build_star(spark, sf_dir)
+    split = seeded_split(star.labels, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED)
+    return scored(spark, sf_dir, params, star=star, labels=split).select(*cols, "split")
 
 
 def _sql_split(src: str) -> str:
@@ -132,10 +133,10 @@ def early_stop_q(spark, sf_dir):
 def scored_in_epoch(spark, sf_dir, star=None):
     """Scored rows as one epoch sends them: training rows in batches of a seeded permutation,
     validation rows in batches by uid; test rows are not sent while training."""
-    al = seeded_split(aligned(star or build_star(spark, sf_dir)), "uid", (0.1, 0.1), ("tr", "va", "te"),
-                      seed=SPLIT_SEED).filter("split <> 'te'")
-    al = al.withColumn("_pf_h", F.when(F.col("split") == "tr", md5_order_key(SEED, "uid")))
-    al = assign_batches(al, ["_pf_h", "uid"], BATCH, partition_by=["split"]).drop("_pf_h")
+    star = star or build_star(spark, sf_dir)
+    sent = seeded_split(star.labels, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED).filter("split <> 'te'")
+    sent = sent.withColumn("_pf_h", F.when(F.col("split") == "tr", md5_order_key(SEED, "uid")))
+    al = aligned(star, assign_batches(sent, ["_pf_h", "uid"], BATCH, partition_by=["split"]).drop("_pf_h"))
     return model.head(model.embed(al, params_binary(), list(WIDTHS), "relu"), params_binary())
 
 

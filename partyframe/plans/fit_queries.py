@@ -35,7 +35,7 @@ def star_split_batches(spark, sf_dir, batch: int = BATCH):
     """(star, split frame, tr, va, te): train batches in a seeded permutation, validation and
     test batches in uid order; each hash-partitioned on batch_id and cached."""
     star = build_star(spark, sf_dir)
-    sp = seeded_split(aligned(star), "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED).persist()
+    sp = aligned(star, seeded_split(star.labels, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED)).persist()
     tr = fit.prepare_batches(shuffled_batches(sp.filter(F.col("split") == "tr"), "uid", batch, seed=SEED))
     va, te = (fit.prepare_batches(assign_batches(sp.filter(F.col("split") == name), ["uid"], batch))
               for name in ("va", "te"))

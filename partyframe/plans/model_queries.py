@@ -28,10 +28,11 @@ def params_class():
     return model.rule_params(list(WIDTHS), DIM, N_CLASSES)
 
 
-def scored(spark, sf_dir, params, act="relu", batches=False, keep_pre=False, star=None):
-    al = aligned(star or build_star(spark, sf_dir))
+def scored(spark, sf_dir, params, act="relu", batches=False, keep_pre=False, star=None, labels=None):
+    star = star or build_star(spark, sf_dir)
     if batches:
-        al = shuffled_batches(al, "uid", BATCH, seed=SEED)
+        labels = shuffled_batches(star.labels if labels is None else labels, "uid", BATCH, seed=SEED)
+    al = aligned(star, labels)
     return model.head(model.embed(al, params, list(WIDTHS), act, keep_pre=keep_pre), params)
 
 
@@ -329,7 +330,7 @@ def weight_gradient(spark, sf_dir):
     flat = fit.Flat(P)
     cfg = fit.JointConfig(in_sizes=list(WIDTHS), dims=[DIM] * 3, n_out=1, act="relu", codec=None,
                           lam=LAMBDA, penalty_p=1, pos_weight=pw)
-    batched = shuffled_batches(aligned(star), "uid", BATCH, seed=SEED)
+    batched = aligned(star, shuffled_batches(star.labels, "uid", BATCH, seed=SEED))
     sums = fit.batch_vector_frame(batched, lambda pdf: fit.joint_batch(pdf, P, cfg, flat))
     names, k = [], 0
     for layer, arr in params.flat():

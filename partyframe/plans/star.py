@@ -74,10 +74,13 @@ def build_star(spark: SparkSession, sf_dir: str) -> Star:
     return Star([p0, p1, p2], labels, status)
 
 
-def aligned(star: Star) -> DataFrame:
-    """J1 + J2: (uid, x0, x1, x2, y, cls)."""
+def aligned(star: Star, labels: DataFrame | None = None) -> DataFrame:
+    """J1 + J2: (uid, x0, x1, x2, y, cls), with what else ``labels`` carries (splits, batch numbers).
+
+    Splits and batches are numbered on the labels, before the parties' wide rows meet them.
+    """
     al = align.align_parties(list(zip(star.parties, WIDTHS)))
-    return al.join(star.labels, "uid", "inner")
+    return al.join(star.labels if labels is None else labels, "uid", "inner")
 
 
 def sql_mm(x: str, lo: str, hi: str) -> str:

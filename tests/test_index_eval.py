@@ -171,3 +171,73 @@ def test_alignment_fills_nan_and_refuses_a_double_uid(spark):
     assert got == {1: ([1.0, 0.0, 0.0], [5.0]), 2: ([2.0, 0.0, 1.0], [0.0])}
     with pytest.raises(Exception, match="occurs twice"):
         align.align_parties([(a, 3), (b.unionByName(b), 1)]).collect()
+
+
+def _exchanges(df, column):
+    """Exchanges of the main plan (no subqueries) whose rows carry a column."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.initialPlan())
+            continue
+        out = [node.output().apply(i).name() for i in range(node.output().size())]
+        if name == "ShuffleExchangeExec" and column in out:
+            found.append(node)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_numbering_is_lazy_and_moves_rows_once(spark):
+    """No job while the query is built, no checkpoint, one exchange of the rows' own columns."""
+    df = spark.range(2000).select("id", (F.col("id") % 7).alias("g"), F.rand(1).alias("wide"))
+    sc = spark.sparkContext
+    for build in (lambda: dense_index(df, ["g", "id"]), lambda: assign_batches(df, ["id"], 64, partition_by=["g"]),
+                  lambda: seeded_split(df, "id", (0.1, 0.1), ("a", "b", "c")), lambda: shuffled_batches(df, "id", 64)):
+        sc.setJobGroup("build", "build")
+        out = build()
+        assert list(sc.statusTracker().getJobIdsForGroup("build")) == []
+        sc.setJobGroup("other", "other")
+        plan = out._jdf.queryExecution().toString()
+        assert "ExistingRDD" not in plan and "Checkpoint" not in plan
+        assert len(_exchanges(out, "wide")) == 1
+        assert out.count() == 2000
+
+
+def test_index_per_group_with_null_and_hot_keys(spark):
+    """Null groups and keys, a first key that a third of the rows hold, more ranges than rows, no rows."""
+    rows = [(None if i % 5 == 0 else i % 3, 7 if i % 3 else i, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g long, hot long, k long")
+    with many_partitions(spark):
+        got = dense_index(df, ["hot", "k"], total="n", partition_by=["g"]).collect()
+        few = dense_index(df.limit(3), ["hot", "k"]).collect()
+    for g in {r[0] for r in rows}:
+        mine = sorted((r["hot"], r["k"]) for r in got if r["g"] == g)
+        assert [(r["hot"], r["k"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["idx"])] == mine
+        assert sorted(r["idx"] for r in got if r["g"] == g) == list(range(len(mine)))
+        assert {r["n"] for r in got if r["g"] == g} == {len(mine)}
+    assert sorted(r["idx"] for r in few) == [0, 1, 2]
+    assert dense_index(df.limit(0), ["hot", "k"]).count() == 0
+    assert seeded_split(df.limit(0), "k").count() == 0
+
+
+def test_splitters_even_out_a_skewed_order(spark):
+    """Exponential keys: no range holds more than a few times the mean."""
+    from partyframe.operators import index
+    df = spark.range(20_000).select(F.exp(F.col("id") / 900).alias("v"), "id")
+    ranged = index._ranged(df, [], ["v", "id"], None)
+    sizes = [r["count"] for r in ranged.groupBy(index.PART).count().collect()]
+    assert len(sizes) == index.n_ranges(df) and max(sizes) < 2.5 * 20_000 / len(sizes)
+
+
+def test_alignment_is_one_exchange(spark):
+    from partyframe.operators import align
+    a = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (None, [3.0]), (None, [3.0])], "uid long, f array<double>")
+    b = spark.createDataFrame([(2, [5.0, None]), (9, [1.0, 1.0]), (None, [7.0, 7.0])], "uid long, f array<double>")
+    c = spark.createDataFrame([(1, [float("nan")])], "uid long, f array<double>")
+    out = align.align_parties([(a, 1), (b, 2), (c, 1)])
+    assert len(_exchanges(out, "uid")) == 1 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r["uid"], r["x0"], r["x1"], r["x2"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, [1.0], [0.0, 0.0], [0.0]), (2, [2.0], [5.0, 0.0], [0.0]),
+                          (None, [3.0], [0.0, 0.0], [0.0]), (None, [3.0], [0.0, 0.0], [0.0])], key=str)
