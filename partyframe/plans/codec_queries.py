@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from partyframe.functions.numeric import fp16_round, round6, round_to
-from partyframe.operators import codec
+from partyframe.operators import codec, payload
 from partyframe.operators.index import dense_index
 from partyframe.plans.inputs import (SQL_EMB_BATCHES, TOPK, embedding_batches, relu_array, sql_bytes,
                                      sql_ceil_log2, sql_fp16)
@@ -522,3 +524,42 @@ def codec_grid(spark, sf_dir):
         F.count(F.lit(1)).alias("messages"), F.sum("bytes").cast("long").alias("bytes")).select(
         F.col("batch_size").cast("int"), F.col("dims").cast("int"), F.col("k").cast("int"),
         "codec", "direction", "messages", "bytes")
+
+
+# ---------------------------------------------------------------- payload (A8, practical size)
+
+def _payload_sql() -> str:
+    sizes = _sweep_sql()
+    headers = ", ".join(f"('{c}', '{d}', {payload.header_bytes(c, d)})" for c in codec.CODECS for d in ("emb", "grad"))
+    return f"""
+SELECT batch_id, codec, direction, bytes AS body_bytes, (bytes + h)::BIGINT AS payload_bytes, true AS lossless
+FROM ({sizes}) JOIN (VALUES {headers}) v(codec, direction, h) USING (codec, direction)
+"""
+
+
+@register("payload_size", _payload_sql())
+def payload_size(spark, sf_dir):
+    """Bytes of every message as it is stored, for all codecs and both directions, beside the
+    formula's; each is unpacked again and compared with what was packed.  The gradient of row i is
+    the signed embedding of row (i+1) mod S of its batch."""
+    b = embedding_batches(spark, sf_dir)
+    b = b.withColumn("gi", ((F.col("row_in_batch") + F.col("batch_rows") - 1) % F.col("batch_rows")).cast("int"))
+    m = codec.batch_matrix(b, {"flat": ("e", "row_in_batch"), "gflat": ("raw", "gi")})
+    kinds = [(c, d) for c in codec.CODECS for d in ("emb", "grad")]
+    for c, d in kinds:
+        src, emb = ("flat", None) if d == "emb" else ("gflat", "flat")
+        parts = payload.message_columns(c, d)
+        m = codec.encode(m.withColumn("_f", F.col(src)), c, d, k=SWEEP_K, flat="_f", emb_flat=emb)
+        m = m.withColumn(f"{c}_{d}", F.struct(*parts)).drop(*parts)
+    stored = m.select("*", *[payload.payload(c, d, f"{c}_{d}").alias(f"p_{c}_{d}") for c, d in kinds])
+    back = stored.select("*", *[payload.unpacked(f"p_{c}_{d}", c, d).alias(f"b_{c}_{d}") for c, d in kinds])
+
+    def row(c, d):
+        sent, got, size = F.col(f"{c}_{d}"), F.col(f"b_{c}_{d}"), F.octet_length(f"p_{c}_{d}")
+        same = [got["samples"] == F.col("samples"), got["dims"] == F.col("dims")]
+        same += [got[p] == sent[p] for p in payload.message_columns(c, d)]
+        return F.struct(F.lit(c).alias("codec"), F.lit(d).alias("direction"),
+                        (size - payload.header_bytes(c, d)).cast("long").alias("body_bytes"),
+                        size.cast("long").alias("payload_bytes"), reduce(lambda x, y: x & y, same).alias("lossless"))
+
+    return back.select("batch_id", F.explode(F.array(*[row(c, d) for c, d in kinds])).alias("r")).select("batch_id", "r.*")
