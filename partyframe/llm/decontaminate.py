@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,38 +31,31 @@ def _shingles(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("h", F.slice(made, F.lit(1), most)).drop("_w")
 
 
-def _fingerprints(h: Column, m: int) -> Column:
-    """SimHash of every window of ``m`` shingles: a bit is set where more than half of them have it."""
+def _fingerprint(m: int) -> Column:
+    """SimHash of the window of ``m`` shingles of ``h`` from ``at`` on (null past the end): a bit is set where more
+    than half of them have it."""
+    a = [F.get("h", F.col("at") + j) for j in range(m)]
     if m == 1:
-        return h
+        return a[0]
+    if m == 2:
+        return a[0].bitwiseAND(a[1])
+    return (a[0].bitwiseAND(a[1]).bitwiseAND(a[2].bitwiseOR(a[3]))).bitwiseOR(
+        a[2].bitwiseAND(a[3]).bitwiseAND(a[0].bitwiseOR(a[1])))
 
-    def bits(i):
-        a = [F.get(h, i + j) for j in range(m)]
-        if m == 2:
-            return a[0].bitwiseAND(a[1])
-        return (a[0].bitwiseAND(a[1]).bitwiseAND(a[2].bitwiseOR(a[3]))).bitwiseOR(
-            a[2].bitwiseAND(a[3]).bitwiseAND(a[0].bitwiseOR(a[1])))
 
-    most = F.size(h) - m + 1
-    return F.when(most > 0, F.transform(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0))), bits)).otherwise(
-        F.array().cast("array<bigint>"))
+def _blocks(m: int) -> list[Column]:
+    """One long per block of a fingerprint ``f<m>``: window size, block number, the block's bits."""
+    return [F.lit((m * len(BLOCKS) + b) << 22).cast("long").bitwiseOR(
+        F.shiftrightunsigned(f"f{m}", at).bitwiseAND(F.lit((1 << n) - 1))) for b, (at, n) in enumerate(BLOCKS)]
 
 
-def _blocks(size: Column, fp: Column) -> Column:
-    """One long per block: window size, block number, the block's bits."""
-    return F.array(*[F.shiftleft((size * len(BLOCKS) + b).cast("long"), 22).bitwiseOR(
-        F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1))) for b, (at, n) in enumerate(BLOCKS)])
+def _windows(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """One row per shingle of ``h``, with the fingerprint ``f<m>`` of the window of each size that starts there.
 
-
-def _windows(df: DataFrame, size: Column | None, sizes: list[int]) -> DataFrame:
-    """Adds ``size`` and ``fp`` of each window of ``h``, of the row's own size or of all ``sizes``."""
-    def marked(m: int) -> Column:
-        return F.transform(_fingerprints(F.col("h"), m), lambda fp: F.struct(F.lit(m).alias("size"), fp.alias("fp")))
-
-    each = [marked(m) for m in sizes]
-    if size is not None:
-        each = [F.when(size == m, e).otherwise(F.slice(e, 1, 0)) for m, e in zip(sizes, each)]
-    return df.select("*", F.explode(F.concat(*each)).alias("w")).select("*", "w.size", "w.fp").drop("w")
+    The windows are read from the array row by row, so this compiles to plain loops.
+    """
+    return df.select("*", F.posexplode("h").alias("at", "x")).select(
+        *[c for c in df.columns if c != "h"], *[_fingerprint(m).alias(f"f{m}") for m in sizes])
 
 
 def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_col: str = "text",
@@ -77,21 +71,25 @@ def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_co
         named.select("passage", "item", F.size("h").alias("n"), F.explode(F.array_distinct("h")).alias("x"))
         .join(weights, "x").withColumn("whole", F.sum("weight").over(Window.partitionBy("passage"))))
 
+    sized = named.join(_window_sizes(named, weighted, least), "passage").select("passage", "h", "own")
+    own = F.when(F.col("own") == 1, F.array(*_blocks(1))).when(F.col("own") == 2, F.array(*_blocks(2))).otherwise(
+        F.array(*_blocks(4)))
     index = C.checkpointed(
-        _windows(named.join(_window_sizes(named, weighted, least), "passage").select("passage", "h", "own"),
-                 F.col("own"), list(SIZES)).select("passage", "size", "fp").distinct()
-        .select("passage", F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("size"), F.col("fp"))).alias("block")))
-    used = sorted(r[0] for r in index.select((F.shiftright("block", 22) / len(BLOCKS)).cast("int")).distinct().collect())
+        _windows(sized, list(SIZES)).select("passage", "own", _of_size("own", SIZES).alias("item_fp"),
+                                            F.explode(own).alias("block")).filter("item_fp is not null").distinct())
+    used = sorted(r["own"] for r in index.select("own").distinct().collect())
     parts = -(-index.count() // INDEX_ROWS)
 
     rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("t")).filter("t is not null")
-    seen = _windows(_shingles(rows, "t").select("key", "h"), None, used or [1]).select(
-        "key", "fp", F.explode(_blocks(F.col("size"), F.col("fp"))).alias("block"))
     found = [index.select(F.lit("").alias("key"), "passage").limit(0)]
+    seen = None
+    if used:
+        seen = _windows(_shingles(rows, "t").select("key", "h"), used).select(
+            "*", F.explode(F.array(*[b for m in used for b in _blocks(m)])).alias("block"))
     for i in range(parts):              # each part of the index is bounded, whatever the number of items
         part = index.filter(F.pmod(F.xxhash64("block", F.lit("part")), F.lit(parts)) == i)
         near = seen.join(F.broadcast(part), "block").filter(
-            F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+            F.bit_count(_of_size("own", used).bitwiseXOR(F.col("item_fp"))) <= RADIUS)
         found.append(near.select("key", "passage").distinct())
     pairs = C.checkpointed(reduce(DataFrame.unionByName, found).distinct())
 
@@ -113,6 +111,11 @@ def leaking_texts(docs: DataFrame, items: DataFrame, least: float = 0.8, text_co
                           .filter(F.col("share") >= least - 1e-12))
 
 
+def _of_size(size: str, sizes: Iterable[int]) -> Column:
+    """The fingerprint of the row's window size."""
+    return F.coalesce(*[F.when(F.col(size) == m, F.col(f"f{m}")) for m in sizes])
+
+
 def _window_sizes(named: DataFrame, weighted: DataFrame, least: float) -> DataFrame:
     """(passage, own): the largest window size at which no 1 - ``least`` of an item's weight touches all windows.
 
