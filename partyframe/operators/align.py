@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,25 +71,26 @@ def pos_weight(labels: DataFrame, y: str = "y") -> DataFrame:
 def class_weight(labels: DataFrame, y: str = "y") -> DataFrame:
     """``n / n_c`` per class, ordered by class.
 
-    Per-class counts are a partial aggregation; the total is a window over the
-    (tiny) per-class table.
+    Per-class counts are a partial aggregation; the total is a subquery.
     """
+    total = labels.agg(F.count(F.lit(1)).alias("n")).scalar()
     per = labels.groupBy(y).agg(F.count(F.lit(1)).alias("n_c"))
-    total = F.sum("n_c").over(Window.partitionBy(F.lit(1)))
     return per.withColumn("weight", total / F.col("n_c")).orderBy(y)
 
 
-def class_weight_list(labels: DataFrame, y: str = "y", max_classes: int = 10_000) -> list[float]:
-    """A5 as a driver list indexed by class (0 .. C-1); absent classes get 0.
+def class_weight_list(labels: DataFrame, n_classes: int, y: str = "y") -> list[float | None]:
+    """A5 as a driver list indexed by class (0 .. n_classes - 1): one weight per output of the model.
 
-    The per-class table is collected with a size check: more than
-    ``max_classes`` classes is an error, never a silent cut.
+    A class without rows has no weight (None).
     """
-    rows = class_weight(labels, y).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    n = max((r[y] for r in rows), default=-1) + 1
-    w = [0.0] * n
-    for r in rows:
-        w[r[y]] = r["weight"]
-    return w
+    held = {r[y]: r["weight"] for r in class_weight(labels, y).filter(F.col(y).between(0, n_classes - 1)).collect()}
+    return [held.get(c) for c in range(n_classes)]
+
+
+def with_class_weight(df: DataFrame, labels: DataFrame, y: str = "y", out: str = "weight") -> DataFrame:
+    """A5 on rows: the weight of each row's class in ``labels`` by a join, for any number of classes.
+
+    A class that ``labels`` does not hold, and a null class, give null.
+    """
+    per = class_weight(labels, y).select(F.col(y).alias("_pf_class"), F.col("weight").alias(out))
+    return df.join(per, F.col(y) == F.col("_pf_class"), "left").drop("_pf_class")

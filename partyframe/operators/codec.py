@@ -16,10 +16,6 @@ NaN counts as non-zero (``NaN <> 0``); nulls must be filled before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,57 +114,61 @@ def run_counts(mat: DataFrame, flat: str = "flat") -> DataFrame:
 
 # --------------------------------------------------------------------------- decoders
 
-def _rle_decode_batch(samples: int, dims: int, vals, head, tail, axis: int) -> np.ndarray:
-    n = samples * dims
-    delta = np.zeros(n + 1, dtype=np.int64)
-    head = np.asarray(head, dtype=np.int64)
-    tail = np.asarray(tail, dtype=np.int64)
-    np.add.at(delta, head, 1)
-    np.add.at(delta, tail, -1)
-    mask = np.cumsum(delta[:n]) > 0          # W5: running sum rebuilds the mask
-    flat = np.zeros(n, dtype=np.float32)
-    flat[mask] = np.asarray(vals, dtype=np.float32)
-    return flat.reshape(dims, samples).T if axis == 1 else flat.reshape(samples, dims)
+def _spans(lo: Column, hi: Column) -> Column:
+    """All positions of the intervals [lo, hi), in order."""
+    return F.flatten(F.transform(F.arrays_zip(lo.alias("lo"), hi.alias("hi")), lambda r: F.when(
+        r["lo"] < r["hi"], F.sequence(r["lo"], r["hi"] - 1)).otherwise(_empty_int_array())))
+
+
+def _placed(at: Column, values: Column, rest: Column) -> Column:
+    """A flat batch from values and their positions; ``rest`` are the positions of its zeros.
+
+    Positions are distinct, so one sort by position puts every cell in its place.
+    """
+    cells = F.transform(F.arrays_zip(at.alias("p"), values.cast("array<float>").alias("v")),
+                        lambda c: F.struct(c["p"].cast("int").alias("p"), c["v"].alias("v")))
+    zeros = F.transform(rest, lambda p: F.struct(p.cast("int").alias("p"), F.lit(0.0).cast("float").alias("v")))
+    return F.transform(F.sort_array(F.concat(cells, zeros)), lambda c: c["v"])
+
 
+def rle_flat() -> Column:
+    """The flat batch of a run-length message (columns samples, dims, vals, head, tail).
 
-def _scatter_batch(samples: int, dims: int, idx, val) -> np.ndarray:
-    flat = np.zeros(samples * dims, dtype=np.float32)
-    flat[np.asarray(idx, dtype=np.int64)] = np.asarray(val, dtype=np.float32)
-    return flat.reshape(samples, dims)       # top-k positions are row-major
+    W5: each head opens an interval that the tail of the same rank closes (an
+    open last run ends with the batch); the values fill the intervals in
+    order, and the intervals between them are zeros.
+    """
+    n = F.col("samples") * F.col("dims")
+    ends = F.when(F.size("tail") < F.size("head"), F.concat("tail", F.array(n))).otherwise(F.col("tail"))
+    gaps = _spans(F.concat(F.array(F.lit(0)), ends), F.concat("head", F.array(n)))
+    return _placed(_spans(F.col("head"), ends), F.col("vals"), gaps)
+
+
+def topk_flat() -> Column:
+    """The flat row-major batch of a top-k message (columns samples, dims, idx, val)."""
+    every = F.sequence(F.lit(0), F.col("samples") * F.col("dims") - 1)
+    return _placed(F.col("idx"), F.col("val"), F.array_except(every, F.col("idx").cast("array<int>")))
+
+
+def cut_rows(msgs: DataFrame, keys: list[str], flat: str, axis: int, out: str = "decoded") -> DataFrame:
+    """A flat batch (a column of ``msgs``) cut back into rows ``(keys, row_in_batch, out ARRAY<FLOAT>)``."""
+    s, d = F.col("samples"), F.col("dims")
+    rows = F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.struct(
+        i.alias("row_in_batch"),
+        F.transform(F.sequence(F.lit(0), d - 1), lambda j: F.get(F.col(flat), position(i, j, s, d, axis)).cast("float"))
+        .alias(out)))
+    return msgs.select(*keys, F.explode(rows).alias("_pf_r")).select(*keys, "_pf_r.row_in_batch", f"_pf_r.{out}")
 
 
 def decode_to_rows(msgs: DataFrame, keys: list[str], kind: str = "rle", axis: int = 1,
                    out: str = "decoded") -> DataFrame:
     """Decode messages back to rows ``(keys, row_in_batch, out ARRAY<FLOAT>)``.
 
-    The scatter of values into a dense S x D batch runs as a numpy helper per
-    message inside ``mapInPandas``; messages are bounded by the batch size.
+    Array expressions alone, one message at a time; messages are bounded by
+    the batch size.  Top-k positions are row-major whatever ``axis`` is.
     """
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in msgs.schema.fields
-                           if f.name in keys)
-    schema = f"{key_schema}, row_in_batch int, {out} array<float>"
-    cols = keys + (["samples", "dims", "vals", "head", "tail"] if kind == "rle"
-                   else ["samples", "dims", "idx", "val"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out_rows = {k: [] for k in keys}
-            out_rows["row_in_batch"] = []
-            out_rows[out] = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                s, d = int(r["samples"]), int(r["dims"])
-                if kind == "rle":
-                    m = _rle_decode_batch(s, d, r["vals"], r["head"], r["tail"], axis)
-                else:
-                    m = _scatter_batch(s, d, r["idx"], r["val"])
-                for k in keys:
-                    out_rows[k].extend([r[k]] * s)
-                out_rows["row_in_batch"].extend(range(s))
-                out_rows[out].extend(list(m))
-            yield pd.DataFrame(out_rows)
-
-    return msgs.select(*cols).mapInPandas(run, schema)
+    flat, axis = (rle_flat(), axis) if kind == "rle" else (topk_flat(), 0)
+    return cut_rows(msgs.withColumn("_pf_flat", flat), keys, "_pf_flat", axis, out)
 
 
 # --------------------------------------------------------------------------- quantisers
@@ -358,10 +358,8 @@ def decode(msgs: DataFrame, codec: str, keys: list[str], direction: str = "emb",
            positions: DataFrame | None = None) -> DataFrame:
     """Decode messages of one codec back to rows ``(keys, row_in_batch, decoded ARRAY<FLOAT>)``.
 
-    Dense codecs decode with array expressions and are cut back into rows;
-    run-length and top-k messages are scattered by the numpy helper of
-    :func:`decode_to_rows` (one message = one bounded batch).  A svfl gradient
-    carries values only: ``positions`` holds the head and tail of the
+    Array expressions for every codec, cut back into rows (one message = one
+    bounded batch).  A svfl gradient carries values only: ``positions`` holds the head and tail of the
     embedding messages (same keys), which the receiver has kept.
     """
     if codec.startswith("svfl") and direction == "grad":
@@ -374,12 +372,6 @@ def decode(msgs: DataFrame, codec: str, keys: list[str], direction: str = "emb",
             m = q_embed_decode(msgs, levels) if direction == "emb" else q_grad_decode(msgs, levels)
         else:
             m = msgs.withColumn("decoded", F.col("vals"))
-        s, d = F.col("samples"), F.col("dims")
-        rows = F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.struct(
-            i.alias("row_in_batch"),
-            F.transform(F.sequence(F.lit(0), d - 1),
-                        lambda j: F.get(F.col("decoded"), position(i, j, s, d, axis)).cast("float"))
-            .alias("decoded")))
-        return m.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.row_in_batch", "r.decoded")
+        return cut_rows(m, keys, "decoded", axis)
     kind = "topk" if (codec.startswith("topk") and direction == "grad") else "rle"
     return decode_to_rows(msgs, keys, kind=kind, axis=axis)

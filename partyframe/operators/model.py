@@ -145,8 +145,9 @@ def nll_row(z_col: str, n_out: int, y: Column) -> Column:
     return logsumexp(zs) - F.col(z_col)[y]
 
 
-def class_weight_of(y: Column, weights: list[float]) -> Column:
-    return F.array(*[F.lit(float(w)) for w in weights])[y]
+def class_weight_of(y: Column, weights: list[float | None]) -> Column:
+    """Weight of a class; null for a class that had no rows."""
+    return F.array(*[F.lit(w).cast("double") for w in weights])[y]
 
 
 def row_norm(col: str, n: int, p: int) -> Column:

@@ -8,9 +8,11 @@ in whole-stage codegen (no higher-order function, no UDF).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partyframe.operators.index import dense_index
+
 NULL_TOKEN = "missing"
 
 
@@ -87,25 +89,81 @@ def impute_constant(df: DataFrame, cols: list[str], token: str = NULL_TOKEN) ->
 def category_table(df: DataFrame, cols: list[str], null_token: str = NULL_TOKEN) -> DataFrame:
     """A1 as a table: ``(col, idx, value)``, values sorted as text per column.
 
-    Distinct values come from a partial (map-side) aggregation; the index is a
-    window per column over the distinct values only.
+    Distinct values come from a partial (map-side) aggregation; they are
+    numbered per column by ranges (:func:`.index.dense_index`), so a column of
+    any number of categories is sorted by many tasks and nothing is collected.
     """
     longf = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c).cast("string"), F.lit(null_token)).alias("value"))
         for c in cols])).alias("kv")).select("kv.col", "kv.value")
-    distinct = longf.distinct()
-    w = Window.partitionBy("col").orderBy("value")
-    return distinct.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    numbered = dense_index(longf.distinct(), ["value"], out="idx", partition_by=["col"])
+    return numbered.select("col", "value", F.col("idx").cast("int").alias("idx"))
+
+
+def category_sizes(table: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Categories per column of a :func:`category_table` (one row a column to the driver)."""
+    found = {r["col"]: r["n"] for r in table.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(c, 0) for c in cols}
+
+
+def category_index(df: DataFrame, cols: list[str], table: DataFrame, null_token: str = NULL_TOKEN) -> DataFrame:
+    """P12 by equi-joins: adds ``<col>_idx``, the value's index in ``table`` (null: a value it does not hold).
+
+    One left join a column.  Spark broadcasts a small dictionary and
+    sort-merges a large one, where AQE splits a value that many rows share.
+    """
+    for c in cols:
+        words = table.filter(F.col("col") == c).select(F.col("value").alias("_pf_value"),
+                                                       F.col("idx").alias(f"{c}_idx"))
+        df = df.withColumn("_pf_key", F.coalesce(F.col(c).cast("string"), F.lit(null_token)))
+        df = df.join(words, F.col("_pf_key") == F.col("_pf_value"), "left").drop("_pf_key", "_pf_value")
+    return df
+
+
+def sparse_row(parts: list[tuple[Column, Column | None, int]]) -> Column:
+    """Features as ``STRUCT<size, indices, values>``, zeros left out.
+
+    ``parts`` lists (index, value, width) in feature order: a category gives
+    its index, no value and the size of its dictionary; a number gives index
+    0, the number and 1.  Null indexes, null and NaN numbers are zeros.
+    """
+    cells, size = [], 0
+    for at, value, width in parts:
+        v = F.lit(1.0) if value is None else F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
+        cells.append(F.struct((at.cast("long") + F.lit(size)).alias("i"), v.alias("v")))
+        size += width
+    kept = F.filter(F.array(*cells), lambda c: c["i"].isNotNull() & (c["v"] != 0))
+    return F.struct(F.lit(size).cast("long").alias("size"), F.transform(kept, lambda c: c["i"]).alias("indices"),
+                    F.transform(kept, lambda c: c["v"]).alias("values"))
+
+
+def onehot_at(idx, size: int) -> Column:
+    """P12 from an index: ``size`` 0/1 doubles, all zeros where it is null."""
+    if size == 0:
+        return F.array().cast("array<double>")
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
+                       lambda i: F.coalesce(i == _c(idx), F.lit(False)).cast("double"))
+
+
+def second_category(df: DataFrame, col: str, null_token: str = NULL_TOKEN) -> Column:
+    """The second value in sorted order, as a subquery (null where there is one value only)."""
+    values = df.select(F.coalesce(F.col(col).cast("string"), F.lit(null_token)).alias("v"))
+    first = values.agg(F.min("v").alias("v")).scalar()
+    return values.filter(F.col("v") > first).agg(F.min("v").alias("v")).scalar()
 
 
 def fit_categories(df: DataFrame, cols: list[str], max_categories: int = 10_000,
                    null_token: str = NULL_TOKEN) -> dict[str, list[str]]:
-    """A1: sorted distinct values per column, returned to the driver after a size check."""
+    """A1: sorted distinct values per column on the driver, for one-hot columns that are array literals.
+
+    More than ``max_categories`` a column is an error: such a column is encoded by joins, at any size, with
+    :func:`category_table` and :func:`category_index`.
+    """
     table = category_table(df, cols, null_token)
     bound = max_categories * len(cols)
     rows = table.select("col", "idx", "value").limit(bound + 1).collect()
     if len(rows) > bound:
-        raise ValueError(f"more than {max_categories} categories per column; not a one-hot column")
+        raise ValueError(f"more than {max_categories} categories per column; use category_table and category_index")
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in sorted(rows, key=lambda r: (r["col"], r["idx"])):
         out[r["col"]].append(r["value"])
@@ -178,7 +236,7 @@ def fit_table(df: DataFrame, ranges: list | None = None, categories: list[str] |
             .agg(F.min("e.num").alias("lo"), F.max("e.num").alias("hi"))
             .limit(bound + 1).collect())
     if len(rows) > bound:
-        raise ValueError(f"more than {max_categories} categories in a column; not a one-hot column")
+        raise ValueError(f"more than {max_categories} categories in a column; use category_table and category_index")
     cats: dict[str, list[str]] = {c: [] for c in categories}
     out_ranges = {n: (None, None) for n in named}
     for r in rows:
@@ -189,5 +247,5 @@ def fit_table(df: DataFrame, ranges: list | None = None, categories: list[str] |
     for c in cats:
         cats[c] = sorted(cats[c])
         if len(cats[c]) > max_categories:
-            raise ValueError(f"column {c} has more than {max_categories} categories; not a one-hot column")
+            raise ValueError(f"column {c} has more than {max_categories} categories; use category_table and category_index")
     return {"ranges": out_ranges, "categories": cats}

@@ -432,7 +432,7 @@ def codec_grad_roundtrip(spark, sf_dir):
     """Every codec's gradient encode -> decode through the dispatch, in both layouts: cells
     kept and a sum weighted by place, so that a value in the wrong cell shows.  The signed
     embeddings stand for the gradient, their ReLU for the embedding whose positions svfl reuses."""
-    b = embedding_batches(spark, sf_dir)
+    b = embedding_batches(spark, sf_dir).persist()      # read by all 18 branches
     out = None
     for axis in (0, 1):
         mat = codec.batch_matrix(b, {"eflat": ("e", "row_in_batch"), "flat": ("raw", "row_in_batch")}, axis=axis)

@@ -64,8 +64,7 @@ def run_vfl(spark: SparkSession, path: str, widths: list[int], dims: list[int],
         cw = None
     else:
         pw = 1.0
-        cw = align.class_weight_list(tr, "cls")
-        cw = cw + [0.0] * (n_out - len(cw))
+        cw = align.class_weight_list(tr, n_out, "cls")
     cfg = fit.JointConfig(in_sizes=widths, dims=dims, n_out=n_out, act=act, codec=codec, top_k=top_k, lam=lam,
                           penalty_p=norm, pos_weight=pw, class_weights=cw, bias=bias, axis=axis)
     snap = None
@@ -123,8 +122,7 @@ def run_oneshot(spark: SparkSession, path: str, widths: list[int], dims: list[in
     pw = align.pos_weight(tr).first()["pos_weight"] if n_out == 1 else 1.0
     cw = None
     if n_out > 1:
-        cw = align.class_weight_list(tr, "cls")
-        cw = cw + [0.0] * (n_out - len(cw))
+        cw = align.class_weight_list(tr, n_out, "cls")
     cfg = fit.JointConfig(in_sizes=dims, dims=dims, n_out=n_out, codec=None, pos_weight=pw, class_weights=cw,
                           fixed_parties=True)
     res = fit.fit_joint(trc, vac, tec, cfg, epochs=epochs, lr=lr, seed=seed, patience=patience)

@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
+from partyframe.functions.numeric import round6
 from partyframe.operators import align, compress, fit
 from partyframe.operators.index import assign_batches, seeded_split, shuffled_batches
 from partyframe.plans.model_queries import BATCH, DIM, LAMBDA, SEED
@@ -64,6 +65,24 @@ def pca_codes_q(spark, sf_dir):
     return emb.select("vec_id", F.transform(codes, lambda v: F.round(v, 6)).alias("codes"))
 
 
+@register("pca_check", """
+WITH c AS (SELECT unnest(range(0, len(embedding)))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+d AS (SELECT dim, avg(x) AS m, var_samp(x) AS v FROM c GROUP BY dim)
+SELECT dim, round(m, 6) AS mean, round(v, 6) AS variance, round((SELECT sum(v) FROM d), 6) AS total_variance,
+       0.0::DOUBLE AS residual
+FROM d
+""")
+def pca_check(spark, sf_dir):
+    """M16 measured on the rows: per column mean and variance, the sum of all eigenvalues (the total
+    variance) and the largest distance of the covariance times a loading from eigenvalue times loading."""
+    emb = read_table(spark, sf_dir, "embeddings").select("embedding")
+    mean, pc, values = compress.pca_model(emb, "embedding", PCA_K)
+    found = compress.pca_residuals(emb, "embedding", mean, pc, values)
+    return found.select("dim", round6(F.col("mean")).alias("mean"), round6(F.col("variance")).alias("variance"),
+                        round6(F.lit(float(values.sum()))).alias("total_variance"),
+                        round6(F.col("residual")).alias("residual"))
+
+
 # ------------------------------------------------------------------ M12-M15
 
 @register("fit_joint")
@@ -147,8 +166,7 @@ def fit_autoencoder_q(spark, sf_dir):
 
     trc, vac, tec = (fit.prepare_batches(coded(d)) for d in (tr, va, te))
     n_cls = len(star.status_categories)
-    cw = align.class_weight_list(tr, "cls")
-    cw = cw + [0.0] * (n_cls - len(cw))
+    cw = align.class_weight_list(tr, n_cls, "cls")
     cfg = fit.JointConfig(in_sizes=dims, dims=dims, n_out=n_cls, codec=None, class_weights=cw,
                           fixed_parties=True)
     res = fit.fit_joint(trc, vac, tec, cfg, epochs=FIT_EPOCHS, lr=FIT_LR, seed=SEED)

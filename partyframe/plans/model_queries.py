@@ -40,9 +40,8 @@ def fit_pos_weight(spark, sf_dir, star=None) -> float:
     return align.pos_weight((star or build_star(spark, sf_dir)).labels).first()["pos_weight"]
 
 
-def fit_class_weights(spark, sf_dir, star=None) -> list[float]:
-    w = align.class_weight_list((star or build_star(spark, sf_dir)).labels, "cls")
-    return w + [0.0] * (N_CLASSES - len(w))
+def fit_class_weights(spark, sf_dir, star=None) -> list[float | None]:
+    return align.class_weight_list((star or build_star(spark, sf_dir)).labels, N_CLASSES, "cls")
 
 
 # ------------------------------------------------------------------ SQL twins

@@ -48,8 +48,7 @@ def label_clean(spark, sf_dir):
     """P4 text before the first dot (test-file labels end in '.'); P7 positive = second sorted category."""
     t = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", prep.first_part(F.concat("o_orderstatus", F.lit(".")), ".").alias("status"))
-    cats = prep.fit_categories(t, ["status"])["status"]
-    return t.withColumn("y", prep.positive_label("status", cats))
+    return t.withColumn("y", F.coalesce(F.col("status") == prep.second_category(t, "status"), F.lit(False)).cast("int"))
 
 
 @register("label_threshold", "SELECT p_partkey, (p_size >= 25)::INTEGER AS y FROM part")
@@ -147,14 +146,48 @@ FROM part, k
 def onehot_q(spark, sf_dir):
     """One-hot of p_brand fitted on a subset; unseen brands give all zeros (hot = -1)."""
     part = read_table(spark, sf_dir, "part")
-    cats = prep.fit_categories(part.filter(F.col("p_size") <= ONEHOT_FIT_MAX_SIZE), ["p_brand"])["p_brand"]
-    oh = prep.onehot("p_brand", cats)
-    return part.select("p_partkey", oh.alias("oh")).select(
+    table = prep.category_table(part.filter(F.col("p_size") <= ONEHOT_FIT_MAX_SIZE), ["p_brand"])
+    width = prep.category_sizes(table, ["p_brand"])["p_brand"]
+    placed = prep.category_index(part.select("p_partkey", "p_brand"), ["p_brand"], table)
+    return placed.select("p_partkey", prep.onehot_at("p_brand_idx", width).alias("oh")).select(
         "p_partkey",
         F.array_join(F.transform("oh", lambda v: v.cast("int").cast("string")), "").alias("bits"),
         (F.coalesce(F.array_position("oh", 1.0), F.lit(0)) - 1).cast("int").alias("hot"))
 
 
+@register("onehot_sparse", """
+WITH o AS (SELECT o_orderkey, o_totalprice, coalesce(o_custkey::VARCHAR, 'missing') AS cust,
+                  coalesce(o_orderpriority, 'missing') AS prio FROM orders),
+fit AS (SELECT * FROM o WHERE o_orderkey % 2 = 0),
+kc AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT cust v FROM fit)),
+kp AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT prio v FROM fit)),
+r AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi, (SELECT count(*) FROM kc) AS nc, (SELECT count(*) FROM kp) AS np
+      FROM fit),
+x AS (SELECT o_orderkey, coalesce((o_totalprice - lo) / (hi - lo), 0) AS price, 1 + kc.i AS ci, 1 + nc + kp.i AS pi, nc, np
+      FROM o CROSS JOIN r LEFT JOIN kc ON kc.v = cust LEFT JOIN kp ON kp.v = prio)
+SELECT o_orderkey, (1 + nc + np)::BIGINT AS size,
+       list_filter([CASE WHEN price <> 0 THEN 0 END, ci, pi]::BIGINT[], lambda v: v IS NOT NULL) AS indices,
+       list_filter([CASE WHEN price <> 0 THEN round(price, 6) END, CASE WHEN ci IS NOT NULL THEN 1 END,
+                    CASE WHEN pi IS NOT NULL THEN 1 END]::DOUBLE[], lambda v: v IS NOT NULL) AS vals
+FROM x
+""")
+def onehot_sparse(spark, sf_dir):
+    """P12 without a bound on categories: price, customer and priority of every order as sparse features.
+
+    Encoders come from the orders with even keys; a customer that those do not have gives no entry.
+    """
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority")
+    fit_rows, cats = orders.filter(F.col("o_orderkey") % 2 == 0), ["o_custkey", "o_orderpriority"]
+    lo, hi = prep.fit_ranges(fit_rows, ["o_totalprice"])["o_totalprice"]
+    table = prep.category_table(fit_rows, cats)
+    sizes = prep.category_sizes(table, cats)
+    row = prep.sparse_row([(F.lit(0), prep.minmax("o_totalprice", lo, hi), 1),
+                           *[(F.col(f"{c}_idx"), None, sizes[c]) for c in cats]])
+    placed = prep.category_index(orders, cats, table).select("o_orderkey", row.alias("f"))
+    return placed.select("o_orderkey", "f.size", "f.indices",
+                         F.transform("f.values", lambda v: round6(v)).alias("vals"))
+
+
 # ---------------------------------------------------------------- ranges
 
 @register("minmax_fit", """

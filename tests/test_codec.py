@@ -46,6 +46,23 @@ def test_rle_roundtrip_edges(spark, name, axis):
     np.testing.assert_array_equal(got, M.astype(np.float32))
 
 
+@pytest.mark.parametrize("axis", [0, 1])
+def test_decoding_runs_in_the_jvm_and_places_every_cell(spark, axis):
+    rng = np.random.default_rng(11)
+    M = np.where(rng.random((23, 7)) < 0.5, 0, rng.normal(size=(23, 7))).astype(np.float32)
+    b = _batch(spark, M.tolist())
+    sent = codec.rle_encode(codec.batch_matrix(b, "e", axis=axis))
+    top = codec.topk_encode(codec.batch_matrix(b, "e", axis=0), 20)
+    flat = np.abs(M.ravel())
+    least = np.sort(flat)[-20]
+    for msg, kind, want in ((sent, "rle", M), (top, "topk", np.where(np.abs(M) >= least, M, 0))):
+        dec = codec.decode_to_rows(msg, ["batch_id"], kind=kind, axis=axis)
+        plan = dec._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+        got = np.array([list(r["decoded"]) for r in dec.orderBy("row_in_batch").collect()])
+        np.testing.assert_array_equal(got, want)
+
+
 @pytest.mark.parametrize("axis", [0, 1])
 def test_run_counts_match_numpy(spark, axis):
     rng = np.random.default_rng(3)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from partyframe.operators import align, compress, fit, prep
 
@@ -13,6 +14,62 @@ def test_onehot_unknown_and_null(spark):
     assert got[0] == [1.0, 0.0] and got[3] == [0.0, 0.0] and got[2] == [0.0, 0.0]
 
 
+def test_a_million_categories_by_joins(spark):
+    df = spark.range(2_000_000).selectExpr("id", "concat('c', pmod(id * 7919, 1000000)) AS c")
+    table = prep.category_table(df, ["c"])
+    assert prep.category_sizes(table, ["c", "none"]) == {"c": 1_000_000, "none": 0}
+    row = table.agg({"idx": "min", "value": "min"}).first(), table.agg({"idx": "max", "value": "max"}).first()
+    assert [tuple(r) for r in row] in ([(0, "c0"), (999_999, "c999999")], [("c0", 0), ("c999999", 999_999)])
+    placed = prep.category_index(df.filter("id < 1000").unionByName(spark.sql("SELECT -1L id, 'zz' c")), ["c"], table)
+    got = placed.selectExpr("count(*) n", "count(c_idx) held", "count(distinct c_idx) kinds").first()
+    assert tuple(got) == (1001, 1000, 1000)                     # a value that the table lacks has no index
+
+
+def test_sparse_row_is_the_dense_one(spark):
+    df = spark.createDataFrame([(0, 0.5, "b", None), (1, None, "zz", "y"), (2, float("nan"), None, "x"), (3, 0.0, "a", "y")],
+                               "id int, n double, c string, d string")
+    fit_rows = df.filter("id <> 1")
+    table = prep.category_table(fit_rows, ["c", "d"])
+    sizes = prep.category_sizes(table, ["c", "d"])
+    assert sizes == {"c": 3, "d": 3}                             # a, b, missing; missing, x, y
+    placed = prep.category_index(df, ["c", "d"], table)
+    parts = [(F.lit(0), F.col("n"), 1), (F.col("c_idx"), None, 3), (F.col("d_idx"), None, 3)]
+    got = {r["id"]: r["f"] for r in placed.select("id", prep.sparse_row(parts).alias("f")).collect()}
+    cats = prep.fit_categories(fit_rows, ["c", "d"])
+    dense = {r["id"]: r["x"] for r in df.select("id", F.concat(
+        F.array(F.coalesce(F.nanvl("n", F.lit(0.0)), F.lit(0.0))), prep.onehot("c", cats["c"]),
+        prep.onehot("d", cats["d"])).alias("x")).collect()}
+    for i, f in got.items():
+        x = [0.0] * f["size"]
+        for at, v in zip(f["indices"], f["values"]):
+            x[at] = v
+        assert x == dense[i] and all(f["values"])
+    joined = {r["id"]: r["x"] for r in placed.select("id", prep.onehot_at("c_idx", 3).alias("x")).collect()}
+    assert all(joined[i] == dense[i][1:4] for i in joined)
+
+
+def test_empty_dictionary_and_second_category(spark):
+    none = spark.createDataFrame([], "c string")
+    table = prep.category_table(none, ["c"])
+    assert table.count() == 0 and prep.category_sizes(table, ["c"]) == {"c": 0}
+    one = spark.createDataFrame([("p",), ("p",)], "c string")
+    assert prep.category_index(one, ["c"], table).select(prep.onehot_at("c_idx", 0).alias("x")).first()["x"] == []
+    two = spark.createDataFrame([("q",), ("p",), ("r",)], "c string")
+    assert [one.select(prep.second_category(one, "c")).first()[0], two.select(prep.second_category(two, "c")).first()[0]] \
+        == [None, "q"]
+
+
+def test_class_weights_of_absent_classes_and_many(spark):
+    labels = spark.createDataFrame([(0,), (0,), (2,), (5,)], "y int")
+    assert align.class_weight_list(labels, 4) == [2.0, None, 4.0, None]
+    got = {r["y"]: r["weight"] for r in align.with_class_weight(
+        spark.createDataFrame([(0,), (1,), (None,), (5,)], "y int"), labels).collect()}
+    assert got == {0: 2.0, 1: None, None: None, 5: 4.0}
+    many = spark.range(200_000).selectExpr("cast(pmod(id, 50000) AS int) y")
+    assert align.with_class_weight(many, many).agg(F.min("weight"), F.max("weight"), F.count("weight")).first() == \
+        (50_000.0, 50_000.0, 200_000)
+
+
 def test_fit_table_and_minmax_constant(spark):
     df = spark.createDataFrame([(1.0, 5.0, "x"), (3.0, 5.0, "y"), (float("nan"), 5.0, None)],
                                "a double, k double, c string")
@@ -114,6 +171,23 @@ def test_pca_matches_numpy_svd(spark):
     np.testing.assert_allclose(codes, Xc @ ref, atol=1e-8)
 
 
+def test_moments_merge_over_tasks(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(301, 4)) * [1e-3, 1.0, 5.0, 0.0] + [1e6, -3.0, 1e4, 7.0]       # large means, a constant
+    rows = [(X[i].tolist(),) for i in range(301)] + [(None,)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(7)
+    want = np.cov(X.T)
+    for r in compress.moments(df, "v").collect():
+        assert r["n"] == 301 and abs(r["mean_i"] - X[:, r["i"]].mean()) <= 1e-9 * abs(X[:, r["i"]].mean())
+        np.testing.assert_allclose(r["cov"], want[r["i"], r["j"]], rtol=1e-6, atol=1e-9)
+    assert compress.moments(df.filter("v IS NULL"), "v").count() == 0
+    mean, pc, values = compress.pca_model(df, "v", 2)
+    assert abs(values.sum() - np.trace(want)) < 1e-8 and compress.pca_residuals(df, "v", mean, pc, values).filter(
+        "residual > 1e-6").count() == 0
+    wrong = pc[:, ::-1].copy()                                    # exchanged components are no match for their values
+    assert compress.pca_residuals(df, "v", mean, wrong, values).filter("residual > 1e-3").count() > 0
+
+
 def test_fit_loss_falls(spark):
     rng = np.random.default_rng(9)
     n = 600
