@@ -348,10 +348,14 @@ def encode(mat: DataFrame, codec: str, direction: str = "emb", k: int = 1024, fl
 
 
 def _row_major(flat: Column) -> Column:
-    """A column-major batch, row by row."""
+    """A column-major batch, row by row: cells sorted by their row-major position.
+
+    ``flat`` is an argument and not read inside the lambda, where the
+    optimizer would put the expression behind it and evaluate it once a cell.
+    """
     s, d = F.col("samples"), F.col("dims")
-    return F.flatten(F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.transform(
-        F.sequence(F.lit(0), d - 1), lambda j: F.get(flat, j * s + i))))
+    cells = F.transform(flat, lambda v, p: F.struct(((p % s) * d + F.floor(p / s).cast("int")).alias("p"), v.alias("v")))
+    return F.transform(F.sort_array(cells), lambda c: c["v"])
 
 
 def decode(msgs: DataFrame, codec: str, keys: list[str], direction: str = "emb", axis: int = 1,
