@@ -116,10 +116,38 @@ def activation(name: str, x) -> Column:
     return fn(x) if fn else x
 
 
+def _exp_slope(x):
+    return F.when(x > 0, F.lit(1.0)).otherwise(F.lit(ELU_ALPHA) * F.exp(x))
+
+
+def _selu_slope(x):
+    return F.lit(SELU_SCALE) * F.when(x > 0, F.lit(1.0)).otherwise(F.lit(SELU_ALPHA) * F.exp(x))
+
+
+def _mish_slope(x):
+    t = F.tanh(softplus(x))
+    return t + x * (F.lit(1.0) - t * t) * sigmoid(x)
+
+
+SLOPES = {
+    "relu": lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
+    "leaky_relu": lambda x: F.when(x >= 0, F.lit(1.0)).otherwise(F.lit(LEAKY_SLOPE)),
+    "elu": _exp_slope,
+    "selu": _selu_slope,
+    "mish": _mish_slope,
+}
+
+
+def activation_slope(name: str, x) -> Column:
+    """Derivative of :func:`activation` (of any other name: 1)."""
+    fn = SLOPES.get(name)
+    return fn(_c(x)) if fn else F.lit(1.0)
+
+
 def log2_ceil_py(n: int) -> int:
     """Driver-side twin of :func:`ceil_log2` for small constants."""
     return 0 if n <= 1 else (int(n) - 1).bit_length()
 
 
 __all__ = ["ceil_log2", "bits_to_bytes", "round6", "round_to", "sigmoid", "softplus", "fp16_round",
-           "activation", "ACTIVATIONS", "log2_ceil_py"]
+           "activation", "activation_slope", "ACTIVATIONS", "log2_ceil_py"]

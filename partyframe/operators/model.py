@@ -3,8 +3,9 @@
 Model parameters are tiny (hundreds of numbers) and live on the driver as
 numpy arrays; a weight matrix enters the plan as one array literal.  A
 linear layer is one expression over it (:func:`linear`), so the plan and the
-generated code have the same size for 3 inputs and for 500.  Parameter gradients and fits run per batch in
-:mod:`partyframe.operators.fit`.
+generated code have the same size for 3 inputs and for 500.  Stored snapshots
+enter as rows instead and meet the data in a join (:func:`score_snapshots`).
+Fits run per batch in :mod:`partyframe.operators.fit`.
 
 Shapes: party p: ``e_p = act(x_p W_p + b_p)`` (W_p: in_p x D);
 head: ``h = relu(concat(e) W1 + b1)``, ``z = h W2 + b2`` (1 output for binary,
@@ -17,10 +18,12 @@ import json
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partyframe.functions.numeric import activation, sigmoid, softplus
+from partyframe.functions.numeric import activation, activation_slope, sigmoid, softplus
 
 
 # ------------------------------------------------------------------ parameters
@@ -54,11 +57,11 @@ class Params:
         return items
 
 
-def rule_params(in_sizes: list[int], dim: int, n_out: int = 1) -> Params:
-    party = [rule_weights(n, dim, salt=p) for p, n in enumerate(in_sizes)]
+def rule_params(in_sizes: list[int], dim: int, n_out: int = 1, salt: int = 0) -> Params:
+    party = [rule_weights(n, dim, salt=salt + p) for p, n in enumerate(in_sizes)]
     total = dim * len(in_sizes)
-    hidden = rule_weights(total, total // 2, salt=len(in_sizes))
-    out = rule_weights(total // 2, n_out, salt=len(in_sizes) + 1 + (n_out > 1))
+    hidden = rule_weights(total, total // 2, salt=salt + len(in_sizes))
+    out = rule_weights(total // 2, n_out, salt=salt + len(in_sizes) + 1 + (n_out > 1))
     return Params(party, hidden, out)
 
 
@@ -79,7 +82,11 @@ def linear(x: Column, W: np.ndarray, b: np.ndarray | None, act: str | None = Non
     bias = np.zeros(W.shape[1]) if b is None else b
     outputs = matrix_literal([{"w": [float(v) for v in W[:, d]], "b": float(bias[d])} for d in range(W.shape[1])],
                              "array<struct<w: array<double>, b: double>>")
+    return linear_of(x, outputs, act)
 
+
+def linear_of(x: Column, outputs: Column, act: str | None = None) -> Column:
+    """:func:`linear` by the outputs' (weights ``w``, bias ``b``), a literal or a column of the row."""
     def one(o: Column) -> Column:
         total = F.aggregate(F.zip_with(x, o["w"], lambda v, w: v.cast("double") * w), F.lit(0.0), lambda a, v: a + v)
         return activation(act, total + o["b"]) if act else total + o["b"]
@@ -122,6 +129,40 @@ def predict_class(z_col: str) -> Column:
     return (F.array_position(F.col(z_col), F.array_max(z_col)) - 1).cast("int")
 
 
+# ------------------------------------------------------------------ snapshots as data
+
+def snapshot_models(snapshots: DataFrame) -> DataFrame:
+    """Stored snapshot rows (run_id, epoch, layer, r, row) as one model per row: (run_id, epoch, layers).
+
+    ``layers`` maps a layer's name to its outputs as :func:`linear_of` takes them.  A group is the rows of
+    one weight matrix.  Rows that a repeated write stored twice count once.
+    """
+    keys = ["run_id", "epoch"]
+    rows = snapshots.groupBy(*keys, "layer", "r").agg(F.max("row").alias("row"))
+    name, kind = F.regexp_extract("layer", r"^(.*)\.[Wb]$", 1), F.regexp_extract("layer", r"\.([Wb])$", 1)
+    whole = rows.groupBy(*keys, name.alias("name")).agg(
+        F.array_sort(F.collect_list(F.when(kind == "W", F.struct("r", "row")))).alias("W"),
+        F.max(F.when(kind == "b", F.col("row"))).alias("b"))
+    outputs = F.transform("b", lambda b, d: F.struct(F.transform(F.col("W.row"), lambda w: w[d]).alias("w"),
+                                                     b.alias("b")))
+    return whole.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("name", outputs.alias("outputs")))).alias("layers"))
+
+
+def score_snapshots(rows: DataFrame, models: DataFrame, n_parties: int, act: str = "relu") -> DataFrame:
+    """M1-M3 by stored weights: ``rows`` (run_id, x0 .. xk, ..) joined on ``run_id`` with their run's models.
+
+    Each row comes once per model of its run, with the model's ``epoch`` and the arrays e0 .., zh, h, z.
+    """
+    out = rows.join(models, "run_id")
+    for p in range(n_parties):
+        out = out.withColumn(f"e{p}", linear_of(F.col(f"x{p}"), F.col("layers")[f"party{p}"], act))
+    out = out.withColumn("zh", linear_of(F.concat(*[F.col(f"e{p}") for p in range(n_parties)]),
+                                         F.col("layers")["hidden"]))
+    out = out.withColumn("h", F.transform("zh", lambda v: F.greatest(v, F.lit(0.0))))
+    return out.withColumn("z", linear_of(F.col("h"), F.col("layers")["out"])).drop("layers")
+
+
 # ------------------------------------------------------------------ losses (M7-M9)
 
 def bce_row(z: Column, y: Column, pos_weight) -> Column:
@@ -199,4 +240,24 @@ def grad_embeddings(df: DataFrame, params: Params, penalty_p: int = 0, lam: floa
     return out
 
 
+def outer(a: Column, b: Column) -> Column:
+    """Cells of the outer product of two arrays, row by row."""
+    return F.flatten(F.transform(a, lambda u: F.transform(b, lambda v: u.cast("double") * v)))
+
+
+def weight_gradients(df: DataFrame, params: Params, act: str = "relu") -> DataFrame:
+    """``(k, v)``, the gradient of parameter ``k`` (in the order of ``params.flat()``) summed over all rows.
 
+    ``df`` comes from :func:`grad_embeddings` with ``x{p}`` and ``pre{p}`` kept.  A row gives the outer products
+    of each layer's inputs and its outputs' gradients as one vector, and the vectors are summed in the
+    JVM, once per task and then over tasks.  An empty table gives no rows.
+    """
+    cells = []
+    for p in range(len(params.party)):
+        slope = F.zip_with(f"ge{p}", f"pre{p}", lambda g, v: g * activation_slope(act, v))
+        cells += [outer(F.col(f"x{p}"), slope), slope if params.bias else F.transform(slope, lambda g: g * 0.0)]
+    ecat = F.concat(*[F.col(f"e{p}") for p in range(len(params.party))])
+    cells += [outer(ecat, F.col("dh")), F.col("dh"), outer(F.col("h"), F.col("dz")), F.col("dz")]
+    vectors = df.select(array_to_vector(F.concat(*cells)).alias("v"))
+    total = vectors.groupBy(F.lit(0).alias("one")).agg(Summarizer.sum(F.col("v")).alias("v"))
+    return total.select(F.posexplode(vector_to_array("v")).alias("k", "v"))

@@ -7,6 +7,9 @@ score = mean value), so every query grows with its input tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partyframe.functions.numeric import round6, round_to
@@ -17,6 +20,7 @@ from partyframe.plans.model_queries import (BATCH, DIM, LAMBDA, SEED, SQL_BCE, S
                                             params_binary, params_class, scored, sql_scored)
 from partyframe.plans.registry import register
 from partyframe.plans.star import WIDTHS, aligned, build_star
+from partyframe.sources.io import params_frame
 from partyframe.sources.tables import read_table
 
 # fixed values: test-query parameters
@@ -128,6 +132,44 @@ def early_stop_q(spark, sf_dir):
     return evaluate.early_stop(epoch_scores(spark, sf_dir), PATIENCE)
 
 
+SNAPSHOT_EPOCHS = 3
+
+
+def _snapshot(epoch: int):
+    return model.rule_params(list(WIDTHS), DIM, 1, salt=epoch)
+
+
+def _sql_snapshot_scores() -> str:
+    epochs = [f"SELECT * FROM (WITH {sql_scored(_snapshot(e))} SELECT {e}::INTEGER AS epoch, uid, y, z[1] AS z FROM sc)"
+              for e in range(SNAPSHOT_EPOCHS)]
+    return f"""
+WITH every AS ({" UNION ALL ".join(epochs)}), {_sql_split('(SELECT uid FROM every WHERE epoch = 0)')},
+loss AS (SELECT epoch, round(avg(y * ln(1 + exp(-z)) + (1 - y) * ln(1 + exp(z))), 9) AS loss
+         FROM every JOIN sp USING (uid) WHERE split = 'va' GROUP BY epoch),
+best AS (SELECT epoch FROM loss ORDER BY loss, epoch LIMIT 1)
+SELECT uid, epoch, round(1 / (1 + exp(-z)), 6) AS score
+FROM every JOIN sp USING (uid) JOIN best USING (epoch) WHERE split = 'te'
+"""
+
+
+@register("best_snapshot_score", _sql_snapshot_scores())
+def best_snapshot_score(spark, sf_dir):
+    """S10 + W7: three stored snapshots; the one with the lowest validation loss scores the test rows.
+
+    Weights are rows that meet the data in a join; the best epoch is picked in the same plan.
+    """
+    star = build_star(spark, sf_dir)
+    split = seeded_split(star.labels, "uid", (0.1, 0.1), ("tr", "va", "te"), seed=SPLIT_SEED).filter("split <> 'tr'")
+    rows = aligned(star, split).withColumn("run_id", F.lit("star"))
+    models = model.snapshot_models(reduce(DataFrame.unionByName, (
+        params_frame(spark, dict(_snapshot(e).flat()), "star", e) for e in range(SNAPSHOT_EPOCHS))))
+    loss = model.score_snapshots(rows.filter("split = 'va'"), models, len(WIDTHS)).groupBy("run_id", "epoch").agg(
+        round_to(F.avg(model.bce_row(F.col("z")[0], F.col("y"), 1.0)), 9).alias("score"))
+    best = evaluate.best_epoch(loss, higher_is_better=False).select("run_id", F.col("best_epoch").alias("epoch"))
+    tested = model.score_snapshots(rows.filter("split = 'te'"), models.join(best, ["run_id", "epoch"]), len(WIDTHS))
+    return tested.select("uid", "epoch", round6(model.predict_binary(F.col("z")[0])).alias("score"))
+
+
 # ------------------------------------------------------------------ A9, A10, E3, U2, S8
 
 def scored_in_epoch(spark, sf_dir, star=None):

@@ -317,20 +317,10 @@ def _weight_grad_sql() -> str:
 def weight_gradient(spark, sf_dir):
     """Gradient of every parameter summed over one epoch of batch-mean losses (+ L1 penalty).
 
-    One ``applyInPandas`` group per batch runs the numpy forward / backward pass
-    and returns a model-sized vector; Spark sums the vectors on ``k`` and a
-    model-sized names table (broadcast) labels them.
+    Outer products per row, summed as vectors in the JVM; a model-sized names table (broadcast) labels them.
     """
-    from partyframe.operators import fit
-    star = build_star(spark, sf_dir)
-    pw = fit_pos_weight(spark, sf_dir, star)
-    params = params_binary()
-    P = dict(params.flat())
-    flat = fit.Flat(P)
-    cfg = fit.JointConfig(in_sizes=list(WIDTHS), dims=[DIM] * 3, n_out=1, act="relu", codec=None,
-                          lam=LAMBDA, penalty_p=1, pos_weight=pw)
-    batched = aligned(star, shuffled_batches(star.labels, "uid", BATCH, seed=SEED))
-    sums = fit.batch_vector_frame(batched, lambda pdf: fit.joint_batch(pdf, P, cfg, flat))
+    g, params = _grad_frame(spark, sf_dir)
+    sums = model.weight_gradients(g, params)
     names, k = [], 0
     for layer, arr in params.flat():
         for layer_, r, c, _ in _cells(layer, arr):

@@ -2,14 +2,16 @@
 
 Everything is Parquet under a folder the caller names (on a cluster: shared
 storage).  Writes never overwrite a folder that the same job reads: appends
-go through Parquet's own ``append`` mode, and the run log is rewritten into a
-new version folder.
+go through Parquet's own ``append`` mode, and the run log is written aside and
+renamed to a new version folder.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 METRIC_SCHEMA = "run_id string, tag string, step int, value double"
@@ -54,6 +56,27 @@ def write_messages(msgs: DataFrame, path: str, mode: str = "append") -> None:
     msgs.write.mode(mode).partitionBy("split", "party").parquet(path)
 
 
+def write_counted_messages(msgs: DataFrame, path: str, parties: list[int], bytes_col: str = "bytes",
+                           mode: str = "append") -> dict[int, dict[str, int]]:
+    """A9 while S7 is written: per party the messages, bytes and rows (``samples``) that this write stored.
+
+    The sums are observed on the rows as they pass to the files, so nothing is encoded or read twice.  They cover
+    ``parties``; a message of another party, or a null size, is an error after the write.
+    """
+    seen = Observation()
+    sums = [F.count(F.lit(1)).alias("all"), F.count(bytes_col).alias("sized")]
+    for p in parties:
+        mine = F.col("party") == p
+        sums += [F.count_if(mine).alias(f"messages_{p}"),
+                 F.coalesce(F.sum(F.when(mine, F.col(bytes_col))), F.lit(0)).cast("long").alias(f"bytes_{p}"),
+                 F.coalesce(F.sum(F.when(mine, F.col("samples"))), F.lit(0)).cast("long").alias(f"rows_{p}")]
+    write_messages(msgs.observe(seen, *sums), path, mode)
+    got = seen.get
+    if got["all"] != sum(got[f"messages_{p}"] for p in parties) or got["all"] != got["sized"]:
+        raise ValueError(f"messages of other parties than {parties}, or without {bytes_col}")
+    return {p: {c: got[f"{c}_{p}"] for c in ("messages", "bytes", "rows")} for p in parties}
+
+
 def read_messages(spark: SparkSession, path: str, split: str, party: int) -> DataFrame:
     return spark.read.parquet(path).filter((F.col("split") == split) & (F.col("party") == party))
 
@@ -66,29 +89,59 @@ def append_metrics(spark: SparkSession, rows: list | DataFrame, path: str) -> No
     df.write.mode("append").parquet(path)
 
 
-def append_run_log(spark: SparkSession, new_runs: DataFrame, base: str, version: int) -> str:
+def append_run_log(spark: SparkSession, new_runs: DataFrame, base: str, version: int | None = None) -> str:
     """Union the latest log version with ``new_runs`` by name (missing columns null)
-    into folder ``base/v=<version>``; returns that folder.
+    into a new folder ``base/v=<version>``; returns that folder.
 
     The latest version is found by listing ``base``; only an empty or absent
-    ``base`` starts a new log.  ``version`` must be above all versions there,
-    a version that cannot be read is an error, and so is a column whose type
-    differs; nothing is ever overwritten.
+    ``base`` starts a new log.  A version that cannot be read is an error, and
+    so is a column whose type differs; nothing is ever overwritten.
+
+    Several writers may append at once.  Each writes its version aside and
+    renames it, which fails where that version has come to exist.  Without
+    ``version`` (the next one), a writer that lost reads the log again and
+    tries the version after it, so that the log keeps the rows of both; with ``version``, which must be above
+    all others, it gets an error.  The rename must be atomic in the store, as it is
+    in HDFS and on local disks.
     """
-    out = f"{base.rstrip('/')}/v={version}"
-    have = log_versions(spark, base)
-    if have and version <= have[-1]:
-        raise ValueError(f"version {version} is not above the latest one, {have[-1]}")
-    merged = new_runs
-    if have:
-        old = spark.read.parquet(f"{base.rstrip('/')}/v={have[-1]}")
-        types = dict(old.dtypes)
-        clash = [c for c, t in new_runs.dtypes if types.get(c, t) != t]
-        if clash:
-            raise TypeError(f"columns with another type than in the log: {clash}")
-        merged = old.unionByName(new_runs, allowMissingColumns=True)
-    merged.write.mode("errorifexists").parquet(out)
-    return out
+    while True:
+        have = log_versions(spark, base)
+        take = version if version is not None else (have[-1] + 1 if have else 1)
+        if have and take <= have[-1]:
+            raise ValueError(f"version {take} is not above the latest one, {have[-1]}")
+        merged = new_runs
+        if have:
+            old = spark.read.parquet(f"{base.rstrip('/')}/v={have[-1]}")
+            types = dict(old.dtypes)
+            clash = [c for c, t in new_runs.dtypes if types.get(c, t) != t]
+            if clash:
+                raise TypeError(f"columns with another type than in the log: {clash}")
+            merged = old.unionByName(new_runs, allowMissingColumns=True)
+        if _commit(spark, merged, base, take):
+            return f"{base.rstrip('/')}/v={take}"
+
+
+def _commit(spark: SparkSession, df: DataFrame, base: str, version: int) -> bool:
+    """Write aside, then rename to ``v=<version>`` unless that is there; false where another writer was first.
+
+    The folder holds a file named for its writer.  Stores that move a folder into one of the same name instead
+    of refusing (local disks, if two writers rename in the same instant) leave it one level too deep; that
+    writer takes it back and has lost.
+    """
+    base, name = base.rstrip("/"), f"_aside-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside, final = hadoop.Path(f"{base}/{name}"), hadoop.Path(f"{base}/v={version}")
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.parquet(aside.toString())
+    fs.create(hadoop.Path(aside, f"_writer{name}")).close()
+    try:
+        if not fs.exists(final):
+            fs.rename(aside, final)
+        won = fs.exists(hadoop.Path(final, f"_writer{name}"))
+    finally:
+        fs.delete(aside, True)
+        fs.delete(hadoop.Path(final, name), True)
+    return won
 
 
 def log_versions(spark: SparkSession, base: str) -> list[int]:

@@ -1,5 +1,7 @@
 """Round trips of the sources / sinks (S1-S10, U2) and the streaming tracker."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +83,33 @@ def test_run_log_never_loses_rows(spark, tmp_path):
     assert io.log_versions(spark, base) == [1, 2, 4, 6]
 
 
+def test_concurrent_appends_are_all_kept(spark, tmp_path):
+    base = str(tmp_path / "log")
+    names = [f"r{i}" for i in range(6)]
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        out = list(pool.map(lambda n: io.append_run_log(spark, spark.createDataFrame([(n,)], "run_id string"), base),
+                            names))
+    assert sorted(out) == [f"{base}/v={i}" for i in range(1, 7)]
+    assert sorted(r["run_id"] for r in spark.read.parquet(f"{base}/v=6").collect()) == names
+    assert not [p for p in (tmp_path / "log").rglob("_aside*")]
+
+
+def test_a_writer_that_lost_reads_again(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "log")
+    row = lambda name: spark.createDataFrame([(name,)], "run_id string")
+    io.append_run_log(spark, row("a"), base)
+    listed, stale = io.log_versions, [[1]]
+    io.append_run_log(spark, row("b"), base)
+    monkeypatch.setattr(io, "log_versions", lambda *a: stale.pop() if stale else listed(*a))
+    v3 = io.append_run_log(spark, row("c"), base)                       # listed before b was there
+    assert v3.endswith("v=3") and {r["run_id"] for r in spark.read.parquet(v3).collect()} == {"a", "b", "c"}
+    stale.append([1])
+    with pytest.raises(ValueError, match="not above"):                  # a version asked for by number is not changed
+        io.append_run_log(spark, row("d"), base, 2)
+    assert {r["run_id"] for r in spark.read.parquet(f"{base}/v=2").collect()} == {"a", "b"}
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["v=1", "v=2", "v=3"]
+
+
 def test_streaming_tracker_matches_batch_rule(spark, tmp_path):
     path = str(tmp_path / "metrics")
     scores = [0.5, 0.6, 0.6, 0.55, 0.58, 0.7]
