@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import common as C
 from . import counts as K
 
-PAIR, WORD = 0, 1
+PAIR, WORD, TRAINED = 0, 1, 2
 SLICE = 1 << 20             # bytes of text that are cut into words at a time
 BITS = 26                   # size of the filter of trained pairs and words (2^26 bits, 8 MB)
 
@@ -64,11 +64,12 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
     """Perplexity per token of every text under a model of the texts that ``trained`` (id, h) names.
 
     ``h`` is the xxhash64 of id and text.  Tokens are the words as they are and
-    one end.  Count tables are sharded by key (see :mod:`.counts`): blocks of
-    text ask for the counts of their distinct pairs, then for the context and
-    continuation counts of their words.  Pairs and words that are not in a
-    Bloom filter of the trained ones (fixed size) are not asked for: their
-    counts are 0.
+    one end.  Any number of texts may be named: their hashes are dealt to the
+    blocks of text that hold them.  Count tables are sharded by key (see
+    :mod:`.counts`): blocks ask for the counts of their distinct pairs, then
+    for the context and continuation counts of their words.  Pairs and words
+    that are not in a Bloom filter of the trained ones (of fixed size; when
+    full it only lets more through) are not asked for: their counts are 0.
 
     ``left_out`` is the perplexity under the model without the text itself:
     for a trained text its own counts are taken off every count, context and
@@ -82,24 +83,30 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
     h = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.col(lang_col).cast("string").alias("lang"), h.alias("h"))
-    known = trained.select(F.col("h").alias("known_h")).distinct()              # a bounded sample
-    rows = rows.join(F.broadcast(known), rows["h"] == F.col("known_h"), "left").select(
-        "id", "text", F.struct("h", "lang", F.col("known_h").isNotNull().alias("trained")).alias("carry"))
+    rows = rows.select("id", "text", "h", F.struct("h", "lang").alias("carry"))
+    known = trained.select("h").dropna().distinct()
 
-    sent = docs.sparkSession.sparkContext.broadcast(_trained_filter(rows.filter("carry.trained").select("text")))
+    sent = docs.sparkSession.sparkContext.broadcast(_trained_filter(rows.join(known, "h", "left_semi").select("text")))
     blocks = K.pack_docs(rows, "id", "text", n_blocks, F.col("carry")).groupBy("block")
+    # a block is a function of h alone, so the trained ones reach it without a join of the texts
+    marks = C.checkpointed(known.select(F.pmod("h", F.lit(n_blocks)).cast("int").alias("block"), "h")
+                           .groupBy("block").applyInArrow(_marks, K.ROWS_DDL))
 
     def asked(p: K.Pairs) -> tuple[np.ndarray, np.ndarray]:
         """Which pairs, and which words, the block asks for."""
         return _in_filter(sent.value, p.pair), _in_filter(sent.value, p.words)
 
-    def flags(t: pa.Table) -> np.ndarray:
-        return t.column("row").combine_chunks().field("trained").to_numpy(zero_copy_only=False).astype(bool)
+    def flags(t: pa.Table, right: pa.Table) -> np.ndarray:
+        got = K.answers(right, TRAINED)
+        h = t.column("row").combine_chunks().field("h").to_numpy()
+        return np.isin(h, got[0]) if got else np.zeros(len(h), bool)
 
-    def ask_pairs(left: pa.Table) -> pa.Table:
+    def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return K.ROWS.empty_table()
         t = K.unpack_docs(left)
         p = K.Pairs(t, lower=False, slice_bytes=SLICE)
-        _, _, n = p.counts(flags(t))
+        _, _, n = p.counts(flags(t, right))
         pairs, _ = asked(p)
         return K.ask(PAIR, left.column("block")[0].as_py(), p.pair[pairs], n_shards, n[pairs])
 
@@ -107,7 +114,7 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
         return np.bincount(np.minimum(sums[0][sums[0] > 0], 5), minlength=6)
 
     # each round is a job of its own: the shuffle files of the one before are gone by then
-    counted = C.checkpointed(K.answer(blocks.applyInArrow(ask_pairs, K.ROWS_DDL),
+    counted = C.checkpointed(K.answer(blocks.cogroup(marks.groupBy("block")).applyInArrow(ask_pairs, K.ROWS_DDL),
                                       lambda kind, keys, sums: [sums[0].astype(np.uint32)], pair_stats))
     by_pair = K.collect_stats(counted).get(PAIR, np.zeros(6, np.int64))
 
@@ -144,6 +151,7 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
     model = Model(by_pair, by_word)
 
     out_type = T.StructType([T.StructField("id", T.LongType()), T.StructField("carry", rows.schema["carry"].dataType),
+                             T.StructField("trained", T.BooleanType()),
                              T.StructField("n_tokens", T.LongType()), T.StructField("perplexity", T.DoubleType()),
                              T.StructField("left_out", T.DoubleType())])
 
@@ -163,15 +171,22 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
         prob = model.p(c, context[f], ones[f], twos[f], more[f], model.p_low(cont)[p.second])
         logs = np.bincount(p.row, weights=np.log(prob)[p.of], minlength=t.num_rows)
         n = np.bincount(p.row, minlength=t.num_rows)
-        mine = flags(t)
+        mine = flags(t, right)
         alone = np.where(mine, _without_itself(model, p, c, stats, mine), logs)
-        return pa.table([t.column("id"), t.column("row"), pa.array(n.astype(np.int64)),
+        return pa.table([t.column("id"), t.column("row"), pa.array(mine), pa.array(n.astype(np.int64)),
                          *(pa.array(np.exp(np.minimum(-x / np.maximum(n, 1), 700))) for x in (logs, alone))],
-                        names=["id", "carry", "n_tokens", "perplexity", "left_out"])
+                        names=["id", "carry", "trained", "n_tokens", "perplexity", "left_out"])
 
-    known_rows = counted.unionByName(words).filter("block >= 0").groupBy("block")
+    known_rows = counted.unionByName(words).filter("block >= 0").unionByName(marks).groupBy("block")
     return blocks.cogroup(known_rows).applyInArrow(score, out_type).select(
-        "id", "carry.h", "carry.lang", "carry.trained", "n_tokens", "perplexity", "left_out")
+        "id", "carry.h", "carry.lang", "trained", "n_tokens", "perplexity", "left_out")
+
+
+def _marks(t: pa.Table) -> pa.Table:
+    """The trained hashes of one block as one row that travels with its answers."""
+    h = t.column("h").to_numpy()
+    return pa.Table.from_arrays([pa.array([x], pa.int32()) for x in (TRAINED, 0, t.column("block")[0].as_py(), len(h))]
+                                + [pa.array([[K.pack(np.sort(h))]], pa.list_(pa.binary()))], schema=K.ROWS)
 
 
 def _without_itself(model: Model, p: K.Pairs, c: np.ndarray, stats: np.ndarray, mine: np.ndarray) -> np.ndarray:
@@ -200,10 +215,20 @@ def _without_itself(model: Model, p: K.Pairs, c: np.ndarray, stats: np.ndarray,
 
 
 def _trained_filter(texts: DataFrame) -> np.ndarray:
-    """A Bloom filter (two bits each) of the pairs and words in a bounded sample of texts."""
+    """A Bloom filter (two bits each) of the pairs and words in the texts.
+
+    Each task fills a filter of its own; 8 maps at most merge them, and the driver merges what those give.
+    """
     size = 1 << BITS
 
-    def run(batches):
+    def sent(bits):
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)],
+                                                   pa.binary())], names=["bits"])
+
+    def bits_of(packed: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(packed, decompressed_size=size // 8, codec="zstd", asbytes=True), np.uint8)
+
+    def fill(batches):
         bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for t in C.slices(batch, max_bytes=SLICE):
@@ -211,14 +236,18 @@ def _trained_filter(texts: DataFrame) -> np.ndarray:
                 for keys in (p.pair, p.words):
                     for at in _places(keys):
                         np.bitwise_or.at(bits, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)],
-                                                   pa.binary())], names=["bits"])
+        yield from sent(bits)
+
+    def merge(batches):
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            for packed in batch.column("bits"):
+                bits |= bits_of(packed.as_py())
+        yield from sent(bits)
 
     out = np.zeros(size // 8, np.uint8)
-    # the texts are exchanged first, so the scan that finds them keeps its own tasks
-    for r in texts.repartition(8).mapInArrow(run, "bits binary").toLocalIterator():       # 8 maps at most
-        out |= np.frombuffer(pa.decompress(bytes(r["bits"]), decompressed_size=size // 8, codec="zstd", asbytes=True),
-                             np.uint8)
+    for r in texts.mapInArrow(fill, "bits binary").repartition(8).mapInArrow(merge, "bits binary").toLocalIterator():
+        out |= bits_of(bytes(r["bits"]))
     return out
 
 
@@ -234,15 +263,14 @@ def _in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def rate_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.25,
-                 max_rows: int = 20_000, block_bytes: int = 4 << 20) -> DataFrame:
+                 block_bytes: int = 4 << 20) -> DataFrame:
     """Perplexity of every text and whether it is kept: at most ``slack`` times its language's threshold.
 
-    The model is trained on at most ``max_rows`` texts of ``trusted`` (ids),
-    those with the smallest hash of id and text.  Every trained text is rated
-    by the model without it (cross-fitting with one text a fold), so all
-    trusted rows of a language set its threshold, the ``quantile`` of their
-    perplexities, however few they are.  Languages without trusted text are
-    not judged: all their rows are kept.
+    The model is trained on all texts of ``trusted`` (ids).  Every trained
+    text is rated by the model without it (cross-fitting with one text a
+    fold), so all trusted rows of a language set its threshold, the
+    ``quantile`` of their perplexities, however few they are.  Languages
+    without trusted text are not judged: all their rows are kept.
 
     Returns id_col, text_hash (xxhash64 of id and text), lang_col, n_tokens,
     perplexity (of trained texts: without the text itself), n_trusted (rows
@@ -256,10 +284,8 @@ def rate_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     ids = trusted.select(F.col(id_col).cast("long").alias("id")).dropna().distinct()
     trust = docs.select(F.col(id_col).cast("long").alias("id"), h.alias("h")).join(ids, "id").distinct()
     trust = C.checkpointed(trust)
-    sample = C.checkpointed(trust.orderBy("h", "id").limit(max_rows).select("id", "h"))
-    rows = C.checkpointed(perplexity(docs, sample, id_col, text_col, lang_col, block_bytes))
-    seen = rows.select("h", "lang", "left_out").join(trust.select("h").distinct(), "h", "left_semi")
-    limits = seen.groupBy(F.col("lang").alias("limit_lang")).agg(
+    rows = C.checkpointed(perplexity(docs, trust, id_col, text_col, lang_col, block_bytes))
+    limits = rows.filter("trained").groupBy(F.col("lang").alias("limit_lang")).agg(
         F.percentile_approx("left_out", quantile, 10_000).alias("own"), F.count(F.lit(1)).alias("n_trusted"))
     judged = (rows.join(F.broadcast(limits), rows["lang"].eqNullSafe(F.col("limit_lang")), "left")
               .withColumn("threshold", F.col("own") * slack))

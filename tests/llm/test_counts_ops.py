@@ -181,3 +181,15 @@ def test_filter_scan_keeps_its_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(type(df), "mapInArrow", spy)
     assert quality._trained_filter(df).any() and "Repartition 8, true" in plans[-1]
+
+
+def test_quality_trains_on_every_trusted_text(spark):
+    """20,001 trusted texts of one word: each of them is counted, none is left to a sample."""
+    docs = spark.range(20_001).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(-1, "word", "en")], "doc_id long, text string, lang string"))
+    got = {r["n_trusted"]: (r["n"], r["ranks"]) for r in rate_quality(docs, docs.filter("doc_id >= 0")).groupBy(
+        "n_trusted").agg(F.count("*").alias("n"), F.collect_set(F.round("perplexity", 12)).alias("ranks")).collect()}
+    m = brute.KneserNey([[b"word", None]] * 20_001)
+    inside, outside = m.perplexity_without([b"word", None]), m.perplexity([b"word", None])
+    assert set(got) == {20_001} and got[20_001][0] == 20_002
+    assert sorted(got[20_001][1]) == pytest.approx(sorted({round(inside, 12), round(outside, 12)}), rel=1e-11)
