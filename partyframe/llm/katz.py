@@ -168,7 +168,8 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                          pa.array(total(c > 0).astype(np.int64)), pa.array(total(base)), pa.array(total(logs))],
                         schema=out_schema)
 
-    backs = K.answer(packed.cogroup(mine).applyInArrow(sums, K.ROWS_DDL), weights)
+    # a job of its own, so that its shuffle files are gone before the last exchange
+    backs = C.checkpointed(K.answer(packed.cogroup(mine).applyInArrow(sums, K.ROWS_DDL), weights))
     given = counted.filter("block >= 0").unionByName(backs).groupBy("block")
     scored = packed.cogroup(given).applyInArrow(score, out_type)
     return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known",
