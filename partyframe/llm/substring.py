@@ -19,6 +19,7 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR, PLACE = 0, 1
 RESULT = ("n_words", "n_removed", "changed")
+SLICE = 1 << 20             # bytes of text that are cut into words at a time
 
 
 def _anchors(words: C.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +44,7 @@ def _candidates(words: C.Words, window: int, shared: np.ndarray) -> tuple[np.nda
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                   block_bytes: int = 8 << 20, as_is: bool = False) -> DataFrame:
+                   block_bytes: int = 4 << 20, as_is: bool = False) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts earlier.
 
     Earlier: a smaller id, or the same row at an earlier start (null ids come
@@ -83,7 +84,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     blocks = K.pack_docs(docs, id_col, text_col, n_blocks, row, points).groupBy("block")
 
     def ask_anchors(left: pa.Table) -> pa.Table:
-        got = [_anchors(C.Words(t.column("text")), window - PERIOD + 1)[1] for t in C.slices(K.unpack_docs(left))]
+        got = [_anchors(C.Words(t.column("text")), window - PERIOD + 1)[1] for t in C.slices(K.unpack_docs(left), max_bytes=SLICE)]
         keys, n = np.unique(np.concatenate(got), return_counts=True)
         return K.ask(ANCHOR, left.column("block")[0].as_py(), keys, n_shards, np.minimum(n, 2).astype(np.uint8))
 
@@ -95,7 +96,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         if not got:
             return np.zeros(0, np.uint64)
         keys = np.unique(np.concatenate([_anchors(C.Words(s.column("text")), window - PERIOD + 1)[1]
-                                         for s in C.slices(t)]))
+                                         for s in C.slices(t, max_bytes=SLICE)]))
         return keys[got[0] == 1]
 
     def ask_places(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -104,7 +105,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         t = K.unpack_docs(left)
         shared = shared_anchors(t, right)
         keys, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
-        for s in C.slices(t):
+        for s in C.slices(t, max_bytes=SLICE):
             words = C.Words(s.column("text"))
             pick, h = _candidates(words, window, shared)
             if len(pick):
@@ -118,7 +119,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             return to_arrow_schema(out_type).empty_table()
         t = K.unpack_docs(left)
         shared = shared_anchors(t, right)
-        keep = [(s, C.Words(s.column("text"))) for s in C.slices(t)]
+        keep = [(s, C.Words(s.column("text"))) for s in C.slices(t, max_bytes=SLICE)]
         found = [_candidates(w, window, shared) for _, w in keep]
         h = np.concatenate([x[1] for x in found])
         distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
