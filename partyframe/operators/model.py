@@ -87,11 +87,20 @@ def linear(x: Column, W: np.ndarray, b: np.ndarray | None, act: str | None = Non
 
 def linear_of(x: Column, outputs: Column, act: str | None = None) -> Column:
     """:func:`linear` by the outputs' (weights ``w``, bias ``b``), a literal or a column of the row."""
-    def one(o: Column) -> Column:
-        total = F.aggregate(F.zip_with(x, o["w"], lambda v, w: v.cast("double") * w), F.lit(0.0), lambda a, v: a + v)
+    def one(v: Column, o: Column) -> Column:
+        total = F.aggregate(F.zip_with(v, o["w"], lambda u, w: u.cast("double") * w), F.lit(0.0), lambda a, u: a + u)
         return activation(act, total + o["b"]) if act else total + o["b"]
 
-    return F.transform(outputs, one)
+    return bound(x, lambda v: F.transform(outputs, lambda o: one(v, o)))
+
+
+def bound(x: Column, fn) -> Column:
+    """``fn(x)`` with ``x`` computed once a row, however often ``fn`` reads it inside its lambdas.
+
+    The optimizer puts a column's whole expression where the column is read once; inside a lambda that is once per
+    element, so every layer over another would multiply the work of all layers below it.
+    """
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
 
 
 def embed(df: DataFrame, params: Params, in_sizes: list[int], act: str = "relu",
@@ -242,7 +251,7 @@ def grad_embeddings(df: DataFrame, params: Params, penalty_p: int = 0, lam: floa
 
 def outer(a: Column, b: Column) -> Column:
     """Cells of the outer product of two arrays, row by row."""
-    return F.flatten(F.transform(a, lambda u: F.transform(b, lambda v: u.cast("double") * v)))
+    return bound(b, lambda w: F.flatten(F.transform(a, lambda u: F.transform(w, lambda v: u.cast("double") * v))))
 
 
 def weight_gradients(df: DataFrame, params: Params, act: str = "relu") -> DataFrame:

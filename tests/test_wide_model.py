@@ -39,3 +39,12 @@ def test_pca_codes_of_512_columns_plan_in_a_second(spark):
     got = {r["uid"]: list(r["c"]) for r in codes.collect()}
     np.testing.assert_allclose([got[i] for i in range(20)], (x - mean) @ pc, rtol=1e-9, atol=1e-9)
     assert codes.filter(F.size("c") != 64).count() == 0
+
+
+def test_a_layer_computes_its_input_once_a_row(spark):
+    """Three layers in one projection: what a layer reads per output is a bound variable, not the layers below it."""
+    params = model.rule_params([2, 2, 2], 4, 3)
+    df = spark.range(20).select("id", *[F.array(F.col("id") + 0.5, F.lit(1.0) * p).alias(f"x{p}") for p in range(3)])
+    z = model.head(model.embed(df, params, [2, 2, 2]), params).select("id", "z")
+    plan = z._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 5 and plan.count("zip_with(lambda ") == 5
