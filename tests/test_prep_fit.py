@@ -277,3 +277,18 @@ def test_epoch_plan_shuffles_no_rows(spark):
     # the only exchange above the cached rows is the model-sized one on k
     assert above_cache.count("Exchange hashpartitioning") == 1 and "hashpartitioning(k#" in above_cache
     tr.unpersist()
+
+
+def test_epochs_read_the_cached_batches_without_a_sort(spark):
+    """Batches are sorted once, when cached; an epoch hands the tasks only the columns it reads."""
+    df = spark.range(40).select(F.col("id").alias("uid"), (F.col("id") % 5).alias("batch_id"), F.lit("unread").alias("s"),
+                                F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x0"))
+    tr = fit.prepare_batches(df, 3)
+    assert tr.count() == 40
+    f = fit.batch_vector_frame(tr.select("batch_id", "x0"),
+                               lambda t: np.append(fit._x(t, "x0", 2).sum(axis=0), t.num_columns))
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    top = plan[plan.rindex("FlatMapGroupsIn"):]
+    assert "Sort " not in top[:top.index("InMemoryTableScan")]
+    assert {r["k"]: r["v"] for r in f.collect()} == {0: sum(range(40)), 1: 40.0, 2: 10.0}
+    tr.unpersist()
