@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +17,7 @@ from . import counts as K
 PAIR, WORD, TRAINED = 0, 1, 2
 SLICE = 1 << 20             # bytes of text that are cut into words at a time
 BITS = 26                   # size of the filter of trained pairs and words (2^26 bits, 8 MB)
+GROUPS, RANGES = 2, 4       # jobs a round: of the blocks that ask, of the shards that answer
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -70,6 +73,9 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
     for the context and continuation counts of their words.  Pairs and words
     that are not in a Bloom filter of the trained ones (of fixed size; when
     full it only lets more through) are not asked for: their counts are 0.
+    A round asks and scores in ``GROUPS`` jobs, each for a part of the blocks,
+    and answers in ``RANGES`` jobs, each for a part of the shards, so that the
+    shuffle files of all texts and of all questions never lie on disk together.
 
     ``left_out`` is the perplexity under the model without the text itself:
     for a trained text its own counts are taken off every count, context and
@@ -87,11 +93,28 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
     known = trained.select("h").dropna().distinct()
 
     sent = docs.sparkSession.sparkContext.broadcast(_trained_filter(rows.join(known, "h", "left_semi").select("text")))
-    blocks = K.pack_docs(rows, "id", "text", n_blocks, F.col("carry")).groupBy("block")
     # a block is a function of h alone, so the trained ones reach it without a join of the texts
     marks = C.checkpointed(known.select(F.pmod("h", F.lit(n_blocks)).cast("int").alias("block"), "h")
                            .groupBy("block").applyInArrow(_marks, K.ROWS_DDL))
 
+    def met(texts: DataFrame, right: DataFrame, run, kind) -> DataFrame:
+        """``run`` on each block of the texts and what it was sent."""
+        return (K.pack_docs(texts, "id", "text", n_blocks, F.col("carry")).groupBy("block")
+                .cogroup(right.groupBy("block")).applyInArrow(run, kind))
+
+    def in_groups(right: DataFrame, run, kind) -> DataFrame:
+        n = min(GROUPS, n_blocks)
+        own = F.pmod(F.pmod("h", F.lit(n_blocks)), F.lit(n))
+        return reduce(DataFrame.unionByName, [
+            C.checkpointed(met(rows.filter(own == g), right.filter(F.pmod("block", F.lit(n)) == g), run, kind))
+            for g in range(n)])
+
+    def in_ranges(questions: DataFrame, reply, stats) -> DataFrame:
+        n = min(RANGES, n_shards)
+        return reduce(DataFrame.unionByName, [
+            C.checkpointed(K.answer(questions.filter(F.pmod("shard", F.lit(n)) == r), reply, stats))
+            for r in range(n)])
+
     def asked(p: K.Pairs) -> tuple[np.ndarray, np.ndarray]:
         """Which pairs, and which words, the block asks for."""
         return _in_filter(sent.value, p.pair), _in_filter(sent.value, p.words)
@@ -113,9 +136,9 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
     def pair_stats(kind, keys, sums):
         return np.bincount(np.minimum(sums[0][sums[0] > 0], 5), minlength=6)
 
-    # each round is a job of its own: the shuffle files of the one before are gone by then
-    counted = C.checkpointed(K.answer(blocks.cogroup(marks.groupBy("block")).applyInArrow(ask_pairs, K.ROWS_DDL),
-                                      lambda kind, keys, sums: [sums[0].astype(np.uint32)], pair_stats))
+    # the shuffle files of each job are gone when the next one begins
+    counted = in_ranges(in_groups(marks, ask_pairs, K.ROWS_DDL),
+                        lambda kind, keys, sums: [sums[0].astype(np.uint32)], pair_stats)
     by_pair = K.collect_stats(counted).get(PAIR, np.zeros(6, np.int64))
 
     def pair_counts(p: K.Pairs, right: pa.Table, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +166,8 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
     def word_stats(kind, keys, sums):
         return np.bincount(np.minimum(sums[4], 5), minlength=6)
 
-    words = C.checkpointed(K.answer(
-        blocks.cogroup(counted.filter("block >= 0").groupBy("block")).applyInArrow(ask_words, K.ROWS_DDL),
-        lambda kind, keys, sums: [s.astype(np.uint32) for s in sums], word_stats))
+    words = in_ranges(in_groups(counted.filter("block >= 0"), ask_words, K.ROWS_DDL),
+                      lambda kind, keys, sums: [s.astype(np.uint32) for s in sums], word_stats)
     by_word = K.collect_stats(words).get(WORD, np.zeros(6, np.int64))
     by_word[0] = 0
     model = Model(by_pair, by_word)
@@ -177,8 +199,7 @@ def perplexity(docs: DataFrame, trained: DataFrame, id_col: str = "doc_id", text
                          *(pa.array(np.exp(np.minimum(-x / np.maximum(n, 1), 700))) for x in (logs, alone))],
                         names=["id", "carry", "trained", "n_tokens", "perplexity", "left_out"])
 
-    known_rows = counted.unionByName(words).filter("block >= 0").unionByName(marks).groupBy("block")
-    return blocks.cogroup(known_rows).applyInArrow(score, out_type).select(
+    return in_groups(counted.unionByName(words).filter("block >= 0").unionByName(marks), score, out_type).select(
         "id", "carry.h", "carry.lang", "trained", "n_tokens", "perplexity", "left_out")
 
 
@@ -284,7 +305,7 @@ def rate_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     ids = trusted.select(F.col(id_col).cast("long").alias("id")).dropna().distinct()
     trust = docs.select(F.col(id_col).cast("long").alias("id"), h.alias("h")).join(ids, "id").distinct()
     trust = C.checkpointed(trust)
-    rows = C.checkpointed(perplexity(docs, trust, id_col, text_col, lang_col, block_bytes))
+    rows = perplexity(docs, trust, id_col, text_col, lang_col, block_bytes)
     limits = rows.filter("trained").groupBy(F.col("lang").alias("limit_lang")).agg(
         F.percentile_approx("left_out", quantile, 10_000).alias("own"), F.count(F.lit(1)).alias("n_trusted"))
     judged = (rows.join(F.broadcast(limits), rows["lang"].eqNullSafe(F.col("limit_lang")), "left")

@@ -193,3 +193,31 @@ def test_quality_trains_on_every_trusted_text(spark):
     inside, outside = m.perplexity_without([b"word", None]), m.perplexity([b"word", None])
     assert set(got) == {20_001} and got[20_001][0] == 20_002
     assert sorted(got[20_001][1]) == pytest.approx(sorted({round(inside, 12), round(outside, 12)}), rel=1e-11)
+
+
+def test_quality_rounds_run_in_parts(docs, texts, monkeypatch):
+    """No shard answers while the texts are exchanged, and no job asks for all blocks or answers for all shards."""
+    from partyframe.llm import quality
+
+    h = F.xxhash64(F.col("doc_id"), F.col("text"))
+    chosen = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), h.alias("h"))
+    plain = {r["id"]: r["left_out"] for r in perplexity(docs, chosen).collect()}
+    packed, ranges = [], []
+    pack_docs, answer = quality.K.pack_docs, quality.K.answer
+
+    def spy_pack(rows, *a, **kw):
+        packed.append(rows.count())
+        return pack_docs(rows, *a, **kw)
+
+    def spy_answer(asked, *a, **kw):
+        assert "FlatMapCoGroups" not in asked._jdf.queryExecution().optimizedPlan().toString()
+        ranges.append({r["shard"] for r in asked.select("shard").distinct().collect()})
+        return answer(asked, *a, **kw)
+
+    monkeypatch.setattr(quality.K, "plan_sizes", lambda *a: (7, 6))
+    monkeypatch.setattr(quality.K, "pack_docs", spy_pack)
+    monkeypatch.setattr(quality.K, "answer", spy_answer)
+    got = {r["id"]: r["left_out"] for r in perplexity(docs, chosen).collect()}
+    assert got == pytest.approx(plain, rel=1e-9)
+    assert all(n < len(texts) for n in packed) and sum(packed) == 3 * len(texts)
+    assert all(len(x) < 6 for x in ranges) and sorted(s for x in ranges for s in x) == sorted([*range(6)] * 2)
