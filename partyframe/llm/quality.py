@@ -17,7 +17,7 @@ from . import counts as K
 PAIR, WORD, TRAINED = 0, 1, 2
 SLICE = 1 << 20             # bytes of text that are cut into words at a time
 BITS = 26                   # size of the filter of trained pairs and words (2^26 bits, 8 MB)
-GROUPS, RANGES = 2, 4       # jobs a round: of the blocks that ask, of the shards that answer
+GROUPS, RANGES = 4, 4       # jobs a round: of the blocks that ask, of the shards that answer
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
