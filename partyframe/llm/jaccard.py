@@ -220,11 +220,14 @@ def near_texts(docs: DataFrame, least: float = 0.8, k: int = 5, id_col: str = "d
                            .join(linked, "rep", "left")
                            .select(*key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
                                    F.coalesce("class_id", "low").alias("class_id")))
-    joined = linkable.select("id", "text_hash", *key).join(known, key).select("id", "text_hash", "links", "class_id")
-    alone = rows.filter("size = 0 or id is null").select(
-        "id", "text_hash", F.lit(0).cast("long").alias("links"), F.col("id").alias("class_id"))
-    return joined.unionByName(alone).select(
-        F.col("id").alias(id_col), "class_id", F.col("links").cast("long").alias("n_links"),
+    # rows that link with nothing stay in the join, spread by id: with a filter on this side Spark takes it for small
+    # and adds run-time Bloom filters of the keys, of a megabyte and more each, which the driver builds and sends
+    k1 = F.when(F.col("size") > 0, F.col("k1")).otherwise(F.xxhash64("id"))
+    joined = (rows.select("id", "text_hash", k1.alias("k1"), "k2", "size").join(known, key, "left")
+              .withColumn("links", F.when(F.col("id").isNotNull(), F.col("links")))
+              .withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))))
+    return joined.select(
+        F.col("id").alias(id_col), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "text_hash")
 
 

@@ -61,6 +61,24 @@ def test_near_texts_repeated_rows_ids_and_nulls(spark, empty):
     assert near_texts(empty).count() == 0
 
 
+def test_near_texts_plan_has_no_runtime_filters(spark, capsys, tmp_path):
+    """On small tables Spark would put Bloom filters of a megabyte and more each into the plan that the driver sends."""
+    rng = random.Random(3)
+    a = " ".join(make_words(rng, 40))
+    rows = [(1, a), (2, a + " more"), (None, a), (None, ""), (None, None), (3, ""), (3, None), (3, a), (4, "  "), (4, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))         # a file's size is known, that of local rows is not
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as for tables too large to broadcast
+    try:
+        near_texts(df).explain("extended")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "bloom" not in plan.lower() and "might_contain" not in plan
+    _check_texts(df, rows)
+
+
 def test_survival_gives_the_recall_it_states():
     """Chance of a shared path, by simulation of the branching that `survival` computes."""
     rng = np.random.default_rng(0)
